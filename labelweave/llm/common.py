@@ -143,6 +143,17 @@ def words(data: np.ndarray, offsets: np.ndarray, alnum: bool = False) -> tuple[n
     return starts, stops, np.searchsorted(starts, offsets)
 
 
+class WordHashes:
+    """The words of a slice of documents as hashes: of each word its document (row) and the word after that document's last (end)."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, alnum: bool = False):
+        starts, stops, self.begin = words(data, offsets, alnum)
+        self.hashes = mix(Prefix(data).ranges(starts, stops) ^ mix((stops - starts).astype(np.uint64)))
+        self.prefix, self.n = Prefix(self.hashes), len(starts)
+        self.row = np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
+        self.end = self.begin[1:][self.row]
+
+
 def intervals(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of half-open ranges as maximal disjoint ones, in order."""
     if not len(starts):

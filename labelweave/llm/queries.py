@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from labelweave.llm import bpe, licences, quality, sharding, urls
+from labelweave.llm import bpe, decontaminate, licences, passages, quality, sharding, simhash, urls
 
 
 def queries() -> dict:
     return {
         "op1_url_filters": urls.query,
         "op2_license_scans": licences.query,
+        "op3_simhash_near_dedup": simhash.query,
+        "op4_substring_dedup": passages.query,
+        "op5_benchmark_decontamination": decontaminate.query,
         "op8_quality_rules": quality.query,
         "op9_byte_bpe": bpe.query,
         "op10_sharding": sharding.query,
@@ -16,4 +19,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": urls.oracle_sql(), "op8_quality_rules": quality.oracle_sql()}
+    return {
+        "op1_url_filters": urls.oracle_sql(),
+        "op5_benchmark_decontamination": decontaminate.oracle_sql(),
+        "op8_quality_rules": quality.oracle_sql(),
+    }
