@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelweave.session import ship_package
+
 #: Bytes of text that are turned into numpy arrays at once (a longer document makes a slice of its own).
 SLICE_BYTES = 1 << 20
 #: Stands for a missing doc_id in comparisons: greater than any id, so such a row is never the first of its group.
@@ -26,7 +28,8 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of very long documents must fit beside the JVM."""
+    """Small Arrow batches (a batch of very long documents must fit beside the JVM), and this package on the executors."""
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 

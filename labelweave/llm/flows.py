@@ -10,12 +10,12 @@ of a destination past the verdicts on it.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from labelweave.llm import common
 
 #: Text bytes in the packs of a share, and records in the blobs of one.
-PACK_BYTES, SHARE = 24 << 20, 1 << 20
+PACK_BYTES, SHARE = 12 << 20, 1 << 19
 BLOBS = "dest int, kind int, payload binary"
 
 
@@ -61,7 +61,7 @@ def unsteps(x: np.ndarray) -> np.ndarray:
 
 
 def doc_hash(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little")
+    return xxhash.xxh64_intdigest(text) & 0xFFFFFFFF
 
 
 class Docs:
@@ -142,35 +142,45 @@ def rows(out: Iterator[tuple[int, int, bytes]], most: int = 64) -> Iterator[pa.R
         yield batch()
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text binary): a null text is empty; a missing doc_id is NO_ID."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+def texts(docs: DataFrame, others: bool = False) -> DataFrame:
+    """(doc_id, text binary): a null text is empty; a missing doc_id is NO_ID. others: then all other columns, doc_id too, as they are."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)).alias("_doc")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("_text")
+    return docs.select(doc, text, *(F.col(f"`{c}`") for c in docs.columns if others and c != "text"))
 
 
 def packed(docs: DataFrame, n: int, kind: int = 9) -> DataFrame:
-    """Documents (texts()) in packs by destination."""
+    """Documents (texts()) in packs by destination. Other columns go along as Arrow's own bytes."""
 
     def run(batches):
         def flush(held):
-            ids = np.array([x[0] for x in held], dtype=np.int64)
-            hashes = np.array([doc_hash(x[1]) for x in held], dtype=np.uint32)
+            table = pa.Table.from_batches(held).combine_chunks()
+            raw = table.column(1).to_pylist()
+            ids = table.column(0).to_numpy()
+            hashes = np.array([doc_hash(x) for x in raw], dtype=np.uint32)
             where = destination(ids, hashes, n)
             order = np.argsort(where, kind="stable")
             cuts = np.append(np.flatnonzero(np.diff(where[order], prepend=-1)), len(order))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 own = order[a:b]
-                sizes = np.array([len(held[i][1]) for i in own], dtype=np.int64)
-                yield int(where[own[0]]), kind, pack(ids[own], hashes[own], sizes, np.frombuffer(b"".join(held[i][1] for i in own), dtype=np.uint8), level=3)
+                sizes = np.array([len(raw[i]) for i in own], dtype=np.int64)
+                others = []
+                if table.num_columns > 2:
+                    sink = pa.BufferOutputStream()
+                    few = table.select(range(2, table.num_columns)).take(own)
+                    with pa.ipc.new_stream(sink, few.schema) as out:
+                        out.write_table(few)
+                    others = [np.frombuffer(sink.getvalue(), dtype=np.uint8)]
+                yield int(where[own[0]]), kind, pack(ids[own], hashes[own], sizes, np.frombuffer(b"".join(raw[i] for i in own), dtype=np.uint8), *others, level=3)
 
         def all_of():
             held, size = [], 0
             for batch in batches:
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    held.append((i, t.as_py()))
-                    size += len(held[-1][1])
-                    if size > PACK_BYTES:
-                        yield from flush(held)
-                        held, size = [], 0
+                held.append(batch)
+                size += batch.column(1).nbytes
+                if size > PACK_BYTES:
+                    yield from flush(held)
+                    held, size = [], 0
             if held:
                 yield from flush(held)
 
@@ -180,8 +190,8 @@ def packed(docs: DataFrame, n: int, kind: int = 9) -> DataFrame:
 
 
 def at_documents(replies: DataFrame, packs: DataFrame, n: int, fn: Callable, schema: str) -> DataFrame:
-    """fn(iterator of (replies by kind, ids, hashes, data, offsets)) gives record batches; the replies are the blobs of the packs'
-    destination: {kind: [blob, ...]}."""
+    """fn(iterator of (replies by kind, ids, hashes, data, offsets, other columns)) gives record batches; the replies are the
+    blobs of the packs' destination: {kind: [blob, ...]}."""
 
     def run(batches):
         def stream():
@@ -193,8 +203,8 @@ def at_documents(replies: DataFrame, packs: DataFrame, n: int, fn: Callable, sch
                     if kind != 9:
                         held.setdefault(kind, []).append(payload.as_py())
                     else:
-                        ids, hashes, sizes, data = unpack(payload.as_py())
-                        yield held, ids, hashes, data, np.append(0, np.cumsum(sizes))
+                        ids, hashes, sizes, data, *others = unpack(payload.as_py())
+                        yield held, ids, hashes, data, np.append(0, np.cumsum(sizes)), others and pa.ipc.open_stream(others[0].tobytes()).read_all()
 
         return fn(stream())
 

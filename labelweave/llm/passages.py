@@ -101,7 +101,7 @@ def extend(stream, n: int, block: int, window: int):
         yield from flows.dealt(flows.bucket_of(keys, n), 2, lambda x: (*flows.Docs(ids[x], hashes[x]).table(), keys[x], flows.steps(at[x])))
 
     size, seen, asked = 0, None, None
-    for replies, ids, hashes, data, offsets in stream:
+    for replies, ids, hashes, data, offsets, _ in stream:
         if replies is not seen:
             seen, asked = replies, flows.ByDocument(*flows.read_verdicts(replies.get(1, [])))
         for first, end, part, begin in common.slices(data, offsets):
@@ -163,7 +163,7 @@ def dedup_passages(docs: DataFrame, block: int = BLOCK, with_text: bool = True)
 
     def finish(stream):
         seen, gone = None, None
-        for replies, ids, hashes, data, offsets in stream:
+        for replies, ids, hashes, data, offsets, _ in stream:
             if replies is not seen:
                 seen, gone = replies, flows.ByDocument(*flows.read_verdicts(replies.get(0, [])))
             raw, total, cut, sums, kept = data.tobytes(), [], [], [], []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelweave.llm import bpe, decontaminate, licences, passages, quality, sharding, simhash, urls
+from labelweave.llm import bpe, decontaminate, licences, passages, quality, repeats, sharding, simhash, urls, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_simhash_near_dedup": simhash.query,
         "op4_substring_dedup": passages.query,
         "op5_benchmark_decontamination": decontaminate.query,
+        "op6_warc": warc.query,
+        "op7_suffix_array_dedup": repeats.query,
         "op8_quality_rules": quality.query,
         "op9_byte_bpe": bpe.query,
         "op10_sharding": sharding.query,
@@ -22,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": urls.oracle_sql(),
         "op5_benchmark_decontamination": decontaminate.oracle_sql(),
+        "op6_warc": warc.oracle_sql(),
         "op8_quality_rules": quality.oracle_sql(),
     }
