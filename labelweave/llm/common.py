@@ -1,6 +1,6 @@
 """What several operators share: byte and word views of Arrow text columns, polynomial hashes, blobs and written tables.
 
-Texts reach Python as Arrow batches and are worked on in slices of about a megabyte, so that memory does not follow
+Texts reach Python as Arrow batches and are worked on in slices of half a megabyte, so that memory does not follow
 the size of a partition.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from labelweave.session import ship_package
 
 #: Bytes of text that are turned into numpy arrays at once (a longer document makes a slice of its own).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Stands for a missing doc_id in comparisons: greater than any id, so such a row is never the first of its group.
 NO_ID = (1 << 63) - 1
 
@@ -61,7 +61,7 @@ def buckets(spark: SparkSession) -> int:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """b**i and b**-i modulo 2**64 for i below n."""
     if len(_POWERS.get("up", ())) < n:
-        n = max(n, 2 * SLICE_BYTES)
+        n = max(n, 4 * SLICE_BYTES)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             x = np.full(n, base, dtype=np.uint64)
             x[0] = 1

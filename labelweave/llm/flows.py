@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from labelweave.llm import common
 
 #: Text bytes in the packs of a share, and records in the blobs of one.
-PACK_BYTES, SHARE = 12 << 20, 1 << 19
+PACK_BYTES, SHARE = 8 << 20, 1 << 18
 BLOBS = "dest int, kind int, payload binary"
 
 

@@ -31,6 +31,10 @@ from labelweave.llm import common, flows
 WINDOW, GRAM, CROWD = 50, 20, 4096
 #: A longer document is read in pieces of this many bytes, overlapping by a window less one byte.
 PIECE = 4 << 20
+#: Bytes of fetched contexts in a share.
+FETCHED = 2 << 20
+#: Suffixes that are sorted at once (more only where one anchor has more).
+SORTED = 1 << 17
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -200,7 +204,7 @@ def fetch(stream, n: int, window: int):
                 where[hot] = flows.bucket_of(common.mix(common.Prefix(own).ranges(first[hot], first[hot] + window)), n)
             held.append((np.full(len(which), ids[k]), np.full(len(which), hashes[k]), anchor[which], first, offset[which] - within, sizes, where, text))
             size += len(text)
-            if size > common.SLICE_BYTES * 8:
+            if size > FETCHED:
                 yield from flush()
                 held.clear()
                 size = 0
@@ -290,24 +294,32 @@ def sort_suffixes(blobs: list[bytes], n: int, window: int):
         for held, x in zip(columns, (docs.ids, docs.hashes, anchor, flows.unsteps(step), offset.astype(np.int64), lengths.astype(np.int64), data)):
             held.append(x)
     ids, hashes, anchor, start, offset, lengths, data = map(np.concatenate, columns)
-    begin = np.append(0, np.cumsum(lengths))[:-1]
-    many = lengths - window + 1
-    which = np.repeat(np.arange(len(lengths)), many)
-    within = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-    suffix, place = begin[which] + within, offset[which] - within  # of the anchor in the window
-    order = np.lexsort((ids[which], place, anchor[which]))
-    which, within, suffix, place = which[order], within[order], suffix[order], place[order]
-    own = anchor[which]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (own[1:] != own[:-1]) | (np.diff(place) != 0)
-    groups = np.cumsum(new)
-    sorter = SuffixSort(data, window)
-    order = sorter.sort(suffix, groups)
-    which, within, suffix = which[order], within[order], suffix[order]
-    new = sorter.classes(suffix, groups)
-    later = ids[which] > flows.smallest(new, ids[which])
-    which, at = which[later], (start[which] + within)[later]
-    yield from flows.verdicts(ids[which], hashes[which], at, at + window, n)
+    begin, many = np.append(0, np.cumsum(lengths))[:-1], lengths - window + 1
+    rows = np.argsort(anchor, kind="stable")
+    # whole anchors at a time, about SORTED suffixes
+    share = (np.cumsum(many[rows]) - 1) // SORTED
+    head = np.flatnonzero(np.append(True, np.diff(anchor[rows]) != 0))
+    share = np.repeat(share[head], np.diff(np.append(head, len(rows))))
+    for own in np.split(rows, np.flatnonzero(np.diff(share)) + 1):
+        which = np.repeat(own, many[own])
+        within = np.arange(len(which)) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
+        place = offset[which] - within  # of the anchor in the window
+        order = np.lexsort((ids[which], place, anchor[which]))
+        which, within, place = which[order], within[order], place[order]
+        new = np.append(True, (np.diff(anchor[which]) != 0) | (np.diff(place) != 0))
+        groups = np.cumsum(new)
+        # the texts of these contexts alone
+        at = np.repeat(begin[own] - np.append(0, np.cumsum(lengths[own])[:-1]), lengths[own]) + np.arange(lengths[own].sum())
+        sorter = SuffixSort(data[at], window)
+        moved = np.zeros(len(lengths), dtype=np.int64)
+        moved[own] = np.append(0, np.cumsum(lengths[own])[:-1])
+        suffix = moved[which] + within
+        order = sorter.sort(suffix, groups)
+        which, within, suffix = which[order], within[order], suffix[order]
+        new = sorter.classes(suffix, groups)
+        later = ids[which] > flows.smallest(new, ids[which])
+        which, first = which[later], (start[which] + within)[later]
+        yield from flows.verdicts(ids[which], hashes[which], first, first + window, n)
 
 
 def removed(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, int]:
