@@ -268,8 +268,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
     def shingle_sets(batch):
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set(x, width) for x in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
 
-    # one text of each digest: any of its rows will do
-    texts = docs.join(asked, "digest").select("node", "text")
+    # one text of each digest: any of its rows will do. The join is a shuffle at every size: ids grow with the texts
+    texts = docs.join(asked.hint("shuffle_merge"), "digest").select("node", "text")
     sets = common.written(common.map_arrow(texts, shingle_sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     def verify(batch):
@@ -292,7 +292,7 @@ def keep_one(docs: DataFrame, width: int = WORDS, similarity: float = SIMILARITY
     first = (F.col("component") == F.col("node")) & (F.col("doc_id").eqNullSafe(F.col("node")) | F.col("doc_id").isNull())
     gone = common.written(rows.where(~first).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")), "gone")
     digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    kept = docs.join(gone, (digest == F.col("_gone_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")
+    kept = docs.join(gone.hint("shuffle_merge"), (digest == F.col("_gone_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")
     if rows.where(first & (F.col("n") > 1)).limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
