@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.env import All, Any, Compare, Contains, Has, JoinableTo, Operand, Related
+from labelweave.env import All, Any, Compare, Contains, Has, JoinableTo, Operand, Related, labels_in
 from labelweave.operators import rules as R
 
 
@@ -102,6 +100,72 @@ class Evaluator:
         return out
 
 
+class Batch:
+    """All conditions of a rule set at once: leaves of a kind share one join, composites of a depth one grouping, so the plan's size does
+    not follow the number of rules. Distinct nodes of all trees are numbered; `of` gives a condition's number."""
+
+    def __init__(self, wanted: list):
+        self.of: dict = {}
+        self.depth: dict[int, int] = {}
+        for c in wanted:
+            self._number(c)
+        self.nodes = {i: c for c, i in self.of.items()}
+
+    def _number(self, c) -> int:
+        if c not in self.of:
+            depth = 1 + max((self.depth[self._number(p)] for p in c.parts), default=-1) if isinstance(c, (All, Any)) else 0
+            self.of[c] = len(self.of)
+            self.depth[self.of[c]] = depth
+        return self.of[c]
+
+    def labels(self) -> set[str]:
+        return {x for c in self.nodes.values() if not isinstance(c, (All, Any)) for x in labels_in(c)}
+
+    def evaluate(self, facts: DataFrame, avail: DataFrame, contains: DataFrame, closure: DataFrame, joinable: DataFrame) -> DataFrame:
+        """(condition, container, scope) of every node."""
+        spark = facts.sparkSession
+        has = facts.select("container", "label", "scope").distinct()
+        leaves: dict[str, list[tuple[int, str]]] = {}
+        for i, c in self.nodes.items():
+            if isinstance(c, Has):
+                leaves.setdefault("Self", []).append((i, c.label))
+            elif isinstance(c, Related):
+                leaves.setdefault(c.relation, []).append((i, c.label))
+            elif isinstance(c, (Contains, JoinableTo)):
+                leaves.setdefault(type(c).__name__, []).append((i, c.label))
+        out = None
+
+        def add(df: DataFrame) -> None:
+            nonlocal out
+            df = df.select("condition", "container", "scope")
+            out = df if out is None else out.unionByName(df)
+
+        for kind, rows in leaves.items():
+            asked = R.rule_table(spark, rows, "condition int, label string")
+            own = has.join(F.broadcast(asked.select("label").distinct()), "label", "left_semi")
+            if kind in ("Contains", "JoinableTo"):
+                up = own.join(closure.select(F.col("descendant").alias("container"), "ancestor"), "container").select(F.col("ancestor").alias("container"), "label", "scope")
+                own = own.unionByName(up).distinct().join(avail, ["container", "scope"], "left_semi")
+                if kind == "JoinableTo":
+                    own = own.withColumnRenamed("container", "b").join(joinable, "b").select(F.col("a").alias("container"), "label", "scope")
+            else:
+                own = related(own, kind, contains, closure)
+            add(own.join(asked, "label"))
+        one = Evaluator(facts, avail, contains, closure, joinable)
+        for i, c in self.nodes.items():
+            if isinstance(c, Compare):
+                add(one(c).withColumn("condition", F.lit(i)))
+        if out is None:
+            return spark.createDataFrame([], "condition int, container string, scope string")
+        out = out.distinct()
+        for depth in range(1, max(self.depth.values(), default=0) + 1):
+            rows = [(i, self.of[p], len(set(c.parts)) if isinstance(c, All) else 1) for i, c in self.nodes.items() if self.depth[i] == depth for p in dict.fromkeys(c.parts)]
+            parts = R.rule_table(spark, rows, "parent int, condition int, n int")
+            met = out.join(parts, "condition").groupBy("parent", "n", "container", "scope").agg(F.count_distinct("condition").alias("k")).where("k >= n")
+            out = out.unionByName(met.select(F.col("parent").alias("condition"), "container", "scope"))
+        return out
+
+
 def demanded(has: DataFrame, rules: DataFrame) -> DataFrame:
     """Marks: (condition, container, scope) where a rule's condition matters: its source label is there, its target is not."""
     asked = has.withColumnRenamed("label", "source").join(rules, "source")
@@ -114,6 +178,3 @@ def demanded_all(has: DataFrame, rules: DataFrame) -> DataFrame:
     full = R.implication_all(has, rules)
     done = has.select("container", "label", "scope")
     return full.join(done, ["container", "label", "scope"], "left_anti").join(rules.select("rule", "condition"), "rule").select("condition", "container", "scope").distinct()
-
-
-Rule = Callable[[DataFrame], DataFrame]

@@ -25,8 +25,8 @@ def k_anonymity(signed: DataFrame) -> DataFrame:
     return sizes.groupBy("table", "scope").agg(F.min("n").alias("k"))
 
 
-def as_assertions(k: DataFrame) -> DataFrame:
+def as_assertions(k: DataFrame, label: str = ANALYSIS, framework: str = FRAMEWORK) -> DataFrame:
     return k.select(
-        F.col("table").alias("container"), F.lit(ANALYSIS).alias("label"), "scope", F.lit(FRAMEWORK).alias("framework"),
+        F.col("table").alias("container"), F.lit(label).alias("label"), "scope", F.lit(framework).alias("framework"),
         F.create_map(F.lit(PARAM), F.col("k").cast("string")).alias("params"),
     )

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from labelweave.env import Env, Equivalence, Implication, Rules, labels_in
+from labelweave.env import Env, Equivalence, Implication, Rules
+from labelweave.operators.conditions import Batch
 from labelweave.operators.rules import MAX_RULES
 
 
@@ -18,7 +19,7 @@ class Compiled:
     conditional: list[tuple]  # framework, rule, source, target, condition index
     every: list[tuple]  # framework, rule, sources, target, condition index or -1
     bare: list[tuple]  # framework, rule, target, condition index
-    conditions: list
+    conditions: Batch
     looked_at: set[str]  # labels that conditions and `every` rules look at
 
 
@@ -120,8 +121,8 @@ def compile_rules(env: Env, inherit: tuple[str, ...] = ("propagations", "subclas
         for label, facet in env.label_facets.distinct().collect():
             facets.setdefault(facet, []).append(label)
     rules = inherited(env.rules, chains(frameworks), inherit, override)
-    conditions: dict = {}
-    number = lambda c: conditions.setdefault(c, len(conditions))
+    batch = Batch([c for r in [*rules.implications, *rules.equivalences] for c in r.conditions] + [r.condition for r in rules.conditionals])
+    number = batch.of.__getitem__
     propagations = {(r.framework, label, r.direction) for r in rules.propagations for label in ([r.label] if r.label else facets.get(r.facet, []))}
     steps = [(s, r.target, r.framework, r.name or f"subclass:{r.target}") for r in rules.subclasses for s in r.sources]
     conditional, every = [], []
@@ -139,8 +140,7 @@ def compile_rules(env: Env, inherit: tuple[str, ...] = ("propagations", "subclas
     steps = list(dict.fromkeys(steps))
     if close_labels:
         steps = label_closure(steps)
-    looked_at = set().union(*map(labels_in, conditions)) if conditions else set()
-    looked_at |= {s for e in every for s in e[2]} | {c[2] for c in conditional}
+    looked_at = batch.labels() | {s for e in every for s in e[2]} | {c[2] for c in conditional}
     if len(steps) + len(propagations) + len(conditional) + len(every) > MAX_RULES:
         raise ValueError(f"over {MAX_RULES} compiled rules")
-    return Compiled(sorted(propagations), steps, conditional, every, bare, list(conditions), looked_at)
+    return Compiled(sorted(propagations), steps, conditional, every, bare, batch, looked_at)

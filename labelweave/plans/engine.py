@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelweave import env as E
-from labelweave.operators import closure, conditions, kanon
+from labelweave.operators import closure, kanon
 from labelweave.operators import rules as R
 from labelweave.plans.compile import Compiled, compile_rules
 from labelweave.storage import written
@@ -51,13 +51,16 @@ class Result:
 
 class Engine:
     def __init__(self, env: E.Env, *, check_target: bool = True, inherit: tuple[str, ...] = ("propagations", "subclasses"), override: bool = True, close_labels: bool = True,
-                 with_k: bool = True, on_drift: str = "raise", max_rounds: int = 1000, extra: tuple = (), visibility: str = "any"):
+                 with_k: bool = True, on_drift: str = "raise", max_rounds: int = 1000, extra: tuple = (), visibility: str = "any",
+                 quasi: tuple[str, str] = (kanon.QUASI_IDENTIFIER, kanon.FRAMEWORK), analysis: str = kanon.ANALYSIS):
         """check_target: propagation ends only where the target is available. extra: callables (facts, new facts) -> DataFrame of
         (container, label, scope, framework), run each round: user rules. visibility: 'any' framework's label triggers a rule, or only
-        those of the rule's own 'chain' of extended frameworks. on_drift: what a change of quasi-identifiers after k was computed does."""
+        those of the rule's own 'chain' of extended frameworks. on_drift: what a change of quasi-identifiers after k was computed does ('raise' or
+        'warn'). quasi: label and framework of quasi-identifiers; analysis: the label of the k-anonymity facts."""
         if visibility not in ("any", "chain"):
             raise ValueError("visibility: 'any' or 'chain'")
         self.env, self.check_target, self.with_k, self.on_drift, self.max_rounds, self.extra, self.visibility = env, check_target, with_k, on_drift, max_rounds, extra, visibility
+        self.quasi, self.analysis = quasi, analysis
         self.rules: Compiled = compile_rules(env, inherit, override, close_labels and visibility == "any")
         self.metrics: list[tuple] = []
         self.rounds = 0
@@ -75,7 +78,7 @@ class Engine:
         k = written(kanon.k_anonymity(kanon.signatures(env.fields, self._quasi(facts))))
         if self.with_k and not k.isEmpty():
             before = self._quasi(facts)
-            facts = self._fixpoint("S4", facts, self._shape(kanon.as_assertions(k), "KAnonymity"))
+            facts = self._fixpoint("S4", facts, self._shape(kanon.as_assertions(k, self.analysis, self.quasi[1]), "KAnonymity"))
             if not self._quasi(facts).join(before, ["container", "scope"], "left_anti").isEmpty():
                 message = "quasi-identifiers changed after k-anonymity was computed"
                 if self.on_drift == "raise":
@@ -86,7 +89,7 @@ class Engine:
         return Result(env, facts, self.avail, self.closure, self.joinable, k, self.rounds, self.metrics)
 
     def _quasi(self, facts: DataFrame) -> DataFrame:
-        return facts.where((F.col("label") == kanon.QUASI_IDENTIFIER) & (F.col("framework") == kanon.FRAMEWORK)).select("container", "scope").distinct()
+        return facts.where((F.col("label") == self.quasi[0]) & (F.col("framework") == self.quasi[1])).select("container", "scope").distinct()
 
     def _shape(self, df: DataFrame, via, ground: bool = False) -> DataFrame:
         columns = df.columns
@@ -178,11 +181,12 @@ class Engine:
     def _conditional(self, facts: DataFrame) -> DataFrame:
         spark, rules = self.env.spark, self.rules
         out = self._shape(facts.limit(0), "none")
-        evaluate = conditions.Evaluator(facts.select("container", "label", "scope", "params"), self.avail, self.contains, self.closure, self.joinable)
+        if not (rules.conditional or rules.every or rules.bare):
+            return out
         holds = None
-        for i, c in enumerate(rules.conditions):
-            one = evaluate(c).withColumn("condition", F.lit(i))
-            holds = one if holds is None else holds.unionByName(one)
+        if rules.conditions.nodes:
+            # several rule families read it: worked out once
+            holds = written(rules.conditions.evaluate(facts.select("container", "label", "scope", "params"), self.avail, self.contains, self.closure, self.joinable), "holds")
         if rules.conditional:
             table = R.rule_table(spark, rules.conditional, "framework string, rule string, source string, target string, condition int")
             found = self._seen(facts, table).join(holds, ["condition", "container", "scope"], "left_semi")

@@ -285,9 +285,9 @@ over("cond_sibling", "SELECT DISTINCT y.child AS container, scope FROM has JOIN
 over("cond_joinable", "SELECT DISTINCT j.a AS container, h.scope FROM has h JOIN joinable j ON j.b = h.container JOIN avail v ON v.container = j.b AND v.scope = h.scope WHERE label = 'Risky'", lambda w: w.holds(E.JoinableTo("Risky")))
 _SIZE = E.Operand("Sized", "size")
 for _name, _op, _sql in (("lt", "<", "<"), ("le", "<=", "<="), ("gt", ">", ">"), ("ge", ">=", ">="), ("eq", "==", "="), ("ne", "!=", "<>")):
-    over(f"cond_comparison_{_name}", f"SELECT container, scope FROM sized WHERE n {_sql} 60", lambda w, op=_op: w.holds(E.Compare(_SIZE, op, E.Operand(literal=60))))
+    over(f"cond_comparison_{_name}", f"SELECT container, scope FROM sized WHERE n {_sql} 59", lambda w, op=_op: w.holds(E.Compare(_SIZE, op, E.Operand(literal=59))))
 over("cond_in_range", "SELECT container, scope FROM sized WHERE n BETWEEN 55 AND 65", lambda w: w.holds(E.Compare(_SIZE, "inRange", E.Operand(literal=55), E.Operand(literal=65))))
-over("cond_default_threshold", "SELECT v.container, v.scope FROM avail v LEFT JOIN sized s ON s.container = v.container AND s.scope = v.scope WHERE coalesce(s.n, 3) < 60", lambda w: w.holds(E.Compare(E.Operand("Sized", "size", default=3), "<", E.Operand(literal=60))))
+over("cond_default_threshold", "SELECT v.container, v.scope FROM avail v LEFT JOIN sized s ON s.container = v.container AND s.scope = v.scope WHERE coalesce(s.n, 3) < 60", lambda w: w.holds(E.Compare(E.Operand("Sized", "size", default=3), "<", E.Operand(literal=59))))
 _DEBT_CHILD = "SELECT DISTINCT parent AS container, scope FROM has JOIN contains ON child = container WHERE label = 'Debt'"
 over("cond_and", f"SELECT container, scope FROM has WHERE label = 'Trade' INTERSECT {_DEBT_CHILD}", lambda w: w.holds(E.All((E.Has("Trade"), E.Related("Debt", "Child")))))
 over("cond_or", f"SELECT container, scope FROM has WHERE label = 'Trade' UNION {_DEBT_CHILD}", lambda w: w.holds(E.Any((E.Has("Trade"), E.Related("Debt", "Child")))))
