@@ -51,8 +51,8 @@ def small(x: np.ndarray) -> np.ndarray:
 
 def steps(x: np.ndarray) -> np.ndarray:
     """Differences from one value to the next (any order), small when near: zigzag."""
-    d = np.diff(x.astype(np.int64), prepend=0)
-    return small((d << 1) ^ (d >> 63)) if len(d) else small(d)
+    d = np.diff(x.astype(np.int64), prepend=0)  # wraps around, and back in unsteps
+    return small(((d << 1) ^ (d >> 63)).view(np.uint64))
 
 
 def unsteps(x: np.ndarray) -> np.ndarray:
@@ -143,10 +143,11 @@ def rows(out: Iterator[tuple[int, int, bytes]], most: int = 64) -> Iterator[pa.R
 
 
 def texts(docs: DataFrame, others: bool = False) -> DataFrame:
-    """(doc_id, text binary): a null text is empty; a missing doc_id is NO_ID. others: then all other columns, doc_id too, as they are."""
+    """(doc_id, text binary): a null text is empty; a missing doc_id is NO_ID. others: then all other columns, doc_id too, as they are but for
+    their names, which are positions."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)).alias("_doc")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("_text")
-    return docs.select(doc, text, *(F.col(f"`{c}`") for c in docs.columns if others and c != "text"))
+    return docs.select(doc, text, *(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns) if others and c != "text"))
 
 
 def packed(docs: DataFrame, n: int, kind: int = 9) -> DataFrame:

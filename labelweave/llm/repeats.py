@@ -69,7 +69,7 @@ def anchors(prefix: common.Prefix, offsets: np.ndarray, window: int, gram: int)
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, window: int):
     """common.slices, with a long document in overlapping pieces: (row, end, bytes, offsets, where the piece begins)."""
-    for first, end, part, begin in common.slices(data, offsets):
+    for first, end, part, begin in common.slices(data, offsets, min(PIECE, common.SLICE_BYTES)):
         if len(part) <= PIECE:
             yield first, end, part, begin, 0
         else:
@@ -322,10 +322,10 @@ def sort_suffixes(blobs: list[bytes], n: int, window: int):
         yield from flows.verdicts(ids[which], hashes[which], first, first + window, n)
 
 
-def removed(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, int]:
-    """Of flows.texts(): blobs (kind 0) of the byte ranges to remove, by document; and the number of destinations."""
-    n = common.buckets(rows.sparkSession)
-    rows = rows.select("_doc", "_text")
+def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, int]:
+    """Blobs (kind 0) of the byte ranges to remove, by document; and the number of destinations."""
+    n = common.buckets(docs.sparkSession)
+    rows = flows.texts(docs)
     first = common.written(rows.mapInArrow(lambda b: flows.rows(contexts(b, n, window, gram)), flows.BLOBS), "contexts")
     asked = common.written(flows.in_buckets(first.where("kind = 1"), n, lambda x: compare_contexts(x, n, window, crowd)), "asked")
     fetched = flows.at_documents(asked.where("kind = 3"), flows.packed(rows, n), n, lambda s: flows.rows(fetch(s, n, window)), flows.BLOBS)
@@ -354,7 +354,7 @@ def _kept(stream):
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD, with_text: bool = True) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and the remaining bytes (kept), if asked for."""
     rows = flows.texts(docs)
-    found, n = removed(rows, window, gram, crowd)
+    found, n = removed(docs, window, gram, crowd)
 
     def finish(stream):
         for ids, sizes, kept, spans, _ in _kept(stream):
@@ -369,12 +369,12 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd:
 def strip(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """docs, all columns, with the remaining text; a character of which only some bytes remain goes as a whole."""
     rows, names, schema = flows.texts(docs, others=True), docs.columns, docs.schema
-    found, n = removed(rows, window, gram, crowd)
+    found, n = removed(docs, window, gram, crowd)
 
     def finish(stream):
         for _, _, kept, _, others in _kept(stream):
             text = pa.array([x.decode(errors="ignore") for x in kept], pa.string())
-            for batch in pa.table([text if c == "text" else others.column(c) for c in names], names=names).combine_chunks().to_batches():
+            for batch in pa.table([text if c == "text" else others.column(f"_{k}") for k, c in enumerate(names)], names=names).combine_chunks().to_batches():
                 yield batch
 
     return flows.at_documents(found, flows.packed(rows, n), n, finish, schema)

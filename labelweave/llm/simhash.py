@@ -29,7 +29,6 @@ from labelweave.llm import common
 from labelweave.llm.components import components
 
 SHINGLE, BITS, SEGMENTS, SEED = 3, 3, 4, 42
-NO_NODE = 1 << 62
 #: near_duplicates: shingle words, similarity, segments, and how many segments may differ in a candidate.
 WORDS, SIMILARITY, RING, RING_BUDGET = 5, 0.8, 32, 12
 #: Segments that may differ from a bucket's leader so that a member needs no other leader there.
@@ -131,24 +130,20 @@ def bucket_forest(fps: np.ndarray, segment: int) -> np.ndarray:
 
 
 def similar_fingerprints(distinct: DataFrame) -> DataFrame:
-    """(fp, node), fp distinct, to edges (u, v) of nodes that connect all fingerprints at most 3 bits apart."""
+    """(fp), distinct, to edges (u, v) between fingerprints that connect all of those at most 3 bits apart."""
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ring = distinct.select(
-        "fp", "node", F.explode(F.array(*(F.struct(F.lit(k).alias("segment"), F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF).cast("int").alias("value")) for k in range(SEGMENTS)))).alias("s")
-    ).select(F.col("s.segment").alias("segment"), F.col("s.value").alias("value"), "fp", "node")
+    segment = lambda k: F.lit(k << 16) + F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF)
 
     def run(batches):
-        for key, fps, nodes in _groups(batches):
+        for key, fps, _ in _groups(batches):
             if len(fps) > 1:
-                order = np.argsort(nodes, kind="stable")  # the first of a component is its smallest node
-                nodes = nodes[order]
-                labels = bucket_forest(fps[order].view(np.uint64), int(key >> 16))
+                labels = bucket_forest(fps.view(np.uint64), int(key >> 16))
                 more = np.flatnonzero(labels != np.arange(len(labels)))
                 if len(more):
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(nodes[labels[more]])], names=["u", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(fps[more]), pa.array(fps[labels[more]])], names=["u", "v"])
 
-    keyed = ring.select((F.col("segment") * 65536 + F.col("value")).cast("long").alias("key"), "fp", "node")
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
+    ring = distinct.select(F.explode(F.array(*(segment(k).cast("long") for k in range(SEGMENTS)))).alias("key"), "fp")
+    return ring.repartition(n, "key").sortWithinPartitions("key").select("key", "fp", "fp").mapInArrow(run, "u long, v long").distinct()
 
 
 def _groups(batches):
@@ -172,13 +167,12 @@ def _groups(batches):
 def link_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs."""
     prints = common.written(fingerprints(docs, shingle), "fingerprints")
-    node = F.coalesce(F.min("doc_id"), F.lit(NO_NODE) + F.shiftrightunsigned("fp", 2))
-    distinct = common.written(prints.groupBy("fp").agg(node.alias("node")), "distinct")
-    found = components(similar_fingerprints(distinct))
-    by_print = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(by_print, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") < NO_NODE, F.col("component")).alias("component_id")
-    )
+    distinct = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    found = components(similar_fingerprints(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    own = distinct.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    least = own.groupBy("component").agg(F.min("first").alias("component_id"))
+    by_print = own.join(least, "component").select("fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- similarity thresholds -------------------------------------------------------------------------------------------
@@ -227,8 +221,8 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIMILARITY, segments: int = RING, budget: int = RING_BUDGET) -> DataFrame:
-    """(doc_id, digest, node, component): one row per distinct (doc_id, text). Documents of equal text share a node, the smallest doc_id
-    among them; component is the smallest node reachable over links of at least `similarity` between shingle sets."""
+    """(doc_id, digest, component), one row per row of docs. Texts of one digest are one node; components are of nodes linked by at least
+    `similarity` between shingle sets."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = common.with_key(docs).select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     docs = docs.withColumn("digest", F.unhex(F.md5("text")))
@@ -238,10 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "digest", "signature"])
 
     signed = common.written(common.map_arrow(docs.select("doc_id", "digest", "text"), sign, "doc_id long, digest binary, signature binary"), "signatures")
-    node = F.coalesce(F.min("doc_id"), F.lit(NO_NODE) + F.shiftrightunsigned(F.xxhash64("digest"), 2))
-    distinct = common.written(signed.groupBy("digest").agg(node.alias("node"), F.any_value("signature").alias("signature")), "distinct")
-    # two nodes may share an id where a doc_id comes with several texts; they are one document then
-    ring = distinct.groupBy("node").agg(F.any_value("signature").alias("signature"))
+    ring = common.written(signed.groupBy("digest").agg(F.any_value("signature").alias("signature")).select("digest", F.xxhash64("digest").alias("node"), "signature"), "distinct")
 
     def keys(batch):
         s = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, segments).astype(np.int64)
@@ -249,9 +240,9 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
         nodes = np.repeat(batch.column(0).to_numpy(), segments)
         return pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(nodes)], names=["key", "node"])
 
-    members = common.map_arrow(ring, keys, "key long, node long")
+    members = common.map_arrow(ring.select("node", "signature"), keys, "key long, node long")
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = members.join(shared, "key").join(ring, "node").select("key", "node", "signature")
+    members = members.join(shared, "key").join(ring.drop("digest"), "node").select("key", "node", "signature")
 
     def compare(batches):
         for key, nodes, signatures in _groups(batches):
@@ -263,7 +254,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
     candidates = members.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
     candidates = common.written(candidates.distinct(), "candidates")
     asked = candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()
-    asked = distinct.join(asked, "node").select("digest", "node")
+    asked = ring.join(asked, "node").select("digest", "node")
 
     def shingle_sets(batch):
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set(x, width) for x in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
@@ -280,20 +271,21 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
     pairs = candidates.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     links = common.map_arrow(pairs.select("u", "v", "a", "b"), verify, "u long, v long")
     found = components(links)
-    by_digest = distinct.join(found, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("component"))
+    by_digest = ring.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return signed.select("doc_id", "digest").join(by_digest, "digest")
 
 
 def keep_one(docs: DataFrame, width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, all columns, of the document that stands for its component: the smallest doc_id; of a row that the
-    table repeats whole, one."""
+    """The rows of docs, all columns, of the document that stands for its component: the smallest doc_id (rows without one come last; of several texts with one
+    doc_id that of the smallest digest). Of a row that the table repeats whole, one is left."""
     judged = common.written(near_duplicates(docs, width, similarity), "judged")
-    rows = judged.groupBy("doc_id", "digest").agg(F.min("node").alias("node"), F.min("component").alias("component"), F.count("*").alias("n"))
-    first = (F.col("component") == F.col("node")) & (F.col("doc_id").eqNullSafe(F.col("node")) | F.col("doc_id").isNull())
-    gone = common.written(rows.where(~first).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")), "gone")
+    rows = judged.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
+    firsts = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("x"))
+    rows = common.written(rows.join(firsts, "component").withColumn("first", F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("digest") == F.col("x.digest"))).drop("x"), "rows")
+    gone = rows.where(~F.col("first")).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
     digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
     kept = docs.join(gone.hint("shuffle_merge"), (digest == F.col("_gone_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")
-    if rows.where(first & (F.col("n") > 1)).limit(1).count():
+    if rows.where("first AND n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
 

@@ -23,7 +23,7 @@ def rows(seed=0):
     out += [f"{sentence(rng, 30)} {passage} {sentence(rng, 30)}" for _ in range(5)]  # a shared passage
     out += [passage, passage[7:200], "line one two three\n" * 30, "x" * 3000, "ab" * 2000, "", " \n\t", "one", "one two", None, "é" * 60, "日本語テキスト " * 20]
     out.append(sentence(rng, 3000) + " " + base[4] + " " + passage)
-    texts = [(i * 3 + 1, t) for i, t in enumerate(out)]
+    texts = [(i * 3 + 1 + (i % 7 == 6) * (1 << 62) - (i % 11 == 9) * (1 << 40), t) for i, t in enumerate(out)]  # ids near the ends, too
     rng.shuffle(texts)
     texts += [texts[0], texts[0]]  # rows repeated whole
     texts += [(None, base[5]), (None, sentence(rng, 60)), (None, None), (texts[3][0], sentence(rng, 80))]  # no id; an id with two texts
