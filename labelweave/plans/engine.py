@@ -1,8 +1,8 @@
 """The fixed point of all rules over an environment: strata, and in each a semi-naive loop.
 
 S0 closures; S1 ground facts; S2 all rules; S3 k-anonymity from the quasi-identifiers found; S4 all rules again. Rules that take
-one fact to one fact (subclass, unconditional implication, propagation) join only the last round's new facts. Rules with conditions, or with
-several sources, are worked out anew only after a round that brought a label they look at. All candidates of a round meet one anti-join.
+one fact to one fact (subclass, unconditional implication, propagation) join only the last round's new facts, until nothing follows. Only then,
+and only if labels came that they look at, rules with conditions or several sources are worked out. All candidates of a round meet one anti-join.
 
 Facts are a set by (container, label, scope, framework). Of several derivations in a round the first by (rule, source) gives parameters and
 provenance; later rounds change nothing. Each round is written to the shared folder.
@@ -22,6 +22,8 @@ from labelweave.operators import rules as R
 from labelweave.plans.compile import Compiled, compile_rules
 from labelweave.storage import written
 
+#: Rows up to which an edge table goes to all executors; of pairs of names, some megabytes.
+BROADCAST_ROWS = 50_000
 NAMES = [x.split()[0] for x in E.ASSERTION.replace("map<string,string>", "map").split(", ")]
 
 
@@ -69,10 +71,12 @@ class Engine:
 
     def run(self) -> Result:
         env = self.env
-        self.contains = env.contains.distinct()
-        self.closure = closure.ancestors(self.contains)
-        self.avail = closure.available(env.availability, self.contains)
-        self.joinable = written(closure.symmetric(env.joinable))
+        self.contains = written(env.contains.distinct(), "edges")
+        ancestors = written(closure.ancestors(self.contains), "edges")
+        available = written(closure.available(env.availability, self.contains), "edges")
+        joinable = written(closure.symmetric(env.joinable), "edges")
+        self.contains, self.closure, self.avail, self.joinable = map(self._sent, (self.contains, ancestors, available, joinable))
+        self.edges = self._sent(self._edges())
         self.chain = closure.framework_chain(env.frameworks) if self.visibility == "chain" else None
         facts = self._fixpoint("S2", None, self._ground())
         k = written(kanon.k_anonymity(kanon.signatures(env.fields, self._quasi(facts))))
@@ -86,7 +90,23 @@ class Engine:
                 import warnings
 
                 warnings.warn(message, stacklevel=2)
-        return Result(env, facts, self.avail, self.closure, self.joinable, k, self.rounds, self.metrics)
+        return Result(env, facts, available, ancestors, joinable, k, self.rounds, self.metrics)
+
+    @staticmethod
+    def _sent(df: DataFrame) -> DataFrame:
+        """A written table, broadcast in joins if it has at most BROADCAST_ROWS rows; else Spark joins it by shuffle."""
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    def _edges(self) -> DataFrame:
+        """(direction, source, container) of the directions that rules use, but for peers."""
+        one = lambda df, d, a, b: df.select(F.lit(d).alias("direction"), F.col(a).alias("source"), F.col(b).alias("container"))
+        found = {"Inward": one(self.contains, "Inward", "parent", "child"), "Outward": one(self.contains, "Outward", "child", "parent"), "Joinable": one(self.joinable, "Joinable", "a", "b")}
+        used = {d for _, _, d in self.rules.propagations}
+        out = one(self.joinable.limit(0), "none", "a", "b")
+        for d, df in found.items():
+            if d in used:
+                out = out.unionByName(df)
+        return written(out, "edges")
 
     def _quasi(self, facts: DataFrame) -> DataFrame:
         return facts.where((F.col("label") == self.quasi[0]) & (F.col("framework") == self.quasi[1])).select("container", "scope").distinct()
@@ -115,34 +135,40 @@ class Engine:
 
     def _fixpoint(self, stratum: str, facts: DataFrame | None, seed: DataFrame) -> DataFrame:
         delta = self._new(seed, facts)
-        parts = [] if facts is None else [facts]
-        touched = True
+        touched, tables = True, [] if facts is None else [facts]
         for round_ in range(1, self.max_rounds + 1):
             began = time.perf_counter()
-            parts.append(delta)
-            facts = parts[0]
-            for p in parts[1:]:
-                facts = facts.unionByName(p)
-            found = self._linear(delta)
-            if touched:
-                found = found.unionByName(self._conditional(facts))
-            for rule in self.extra:
-                found = found.unionByName(self._shape(rule(facts, delta), "extra"))
-            delta = self._new(found, facts)
-            news = delta.groupBy("label", "derived_via").agg(F.count("*").alias("n")).collect()  # by rule and label: bounded by the vocabulary
+            if delta is not None:
+                tables.append(delta)
+            facts = tables[0]
+            for t in tables[1:]:
+                facts = facts.unionByName(t)
+            if delta is not None:  # what follows from the last round's facts alone
+                found = self._linear(delta)
+                for rule in self.extra:
+                    found = found.unionByName(self._shape(rule(facts, delta), "extra"))
+            else:  # nothing more does: conditions, if they may have changed
+                found, touched = self._conditional(facts), False
+            news, delta = self._news(found, facts)
             self.rounds += 1
             seconds = time.perf_counter() - began
             by_rule: dict[str, int] = {}
             for x in news:
                 by_rule[x["derived_via"]] = by_rule.get(x["derived_via"], 0) + x["n"]
             self.metrics += [(stratum, round_, via, n, seconds) for via, n in sorted(by_rule.items())]
-            if not news:
+            touched = touched or bool({x["label"] for x in news} & self.rules.looked_at)
+            if not news and not touched:
                 return written(facts, "facts")
-            touched = bool({x["label"] for x in news} & self.rules.looked_at)
-            if len(parts) >= 8:
-                parts = [written(facts, "facts")]
+            if not news:
+                delta = None
+            if len(tables) >= 8:
+                tables = [written(facts, "facts")]
         raise RuntimeError(f"no fixed point within {self.max_rounds} rounds")
 
+    def _news(self, found: DataFrame, facts: DataFrame) -> tuple[list, DataFrame]:
+        delta = self._new(found, facts)
+        return delta.groupBy("label", "derived_via").agg(F.count("*").alias("n")).collect(), delta  # by rule and label: bounded by the vocabulary
+
     def _new(self, found: DataFrame, facts: DataFrame | None) -> DataFrame:
         """Candidates made distinct (partial aggregation first), without known facts."""
         first = F.min_by(F.struct(*NAMES[4:]), F.struct(F.coalesce("derived_via", F.lit("")), F.coalesce("derived_from", F.lit(""))))
@@ -166,21 +192,25 @@ class Engine:
         moved = self._seen(delta, steps).select("container", F.col("target").alias("label"), "scope", "framework", "rule")
         out = self._shape(moved, "rule")
         moves = R.rule_table(spark, rules.propagations, "framework string, label string, direction string")
-        directions = {d for _, _, d in rules.propagations}
-        target = self.avail if self.check_target else None
-        if "Inward" in directions:
-            out = out.unionByName(self._shape(R.propagate_inward(delta, moves, self.contains, target), "Inward"))
-        if "Outward" in directions:
-            out = out.unionByName(self._shape(R.propagate_outward(delta, moves, self.contains, target), "Outward"))
-        if "Peer" in directions:
-            out = out.unionByName(self._shape(R.propagate_peer(delta, moves, self.contains, target), "Peer"))
-        if "Joinable" in directions:
-            out = out.unionByName(self._shape(R.propagate_joinable(delta, moves, self.joinable, self.avail), "Joinable"))
+        if rules.propagations:
+            moved = delta.join(moves, ["framework", "label"]).withColumnRenamed("container", "source")
+            gone = moved.join(self.edges, ["direction", "source"])
+            # peers: labels are made distinct at the parent, whose children get them
+            up = moved.where("direction = 'Peer'").join(self.contains.select(F.col("child").alias("source"), "parent"), "source")
+            up = up.groupBy("parent", "label", "scope", "framework").agg(F.min("source").alias("source"), F.min_by("params", "source").alias("params"))
+            down = up.join(self.contains.select("parent", F.col("child").alias("container")), "parent").withColumn("direction", F.lit("Peer"))
+            columns = [*E.KEY, "params", "source", "direction"]
+            gone = gone.select(*columns).unionByName(down.select(*columns))
+            if not self.check_target:  # joinable targets are checked always
+                free = gone.where("direction <> 'Joinable'")
+                out = out.unionByName(self._shape(free, "direction"))
+                gone = gone.where("direction = 'Joinable'")
+            out = out.unionByName(self._shape(gone.join(self.avail, ["container", "scope"], "left_semi"), "direction"))
         return out.unionByName(self._shape(R.parent_framework(delta, self.env.frameworks), "ParentFramework"))
 
     def _conditional(self, facts: DataFrame) -> DataFrame:
         spark, rules = self.env.spark, self.rules
-        out = self._shape(facts.limit(0), "none")
+        out = self._shape(facts.select(*E.KEY).limit(0), "none")
         if not (rules.conditional or rules.every or rules.bare):
             return out
         holds = None
