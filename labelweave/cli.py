@@ -9,7 +9,8 @@ from pathlib import Path
 from labelweave import sinks
 from labelweave.cache import infer_cached, remove
 from labelweave.env import Env
-from labelweave.plans import engine, ruletext
+from labelweave.operators import closure, query
+from labelweave.plans import engine, ruletext, sparql
 from labelweave.session import local_session
 from labelweave.sources import frameworks, graph, inputs, turtle
 
@@ -18,7 +19,9 @@ def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="python -m labelweave.cli", description=__doc__)
     p.add_argument("--frameworks", nargs="*", default=[], help="names of shipped frameworks, .toml files or folders, in order")
     p.add_argument("--data", nargs="*", default=[], help=".ttl files (frameworks in them are read too), .json environments or folders of Parquet tables")
-    p.add_argument("--query", nargs="*", default=[], help="SQL files over the views assertions, containers, contains, ...")
+    p.add_argument("--query", nargs="*", default=[], help="SQL files over the views assertions, containers, contains, ...; .rq files are SPARQL over the result's triples")
+    p.add_argument("--construct", nargs="*", default=[], help="SPARQL CONSTRUCT files, run on the result's triples until nothing changes")
+    p.add_argument("--upsert", nargs="*", default=[], help="SPARQL INSERT and DELETE files, run after the constructs of each round")
     p.add_argument("--rules", nargs="*", default=[], help="rule texts, run over the triples of the result")
     p.add_argument("--export", help="folder for the result's triples")
     p.add_argument("--max-rounds", type=int, default=1000)
@@ -75,16 +78,20 @@ def main(argv: list[str] | None = None) -> int:
             print(sinks.render(result.metrics_table(), sort=True))
         if args.display:
             print(sinks.forest(result) if args.display_mode == "forest" else sinks.render(assertions.select("scope", "container", "framework", "label"), args.display_mode, args.sort))
-    for path in args.query:
-        print(sinks.render(spark.sql(Path(path).read_text()), args.display_mode if args.display_mode != "forest" else "table", args.sort))
-    if args.export or args.rules:
-        from labelweave.operators import closure, query
-
+    mode = args.display_mode if args.display_mode != "forest" else "table"
+    sparql_files = [q for q in args.query if q.endswith(".rq")]
+    triples = None
+    if args.export or args.rules or args.construct or args.upsert or sparql_files:
         triples = query.triples(assertions, env.contains, closure.symmetric(env.joinable), closure.available(env.availability, env.contains))
         if args.rules:
             triples = ruletext.run_rules([r for p in args.rules for r in ruletext.read_rules(p)], triples.selectExpr("s", "p", "o", "'iri' AS kind"))[0]
-        if args.export:
-            sinks.export_triples(triples, args.export)
+        if args.construct or args.upsert:
+            triples = sparql.saturate([Path(p).read_text() for p in args.construct], triples, [Path(p).read_text() for p in args.upsert])[0]
+    for path in args.query:
+        text = Path(path).read_text()
+        print(sinks.render(sparql.query(text, triples) if path in sparql_files else spark.sql(text), mode, args.sort))
+    if args.export:
+        sinks.export_triples(triples, args.export)
     return 0
 
 

@@ -53,6 +53,16 @@ def in_scope(avail: DataFrame, scope: str) -> DataFrame:
     return avail.where(F.col("scope") == scope).select("container").distinct()
 
 
+def is_joinable(joinable: DataFrame, a: str, b: str) -> bool:
+    """Either way round."""
+    return not joinable.where(((F.col("a") == a) & (F.col("b") == b)) | ((F.col("a") == b) & (F.col("b") == a))).limit(1).isEmpty()
+
+
+def parameter_index(facts: DataFrame) -> DataFrame:
+    """(container, scope, label, param, value) of all facts' parameters."""
+    return facts.select("container", "scope", "label", F.explode("params").alias("param", "value")).distinct()
+
+
 def children(contains: DataFrame) -> DataFrame:
     """(parent, child) in order of child within parent: one row an edge, not a list that grows with the parent."""
     return contains.distinct().repartition("parent").sortWithinPartitions("parent", "child")

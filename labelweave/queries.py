@@ -11,7 +11,7 @@ from labelweave import env as E
 from labelweave.functions import builtins, text
 from labelweave.operators import closure, conditions, kanon, query
 from labelweave.operators import rules as R
-from labelweave.plans import engine, ruletext
+from labelweave.plans import engine, ruletext, sparql
 from labelweave.plans.compile import expand_equivalence
 from labelweave.sources import warehouse as W
 
@@ -287,7 +287,7 @@ _SIZE = E.Operand("Sized", "size")
 for _name, _op, _sql in (("lt", "<", "<"), ("le", "<=", "<="), ("gt", ">", ">"), ("ge", ">=", ">="), ("eq", "==", "="), ("ne", "!=", "<>")):
     over(f"cond_comparison_{_name}", f"SELECT container, scope FROM sized WHERE n {_sql} 59", lambda w, op=_op: w.holds(E.Compare(_SIZE, op, E.Operand(literal=59))))
 over("cond_in_range", "SELECT container, scope FROM sized WHERE n BETWEEN 55 AND 65", lambda w: w.holds(E.Compare(_SIZE, "inRange", E.Operand(literal=55), E.Operand(literal=65))))
-over("cond_default_threshold", "SELECT v.container, v.scope FROM avail v LEFT JOIN sized s ON s.container = v.container AND s.scope = v.scope WHERE coalesce(s.n, 3) < 60", lambda w: w.holds(E.Compare(E.Operand("Sized", "size", default=3), "<", E.Operand(literal=59))))
+over("cond_default_threshold", "SELECT v.container, v.scope FROM avail v LEFT JOIN sized s ON s.container = v.container AND s.scope = v.scope WHERE coalesce(s.n, 3) < 59", lambda w: w.holds(E.Compare(E.Operand("Sized", "size", default=3), "<", E.Operand(literal=59))))
 _DEBT_CHILD = "SELECT DISTINCT parent AS container, scope FROM has JOIN contains ON child = container WHERE label = 'Debt'"
 over("cond_and", f"SELECT container, scope FROM has WHERE label = 'Trade' INTERSECT {_DEBT_CHILD}", lambda w: w.holds(E.All((E.Has("Trade"), E.Related("Debt", "Child")))))
 over("cond_or", f"SELECT container, scope FROM has WHERE label = 'Trade' UNION {_DEBT_CHILD}", lambda w: w.holds(E.Any((E.Has("Trade"), E.Related("Debt", "Child")))))
@@ -331,6 +331,11 @@ over(
 
 # --- lookups and reports
 
+
+def _sparql_triples(w: World) -> DataFrame:
+    return w.contains.select(F.col("parent").alias("s"), F.lit("contains").alias("p"), F.col("child").alias("o")).unionByName(w.env.tags.select(F.col("container").alias("s"), F.lit("label").alias("p"), F.col("label").alias("o")))
+
+
 over("query_by_filter", f"SELECT {KEY} FROM a0 WHERE label = 'Debt' AND scope = 'ALL' AND framework = 'strict'", lambda w: query.query_assertions(w.a0, label="Debt", scope="ALL", framework="strict"))
 over("labels_for_container", "SELECT container, scope, framework, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM a0 GROUP BY 1, 2, 3", lambda w: query.labels_for_container(w.a0).withColumn("labels", F.array_join("labels", ",")))
 over("compare_frameworks", "SELECT container, scope, label, bool_or(framework = 'base') AS base, bool_or(framework = 'strict') AS strict FROM a0 WHERE framework IN ('base', 'strict') GROUP BY 1, 2, 3", lambda w: query.compare_frameworks(w.a0, ["base", "strict"]))
@@ -343,6 +348,19 @@ over(
     "union_report", "SELECT 'debt' AS part, container, scope FROM has WHERE label = 'Debt' UNION ALL SELECT 'risk', container, scope FROM has WHERE label = 'Risky' UNION ALL SELECT 'trade', container, scope FROM has WHERE label = 'Trade'",
     lambda w: w.has.where("label = 'Debt'").select(F.lit("debt").alias("part"), "container", "scope").unionByName(w.has.where("label = 'Risky'").select(F.lit("risk").alias("part"), "container", "scope")).unionByName(w.has.where("label = 'Trade'").select(F.lit("trade").alias("part"), "container", "scope")),
 )
+over("parameter_index", "SELECT container, scope, 'Sized' AS label, 'size' AS param, n::VARCHAR AS value FROM sized", lambda w: query.parameter_index(w.facts))
+over(
+    "sparql_report", "SELECT s AS parent, count(*)::VARCHAR AS n FROM (SELECT parent AS s, child FROM contains JOIN tags ON tags.container = child AND label = 'Debt') GROUP BY 1 HAVING count(*) > 1",
+    lambda w: sparql.query("SELECT ?parent (COUNT(DISTINCT ?c) AS ?n) WHERE { ?parent <contains> ?c . ?c <label> 'Debt' } GROUP BY ?parent HAVING (COUNT(?c) > 1)", _sparql_triples(w)),
+)
+over(
+    "sparql_optional", "SELECT e.child AS c, t.label AS l FROM contains e LEFT JOIN tags t ON t.container = e.child AND t.label = 'Risky' WHERE e.child LIKE 'S%'",
+    lambda w: sparql.query("SELECT ?c ?l WHERE { ?p <contains> ?c . FILTER(STRSTARTS(?c, 'S')) OPTIONAL { ?c <label> ?l . FILTER(?l = 'Risky') } }", _sparql_triples(w)),
+)
+over(
+    "sparql_not_exists", "SELECT DISTINCT parent AS p FROM contains e WHERE parent LIKE 'N%' AND NOT EXISTS (SELECT 1 FROM tags t WHERE t.container = e.parent)",
+    lambda w: sparql.query("SELECT DISTINCT ?p WHERE { ?p <contains> ?c . FILTER(STRSTARTS(?p, 'N')) FILTER NOT EXISTS { ?p <label> ?l } }", _sparql_triples(w)),
+)
 over("counts_by_label", "SELECT label, framework, count(*) AS n, count(DISTINCT container) AS containers FROM a0 GROUP BY 1, 2", lambda w: w.a0.groupBy("label", "framework").agg(F.count("*").alias("n"), F.count_distinct("container").alias("containers")))
 over("cross_of_values", "SELECT s, f FROM (VALUES ('ALL'), ('G1')) a(s), (VALUES ('base'), ('strict')) b(f)", lambda w: w.table([("ALL",), ("G1",)], "s string").crossJoin(w.table([("base",), ("strict",)], "f string")))
 over("topk_diff", f"SELECT {KEY} FROM a0 WHERE label = 'Risky' OR label = 'Debt' ORDER BY ALL LIMIT 20", lambda w: query.top_new(w.a0.select(*E.KEY), w.a0.where("label NOT IN ('Risky', 'Debt')").select(*E.KEY)))
