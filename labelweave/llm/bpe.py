@@ -118,7 +118,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, with_ids: bool
                 columns, names = [*columns, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return common.with_key(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return common.arrow(common.with_key(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def decode_documents(encoded: DataFrame, ranks: bytes) -> DataFrame:
@@ -131,7 +131,7 @@ def decode_documents(encoded: DataFrame, ranks: bytes) -> DataFrame:
             out = [b"".join(map(table.__getitem__, ids or ())) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return common.arrow(encoded.select(F.col("doc_id").cast("long"), "ids"), run, "doc_id long, bytes binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

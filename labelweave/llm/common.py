@@ -1,13 +1,12 @@
 """What several operators share: byte and word views of Arrow text columns, polynomial hashes, blobs and written tables.
 
-Texts reach Python as Arrow batches and are worked on in slices of half a megabyte, so that memory does not follow
+Texts reach Python as Arrow batches and are worked on in slices of a quarter megabyte, so that memory does not follow
 the size of a partition.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelweave.session import ship_package
+from labelweave.storage import shared_dir, written  # noqa: F401
 
 #: Bytes of text that are turned into numpy arrays at once (a longer document makes a slice of its own).
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: Stands for a missing doc_id in comparisons: greater than any id, so such a row is never the first of its group.
 NO_ID = (1 << 63) - 1
 
@@ -34,26 +34,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.getCheckpointDir():
-            found = spark.sparkContext.getCheckpointDir()
-        else:
-            found = "file://" + tempfile.mkdtemp(prefix="labelweave-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, what: str = "table") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage and survives the loss of an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def buckets(spark: SparkSession) -> int:
     return max(1, min(1 << 16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
@@ -169,15 +149,43 @@ def intervals(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.nda
     return a[first], b[np.append(first[1:], len(a)) - 1]
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """fn over each Arrow batch; it returns one batch."""
+_LEAN: list = []
+
+
+def _lean() -> None:
+    """In a worker, once: large arrays straight from the system, and back to it when freed. Workers are kept between tasks, and several
+    share an executor's memory."""
+    if _LEAN:
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 19)  # M_MMAP_THRESHOLD, no longer raised by what was freed
+        _LEAN.append(libc)
+    except (OSError, AttributeError):  # another C library
+        _LEAN.append(None)
+
+
+def _trim() -> None:
+    _POWERS.clear()
+    if _LEAN and _LEAN[0]:
+        _LEAN[0].malloc_trim(0)
+
+
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, in workers that give memory back."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
+        yield from run(batches)
+        _trim()
+
+    return df.mapInArrow(lean, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """fn over each Arrow batch that has rows."""
+    return arrow(df, lambda batches: (fn(b) for b in batches if b.num_rows), schema)
 
 
 def with_key(docs: DataFrame, text: str = "text") -> DataFrame:

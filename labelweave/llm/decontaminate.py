@@ -165,7 +165,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, prefix: str = "", span: int = SP
 
     for k, table in enumerate(held):
         schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, kinds))])
-        out = out.mapInArrow(one(table, not k, list(docs.columns)), schema)
+        out = common.arrow(out, one(table, not k, list(docs.columns)), schema)
     hit = F.aggregate(F.zip_with(names[2], names[1], lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     out = out.withColumn(f"{prefix}n_hit", hit).withColumn(f"{prefix}n_items", F.size(names[3]).cast("long"))
     out = out.withColumn(f"{prefix}items_sha256", F.sha2(F.array_join(F.array_sort(F.transform(names[3], lambda x: x.cast("string"))), ","), 256))

@@ -187,7 +187,7 @@ def packed(docs: DataFrame, n: int, kind: int = 9) -> DataFrame:
 
         return rows(all_of(), most=4)
 
-    return docs.mapInArrow(run, BLOBS)
+    return common.arrow(docs, run, BLOBS)
 
 
 def at_documents(replies: DataFrame, packs: DataFrame, n: int, fn: Callable, schema: str) -> DataFrame:
@@ -210,7 +210,7 @@ def at_documents(replies: DataFrame, packs: DataFrame, n: int, fn: Callable, sch
         return fn(stream())
 
     both = replies.select("dest", "kind", "payload").unionByName(packs)
-    return both.repartition(n, "dest").sortWithinPartitions("dest", "kind").mapInArrow(run, schema)
+    return common.arrow(both.repartition(n, "dest").sortWithinPartitions("dest", "kind"), run, schema)
 
 
 def in_buckets(blobs: DataFrame, n: int, fn: Callable[[list[bytes]], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
@@ -231,7 +231,7 @@ def in_buckets(blobs: DataFrame, n: int, fn: Callable[[list[bytes]], Iterator[tu
 
         return rows(all_of())
 
-    return blobs.select("dest", "payload").repartition(n, "dest").sortWithinPartitions("dest").mapInArrow(run, BLOBS)
+    return common.arrow(blobs.select("dest", "payload").repartition(n, "dest").sortWithinPartitions("dest"), run, BLOBS)
 
 
 class ByDocument:

@@ -326,7 +326,7 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int
     """Blobs (kind 0) of the byte ranges to remove, by document; and the number of destinations."""
     n = common.buckets(docs.sparkSession)
     rows = flows.texts(docs)
-    first = common.written(rows.mapInArrow(lambda b: flows.rows(contexts(b, n, window, gram)), flows.BLOBS), "contexts")
+    first = common.written(common.arrow(rows, lambda b: flows.rows(contexts(b, n, window, gram)), flows.BLOBS), "contexts")
     asked = common.written(flows.in_buckets(first.where("kind = 1"), n, lambda x: compare_contexts(x, n, window, crowd)), "asked")
     fetched = flows.at_documents(asked.where("kind = 3"), flows.packed(rows, n), n, lambda s: flows.rows(fetch(s, n, window)), flows.BLOBS)
     sorted_ = flows.in_buckets(fetched, n, lambda x: sort_suffixes(x, n, window))

@@ -143,7 +143,7 @@ def similar_fingerprints(distinct: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(fps[more]), pa.array(fps[labels[more]])], names=["u", "v"])
 
     ring = distinct.select(F.explode(F.array(*(segment(k).cast("long") for k in range(SEGMENTS)))).alias("key"), "fp")
-    return ring.repartition(n, "key").sortWithinPartitions("key").select("key", "fp", "fp").mapInArrow(run, "u long, v long").distinct()
+    return common.arrow(ring.repartition(n, "key").sortWithinPartitions("key").select("key", "fp", "fp"), run, "u long, v long").distinct()
 
 
 def _groups(batches):
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    candidates = members.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
+    candidates = common.arrow(members.repartition(n, "key").sortWithinPartitions("key"), compare, "u long, v long")
     candidates = common.written(candidates.distinct(), "candidates")
     asked = candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()
     asked = ring.join(asked, "node").select("digest", "node")

@@ -111,7 +111,7 @@ def judge_urls(
             kinds = [pa.string()] * 4 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[key, "host", "path", "rule", "verdict", "n_strict", "n_soft"])
 
-    return df.select(F.col(key).cast("long"), F.col(url).cast("string")).mapInArrow(run, f"{key} long, {SCHEMA}")
+    return common.arrow(df.select(F.col(key).cast("long"), F.col(url).cast("string")), run, f"{key} long, {SCHEMA}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

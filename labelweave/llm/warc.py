@@ -133,7 +133,7 @@ def write_archive(pages: DataFrame, path: str, chunk: int = CHUNK, min_revisit:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["record"])
 
-    out = chunk_table(pages, chunk, min_revisit).mapInArrow(run, "record binary")
+    out = common.arrow(chunk_table(pages, chunk, min_revisit), run, "record binary")
     out.select(F.col("record").cast("string")).write.option("compression", "gzip").option("lineSep", END).text(path)
 
 
@@ -198,7 +198,7 @@ def read_archive(spark: SparkSession, path: str, in_order: bool = True) -> DataF
             columns = list(zip(*found)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return raw.mapInArrow(run, RESULT)
+    return common.arrow(raw, run, RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
