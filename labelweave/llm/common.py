@@ -7,6 +7,7 @@ the size of a partition.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +35,15 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """written(), and the driver's garbage collected: the shuffle files behind the table go then, not whenever the driver happens to collect."""
+    out = written(df, what)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def buckets(spark: SparkSession) -> int:
     return max(1, min(1 << 16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 

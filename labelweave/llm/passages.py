@@ -150,9 +150,9 @@ def removed(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame,
     """Blobs of the word ranges to remove, by document, and the documents' packs."""
     n, window = common.buckets(docs.sparkSession), 2 * block
     rows = flows.texts(docs)
-    asked = flows.in_buckets(common.arrow(rows, lambda b: flows.rows(probes(b, n, block)), flows.BLOBS), n, lambda x: hits(x, n, block))
+    asked = common.settled(flows.in_buckets(common.arrow(rows, lambda b: flows.rows(probes(b, n, block)), flows.BLOBS), n, lambda x: hits(x, n, block)), "hits")
     packs = flows.packed(rows, n)
-    found = common.written(flows.at_documents(asked, packs, n, lambda s: flows.rows(extend(s, n, block, window)), flows.BLOBS), "windows")
+    found = common.settled(flows.at_documents(asked, packs, n, lambda s: flows.rows(extend(s, n, block, window)), flows.BLOBS), "windows")
     decided = flows.in_buckets(found.where("kind = 2"), n, lambda x: decide(x, n, window))
     return found.where("kind = 0").unionByName(decided), packs, n
 
