@@ -96,14 +96,14 @@ _PROPAGATIONS = sorted({(r.framework, l, r.direction) for r in W.PROPAGATIONS fo
 PRE = f"""WITH RECURSIVE contains(parent, child) AS (
   SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation UNION SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer
   UNION SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier UNION SELECT 'C' || o_custkey, 'O' || o_orderkey FROM orders),
-expl(container, scope) AS (SELECT 'R' || r_regionkey, 'G' || r_regionkey FROM region UNION SELECT 'N' || n_nationkey, 'ALL' FROM nation WHERE n_nationkey % 5 = 0),
+expl(container, scope) AS (SELECT 'R' || r_regionkey, 'G' || r_regionkey FROM region UNION SELECT 'N' || n_nationkey, 'ALL' FROM nation WHERE n_regionkey = 2),
 avail(container, scope) AS (SELECT * FROM expl UNION SELECT c.child, a.scope FROM avail a JOIN contains c ON c.parent = a.container),
 anc(ancestor, descendant) AS (SELECT * FROM contains UNION SELECT a.ancestor, c.child FROM anc a JOIN contains c ON c.parent = a.descendant),
 j1(a, b) AS (SELECT 'S' || m, 'S' || s_suppkey FROM supplier JOIN (SELECT s_nationkey AS k, min(s_suppkey) AS m FROM supplier GROUP BY 1) ON k = s_nationkey WHERE s_suppkey <> m),
 joinable(a, b) AS (SELECT a, b FROM j1 UNION SELECT b, a FROM j1),
 tags(container, label) AS (SELECT 'C' || c_custkey, 'Seg_' || c_mktsegment FROM customer UNION SELECT 'C' || c_custkey, 'Debt' FROM customer WHERE c_acctbal < 0
   UNION SELECT 'O' || o_orderkey, 'Status_' || o_orderstatus FROM orders UNION SELECT 'S' || s_suppkey, 'Risky' FROM supplier WHERE s_acctbal < 0
-  UNION SELECT 'N' || n_nationkey, 'Trade' FROM nation WHERE n_nationkey % 2 = 0),
+  UNION SELECT 'N' || n_nationkey, 'Trade' FROM nation WHERE n_regionkey <> 1),
 labels(label, introduced_by) AS (VALUES {values(W.LABELS)}),
 facets(label, facet) AS (VALUES {values(W.FACETS)}),
 prules(framework, label, direction) AS (VALUES {values(_PROPAGATIONS)}),
@@ -142,7 +142,6 @@ over(
     "field_tags", "SELECT DISTINCT tbl AS container, 'Trade' AS label, scope, f AS framework, record || '.' || name AS on_field FROM cells JOIN avail ON container = tbl, (VALUES ('base'), ('strict')) x(f) WHERE name = 'band' AND value = '0'",
     lambda w: R.field_tags(w.env.fields.where("name = 'band' AND value = '0'").select(F.col("field").alias("container"), F.lit("Trade").alias("label")), w.env.fields, w.env.labels, w.avail),
 )
-over("siblings_of", "SELECT DISTINCT x.child AS container, y.child AS sibling FROM contains x JOIN contains y ON x.parent = y.parent AND x.child <> y.child WHERE x.child LIKE 'N%'", lambda w: closure.siblings(w.contains.where("child LIKE 'N%'")))
 register(
     "framework_chain", f"WITH RECURSIVE f(framework, extends, s, t) AS (VALUES {values(W.FRAMEWORKS)}), c(framework, ancestor) AS (SELECT framework, framework FROM f UNION SELECT c.framework, f.extends FROM c JOIN f ON f.framework = c.ancestor WHERE f.extends IS NOT NULL) SELECT framework, ancestor FROM c",
     lambda w: closure.framework_chain(w.env.frameworks),
@@ -342,7 +341,7 @@ over("compare_frameworks", "SELECT container, scope, label, bool_or(framework =
 over("differing_labels", "SELECT container, scope, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM (SELECT container, scope, label FROM a0 WHERE framework IN ('base', 'strict') GROUP BY 1, 2, 3 HAVING count(DISTINCT framework) < 2) GROUP BY 1, 2", lambda w: query.differing_labels(w.a0, ["base", "strict"]).withColumn("labels", F.array_join("labels", ",")))
 over("assertions_with_label", "SELECT DISTINCT container FROM a0 WHERE label = 'Trade' AND scope = 'ALL' AND framework IN ('deep', 'strict', 'base')", lambda w: query.with_label(w.a0, "Trade", "ALL", "deep", closure.framework_chain(w.env.frameworks)))
 over("containers_in_scope", "SELECT DISTINCT container FROM avail WHERE scope = 'ALL'", lambda w: query.in_scope(w.avail, "ALL"))
-over("container_children", "SELECT parent, child FROM contains WHERE parent LIKE 'N%'", lambda w: query.children(w.contains.where("parent LIKE 'N%'")))
+over("container_children", "SELECT parent, child FROM contains", lambda w: query.children(w.contains))
 over("control_status", f"SELECT DISTINCT {KEY} FROM a0 JOIN facets USING (label) WHERE facet = 'Control'", lambda w: query.in_facet(w.a0, w.env.label_facets, "Control").select(*E.KEY).distinct())
 over(
     "union_report", "SELECT 'debt' AS part, container, scope FROM has WHERE label = 'Debt' UNION ALL SELECT 'risk', container, scope FROM has WHERE label = 'Risky' UNION ALL SELECT 'trade', container, scope FROM has WHERE label = 'Trade'",
@@ -354,12 +353,12 @@ over(
     lambda w: sparql.query("SELECT ?parent (COUNT(DISTINCT ?c) AS ?n) WHERE { ?parent <contains> ?c . ?c <label> 'Debt' } GROUP BY ?parent HAVING (COUNT(?c) > 1)", _sparql_triples(w)),
 )
 over(
-    "sparql_optional", "SELECT e.child AS c, t.label AS l FROM contains e LEFT JOIN tags t ON t.container = e.child AND t.label = 'Risky' WHERE e.child LIKE 'S%'",
-    lambda w: sparql.query("SELECT ?c ?l WHERE { ?p <contains> ?c . FILTER(STRSTARTS(?c, 'S')) OPTIONAL { ?c <label> ?l . FILTER(?l = 'Risky') } }", _sparql_triples(w)),
+    "sparql_optional", "SELECT e.child AS c, t.label AS l FROM contains e LEFT JOIN tags t ON t.container = e.child AND t.label = 'Risky'",
+    lambda w: sparql.query("SELECT ?c ?l WHERE { ?p <contains> ?c . OPTIONAL { ?c <label> ?l . FILTER(?l = 'Risky') } }", _sparql_triples(w)),
 )
 over(
-    "sparql_not_exists", "SELECT DISTINCT parent AS p FROM contains e WHERE parent LIKE 'N%' AND NOT EXISTS (SELECT 1 FROM tags t WHERE t.container = e.parent)",
-    lambda w: sparql.query("SELECT DISTINCT ?p WHERE { ?p <contains> ?c . FILTER(STRSTARTS(?p, 'N')) FILTER NOT EXISTS { ?p <label> ?l } }", _sparql_triples(w)),
+    "sparql_not_exists", "SELECT DISTINCT parent AS p FROM contains e WHERE NOT EXISTS (SELECT 1 FROM tags t WHERE t.container = e.parent)",
+    lambda w: sparql.query("SELECT DISTINCT ?p WHERE { ?p <contains> ?c . FILTER NOT EXISTS { ?p <label> ?l } }", _sparql_triples(w)),
 )
 over("counts_by_label", "SELECT label, framework, count(*) AS n, count(DISTINCT container) AS containers FROM a0 GROUP BY 1, 2", lambda w: w.a0.groupBy("label", "framework").agg(F.count("*").alias("n"), F.count_distinct("container").alias("containers")))
 over("cross_of_values", "SELECT s, f FROM (VALUES ('ALL'), ('G1')) a(s), (VALUES ('base'), ('strict')) b(f)", lambda w: w.table([("ALL",), ("G1",)], "s string").crossJoin(w.table([("base",), ("strict",)], "f string")))
@@ -454,11 +453,10 @@ _RULE_TEXT = """
 
 def _rule_triples(w: World) -> DataFrame:
     edge = lambda df, a, p, b: df.select(F.col(a).alias("s"), F.lit(p).alias("p"), F.col(b).alias("o"), F.lit("iri").alias("kind"))
-    few = w.contains.where("child NOT LIKE 'O%'")
-    return edge(few, "parent", "contains", "child").unionByName(edge(w.env.availability, "container", "availableInScope", "scope")).unionByName(edge(w.env.joinable, "a", "joinableWith", "b"))
+    return edge(w.contains, "parent", "contains", "child").unionByName(edge(w.env.availability, "container", "availableInScope", "scope")).unionByName(edge(w.env.joinable, "a", "joinableWith", "b"))
 
 
-over("rule_text_fixpoint", "SELECT container AS s, 'availableInScope' AS p, scope AS o FROM avail WHERE container NOT LIKE 'O%' UNION ALL SELECT a, 'joinableWith', b FROM joinable UNION ALL SELECT parent, 'contains', child FROM contains WHERE child NOT LIKE 'O%'", lambda w: ruletext.run_rules(ruletext.parse_rules(_RULE_TEXT), _rule_triples(w))[0].select("s", "p", "o"))
+over("rule_text_fixpoint", "SELECT container AS s, 'availableInScope' AS p, scope AS o FROM avail UNION ALL SELECT a, 'joinableWith', b FROM joinable UNION ALL SELECT parent, 'contains', child FROM contains", lambda w: ruletext.run_rules(ruletext.parse_rules(_RULE_TEXT), _rule_triples(w))[0].select("s", "p", "o"))
 
 
 def queries() -> dict[str, Query]:

@@ -52,7 +52,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         customer.where("c_acctbal < 0").select(_id("C", "c_custkey").alias("container"), F.lit("Debt").alias("label")),
         orders.select(_id("O", "o_orderkey").alias("container"), F.concat(F.lit("Status_"), "o_orderstatus").alias("label")),
         supplier.where("s_acctbal < 0").select(_id("S", "s_suppkey").alias("container"), F.lit("Risky").alias("label")),
-        nation.where("n_nationkey % 2 = 0").select(_id("N", "n_nationkey").alias("container"), F.lit("Trade").alias("label")),
+        nation.where("n_regionkey <> 1").select(_id("N", "n_nationkey").alias("container"), F.lit("Trade").alias("label")),
     ]
     first = supplier.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("first"))
     joined = supplier.join(F.broadcast(first), "s_nationkey").where("s_suppkey <> first")  # a row per nation
@@ -65,7 +65,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "containers": union(named),
         "contains": union(pairs),
         "availability": region.select(_id("R", "r_regionkey").alias("container"), _id("G", "r_regionkey").alias("scope")).unionByName(
-            nation.where("n_nationkey % 5 = 0").select(_id("N", "n_nationkey").alias("container"), F.lit("ALL").alias("scope"))
+            nation.where("n_regionkey = 2").select(_id("N", "n_nationkey").alias("container"), F.lit("ALL").alias("scope"))
         ),
         "joinable": joined.select(_id("S", "first").alias("a"), _id("S", "s_suppkey").alias("b")),
         "tags": union(tagged),

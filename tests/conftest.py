@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from labelweave.session import local_session
 
-    session = local_session(4, partitions=4, memory="3g", name="tests")
+    session = local_session(4, partitions=2, memory="3g", name="tests")
     session.sparkContext.setLogLevel("ERROR")
     return session
 

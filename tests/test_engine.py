@@ -10,6 +10,14 @@ from labelweave.plans.compile import chains, compile_rules, inherited, topologic
 from labelweave.plans.engine import Engine, infer
 
 
+@pytest.fixture(autouse=True, scope="module")
+def interpreted(spark):
+    """Hundreds of small plans: compiling each takes longer than running it."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+
+
 def random_world(seed):
     rng = random.Random(seed)
     n = 12
