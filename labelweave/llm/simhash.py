@@ -33,6 +33,8 @@ SHINGLE, BITS, SEGMENTS, SEED = 3, 3, 4, 42
 WORDS, SIMILARITY, RING, RING_BUDGET = 5, 0.8, 32, 12
 #: Segments that may differ from a bucket's leader so that a member needs no other leader there.
 CLOSE = 6
+#: Members from which on a bucket's leaders are chosen, not just taken in order.
+CROWD = 16
 PAIRS = 1 << 22
 
 
@@ -191,13 +193,18 @@ def ring_signature(hashes: np.ndarray, segments: int = RING) -> np.ndarray:
 
 
 def ring_pairs(nodes: np.ndarray, signatures: np.ndarray, budget: int = RING_BUDGET, close: int = CLOSE) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate links (larger node, smaller node) in a bucket, by leaders: the smallest node is compared with all
-    others, and those not close to it are compared with the next leader. The signatures begin at the bucket's segment."""
+    """Candidate links (member, leader) in a bucket. A leader is compared with all others; those not close to it are compared with the
+    next one. In a crowd the leader is the member that agrees with most of the medians of all segments, its centre if it has one, so
+    that a large group of near copies needs one leader, and much the same one in each bucket. The signatures begin at the bucket's segment."""
     m = signatures.shape[1]
     allowed = np.arange(1, m + 1) * budget // m
     left, right, rest = [], [], np.argsort(nodes, kind="stable")
     while len(rest) > 1:
-        leader, rest = rest[0], rest[1:]
+        at = 0
+        if len(rest) > CROWD:
+            crowd = signatures[rest]
+            at = int((crowd == np.partition(crowd, len(rest) // 2, axis=0)[len(rest) // 2]).sum(axis=1).argmax())
+        leader, rest = rest[at], np.delete(rest, at)
         differ = np.cumsum(signatures[rest] != signatures[leader], axis=1, dtype=np.int16)
         near = differ[:, -1] <= close
         hit = rest[near | (differ <= allowed).all(axis=1)]  # a pair within budget keeps to it from some segment on
@@ -252,7 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     candidates = common.arrow(members.repartition(n, "key").sortWithinPartitions("key"), compare, "u long, v long")
-    candidates = common.written(candidates.distinct(), "candidates")
+    candidates = common.settled(candidates.distinct(), "candidates")
     asked = candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()
     asked = ring.join(asked, "node").select("digest", "node")
 
@@ -261,7 +268,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
 
     # one text of each digest: any of its rows will do. The join is a shuffle at every size: ids grow with the texts
     texts = docs.join(asked.hint("shuffle_merge"), "digest").select("node", "text")
-    sets = common.written(common.map_arrow(texts, shingle_sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = common.settled(common.map_arrow(texts, shingle_sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     def verify(batch):
         u, v, a, b = (c.to_pylist() for c in batch.columns)
