@@ -170,7 +170,8 @@ def _lean() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 19)  # M_MMAP_THRESHOLD, no longer raised by what was freed
+        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD, no longer raised by what was freed; smaller arrays are reused without new pages
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD: within a task; _trim gives back the rest
         _LEAN.append(libc)
     except (OSError, AttributeError):  # another C library
         _LEAN.append(None)
