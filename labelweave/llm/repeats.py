@@ -329,7 +329,7 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int
     first = common.written(common.arrow(rows, lambda b: flows.rows(contexts(b, n, window, gram)), flows.BLOBS), "contexts")
     asked = common.settled(flows.in_buckets(first.where("kind = 1"), n, lambda x: compare_contexts(x, n, window, crowd)), "asked")
     fetched = flows.at_documents(asked.where("kind = 3"), flows.packed(rows, n), n, lambda s: flows.rows(fetch(s, n, window)), flows.BLOBS)
-    sorted_ = flows.in_buckets(fetched, n, lambda x: sort_suffixes(x, n, window))
+    sorted_ = common.settled(flows.in_buckets(fetched, n, lambda x: sort_suffixes(x, n, window)), "sorted")
     return first.where("kind = 0").unionByName(asked.where("kind = 0")).unionByName(sorted_), n
 
 
