@@ -31,7 +31,7 @@ from labelweave.llm.components import components
 SHINGLE, BITS, SEGMENTS, SEED = 3, 3, 4, 42
 #: near_duplicates: shingle words, similarity, segments, and how many segments may differ in a candidate.
 WORDS, SIMILARITY, RING, RING_BUDGET = 5, 0.8, 32, 12
-#: Segments that may differ from a bucket's leader so that a member needs no other leader there.
+#: Segments that may differ from a bucket's leader so that a member needs no other leader there, at first.
 CLOSE = 6
 #: Members from which on a bucket's leaders are chosen, not just taken in order.
 CROWD = 16
@@ -192,13 +192,15 @@ def ring_signature(hashes: np.ndarray, segments: int = RING) -> np.ndarray:
     return (common.mix(out) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def ring_pairs(nodes: np.ndarray, signatures: np.ndarray, budget: int = RING_BUDGET, close: int = CLOSE) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate links (member, leader) in a bucket. A leader is compared with all others; those not close to it are compared with the
+def ring_pairs(nodes: np.ndarray, signatures: np.ndarray, budget: int = RING_BUDGET, close: int = CLOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First candidate links (member, leader) in a bucket. A leader is compared with all others; those not close to it are compared with the
     next one. In a crowd the leader is the member that agrees with most of the medians of all segments, its centre if it has one, so
-    that a large group of near copies needs one leader, and much the same one in each bucket. The signatures begin at the bucket's segment."""
+    that a large group of near copies needs one leader, and much the same one in each bucket. The signatures begin at the bucket's segment.
+    Third, the members among which pairs are left uncompared (none, if no member was close to a leader before its turn): once the first
+    links are verified, `ring_rest` finds what those pairs can still link."""
     m = signatures.shape[1]
     allowed = np.arange(1, m + 1) * budget // m
-    left, right, rest = [], [], np.argsort(nodes, kind="stable")
+    left, right, rest, open_ = [], [], np.argsort(nodes, kind="stable"), None
     while len(rest) > 1:
         at = 0
         if len(rest) > CROWD:
@@ -211,8 +213,46 @@ def ring_pairs(nodes: np.ndarray, signatures: np.ndarray, budget: int = RING_BUD
         if len(hit):
             left.append(nodes[hit])
             right.append(np.full(len(hit), nodes[leader]))
+        if open_ is None and len(rest) > 1 and near.any():
+            open_ = nodes[rest]  # leaders before this one were compared with all
         rest = rest[~near]
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, dtype=np.int64),) * 2
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(left), np.concatenate(right), none if open_ is None else open_) if left else (none, none, none)
+
+
+def _runs(*segments: np.ndarray):
+    """Members that agree in all these segments, two or more of them."""
+    key = sum(s.astype(np.int64) << 16 * k for k, s in enumerate(segments))
+    order = np.argsort(key, kind="stable")
+    for run in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        if len(run) > 1:
+            yield run
+
+
+def ring_rest(nodes: np.ndarray, signatures: np.ndarray, labels: np.ndarray, budget: int = RING_BUDGET):
+    """All pairs of a bucket's members (the smaller first) that are within budget and have different labels, in pieces; a pair may come up to three times.
+    Of the three segments after the bucket's two, a pair within budget has two equal, so a crowd is looked up by each two of them."""
+    m = signatures.shape[1]
+    allowed = np.arange(1, m + 1) * budget // m
+    crowded = len(nodes) > CROWD and m >= 5 and allowed[4] <= 1
+    held, size = [], 0
+    for run in (r for a, b in ((2, 3), (2, 4), (3, 4)) for r in _runs(signatures[:, a], signatures[:, b])) if crowded else [np.arange(len(nodes))]:
+        _, label, counts = np.unique(labels[run], return_inverse=True, return_counts=True)
+        order = np.lexsort((label, -counts[label]))  # the largest label's members are not compared with one another, nor any other's
+        run, label = run[order], label[order]
+        own, first = signatures[run], np.append(0, np.flatnonzero(np.diff(label)) + 1)
+        for k, before in zip(range(len(run)), np.repeat(first, np.diff(np.append(first, len(run)))).tolist()):
+            if before:
+                ok = np.flatnonzero((np.cumsum(own[:before] != own[k], axis=1, dtype=np.int16) <= allowed).all(axis=1))
+                if len(ok):
+                    u, v = nodes[run[ok]], nodes[run[k]]
+                    held.append((np.minimum(u, v), np.maximum(u, v)))
+                    size += len(ok)
+                    if size > PAIRS >> 4:
+                        yield tuple(np.concatenate(x) for x in zip(*held))
+                        held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def _set(text: bytes, width: int) -> bytes:
@@ -254,13 +294,17 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
     def compare(batches):
         for key, nodes, signatures in _groups(batches):
             s = np.frombuffer(b"".join(signatures.tolist()), dtype=np.uint16).reshape(-1, segments)
-            u, v = ring_pairs(nodes, np.roll(s, -int(key >> 32), axis=1), budget)
+            u, v, rest = ring_pairs(nodes, np.roll(s, -int(key >> 32), axis=1), budget)
             if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    candidates = common.arrow(members.repartition(n, "key").sortWithinPartitions("key"), compare, "u long, v long")
-    candidates = common.settled(candidates.distinct(), "candidates")
-    asked = candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.nulls(len(u), pa.int64())], names=["u", "v", "key"])
+            if len(rest):
+                yield pa.RecordBatch.from_arrays([pa.array(rest), pa.nulls(len(rest), pa.int64()), pa.array(np.full(len(rest), key))], names=["u", "v", "key"])
+
+    compared = common.arrow(members.repartition(n, "key").sortWithinPartitions("key"), compare, "u long, v long, key long")
+    compared = common.settled(compared.distinct(), "candidates")
+    candidates = compared.where("key IS NULL").select("u", "v")
+    rest = compared.where("key IS NOT NULL").select("key", F.col("u").alias("node"))
+    asked = compared.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()
     asked = ring.join(asked, "node").select("digest", "node")
 
     def shingle_sets(batch):
@@ -275,9 +319,28 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
         ok = [i for i in range(len(u)) if jaccard(a[i], b[i]) >= similarity]
         return pa.RecordBatch.from_arrays([pa.array([u[i] for i in ok], pa.int64()), pa.array([v[i] for i in ok], pa.int64())], names=["u", "v"])
 
-    pairs = candidates.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    links = common.map_arrow(pairs.select("u", "v", "a", "b"), verify, "u long, v long")
-    found = components(links)
+    def verified(pairs):
+        pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+        return common.map_arrow(pairs.select("u", "v", "a", "b"), verify, "u long, v long")
+
+    found = components(verified(candidates))
+
+    # what the first links leave apart: every pair within budget that was not compared, unless one component holds it already
+    labelled = rest.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    labelled = labelled.join(apart, "key").join(ring.drop("digest"), "node").select("key", "node", F.concat(F.unhex(F.lpad(F.hex("label"), 16, "0")), "signature").alias("member"))
+
+    def compare_rest(batches):
+        for key, nodes, held in _groups(batches):
+            x = np.frombuffer(b"".join(held.tolist()), dtype=np.uint8).reshape(len(nodes), -1)
+            labels, s = np.ascontiguousarray(x[:, :8]).view(">i8").ravel().astype(np.int64), np.ascontiguousarray(x[:, 8:]).view(np.uint16)
+            for u, v in ring_rest(nodes, np.roll(s, -int(key >> 32), axis=1), labels, budget):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    more = common.arrow(labelled.repartition(n, "key").sortWithinPartitions("key"), compare_rest, "u long, v long").distinct()
+    more = common.settled(verified(more.join(candidates, ["u", "v"], "left_anti")), "more")
+    if more.limit(1).count():
+        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     by_digest = ring.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return signed.select("doc_id", "digest").join(by_digest, "digest")
 

@@ -87,6 +87,56 @@ def test_near_duplicates(docs, texts):
     assert left == sorted(((r, None if d == brute.LAST else d) for r, d in want.items()), key=repr)
 
 
+def _replaced(words, places, tag):
+    return [f"{tag}{i}" if i in places else w for i, w in enumerate(words)]
+
+
+def test_near_duplicates_beside_a_crowd(spark):
+    """Chains whose end is like a member of the crowd, but not like the crowd's leader."""
+    common.prepare(spark)
+    rng = random.Random(11)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(300)]
+        texts.append(base)
+        for k in range(25):  # the crowd
+            texts.append(_replaced(base, {rng.randrange(300)}, f"c{k}x"))
+        for k in range(6):  # M: near the centre; N: near M alone
+            m = _replaced(base, {10 + 45 * k, 30 + 45 * k, 50 + 45 * k - 5}, f"m{k}x")
+            n = _replaced(m, {(20 + 45 * k + 47 * j) % 300 for j in range(6)}, f"n{k}x")
+            texts += [m, n]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    roots = brute.near(rows)
+    got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(got.values())) == len(set(roots)) == len({(got[d], r) for (d, _), r in zip(rows, roots)})
+
+
+def test_ring_by_force():
+    """After the first links, in which those of a leader are refused, each pair of a bucket within budget was compared or has one label."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    for size in (3, 10, 60, 300):
+        centre = rng.integers(0, 1 << 16, 32).astype(np.uint16)
+        s = np.tile(centre, (size, 1))
+        for row in s:
+            row[rng.choice(np.arange(2, 32), rng.integers(0, 14), replace=False)] = rng.integers(0, 3)
+        nodes, allowed = rng.permutation(size) - size // 2, np.arange(1, 33) * 12 // 32
+        u, v, rest = simhash.ring_pairs(nodes, s)
+        place = {int(x): i for i, x in enumerate(nodes)}
+        keep = rng.random(len(u)) < 0.5
+        labels = simhash.labels_of(size, *(np.array([place[int(x)] for x in w[keep]], dtype=np.int64) for w in (u, v)))
+        own = np.array([place[int(x)] for x in rest], dtype=np.int64)
+        compared = {(min(a, b), max(a, b)) for a, b in zip(u.tolist(), v.tolist())}
+        more = {p for a, b in simhash.ring_rest(nodes[own], s[own], labels[own]) for p in zip(a.tolist(), b.tolist())}
+        want = {
+            (min(a, b), max(a, b)) for a in nodes.tolist() for b in nodes.tolist()
+            if a < b and (np.cumsum(s[place[a]] != s[place[b]]) <= allowed).all() and labels[place[a]] != labels[place[b]]
+        }
+        assert want <= compared | more and all(labels[place[a]] != labels[place[b]] for a, b in more)
+
+
 def test_passages(docs, texts):
     got = passages.dedup_passages(docs, with_text=False).collect()
     assert corpus.as_set(got) == corpus.as_set(brute.passages(texts))
