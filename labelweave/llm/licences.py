@@ -149,10 +149,12 @@ class Scanner:
 
     def _cover(self, template: int, matches: list[tuple[int, int, int]]) -> float:
         """Share of the template in the best chain of matches that are in order in both the text and the template."""
-        best: list[int] = []
-        for i, (_, end, length) in enumerate(matches):
-            gains = [best[j] + min(length, end - matches[j][1]) for j in range(max(0, i - 64), i) if matches[j][1] < end]
-            best.append(max([length, *gains]))
+        best = [0] * self.sizes[template]  # of the chains of the matches so far, by the template position of their last end
+        for _, end, length in matches:
+            begin = end - length + 1
+            before = max(best[:begin], default=0) + length  # ends before this match
+            within = max((best[e] + end - e for e in range(begin, end)), default=0)  # overlaps it
+            best[end] = max(best[end], before, within)
         return min(1.0, max(best) / self.sizes[template])
 
 

@@ -236,6 +236,35 @@ def test_licences(spark):
     assert len(licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == len(rows)
 
 
+def test_cover_past_many_matches():
+    """Two parts of a notice with many matches between them that cannot follow the first part."""
+    mit = dict(licences.TEMPLATES)["mit"].split()
+    scanner = licences.Scanner(licences.PHRASES, licences.TEMPLATES, 5, 0.5)
+    ids = lambda words: licences.np.array([scanner.ids.get(w, -1) for w in words])
+    t = next(i for i, (label, _) in enumerate(licences.TEMPLATES) if label == "mit") + len(licences.PHRASES)
+    parts = [mit[:22], mit[22:44]]
+    for n in (0, 63, 64, 300):
+        between = [*mit[:5], "zzz"] * n
+        _, covers = scanner.scan(ids([*parts[0], "zzz", *between, *parts[1]]))
+        assert covers[t] == 44 / len(mit)
+
+
+def test_cover_by_force():
+    """Against the recursion over all earlier matches."""
+    rng = random.Random(9)
+    template = " ".join(f"w{i}" for i in range(40))
+    scanner = licences.Scanner({}, [("x", template)], 2, 0.5)
+    for _ in range(60):
+        matches = []
+        for k in range(rng.randrange(1, 200)):
+            end = rng.randrange(1, 40)
+            matches.append((k, end, rng.randrange(1, end + 2)))
+        best = []
+        for i, (_, end, length) in enumerate(matches):
+            best.append(max([length, *(best[j] + min(length, end - matches[j][1]) for j in range(i) if matches[j][1] < end)]))
+        assert scanner._cover(0, matches) == min(1.0, max(best) / 40)
+
+
 def test_automaton_matches_by_force():
     rng = random.Random(2)
     sequences = [[rng.randrange(3) for _ in range(12)] for _ in range(4)]
