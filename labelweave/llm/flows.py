@@ -213,14 +213,17 @@ def at_documents(replies: DataFrame, packs: DataFrame, n: int, fn: Callable, sch
     return common.arrow(both.repartition(n, "dest").sortWithinPartitions("dest", "kind"), run, schema)
 
 
-def in_buckets(blobs: DataFrame, n: int, fn: Callable[[list[bytes]], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
-    """fn over all blobs of a bucket; it gives blobs for the next step."""
+def in_buckets(blobs: DataFrame, n: int, fn: Callable[[list[bytes]], Iterator[tuple[int, int, bytes]]], done: int | None = None) -> DataFrame:
+    """fn over all blobs of a bucket; it gives blobs for the next step. Blobs of the kind `done` go on as they are."""
 
     def run(batches):
         def all_of():
             now, held = None, []
             for batch in batches:
-                for dest, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for dest, kind, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    if kind == done:
+                        yield dest, kind, payload.as_py()
+                        continue
                     if dest != now and held:
                         yield from fn(held)
                         held = []
@@ -231,7 +234,7 @@ def in_buckets(blobs: DataFrame, n: int, fn: Callable[[list[bytes]], Iterator[tu
 
         return rows(all_of())
 
-    return common.arrow(blobs.select("dest", "payload").repartition(n, "dest").sortWithinPartitions("dest"), run, BLOBS)
+    return common.arrow(blobs.select("dest", "kind", "payload").repartition(n, "dest").sortWithinPartitions("dest"), run, BLOBS)
 
 
 class ByDocument:

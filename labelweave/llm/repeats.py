@@ -4,7 +4,7 @@
    places, so suffixes only need sorting within an anchor. The stretch of all windows with one anchor occurrence is its context.
    Anchors travel as hashes with a hash of their context.
 2. An anchor that one document holds goes no further. Of equal contexts (equal anchor and context hash), the ones in later documents are
-   decided at once; one context of each kind is left, and if an anchor has several kinds, their texts are fetched.
+   decided at once (their hashes have all 64 bits: an anchor's own tell nothing apart here); one context of each kind is left, and if an anchor has several kinds, their texts are fetched.
 3. Suffix sort. The window starts of an anchor's contexts are sorted by merging; two suffixes are compared by the length of their
    common extension, found by binary search over prefix polynomial hashes, and by the byte after it. Neighbours with an extension of a
    whole window, verified byte by byte, form a class: its members in documents after the class's first are removed.
@@ -96,7 +96,7 @@ def contexts(batches, n: int, window: int, gram: int):
             flows.bucket_of(anchor[rest], n), 1,
             lambda x: (
                 *flows.Docs(ids[rest[x]], hashes[rest[x]]).table(), (anchor[rest[x]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (anchor[rest[x]] >> np.uint64(32)).astype(np.uint16),
-                context[rest[x]].astype(np.uint32), flows.steps(start[rest[x]]), small8(stop[rest[x]] - start[rest[x]]), small8(offset[rest[x]]),
+                context[rest[x]], flows.steps(start[rest[x]]), small8(stop[rest[x]] - start[rest[x]]), small8(offset[rest[x]]),
             ),
         )
 
@@ -326,11 +326,11 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int
     """Blobs (kind 0) of the byte ranges to remove, by document; and the number of destinations."""
     n = common.buckets(docs.sparkSession)
     rows = flows.texts(docs)
-    first = common.written(common.arrow(rows, lambda b: flows.rows(contexts(b, n, window, gram)), flows.BLOBS), "contexts")
-    asked = common.settled(flows.in_buckets(first.where("kind = 1"), n, lambda x: compare_contexts(x, n, window, crowd)), "asked")
+    first = common.arrow(rows, lambda b: flows.rows(contexts(b, n, window, gram)), flows.BLOBS)
+    asked = common.settled(flows.in_buckets(first, n, lambda x: compare_contexts(x, n, window, crowd), done=0), "asked")
     fetched = flows.at_documents(asked.where("kind = 3"), flows.packed(rows, n), n, lambda s: flows.rows(fetch(s, n, window)), flows.BLOBS)
     sorted_ = common.settled(flows.in_buckets(fetched, n, lambda x: sort_suffixes(x, n, window)), "sorted")
-    return first.where("kind = 0").unionByName(asked.where("kind = 0")).unionByName(sorted_), n
+    return asked.where("kind = 0").unionByName(sorted_), n
 
 
 def _kept(stream):

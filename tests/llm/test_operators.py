@@ -167,6 +167,27 @@ def test_long_documents_in_pieces(monkeypatch):
     assert whole and set(ids.tolist()) == {1, 2, 3}
 
 
+def test_hot_anchor_with_many_contexts():
+    """One phrase in so many different surroundings that 32 bits of context hash collide; no two are equal."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    few = rng.integers(97, 123, (1 << 16, 20)).astype(np.uint8)
+    phrase = few[repeats.common.mix(repeats.common.Prefix(few.ravel()).rolling(20)[::20]).argmin()]  # the smallest hash: an anchor
+    n = 200_000
+    text = rng.integers(97, 123, (n, 50)).astype(np.uint8)
+    text[:, 15:35] = phrase
+    text = np.unique(text, axis=0)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(x))), pa.array([r.tobytes() for r in x])], names=["a", "b"]) for i in range(0, len(text), 20_000) for x in [text[i : i + 20_000]]]
+    out = list(repeats.contexts(batches, 1, 50, 20))
+    assert not [kind for _, kind, _ in out if kind == 0]
+    got = list(repeats.compare_contexts([blob for _, _, blob in out], 1, 50, 4096))
+    assert [kind for _, kind, _ in got] == [3]
+    ids = repeats.flows.Docs.read(*repeats.flows.unpack(got[0][2])[:3]).ids
+    assert len(ids) > 0.99 * len(text)
+
+
 def test_suffix_sort():
     import numpy as np
 
