@@ -45,7 +45,8 @@ def settled(df: DataFrame, what: str) -> DataFrame:
 
 
 def buckets(spark: SparkSession) -> int:
-    return max(1, min(1 << 16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """One bucket for each shuffle partition; beyond 262,144 the blobs of flows.py would hold a record each."""
+    return max(1, min(1 << 18, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,8 @@
 
 Hashes and positions travel in blobs: one row per (map task's share, bucket), holding compressed numpy arrays, instead of
 one row per hash. Documents travel in packs, one per (map task's share, destination), so that verdicts can be brought to the texts
-they are about. A document is named by its doc_id and 32 bits of its text's hash; a blob lists its documents once.
+they are about. A document is named by its doc_id and 64 bits of its text's hash (rows without a doc_id, or several texts of one, are told apart by
+the latter: m such texts share a name with a probability of m * m / 2**65); a blob lists its documents once.
 
 `at_documents` is the join of verdicts and texts: both are dealt by document, verdicts sort before texts, and a task streams the packs
 of a destination past the verdicts on it.
@@ -22,11 +23,16 @@ from pyspark.sql import functions as F
 
 from labelweave.llm import common
 
-#: Text bytes in the packs of a share, and records in the blobs of one.
+#: Text bytes in the packs of a share, and records in the blobs of one (more where there are many buckets, see share()).
 PACK_BYTES, SHARE = 8 << 20, 1 << 18
 BLOBS = "dest int, kind int, payload binary"
 
 
+def share(n: int) -> int:
+    """Records that a map task gathers before it deals them to n buckets: eight a blob on average, within bounded memory."""
+    return max(SHARE, min(8 * SHARE, 8 * n))
+
+
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as bytes; compressed if that pays."""
     head = struct.pack("<B", len(arrays)) + b"".join(a.dtype.str.encode().ljust(4) + struct.pack("<q", len(a)) for a in arrays)
@@ -61,7 +67,7 @@ def unsteps(x: np.ndarray) -> np.ndarray:
 
 
 def doc_hash(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text) & 0xFFFFFFFF
+    return xxhash.xxh64_intdigest(text)
 
 
 class Docs:
@@ -72,9 +78,9 @@ class Docs:
 
     def table(self) -> tuple[np.ndarray, ...]:
         new = np.ones(len(self.ids), dtype=bool)
-        new[1:] = (np.diff(self.ids) != 0) | (np.diff(self.hashes.astype(np.int64)) != 0)
+        new[1:] = (self.ids[1:] != self.ids[:-1]) | (self.hashes[1:] != self.hashes[:-1])
         first = np.flatnonzero(new)
-        return steps(self.ids[first]), self.hashes[first].astype(np.uint32), small(np.diff(np.append(first, len(self.ids))))
+        return steps(self.ids[first]), self.hashes[first].astype(np.uint64), small(np.diff(np.append(first, len(self.ids))))
 
     @staticmethod
     def read(ids: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> Docs:
@@ -83,12 +89,12 @@ class Docs:
 
 
 def destination(ids: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    return (common.mix(ids.astype(np.uint64) ^ (hashes.astype(np.uint64) << np.uint64(32))) % np.uint64(n)).astype(np.int64)
+    return (common.mix(ids.astype(np.uint64) ^ common.mix(hashes.astype(np.uint64))) % np.uint64(n)).astype(np.int64)
 
 
 def bucket_of(values: np.ndarray, n: int) -> np.ndarray:
-    """By the top 16 bits of 64."""
-    return ((values >> np.uint64(48)) * np.uint64(n) >> np.uint64(16)).astype(np.int64)
+    """By the top 32 bits of 64."""
+    return ((values >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def dealt(where: np.ndarray, kind: int, columns: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int, bytes]]:
@@ -107,7 +113,7 @@ def verdicts(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, stops: np.
     order = np.lexsort((starts, hashes, ids))
     ids, hashes, starts, stops = ids[order], hashes[order], starts[order], stops[order]
     new = np.ones(len(ids), dtype=bool)
-    new[1:] = (np.diff(ids) != 0) | (np.diff(hashes.astype(np.int64)) != 0)
+    new[1:] = (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])
     shift = (np.cumsum(new) - 1) << 40  # a range of its own for each document
     a, b = common.intervals(starts + shift, stops + shift)
     doc = np.flatnonzero(new)[a >> 40]
@@ -123,7 +129,7 @@ def read_verdicts(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
         docs = Docs.read(*table)
         starts = starts.astype(np.int64)
         parts.append((docs.ids, docs.hashes, starts, starts + sizes.astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, dtype=np.int64),) * 4
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
 
 
 def rows(out: Iterator[tuple[int, int, bytes]], most: int = 64) -> Iterator[pa.RecordBatch]:
@@ -158,7 +164,7 @@ def packed(docs: DataFrame, n: int, kind: int = 9) -> DataFrame:
             table = pa.Table.from_batches(held).combine_chunks()
             raw = table.column(1).to_pylist()
             ids = table.column(0).to_numpy()
-            hashes = np.array([doc_hash(x) for x in raw], dtype=np.uint32)
+            hashes = np.array([doc_hash(x) for x in raw], dtype=np.uint64)
             where = destination(ids, hashes, n)
             order = np.argsort(where, kind="stable")
             cuts = np.append(np.flatnonzero(np.diff(where[order], prepend=-1)), len(order))
@@ -244,7 +250,7 @@ class ByDocument:
         order = np.lexsort((hashes, ids))
         self.ids, self.hashes, self.columns = ids[order], hashes[order], [c[order] for c in columns]
         new = np.ones(len(ids), dtype=bool)
-        new[1:] = (np.diff(self.ids) != 0) | (np.diff(self.hashes.astype(np.int64)) != 0)
+        new[1:] = (self.ids[1:] != self.ids[:-1]) | (self.hashes[1:] != self.hashes[:-1])
         cuts = np.append(np.flatnonzero(new), len(ids)).tolist()
         self.at = {(i, h): (a, b) for i, h, a, b in zip(self.ids[cuts[:-1]].tolist(), self.hashes[cuts[:-1]].tolist(), cuts, cuts[1:])}
 

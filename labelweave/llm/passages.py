@@ -49,11 +49,11 @@ def probes(batches, n: int, block: int):
                 continue
             at = np.flatnonzero(np.arange(w.n) + block <= w.end)
             row, raw = w.row[at], part.tobytes()
-            own = np.array([flows.doc_hash(raw[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], dtype=np.uint32)
+            own = np.array([flows.doc_hash(raw[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], dtype=np.uint64)
             keys = common.mix(w.prefix.ranges(at, at + block))
             held.append((keys, ids[first:end][row], own[row], at - w.begin[row]))
             size += len(at)
-            if size > flows.SHARE:
+            if size > flows.share(n):
                 yield from flush()
                 held.clear()
                 size = 0
@@ -121,7 +121,7 @@ def extend(stream, n: int, block: int, window: int):
                 row = w.row[at]
                 held.append((common.mix(w.prefix.ranges(at, at + window)), ids[first:end][row], hashes[first:end][row], at - w.begin[row]))
                 size += len(at)
-            if size > flows.SHARE:
+            if size > flows.share(n):
                 yield from flush()
                 held.clear()
                 size = 0

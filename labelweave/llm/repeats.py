@@ -2,19 +2,21 @@
 
 1. Candidates. Each window of WINDOW bytes has an anchor: the first of its smallest GRAM-byte hashes. Equal windows have equal anchors at equal
    places, so suffixes only need sorting within an anchor. The stretch of all windows with one anchor occurrence is its context.
-   Anchors travel as hashes with a hash of their context.
-2. An anchor that one document holds goes no further. Of equal contexts (equal anchor and context hash), the ones in later documents are
-   decided at once (their hashes have all 64 bits: an anchor's own tell nothing apart here); one context of each kind is left, and if an anchor has several kinds, their texts are fetched.
-3. Suffix sort. The window starts of an anchor's contexts are sorted by merging; two suffixes are compared by the length of their
-   common extension, found by binary search over prefix polynomial hashes, and by the byte after it. Neighbours with an extension of a
-   whole window, verified byte by byte, form a class: its members in documents after the class's first are removed.
+   Anchors travel as hashes with their contexts' places, no text. An anchor that one document holds goes no further.
+2. The texts of the other anchors' contexts are fetched.
+3. Suffix sort. Suffixes of an anchor are sorted by merging; two of them are compared by the length of their common extension, found by binary
+   search over prefix polynomial hashes, and by the byte after it. Neighbours that extend far enough, verified byte by byte, form a class.
+   First the suffixes at which contexts begin are sorted: those equal for the whole context form a class, and one is left of each. Then all window
+   starts of what is left are. Members of a class in documents after the class's first are removed.
 
-An anchor with over CROWD kinds of contexts is not sorted in one task: its windows are dealt one by one by their hash, and sorted there.
+A removal is only ever decided where both texts are at hand and their bytes are equal; hashes choose what is compared.
 
-Copies are made distinct in each map task before anything is dealt, so a hot passage costs one record per task and anchor.
+An anchor with over CROWD contexts is not sorted in one task: its windows are dealt one by one by their hash, and sorted there, in bounded pieces.
+Copies within a map task's share are sorted out there, in the same way, so a hot passage costs one record per share and anchor.
 
-Defined results: a null or empty text has no bytes; matches never cross documents; rows without a doc_id come after all others, and rows with
-one doc_id do not remove one another's bytes; an empty table gives an empty result; other columns are ignored, or pass through `strip`.
+Defined results: a null or empty text has no bytes; matches never cross documents; a very long text is read in overlapping pieces of PIECE bytes; rows
+without a doc_id come after all others, and rows with one doc_id do not remove one another's bytes; rows repeated whole get the same result each; an
+empty table gives an empty result; other columns are ignored, or pass through `strip`.
 """
 
 from __future__ import annotations
@@ -78,32 +80,53 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, window: int):
                 yield first, end, piece, np.array([0, len(piece)]), at
 
 
+def gather(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of ranges, one range after the other."""
+    return np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def _small8(x: np.ndarray, window: int) -> np.ndarray:
+    return x.astype(np.uint8 if window <= 255 else np.uint32)
+
+
+def _halves(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48 bits of an anchor."""
+    return (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32), (anchor >> np.uint64(32)).astype(np.uint16)
+
+
+def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return (high.astype(np.uint64) << np.uint64(32)) | low
+
+
+def _shared(anchor: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The records, by anchor, of anchors that several documents hold."""
+    order = np.argsort(anchor, kind="stable")
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = anchor[order][1:] != anchor[order][:-1]
+    return order[flows.smallest(new, ids[order]) != -flows.smallest(new, -ids[order])]
+
+
 def contexts(batches, n: int, window: int, gram: int):
-    """Blobs of (anchor, context hash, document, place) by anchor; what an earlier document of the share decides, as verdicts."""
+    """Blobs of (anchor, document, place) by anchor, without contexts that an earlier document of the share has too: these are verdicts."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush():
-        anchor, context, ids, hashes, start, stop, offset = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((ids, context, anchor))
-        a, c, i = anchor[order], context[order], ids[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-        later = i > flows.smallest(new, i)
-        gone = order[later]
-        yield from flows.verdicts(ids[gone], hashes[gone], start[gone], stop[gone] + window, n)
-        rest = np.sort(order[~later])
+        anchor, ids, hashes, start, stop, offset, at = (np.concatenate([x[k] for x in held]) for k in range(7))
+        text = np.concatenate([x[7] for x in held])
+        stay = np.ones(len(anchor), dtype=bool)
+        few = _shared(anchor, ids)
+        if len(few):
+            lengths = (stop - start)[few] + window
+            later = few[later_contexts(text, at[few], lengths, anchor[few], offset[few], ids[few])]
+            stay[later] = False
+            yield from flows.verdicts(ids[later], hashes[later], start[later], stop[later] + window, n)
+        rest = np.flatnonzero(stay)
         yield from flows.dealt(
-            flows.bucket_of(anchor[rest], n), 1,
-            lambda x: (
-                *flows.Docs(ids[rest[x]], hashes[rest[x]]).table(), (anchor[rest[x]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (anchor[rest[x]] >> np.uint64(32)).astype(np.uint16),
-                context[rest[x]], flows.steps(start[rest[x]]), small8(stop[rest[x]] - start[rest[x]]), small8(offset[rest[x]]),
-            ),
+            flows.bucket_of(anchor[rest] << np.uint64(16), n), 1,
+            lambda x: (*flows.Docs(ids[rest[x]], hashes[rest[x]]).table(), *_halves(anchor[rest[x]]), flows.steps(start[rest[x]]), _small8(stop[rest[x]] - start[rest[x]], window), _small8(offset[rest[x]], window)),
         )
 
-    def small8(x):
-        return x.astype(np.uint8 if window <= 255 else np.uint32)
-
-    size = 0
+    size = base_text = 0
     for batch in batches:
         ids = batch.column(0).to_numpy()
         data, offsets = common.flat(batch.column(1))
@@ -112,53 +135,46 @@ def contexts(batches, n: int, window: int, gram: int):
             if first not in own:
                 raw = data[offsets[first] : offsets[end]].tobytes()
                 cut = (offsets[first : end + 1] - offsets[first]).tolist()
-                own = {first: np.array([flows.doc_hash(raw[a:b]) for a, b in zip(cut[:-1], cut[1:])], dtype=np.uint32)}
-            prefix = common.Prefix(part)
-            anchor, place, start, stop = anchors(prefix, begin, window, gram)
+                own = {first: np.array([flows.doc_hash(raw[a:b]) for a, b in zip(cut[:-1], cut[1:])], dtype=np.uint64)}
+            anchor, place, start, stop = anchors(common.Prefix(part), begin, window, gram)
             if not len(anchor):
                 continue
             row = np.searchsorted(begin, start, side="right") - 1
-            context = common.mix(prefix.ranges(start, stop + window) ^ common.mix(((stop - start) * 256 + place - start).astype(np.uint64)))
             # smallest hashes are small: spread them before they are dealt
-            held.append((common.mix(anchor ^ np.uint64(0x5851F42D4C957F2D)), context, ids[first:end][row], own[first][row], start - begin[row] + base, stop - begin[row] + base, place - start))
+            anchor = common.mix(anchor ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64((1 << 48) - 1)
+            held.append((anchor, ids[first:end][row], own[first][row], start - begin[row] + base, stop - begin[row] + base, place - start, start + base_text, part))
             size += len(anchor)
-            if size > flows.SHARE:
+            base_text += len(part)
+            if size > flows.share(n):
                 yield from flush()
                 held.clear()
-                size = 0
+                size = base_text = 0
     if held:
         yield from flush()
 
 
-def compare_contexts(blobs: list[bytes], n: int, window: int, crowd: int):
-    """Kind 0: verdicts for contexts that an earlier document has too. Kind 3: one of each context of an anchor with several,
-    by document, as (document, anchor, first and last window, anchor's place, crowded)."""
-    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+def shared_contexts(blobs: list[bytes], n: int, window: int, crowd: int):
+    """Kind 3: the contexts of anchors that several documents hold, by document, as (document, anchor, first window and how many follow,
+    anchor's place, crowded)."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
     for blob in blobs:
-        *table, low, high, context, step, length, offset = flows.unpack(blob)
+        *table, low, high, step, length, offset = flows.unpack(blob)
         docs = flows.Docs.read(*table)
-        for held, x in zip(columns, ((high.astype(np.uint64) << np.uint64(32)) | low, context, docs.ids, docs.hashes, flows.unsteps(step), length.astype(np.int64), offset)):
+        for held, x in zip(columns, (_whole(low, high), docs.ids, docs.hashes, flows.unsteps(step), length, offset)):
             held.append(x)
-    anchor, context, ids, hashes, start, length, offset = map(np.concatenate, columns)
-    order = np.argsort(anchor, kind="stable")
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = anchor[order][1:] != anchor[order][:-1]
-    order = order[flows.smallest(new, ids[order]) != -flows.smallest(new, -ids[order])]
-    order = order[np.lexsort((ids[order], context[order], anchor[order]))]
-    anchor, context, ids, hashes, start, length, offset = (x[order] for x in (anchor, context, ids, hashes, start, length, offset))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = anchor[1:] != anchor[:-1]
-    kind = new.copy()
-    kind[1:] |= context[1:] != context[:-1]
-    later = ids > flows.smallest(kind, ids)
-    yield from flows.verdicts(ids[later], hashes[later], start[later], (start + length + window)[later], n)
+    anchor, ids, hashes, start, length, offset = map(np.concatenate, columns)
+    asked = _shared(anchor, ids)
+    if not len(asked):
+        return
+    new = np.append(True, anchor[asked][1:] != anchor[asked][:-1])
     first = np.flatnonzero(new)
-    kinds = np.repeat(np.add.reduceat(kind.astype(np.int64), first), np.diff(np.append(first, len(order)))) if len(order) else np.zeros(0, dtype=np.int64)
-    asked = np.flatnonzero(~later & (kinds > 1))
-    asked = asked[np.lexsort((start[asked], hashes[asked], ids[asked]))]
+    sizes = np.diff(np.append(first, len(asked)))
+    crowded = np.repeat(sizes > crowd, sizes)
+    order = np.lexsort((start[asked], hashes[asked], ids[asked]))
+    asked, crowded = asked[order], crowded[order]
     yield from flows.dealt(
         flows.destination(ids[asked], hashes[asked], n), 3,
-        lambda x: (*flows.Docs(ids[asked[x]], hashes[asked[x]]).table(), anchor[asked[x]], flows.steps(start[asked[x]]), length[asked[x]], offset[asked[x]], kinds[asked[x]] > crowd),
+        lambda x: (*flows.Docs(ids[asked[x]], hashes[asked[x]]).table(), *_halves(anchor[asked[x]]), flows.steps(start[asked[x]]), length[asked[x]], offset[asked[x]], crowded[x]),
     )
 
 
@@ -169,11 +185,11 @@ def fetch(stream, n: int, window: int):
 
     def flush():
         ids, hashes, anchor, start, offset, lengths, where = (np.concatenate([x[k] for x in held]) for k in range(7))
-        data, begin = np.concatenate([x[7] for x in held]), np.append(0, np.cumsum(lengths))
+        data = np.concatenate([x[7] for x in held])
+        begin = np.cumsum(lengths) - lengths
 
         def columns(x):
-            at = np.repeat(begin[x] - np.append(0, np.cumsum(lengths[x])[:-1]), lengths[x]) + np.arange(lengths[x].sum())
-            return (*flows.Docs(ids[x], hashes[x]).table(), anchor[x], flows.steps(start[x]), offset[x].astype(np.uint8 if window <= 255 else np.uint32), flows.small(lengths[x]), data[at])
+            return (*flows.Docs(ids[x], hashes[x]).table(), *_halves(anchor[x]), flows.steps(start[x]), _small8(offset[x], window), flows.small(lengths[x]), data[gather(begin[x], lengths[x])])
 
         yield from flows.dealt(where, 4, columns)
 
@@ -181,9 +197,9 @@ def fetch(stream, n: int, window: int):
         if replies is not seen:
             seen, columns = replies, [[] for _ in range(7)]
             for blob in replies.get(3, []):
-                *table, anchor, step, length, offset, crowded = flows.unpack(blob)
+                *table, low, high, step, length, offset, crowded = flows.unpack(blob)
                 docs = flows.Docs.read(*table)
-                for own, x in zip(columns, (docs.ids, docs.hashes, anchor, flows.unsteps(step), length.astype(np.int64), offset.astype(np.int64), crowded)):
+                for own, x in zip(columns, (docs.ids, docs.hashes, _whole(low, high), flows.unsteps(step), length.astype(np.int64), offset.astype(np.int64), crowded)):
                     own.append(x)
             asked = flows.ByDocument(*map(np.concatenate, columns)) if columns[0] else None
         for k in range(len(ids)) if asked else ():
@@ -197,11 +213,11 @@ def fetch(stream, n: int, window: int):
             first = start[which] + within
             sizes = np.where(crowded[which], window, length[which] + window)
             own = data[offsets[k] : offsets[k + 1]]
-            text = own[np.repeat(first - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())]
             where = flows.bucket_of(anchor[which] << np.uint64(16), n)
             if crowded.any():
                 hot = crowded[which]
                 where[hot] = flows.bucket_of(common.mix(common.Prefix(own).ranges(first[hot], first[hot] + window)), n)
+            text = own[gather(first, sizes)]
             held.append((np.full(len(which), ids[k]), np.full(len(which), hashes[k]), anchor[which], first, offset[which] - within, sizes, where, text))
             size += len(text)
             if size > FETCHED:
@@ -213,33 +229,38 @@ def fetch(stream, n: int, window: int):
 
 
 class SuffixSort:
-    """Sorts suffixes of a text within groups, comparing by common extensions of up to `window` bytes."""
+    """Sorts suffixes of a text within groups, comparing by common extensions of up to a limit, which is one for each group."""
 
-    def __init__(self, text: np.ndarray, window: int):
-        self.text, self.window, self.prefix = text, window, common.Prefix(text)
+    def __init__(self, text: np.ndarray):
+        self.text, self.prefix = text, common.Prefix(text)
 
-    def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix of the suffixes at x and y, at most a window, by binary search on hashes."""
+    def extension(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Length of the longest common prefix of the suffixes at x and y, at most the limit, by binary search on hashes."""
         p, length = self.prefix, np.zeros(len(x), dtype=np.int64)
-        step = 1 << (self.window.bit_length() - 1)
+        if not len(x):
+            return length
+        whole = p.ranges(x, x + limit) == p.ranges(y, y + limit)
+        length[whole] = limit[whole]
+        step = 1 << (int(limit.max()).bit_length() - 1)
         while step:
             longer = length + step
-            ok = np.flatnonzero(longer <= self.window)
+            ok = np.flatnonzero(longer < limit)
             a, b, l = x[ok], y[ok], longer[ok]
             same = p.ranges(a, a + l) == p.ranges(b, b + l)
             length[ok[same]] = l[same]
             step >>= 1
         return length
 
-    def before(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        """Whether the suffix at x sorts before that at y (or, where asked for, equals it for a window)."""
-        length = self.extension(x, y)
-        whole = length >= self.window
+    def before(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+        """Whether the suffix at x sorts before that at y (or, where asked for, equals it up to the limit)."""
+        length = self.extension(x, y, limit)
+        whole = length >= limit
         at = np.where(whole, 0, length)
         return np.where(whole, or_equal, self.text[x + at] < self.text[y + at])
 
-    def sort(self, suffixes: np.ndarray, groups: np.ndarray) -> np.ndarray:
-        """An order of the suffixes in which each group (they come grouped) is sorted: merges of doubling width, all groups at once."""
+    def sort(self, suffixes: np.ndarray, groups: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """An order of the suffixes in which each group (they come grouped) is sorted: merges of doubling width, all groups at once. Equal
+        suffixes keep the order in which they come."""
         n = len(suffixes)
         order = np.arange(n)
         if not n:
@@ -264,59 +285,122 @@ class SuffixSort:
                     break
                 mid = (lo[open_] + hi[open_]) >> 1
                 # on the left, count what is smaller; on the right, also what is equal: the merge is stable
-                right = self.before(suffixes[order[other[open_] + mid]], suffixes[order[open_]], ~left[open_])
+                right = self.before(suffixes[order[other[open_] + mid]], suffixes[order[open_]], limit[open_], ~left[open_])
                 lo[open_[right]] = mid[right] + 1
                 hi[open_[~right]] = mid[~right]
             place = pair + (local - (local // width) * width) + lo
-            merged = np.empty_like(order)
+            merged = np.full(n, -1)
             merged[place] = order
-            order = merged
+            order = order[np.argsort(place, kind="stable")] if (merged < 0).any() else merged  # hashes that collide may contradict one another
             width *= 2
         return order
 
-    def classes(self, suffixes: np.ndarray, groups: np.ndarray) -> np.ndarray:
-        """For sorted suffixes: whether each begins a class of those equal for a window, bytes compared."""
+    def classes(self, suffixes: np.ndarray, groups: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """For sorted suffixes: whether each begins a class of those equal up to the limit, bytes compared."""
         new = np.ones(len(suffixes), dtype=bool)
         pairs = np.flatnonzero(groups[1:] == groups[:-1])
-        pairs = pairs[self.extension(suffixes[pairs], suffixes[pairs + 1]) >= self.window]
-        for part in np.array_split(pairs, max(1, len(pairs) >> 16)):
-            span = np.arange(self.window)
-            same = (self.text[suffixes[part][:, None] + span] == self.text[suffixes[part + 1][:, None] + span]).all(axis=1)
-            new[part[same] + 1] = False
+        pairs = pairs[self.extension(suffixes[pairs], suffixes[pairs + 1], limit[pairs]) >= limit[pairs]]
+        for part in np.array_split(pairs, len(pairs) // (1 << 16) + 1):
+            if len(part):
+                sizes = limit[part]
+                same = self.text[gather(suffixes[part], sizes)] == self.text[gather(suffixes[part + 1], sizes)]
+                new[part[np.logical_and.reduceat(same, np.cumsum(sizes) - sizes)] + 1] = False
         return new
 
 
+def twins(prefix: common.Prefix, suffixes: np.ndarray, groups: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes (equal groups together), those that share a hash of the first half up to the limit with another of the group, in a stable order by group
+    and hash; and their groups by both. What has no such twin has no equal either, and needs no sorting."""
+    half = prefix.ranges(suffixes, suffixes + (limit + 1) // 2)
+    order = np.lexsort((half, groups))
+    same = (groups[order][1:] == groups[order][:-1]) & (half[order][1:] == half[order][:-1])
+    ties = np.append(False, same) | np.append(same, False) if len(order) else order.astype(bool)
+    return order[ties], np.cumsum(np.append(True, ~same))[: len(order)][ties]
+
+
+def later_contexts(text: np.ndarray, begin: np.ndarray, lengths: np.ndarray, anchor: np.ndarray, offset: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of contexts in a text, which are equal (anchor and its place, bytes) to one of a document with a smaller id: indices. Equal ones of the
+    smallest id are all left, for later documents of other shares."""
+    order = np.lexsort((ids, lengths, offset, anchor))
+    same = (anchor[order][1:] == anchor[order][:-1]) & (offset[order][1:] == offset[order][:-1]) & (lengths[order][1:] == lengths[order][:-1])
+    ties = np.append(False, same) | np.append(same, False) if len(order) else order.astype(bool)  # alone, a context is its own class
+    groups, order = np.cumsum(np.append(True, ~same))[: len(order)][ties], order[ties]
+    if not len(order):
+        return order
+    sizes = lengths[order]
+    sorter = SuffixSort(text[gather(begin[order], sizes)])
+    suffix = np.cumsum(sizes) - sizes
+    few, groups = twins(sorter.prefix, suffix, groups, sizes)
+    order, suffix, sizes = order[few], suffix[few], sizes[few]
+    place = sorter.sort(suffix, groups, sizes)
+    new = sorter.classes(suffix[place], groups, sizes)  # a group's limits are the same
+    order = order[place]
+    return order[ids[order] > flows.smallest(new, ids[order])]
+
+
+def _shares(anchor: np.ndarray, weight: np.ndarray, most: int):
+    """Rows in order of their anchors (equal ones must stand together), cut into whole anchors of about `most` together."""
+    share = (np.cumsum(weight) - 1) // most
+    head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    share = np.repeat(share[head], np.diff(np.append(head, len(anchor))))
+    return np.split(np.arange(len(anchor)), np.flatnonzero(np.diff(share)) + 1)
+
+
 def sort_suffixes(blobs: list[bytes], n: int, window: int):
     columns: list[list[np.ndarray]] = [[] for _ in range(7)]
     for blob in blobs:
-        *table, anchor, step, offset, lengths, data = flows.unpack(blob)
+        *table, low, high, step, offset, lengths, data = flows.unpack(blob)
         docs = flows.Docs.read(*table)
-        for held, x in zip(columns, (docs.ids, docs.hashes, anchor, flows.unsteps(step), offset.astype(np.int64), lengths.astype(np.int64), data)):
+        for held, x in zip(columns, (docs.ids, docs.hashes, _whole(low, high), flows.unsteps(step), offset.astype(np.int64), lengths.astype(np.int64), data)):
             held.append(x)
     ids, hashes, anchor, start, offset, lengths, data = map(np.concatenate, columns)
-    begin, many = np.append(0, np.cumsum(lengths))[:-1], lengths - window + 1
+    begin, many = np.cumsum(lengths) - lengths, lengths - window + 1
     rows = np.argsort(anchor, kind="stable")
-    # whole anchors at a time, about SORTED suffixes
-    share = (np.cumsum(many[rows]) - 1) // SORTED
-    head = np.flatnonzero(np.append(True, np.diff(anchor[rows]) != 0))
-    share = np.repeat(share[head], np.diff(np.append(head, len(rows))))
-    for own in np.split(rows, np.flatnonzero(np.diff(share)) + 1):
+
+    # whole contexts. What is equal in a piece leaves one; then pieces of what is left, until every anchor is in one piece (or nothing more goes)
+    while True:
+        parts = [own for own in np.array_split(rows, len(rows) // SORTED + 1)]
+        left = []
+        for own in parts:
+            gone = own[later_contexts(data, begin[own], lengths[own], anchor[own], offset[own], ids[own])]
+            yield from flows.verdicts(ids[gone], hashes[gone], start[gone], start[gone] + lengths[gone], n)
+            left.append(own[~np.isin(own, gone)])
+        apart = any(anchor[a[-1]] == anchor[b[0]] for a, b in zip(parts[:-1], parts[1:]))
+        before, rows = len(rows), np.concatenate(left)
+        if not apart:
+            break
+        if len(rows) > 0.9 * before:  # one piece after all
+            gone = rows[later_contexts(data, begin[rows], lengths[rows], anchor[rows], offset[rows], ids[rows])]
+            yield from flows.verdicts(ids[gone], hashes[gone], start[gone], start[gone] + lengths[gone], n)
+            rows = rows[~np.isin(rows, gone)]
+            break
+
+    # windows, of anchors with contexts of several kinds. Contexts of one window each are done
+    if not len(rows):
+        return
+    head = np.append(True, anchor[rows][1:] != anchor[rows][:-1])
+    group = np.cumsum(head) - 1
+    open_ = (np.bincount(group) > 1) & (np.maximum.reduceat(many[rows], np.flatnonzero(head)) > 1)
+    rows = rows[open_[group]]
+    for share in _shares(anchor[rows], many[rows], SORTED) if len(rows) else ():
+        own = rows[share]
         which = np.repeat(own, many[own])
         within = np.arange(len(which)) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
         place = offset[which] - within  # of the anchor in the window
         order = np.lexsort((ids[which], place, anchor[which]))
         which, within, place = which[order], within[order], place[order]
-        new = np.append(True, (np.diff(anchor[which]) != 0) | (np.diff(place) != 0))
-        groups = np.cumsum(new)
-        # the texts of these contexts alone
-        at = np.repeat(begin[own] - np.append(0, np.cumsum(lengths[own])[:-1]), lengths[own]) + np.arange(lengths[own].sum())
-        sorter = SuffixSort(data[at], window)
+        same = (anchor[which][1:] == anchor[which][:-1]) & (place[1:] == place[:-1])
         moved = np.zeros(len(lengths), dtype=np.int64)
-        moved[own] = np.append(0, np.cumsum(lengths[own])[:-1])
+        moved[own] = np.cumsum(lengths[own]) - lengths[own]
+        sorter = SuffixSort(data[gather(begin[own], lengths[own])])  # the texts of these contexts alone
         suffix = moved[which] + within
-        order = sorter.sort(suffix, groups)
+        few, groups = twins(sorter.prefix, suffix, np.cumsum(np.append(True, ~same)), np.full(len(which), window))
+        if not len(few):
+            continue
+        which, within, suffix, limit = which[few], within[few], suffix[few], np.full(len(few), window)
+        order = sorter.sort(suffix, groups, limit)
         which, within, suffix = which[order], within[order], suffix[order]
-        new = sorter.classes(suffix, groups)
+        new = sorter.classes(suffix, groups, limit)
         later = ids[which] > flows.smallest(new, ids[which])
         which, first = which[later], (start[which] + within)[later]
         yield from flows.verdicts(ids[which], hashes[which], first, first + window, n)
@@ -327,7 +411,7 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int
     n = common.buckets(docs.sparkSession)
     rows = flows.texts(docs)
     first = common.arrow(rows, lambda b: flows.rows(contexts(b, n, window, gram)), flows.BLOBS)
-    asked = common.settled(flows.in_buckets(first, n, lambda x: compare_contexts(x, n, window, crowd), done=0), "asked")
+    asked = common.settled(flows.in_buckets(first, n, lambda x: shared_contexts(x, n, window, crowd), done=0), "asked")
     fetched = flows.at_documents(asked.where("kind = 3"), flows.packed(rows, n), n, lambda s: flows.rows(fetch(s, n, window)), flows.BLOBS)
     sorted_ = common.settled(flows.in_buckets(fetched, n, lambda x: sort_suffixes(x, n, window)), "sorted")
     return asked.where("kind = 0").unionByName(sorted_), n

@@ -167,25 +167,70 @@ def test_long_documents_in_pieces(monkeypatch):
     assert whole and set(ids.tolist()) == {1, 2, 3}
 
 
-def test_hot_anchor_with_many_contexts():
-    """One phrase in so many different surroundings that 32 bits of context hash collide; no two are equal."""
+def removed_by_steps(texts, crowd, n=3):
+    """{id: bytes removed} from the steps of repeats.removed, run by hand over rows (id, uint8 array)."""
     import numpy as np
     import pyarrow as pa
 
-    rng = np.random.default_rng(7)
+    flows = repeats.flows
+    rows = [pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in own])], names=["a", "b"]) for ids, own in texts]
+    first = [x for batch in rows for x in repeats.contexts([batch], n, 50, 20)]
+    asked, found = [], [x for x in first if x[1] == 0]
+    for dest in range(n):
+        if blobs := [b for d, kind, b in first if d == dest and kind == 1]:
+            asked += repeats.shared_contexts(blobs, n, 50, crowd)
+    fetched = []
+    for dest in range(n):
+        replies = {3: [b for d, _, b in asked if d == dest]}
+        for batch in rows:
+            raw = batch.column(1).to_pylist()
+            data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+            hashes = np.array([flows.doc_hash(x) for x in raw], dtype=np.uint64)
+            fetched += repeats.fetch([(replies, batch.column(0).to_numpy(), hashes, data, np.cumsum([0, *map(len, raw)]), None)], n, 50)
+    for dest in range(n):
+        if blobs := [b for d, _, b in fetched if d == dest]:
+            found += repeats.sort_suffixes(blobs, n, 50)
+    gone = {}
+    for ids, _, starts, stops in [flows.read_verdicts([b]) for _, _, b in found]:
+        for i, p, q in zip(ids.tolist(), starts.tolist(), stops.tolist()):
+            gone.setdefault(i, set()).update(range(p, q))
+    return gone
+
+
+def hot_phrase(n, rng):
+    """n different texts of 80 bytes around one 20-byte phrase, which is the anchor of most of their windows."""
+    import numpy as np
+
     few = rng.integers(97, 123, (1 << 16, 20)).astype(np.uint8)
-    phrase = few[repeats.common.mix(repeats.common.Prefix(few.ravel()).rolling(20)[::20]).argmin()]  # the smallest hash: an anchor
-    n = 200_000
-    text = rng.integers(97, 123, (n, 50)).astype(np.uint8)
-    text[:, 15:35] = phrase
-    text = np.unique(text, axis=0)
-    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(x))), pa.array([r.tobytes() for r in x])], names=["a", "b"]) for i in range(0, len(text), 20_000) for x in [text[i : i + 20_000]]]
-    out = list(repeats.contexts(batches, 1, 50, 20))
-    assert not [kind for _, kind, _ in out if kind == 0]
-    got = list(repeats.compare_contexts([blob for _, _, blob in out], 1, 50, 4096))
-    assert [kind for _, kind, _ in got] == [3]
-    ids = repeats.flows.Docs.read(*repeats.flows.unpack(got[0][2])[:3]).ids
-    assert len(ids) > 0.99 * len(text)
+    text = rng.integers(97, 123, (n, 80)).astype(np.uint8)
+    text[:, 30:50] = few[repeats.common.mix(repeats.common.Prefix(few.ravel()).rolling(20)[::20]).argmin()]  # the smallest hash
+    return np.unique(text, axis=0)
+
+
+@pytest.mark.parametrize("crowd", [4096, 1 << 30])
+def test_hot_anchor_with_many_contexts(crowd):
+    """One phrase in 60,000 different surroundings: only planted copies go, whether its windows are dealt one by one or sorted in pieces."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    text = hot_phrase(60_000, rng)
+    ids = rng.permutation(len(text)) + 10
+    copies = text[:3]
+    shares = [(ids[i : i + 20_000], text[i : i + 20_000]) for i in range(0, len(text), 20_000)] + [([1_000_000, 1_000_001, 1], copies)]
+    gone = removed_by_steps(shares, crowd)
+    assert {i: len(x) for i, x in gone.items()} == {1_000_000: 80, 1_000_001: 80, int(ids[2]): 80}
+
+
+def test_no_removal_on_equal_hashes(monkeypatch):
+    """With hashes of four bits nearly everything collides, and still nothing goes that has no equal bytes before it."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    text = hot_phrase(500, rng)
+    ranges = repeats.common.Prefix.ranges
+    monkeypatch.setattr(repeats.common.Prefix, "ranges", lambda self, a, b: ranges(self, a, b) >> np.uint64(60))
+    gone = removed_by_steps([(np.arange(250), text[:250]), (np.arange(250, 501), np.concatenate([text[250:], text[:1]]))], 4096)
+    assert set(gone) <= {500}
 
 
 def test_suffix_sort():
@@ -194,13 +239,13 @@ def test_suffix_sort():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 99, 4000).astype(np.uint8)
     suffixes, groups = np.arange(3900), np.repeat(np.arange(3), 1300)
-    sorter = repeats.SuffixSort(text, 50)
-    order = sorter.sort(suffixes, groups)
+    sorter, limit = repeats.SuffixSort(text), np.full(3900, 50)
+    order = sorter.sort(suffixes, groups, limit)
     raw = text.tobytes()
     for g in range(3):
         own = [raw[i : i + 50] for i in suffixes[order][groups == g]]
         assert own == sorted(raw[i : i + 50] for i in range(1300 * g, 1300 * g + 1300))
-    new = sorter.classes(suffixes[order], groups)
+    new = sorter.classes(suffixes[order], groups, limit)
     assert new.sum() == sum(len({raw[i : i + 50] for i in range(1300 * g, 1300 * g + 1300)}) for g in range(3))
 
 
