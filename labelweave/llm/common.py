@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelweave.session import ship_package
-from labelweave.storage import shared_dir, written  # noqa: F401
+from labelweave.storage import drop, shared_dir, written  # noqa: F401
 
 #: Bytes of text that are turned into numpy arrays at once (a longer document makes a slice of its own).
 SLICE_BYTES = 1 << 18
@@ -36,9 +36,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame, what: str) -> DataFrame:
-    """written(), and the driver's garbage collected: the shuffle files behind the table go then, not whenever the driver happens to collect."""
+    """written(), and the driver's garbage collected: the shuffle files behind the table go then, not whenever the driver happens to collect.
+    Spark holds on to the last query that it ran, so a small one is run first."""
     out = written(df, what)
     del df
+    out.sparkSession.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     out.sparkSession.sparkContext._jvm.System.gc()
     return out
@@ -147,6 +149,10 @@ class WordHashes:
         self.row = np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
         self.end = self.begin[1:][self.row]
 
+    def second(self) -> Prefix:
+        """A prefix of the words' hashes under another bijection, independent of the first."""
+        return Prefix(mix(self.hashes ^ np.uint64(0xA0761D6478BD642F)))
+
 
 def intervals(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of half-open ranges as maximal disjoint ones, in order."""

@@ -97,13 +97,13 @@ def bucket_of(values: np.ndarray, n: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def dealt(where: np.ndarray, kind: int, columns: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int, bytes]]:
+def dealt(where: np.ndarray, kind: int, columns: Callable[[np.ndarray], tuple[np.ndarray, ...]], level: int = 1) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, kind, blob of the columns at the bucket's records, in order) for each bucket that occurs."""
     if len(where):
         order = np.argsort(where, kind="stable")
         cuts = np.append(np.flatnonzero(np.diff(where[order], prepend=-1)), len(order))
         for a, b in zip(cuts[:-1], cuts[1:]):
-            yield int(where[order[a]]), kind, pack(*columns(order[a:b]))
+            yield int(where[order[a]]), kind, pack(*columns(order[a:b]), level=level)
 
 
 def verdicts(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray, n: int, kind: int = 0) -> Iterator[tuple[int, int, bytes]]:

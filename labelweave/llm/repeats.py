@@ -34,7 +34,7 @@ WINDOW, GRAM, CROWD = 50, 20, 4096
 #: A longer document is read in pieces of this many bytes, overlapping by a window less one byte.
 PIECE = 4 << 20
 #: Bytes of fetched contexts in a share.
-FETCHED = 2 << 20
+FETCHED = 8 << 20
 #: Suffixes that are sorted at once (more only where one anchor has more).
 SORTED = 1 << 17
 _PLACE = np.uint64((1 << 24) - 1)
@@ -191,7 +191,7 @@ def fetch(stream, n: int, window: int):
         def columns(x):
             return (*flows.Docs(ids[x], hashes[x]).table(), *_halves(anchor[x]), flows.steps(start[x]), _small8(offset[x], window), flows.small(lengths[x]), data[gather(begin[x], lengths[x])])
 
-        yield from flows.dealt(where, 4, columns)
+        yield from flows.dealt(where, 4, columns, level=3)
 
     for replies, ids, hashes, data, offsets, _ in stream:
         if replies is not seen:
