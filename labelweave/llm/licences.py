@@ -2,17 +2,22 @@
 
 A document's words are streamed through the automaton, which gives for each word the longest template passage that
 ends there (matching statistics). Passages of at least `min_match` words are chained: those of one template, in order
-of both the text and the template, cover a span of it; a template covered to at least `min_cover` gives its label.
+of both the text and the template, cover a span of it; a template covered to at least `min_cover` gives its label. A passage that a template holds
+several times may stand in a chain at any of its places. No chain is cut short: each match sees all earlier ones.
 Marker phrases are templates of their own: a place is a word at which the whole phrase ends.
 
+The templates are in licences.txt beside this module (a line `## label`, then the words of a licence text or notice), or whatever the caller gives.
 Words outside the templates reset the automaton, so only runs of template words are walked.
 
-Defined results: a null or empty text has no words, no labels and score 0; repeated rows are scanned alike, each; an
-empty table gives an empty result; other columns are ignored.
+Defined results: a null or empty text has no words, no labels and score 0; a very long text is walked word by word, with memory for its matches;
+repeated rows are scanned alike, each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,21 +26,17 @@ from labelweave.llm import common
 
 #: phrase: label
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: (label, opening passage of the licence or of the notice that files carry)
-TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-)
+TEMPLATE_FILE = Path(__file__).with_name("licences.txt")
 MIN_MATCH, MIN_COVER = 5, 0.5
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
+def read_templates(path: str | Path = TEMPLATE_FILE) -> list[tuple[str, str]]:
+    """(label, text) of each template of a file."""
+    parts = Path(path).read_text(encoding="utf-8").split("## ")[1:]
+    return [(label.strip(), text.strip()) for label, _, text in (x.partition("\n") for x in parts)]
+
+
 def tokens(text: str) -> list[str]:
     data = common.lowered(np.frombuffer(text.encode(), dtype=np.uint8))
     starts, stops, _ = common.words(data, np.array([0, len(data)]), alnum=True)
@@ -44,21 +45,22 @@ def tokens(text: str) -> list[str]:
 
 
 class SuffixAutomaton:
-    """Of several word sequences; each state knows the templates and positions where its passages first end."""
+    """Of several word sequences; each state of passages of `least` words or more knows where in which sequences they end: all places."""
 
-    def __init__(self, sequences: list[list[int]]):
+    def __init__(self, sequences: list[list[int]], least: int = 1):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[dict[int, int]] = [{}]  # template: the position of one end
+        ends: list[dict[int, set[int]]] = [{}]  # sequence: where
         for t, sequence in enumerate(sequences):
             last = 0
             for i, word in enumerate(sequence):
                 last = self._extend(last, word, ends)
-                ends[last].setdefault(t, i)
+                ends[last].setdefault(t, set()).add(i)
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):  # a suffix ends where its extension does
-            for t, i in ends[s].items():
-                ends[self.link[s]].setdefault(t, i)
-        self.ends = ends
+            if self.length[self.link[s]] >= least:
+                for t, at in ends[s].items():
+                    ends[self.link[s]].setdefault(t, set()).update(at)
+        self.ends = [{t: sorted(at) for t, at in x.items()} if n >= least else {} for x, n in zip(ends, self.length)]
 
     def _extend(self, last: int, word: int, ends: list) -> int:
         if word in self.next[last]:
@@ -109,13 +111,15 @@ class Scanner:
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         self.sizes, self.n_phrases = [len(t) for t in texts], len(phrases)
         self.min_match, self.min_cover = min_match, min_cover
-        self.automaton = SuffixAutomaton([[self.ids[w] for w in t] for t in texts])
+        self.automaton = SuffixAutomaton([[self.ids[w] for w in t] for t in texts], min_match)
         self.places = self._places([[self.ids[w] for w in t] for t in texts[: self.n_phrases]])
 
     def _places(self, phrases: list[list[int]]) -> list[tuple[int, ...]]:
         """By state: the phrases that end wherever the state's longest passage does, with the needed match length."""
         at: dict[int, list[int]] = {}
         for k, phrase in enumerate(phrases):
+            if not phrase:
+                continue
             *_, (state, length) = self.automaton.matches(phrase)
             assert length == len(phrase)
             at.setdefault(state, []).append(k)
@@ -127,43 +131,51 @@ class Scanner:
     def scan(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], dict[int, float]]:
         """ids: of a document's words, -1 outside the templates. Phrase places (start, phrase) and covers by template."""
         known = np.flatnonzero(ids >= 0)
-        if len(known) < 2:
+        if not len(known):
             return [], {}
         cuts = np.flatnonzero(np.diff(known) > 1) + 1
         places: list[tuple[int, int]] = []
-        chains: dict[int, list[tuple[int, int, int]]] = {}
+        chains: dict[int, list[tuple[int, Sequence[int], int]]] = {}
         a = self.automaton
         for run in np.split(known, cuts):
-            if len(run) < 2:
-                continue
             first, statistics = int(run[0]), list(a.matches(ids[run].tolist()))
             for i, (state, length) in enumerate(statistics):
                 for k in self.places[state]:
                     if length >= self.sizes[k]:
                         places.append((first + i + 1 - self.sizes[k], k))
                 if length >= self.min_match and (i + 1 == len(statistics) or statistics[i + 1][1] <= length):  # maximal
-                    for t, end in a.ends[state].items():
+                    for t, ends in a.ends[state].items():
                         if t >= self.n_phrases:
-                            chains.setdefault(t, []).append((first + i, end, length))
+                            chains.setdefault(t, []).append((first + i, ends, length))
         return places, {t: self._cover(t, matches) for t, matches in chains.items()}
 
-    def _cover(self, template: int, matches: list[tuple[int, int, int]]) -> float:
-        """Share of the template in the best chain of matches that are in order in both the text and the template."""
-        best = [0] * self.sizes[template]  # of the chains of the matches so far, by the template position of their last end
-        for _, end, length in matches:
-            begin = end - length + 1
-            before = max(best[:begin], default=0) + length  # ends before this match
-            within = max((best[e] + end - e for e in range(begin, end)), default=0)  # overlaps it
-            best[end] = max(best[end], before, within)
-        return min(1.0, max(best) / self.sizes[template])
+    def _cover(self, template: int, matches: list[tuple[int, Sequence[int], int]]) -> float:
+        """Share of the template in the best chain of matches (where in the text, ends in the template, length) that are in order in both: each ends
+        after the one before it, in the text and in the template, and adds those of its words that lie after the end of the one before in the template."""
+        size = self.sizes[template]
+        best = np.zeros(size, dtype=np.int64)  # of the chains of the matches so far, by the template position of their last end
+        gain = best - np.arange(size)  # what an overlapping match adds its own end to
+        for _, ends, length in matches:
+            found = []
+            for end in ends:
+                begin = end - length + 1
+                value = length + (int(best[:begin].max()) if begin > 0 else 0)  # after chains that end before this match
+                if length > 1:  # after chains that end within this match
+                    value = max(value, int(gain[max(begin, 0) : end].max()) + end)
+                found.append(value)
+            for end, value in zip(ends, found):  # one match stands in a chain once
+                if value > best[end]:
+                    best[end], gain[end] = value, value - end
+        return min(1.0, int(best.max()) / size)
 
 
 def scan_licences(
-    docs: DataFrame, phrases: dict[str, str] | None = None, templates=TEMPLATES, min_match: int = MIN_MATCH, min_cover: float = MIN_COVER
+    docs: DataFrame, phrases: dict[str, str] | None = None, templates: Sequence[tuple[str, str]] | None = None, min_match: int = MIN_MATCH, min_cover: float = MIN_COVER
 ) -> DataFrame:
     """Per document: words, places of marker phrases (all of them, with the smallest and largest first word), the
     phrases' labels, all labels, and the best cover of any phrase or template as score."""
     phrases = PHRASES if phrases is None else phrases
+    templates = read_templates() if templates is None else list(templates)
 
     def run(batches):
         scanner = Scanner(phrases, templates, min_match, min_cover)

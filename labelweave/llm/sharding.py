@@ -6,10 +6,11 @@ shards * FINE bundles. So at most 2 * shards * FINE items reach the driver, wher
 runs: each item is a partial partition; the two with the largest spread are combined in opposite order, over and over,
 until one is left. Law: `bytes`. A group larger than a shard's fair share stays whole and makes its shard the largest.
 
-Slots are gapless without sorting a shard in one task: rows are numbered within (bundle, part of at most PART_ROWS
-rows on average), and parts get running offsets.
+Slots are gapless without sorting a shard in one task: rows are numbered within (bundle, part), the parts of a bundle are dealt by a hash of the
+row, whatever its doc_id and text, and hold PART_ROWS rows on average (more only where there would be over shards * FINE * PARTS parts), and parts get
+running offsets.
 
-Defined results: a null text has no bytes and goes with empty ones (size 8, CRC 0); a null doc_id is a row like any other; repeated
+Defined results: a very long text counts by its bytes alone; a null text has no bytes and goes with empty ones (size 8, CRC 0); a null doc_id is a row like any other; repeated
 rows each get a slot; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from labelweave.llm import common
 
-SHARDS, FINE, PART_ROWS, OVERHEAD = 24, 64, 50_000, 8
+SHARDS, FINE, PART_ROWS, PARTS, OVERHEAD = 24, 64, 1_000, 64, 8
 
 
 def differencing(sizes: list[int], shards: int) -> list[int]:
@@ -54,11 +55,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, fine: int = FINE, part_rows: in
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = common.written(
-        common.with_key(docs).select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("group")), "shard-rows"
-    )
+    size = (F.octet_length(text) + OVERHEAD).cast("long").alias("size")
+    # row: a name of its own for each row of the table, repeated rows too; it is written, so a task that runs again later sees the same one
+    rows = common.written(common.with_key(docs).select("doc_id", size, F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("group"), F.monotonically_increasing_id().alias("row")), "shard-rows")
     groups = rows.groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    part_rows = max(part_rows, -(-n_rows // (shards * fine * PARTS)))
     least = total // (shards * fine) + 1
     large = groups.where(F.col("size") >= least).collect()  # fewer than shards * fine
     bundle = F.pmod(F.xxhash64("group"), F.lit(shards * fine)).cast("int")
@@ -76,12 +78,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, fine: int = FINE, part_rows: in
         rows.join(F.broadcast(own), "group", "left")  # both are bounded by 2 * shards * fine rows
         .withColumn("bundle", F.coalesce("own", bundle))
         .join(F.broadcast(where), "bundle")
-        .withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.col("parts")).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.col("parts")).cast("int"))
     )
     counts = rows.groupBy("bundle", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("bundle").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     offsets = before.select("bundle", "part", F.coalesce("before", F.lit(0)).alias("before"))
-    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("bundle", "part").orderBy("doc_id", "text_crc32")))
+    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("bundle", "part").orderBy("doc_id", "text_crc32", "row")))
     return numbered.join(offsets, ["bundle", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("before") + F.col("k") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

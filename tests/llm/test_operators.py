@@ -287,7 +287,7 @@ def test_quality(docs, texts):
 
 
 def test_licences(spark):
-    mit = dict(licences.TEMPLATES)["mit"]
+    mit = dict(licences.read_templates()[::-1])["mit"]
     rows = [
         (1, "Code under the MIT License and the mit license."), (2, "cc  BY"), (3, mit.capitalize() + " etc"), (4, " ".join(mit.split()[:10])), (5, None), (6, ""), (7, "GNU General, Public-License; apache license"), (8, "cc by " * 2000), (8, "cc by " * 2000),
         (9, "mit x license gnu general public"), (None, "apache LICENSE"),
@@ -304,10 +304,10 @@ def test_licences(spark):
 
 def test_cover_past_many_matches():
     """Two parts of a notice with many matches between them that cannot follow the first part."""
-    mit = dict(licences.TEMPLATES)["mit"].split()
-    scanner = licences.Scanner(licences.PHRASES, licences.TEMPLATES, 5, 0.5)
+    mit = licences.tokens(dict(licences.read_templates()[::-1])["mit"])
+    scanner = licences.Scanner(licences.PHRASES, licences.read_templates(), 5, 0.5)
     ids = lambda words: licences.np.array([scanner.ids.get(w, -1) for w in words])
-    t = next(i for i, (label, _) in enumerate(licences.TEMPLATES) if label == "mit") + len(licences.PHRASES)
+    t = next(i for i, (label, _) in enumerate(licences.read_templates()) if label == "mit") + len(licences.PHRASES)
     parts = [mit[:22], mit[22:44]]
     for n in (0, 63, 64, 300):
         between = [*mit[:5], "zzz"] * n
@@ -315,20 +315,52 @@ def test_cover_past_many_matches():
         assert covers[t] == 44 / len(mit)
 
 
-def test_cover_by_force():
-    """Against the recursion over all earlier matches."""
-    rng = random.Random(9)
-    template = " ".join(f"w{i}" for i in range(40))
-    scanner = licences.Scanner({}, [("x", template)], 2, 0.5)
+def plain_scan(text, phrases, templates, least, min_cover):
+    """A whole row of scan_licences, by comparing word lists."""
+    words = brute.ALNUM_WORDS.findall((text or "").translate(brute.LOWER))
+    split = lambda x: brute.ALNUM_WORDS.findall(x.translate(brute.LOWER))
+    places = [(i, label) for phrase, label in phrases.items() for i in range(len(words)) if split(phrase) and words[i : i + len(split(phrase))] == split(phrase)]
+    base, labels, score = {x for _, x in places}, set(), 0.0
+    anywhere = [split(x) for x in [*phrases, *(t for _, t in templates)]]
+    inside = lambda x: any(t[i : i + len(x)] == x for t in anywhere for i in range(len(t)))
+    longest = []  # ending at each word, in any template or phrase
+    for i in range(len(words)):
+        n = min(longest[-1] + 1 if longest else 1, i + 1)
+        while n and not inside(words[i + 1 - n : i + 1]):
+            n -= 1
+        longest.append(n)
+    for label, t in templates:
+        t, chain = split(t), []  # (text end, template end, length, best)
+        for i, n in enumerate(longest):
+            if n < least or (i + 1 < len(words) and longest[i + 1] > n):
+                continue
+            for q in [q for q in range(n - 1, len(t)) if t[q + 1 - n : q + 1] == words[i + 1 - n : i + 1]]:
+                chain.append((i, q, n, max([n, *(b + min(n, q - qq) for p, qq, _, b in chain if p < i and qq < q)])))
+        cover = min(1.0, max((b for *_, b in chain), default=0) / len(t))
+        score = max(score, cover)
+        labels |= {label} if cover >= min_cover else set()
+    at = [i for i, _ in places]
+    return (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if at else score)
+
+
+def test_licences_by_force(spark):
+    """Whole rows against the plain version: random texts of fragments of templates that repeat passages, one-word phrases, many fragments."""
+    rng = random.Random(4)
+    templates = [("x", "a b c d e f g a b c d h i j k"), ("y", " ".join(f"w{i}" for i in range(30)) + " a b c d " + " ".join(f"w{i}" for i in range(10, 20))), ("x", "k j i h a b c d e")]
+    phrases = {"a b": "ab", "mit": "one", "w3 w4 w5": "ab", "b c d e": "cde"}
+    texts = [None, "", "MIT", "mit-mit", "zz"]
     for _ in range(60):
-        matches = []
-        for k in range(rng.randrange(1, 200)):
-            end = rng.randrange(1, 40)
-            matches.append((k, end, rng.randrange(1, end + 2)))
-        best = []
-        for i, (_, end, length) in enumerate(matches):
-            best.append(max([length, *(best[j] + min(length, end - matches[j][1]) for j in range(i) if matches[j][1] < end)]))
-        assert scanner._cover(0, matches) == min(1.0, max(best) / 40)
+        parts = []
+        for _ in range(rng.randrange(1, 40)):
+            t = rng.choice(templates)[1].split()
+            i = rng.randrange(len(t))
+            parts += t[i : i + rng.randrange(1, 12)] + ["zz"] * (rng.random() < 0.3) + ["mit"] * (rng.random() < 0.1)
+        texts.append(" ".join(parts))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least, cover in ((3, 0.5), (1, 0.8), (5, 0.3)):
+        got = {r["doc_id"]: tuple(r)[1:] for r in licences.scan_licences(frame, phrases, templates, least, cover).collect()}
+        for i, text in enumerate(texts):
+            assert got[i] == plain_scan(text, phrases, templates, least, cover), (i, text)
 
 
 def test_automaton_matches_by_force():
@@ -340,8 +372,8 @@ def test_automaton_matches_by_force():
     for k, (state, length) in enumerate(automaton.matches(text)):
         best = max((n for n in range(13) if n <= k + 1 and (n == 0 or tuple(text[k + 1 - n : k + 1]) in subs)), default=0)
         assert length == best
-        for t, end in automaton.ends[state].items():
-            assert sequences[t][end + 1 - length : end + 1] == text[k + 1 - length : k + 1]
+        want = {t: [e for e in range(length - 1, 12) if sequences[t][e + 1 - length : e + 1] == text[k + 1 - length : k + 1]] for t in range(4)}
+        assert length == 0 or automaton.ends[state] == {t: e for t, e in want.items() if e}
 
 
 def test_urls(spark):
@@ -424,6 +456,42 @@ def test_sharding(docs, texts):
     assert all(len(v) == 1 for v in homes.values())  # equal texts stay together
 
 
+def plain_differencing(sizes, shards):
+    """Loads of the shards: partitions as lists of (sum), the two of the largest spread combined in opposite order, ties by age."""
+    parts = [(sorted([s] + [0] * (shards - 1)), -i) for i, s in enumerate(sizes)]
+    age = len(sizes)
+    while len(parts) > 1:
+        parts.sort(key=lambda x: (x[0][-1] - x[0][0], x[1]))
+        (a, _), (b, _) = parts.pop(), parts.pop()
+        parts.append((sorted(p + q for p, q in zip(a, b[::-1])), -age))
+        age += 1
+    return parts[0][0]
+
+
+def test_sharding_by_force(spark):
+    """Whole rows: every group is an item of its own, so the shards' bytes are those of plain differencing; hot ids and texts, null ids."""
+    rng = random.Random(5)
+    texts = ["x" * rng.randrange(1, 4000) + str(i) for i in range(60)]
+    rows = [(i, rng.choice(texts)) for i in range(150)] + [(7, texts[0])] * 40 + [(None, texts[1])] * 30 + [(None, None), (5, "é" * 50000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sharding.shard(frame, shards=5, fine=5000, part_rows=4).collect()
+    size = lambda t: len((t or "").encode()) + 8
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted((str(d), size(t), zlib.crc32((t or "").encode())) for d, t in rows)
+    shards = {}
+    for r in got:
+        shards.setdefault(r["shard"], []).append(r)
+    for own in shards.values():
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+    assert len({(r["text_crc32"], r["size"], r["shard"]) for r in got}) == len({t for _, t in rows})
+    loads = Counter()
+    for _, t in rows:
+        loads[t] += size(t)
+    want = plain_differencing(sorted(loads.values(), reverse=True), 5)
+    # a partial partition's smallest sum is taken off as differencing goes on; the spreads are what it balances
+    have = sorted(sum(r["size"] for r in own) for own in shards.values())
+    assert sum(have) == sum(want) and have[-1] - have[0] == want[-1] - want[0]
+
+
 def test_differencing():
     assert sharding.differencing([], 3) == []
     # the textbook case: 8 7 6 5 4 in two parts, 16 and 14 by differencing
