@@ -206,6 +206,14 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return arrow(df, lambda batches: (fn(b) for b in batches if b.num_rows), schema)
 
 
+def free_prefix(columns: list[str], prefix: str, names) -> str:
+    """The prefix, after as many underscores as keep `names` behind it apart from the columns (whose case Spark ignores)."""
+    held = {c.lower() for c in columns}
+    while any(f"{prefix}{x}".lower() in held for x in names):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def with_key(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, text) alone, whatever else the table has."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -5,18 +5,18 @@ training and benchmark texts alike, so a shared span of k + window - 1 words alw
 is extended: the `span`-word windows around it are compared word hash by word hash with those of the benchmark. Items
 shorter than a span are one window; for each length that occurs, k is that length and the winnowing window 1.
 
-The benchmark is worked in blocks of at most BLOCK_BYTES of text (its size is measured first); each block's table is
-broadcast, and the documents pass one map per block, without a shuffle.
+The benchmark is worked in blocks of about BLOCK_BYTES of text (its size is measured first). A block's table, about seven bytes for each byte of text, is
+broadcast, and the documents pass it in one map, without a shuffle. If there are several blocks, the documents are written after each, and its
+table goes before the next one is collected.
 
 Defined results: null or empty texts have no words and are never contaminated; items without words or item_id are
 ignored; a repeated item_id counts once; repeated documents are judged alike, each; an empty table on either side
-gives no hits; other columns pass through `flag` (its own begin with `prefix`).
+gives no hits; a very long text is a slice of its own, an item longer than a block a block of its own; other columns pass through `flag` (its own begin with `prefix`).
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,9 @@ from pyspark.sql import types as T
 
 from labelweave.llm import common
 
-SPAN, GRAM, BLOCK_BYTES = 13, 5, 32 << 20
+SPAN, GRAM, BLOCK_BYTES = 13, 5, 16 << 20
+#: What flag() adds.
+COLUMNS = ("n_words", "hit_starts", "hit_stops", "items", "n_hit", "n_items", "items_sha256", "contaminated")
 _TOP = np.uint64((1 << 64) - 1)
 
 
@@ -62,116 +64,149 @@ class Words(common.WordHashes):
 
 
 class Table:
-    """The windows of a block of items, by length: their hashes in order, their words, their items; and the fingerprints."""
+    """The windows of a block of items, by length: the distinct ones' hashes in order, where each stands in the items' words, and which items hold it;
+    and the fingerprints. Windows that differ may share a hash: words are compared."""
 
     def __init__(self, items: list[tuple[int, str]], span: int, gram: int):
         texts = [t.encode() for _, t in items]
         offsets = np.cumsum([0, *map(len, texts)])
-        self.words = Words(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
-        by: dict[int, dict[bytes, set[int]]] = defaultdict(lambda: defaultdict(set))
-        hashes = self.words.hashes
-        for row, (item, _) in enumerate(items):
-            a, b = self.words.begin[row : row + 2]
-            size = min(span, b - a)
-            if size:
-                for i in range(a, b - size + 1):
-                    by[int(size)][hashes[i : i + size].tobytes()].add(item)
+        w = Words(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
+        ids, self.flat = np.array([i for i, _ in items], dtype=np.int64), w.hashes
+        counts = np.diff(w.begin)
+        sizes = np.minimum(counts, span)[w.row] if w.n else np.zeros(0, dtype=np.int64)
+        at = np.flatnonzero(np.arange(w.n) + sizes <= w.end)  # every word at which a window begins
         self.lengths = {}
-        for size, windows in by.items():
-            k = gram if size == span else size
-            rows = np.frombuffer(b"".join(windows), dtype=np.uint64).reshape(-1, size)
-            keys = common.mix(np.array([common.Prefix(r).sums[-1] for r in rows], dtype=np.uint64))
-            order = np.argsort(keys, kind="stable")
-            # fingerprints: every k-gram that is the smallest of some window of its item
-            prints = set()
-            for r in rows:
-                p = common.Prefix(r)
-                prints.add(int(common.mix(p.rolling(k)).min()))
-            self.lengths[size] = (k, np.array(sorted(prints), dtype=np.uint64), keys[order], rows[order], [list(windows.values())[i] for i in order])
-        del self.words
-
-    def match(self, w: Words) -> tuple[np.ndarray, np.ndarray, dict[int, set[int]]]:
-        """Word ranges inside windows that occur, and the items by row."""
-        starts, stops, found = [], [], defaultdict(set)
-        for size, (k, prints, keys, rows, items) in self.lengths.items():
+        for size in np.unique(sizes[at]).tolist():
+            k, own = gram if size == span else size, at[sizes[at] == size]
+            keys = common.mix(w.prefix.ranges(own, own + size))
+            order = np.lexsort((ids[w.row[own]], keys))
+            own, keys = own[order], keys[order]
+            new = np.append(True, keys[1:] != keys[:-1])
+            same = np.flatnonzero(~new)
+            for part in np.array_split(same, len(same) // (1 << 16) + 1):
+                new[part] |= ~self.equal(self.flat, own[part], own[part - 1], size)
+            group, holder = np.cumsum(new) - 1, ids[w.row[own]]
+            both = np.unique(np.stack([group, holder], axis=1), axis=0) if len(own) else np.zeros((0, 2), dtype=np.int64)
+            items_at = np.searchsorted(both[:, 0], np.arange(group[-1] + 2))
+            prints = [np.zeros(0, dtype=np.uint64)]
+            for part in np.array_split(own[new], int(new.sum()) // (1 << 16) + 1):  # of each window its smallest k-gram
+                grams = common.mix(w.prefix.ranges((part[:, None] + np.arange(size - k + 1)).ravel(), (part[:, None] + np.arange(k, size + 1)).ravel()))
+                prints.append(np.unique(grams.reshape(len(part), -1).min(axis=1)) if len(part) else grams)
+            self.lengths[size] = (k, np.unique(np.concatenate(prints)), keys[new], own[new], items_at, np.ascontiguousarray(both[:, 1]))
+
+    def equal(self, words: np.ndarray, at: np.ndarray, here: np.ndarray, size: int) -> np.ndarray:
+        """Whether the windows of `words` at `at` are those of the block at `here`."""
+        span = np.arange(size)
+        return (words[at[:, None] + span] == self.flat[here[:, None] + span]).all(axis=1)
+
+    def match(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word ranges inside windows that occur (starts, stops), and (row, item) pairs, distinct and in order."""
+        starts, stops, pairs = [], [], [np.zeros((0, 2), dtype=np.int64)]
+        for size, (k, prints, keys, places, items_at, items) in self.lengths.items():
             at = w.fingerprints(k, size - k + 1)
             if not len(at):
                 continue
             got = common.mix(w.prefix.ranges(at, at + k))
-            near = np.searchsorted(prints, got)
-            at = at[(near < len(prints)) & (prints[np.minimum(near, len(prints) - 1)] == got)]
+            near = np.minimum(np.searchsorted(prints, got), len(prints) - 1)
+            at = at[prints[near] == got]
             if not len(at):
                 continue
             at = np.unique((at[:, None] - np.arange(size - k + 1)).ravel())
             at = at[at >= 0]
             at = at[at + size <= w.end[at]]
-            at = at[w.row[at] == w.row[np.minimum(at + size - 1, w.n - 1)]]
             got = common.mix(w.prefix.ranges(at, at + size))
             lo, hi = np.searchsorted(keys, got), np.searchsorted(keys, got, side="right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                for i in range(a, b):
-                    if np.array_equal(rows[i], w.hashes[p : p + size]):
-                        starts.append(p)
-                        stops.append(p + size)
-                        found[int(w.row[p])] |= items[i]
-        return np.array(starts, dtype=np.int64), np.array(stops, dtype=np.int64), found
-
-
-def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
-    """The benchmark in lists of about `most` bytes at most. One block is collected at a time."""
+            which = np.repeat(np.arange(len(at)), hi - lo)
+            group = lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+            at = at[which]
+            ok = self.equal(w.hashes, at, places[group], size)
+            at, group = at[ok], group[ok]
+            starts.append(at)
+            stops.append(at + size)
+            found = np.unique(np.stack([w.row[at], group], axis=1), axis=0)
+            many = items_at[found[:, 1] + 1] - items_at[found[:, 1]]
+            held = np.repeat(items_at[found[:, 1]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            pairs.append(np.stack([np.repeat(found[:, 0], many), items[held]], axis=1))
+        none = [np.zeros(0, dtype=np.int64)]
+        return np.concatenate(starts or none), np.concatenate(stops or none), np.unique(np.concatenate(pairs), axis=0)
+
+
+def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in lists of about `most` bytes, collected one at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     n = -(-size // most)
     for b in range(n):
-        yield [(x["item_id"], x["text"]) for x in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).toLocalIterator()]
+        yield [(x["item_id"], x["text"]) for x in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).toLocalIterator()]
+
+
+def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int64()))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, prefix: str = "", span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items_sha256, contaminated, and the hit ranges of words (hit_starts, hit_stops)."""
+    """docs with n_words, n_hit, n_items, items_sha256, contaminated, and the hit ranges of words (hit_starts, hit_stops), each name after the prefix
+    (after common.free_prefix of it, where docs has a column of such a name)."""
+    prefix = common.free_prefix(docs.columns, prefix, COLUMNS)
     spark = docs.sparkSession
     names = [f"{prefix}{x}" for x in ("n_words", "hit_starts", "hit_stops", "items")]
     kinds = [T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType()), T.ArrayType(T.LongType())]
-    arrow = [pa.int64(), *[pa.list_(pa.int64())] * 3]
-    out, held = docs, [spark.sparkContext.broadcast(Table(b, span, gram)) for b in blocks(benchmark, block_bytes)] or [spark.sparkContext.broadcast(Table([], span, gram))]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, kinds))])
+    fields = list(docs.columns)
 
-    def one(table, first: bool, fields: list[str]):
+    def one(table, first: bool):
         def run(batches):
             for batch in batches:
                 data, offsets = common.flat(batch.column(fields.index("text")))
-                new: list[list] = [[], [], [], []]
+                rows, ranges, items = [], [np.zeros((0, 3), dtype=np.int64)], [np.zeros((0, 2), dtype=np.int64)]
                 for a, b, part, at in common.slices(data, offsets):
                     w = Words(part, at)
-                    starts, stops, items = table.value.match(w)
-                    starts, stops = common.intervals(starts, stops)
-                    cut = np.searchsorted(starts, w.begin)  # no window crosses documents, but two may touch
-                    for row in range(b - a):
-                        lo, s = w.begin[row], starts[cut[row] : cut[row + 1]]
-                        e = stops[cut[row] : cut[row + 1]]
-                        if cut[row] and stops[cut[row] - 1] > lo:  # a range joined with the row before
-                            s, e = np.append(lo, s), np.append(stops[cut[row] - 1], e)
-                        new[0].append(int(w.begin[row + 1] - lo))
-                        new[1].append(s - lo)
-                        new[2].append(np.minimum(e, w.begin[row + 1]) - lo)
-                        new[3].append(sorted(items.get(row, ())))
-                columns = list(batch.columns)
-                if not first:
-                    columns, old = columns[:-4], [c.to_pylist() for c in columns[-3:]]
-                    for k in range(batch.num_rows):
-                        s, e = common.intervals(np.append(new[1][k], old[0][k]).astype(np.int64), np.append(new[2][k], old[1][k]).astype(np.int64))
-                        new[1][k], new[2][k], new[3][k] = s, e, sorted({*new[3][k], *old[2][k]})
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, t) for x, t in zip(new, arrow))], names=[*fields, *names])
+                    starts, stops, found = table.value.match(w)
+                    row = w.row[starts] if len(starts) else starts
+                    ranges.append(np.stack([row + a, starts - w.begin[row], stops - w.begin[row]], axis=1))
+                    items.append(found + np.array([a, 0]))
+                    rows.append(np.diff(w.begin))
+                n, columns = batch.num_rows, list(batch.columns)
+                if not first:  # what earlier blocks found
+                    columns, (old_starts, old_stops, old_items) = columns[:-4], batch.columns[-3:]
+                    own = np.repeat(np.arange(n), np.diff(old_starts.offsets.to_numpy()))
+                    ranges.append(np.stack([own, old_starts.flatten().to_numpy(), old_stops.flatten().to_numpy()], axis=1))
+                    own = np.repeat(np.arange(n), np.diff(old_items.offsets.to_numpy()))
+                    items.append(np.stack([own, old_items.flatten().to_numpy()], axis=1))
+                ranges, items = np.concatenate(ranges), np.unique(np.concatenate(items), axis=0)
+                shift = ranges[:, 0] << 40  # a stretch of its own for each row
+                starts, stops = common.intervals(ranges[:, 1] + shift, ranges[:, 2] + shift)
+                row, low = starts >> 40, (1 << 40) - 1
+                cuts, item_cuts = np.searchsorted(row, np.arange(n + 1)), np.searchsorted(items[:, 0], np.arange(n + 1))
+                new = [pa.array(np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64), pa.int64()), _lists(starts & low, cuts), _lists(stops & low, cuts), _lists(items[:, 1], item_cuts)]
+                yield pa.RecordBatch.from_arrays([*columns, *new], names=[*fields, *names])
 
         return run
 
-    for k, table in enumerate(held):
-        schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, kinds))])
-        out = common.arrow(out, one(table, not k, list(docs.columns)), schema)
+    out, table, before = docs, None, None
+    for k, block in enumerate(blocks(benchmark, block_bytes)):
+        if table is not None:  # documents with the hits so far, so that one table is alive at a time
+            out, last = common.written(out, "hits"), before
+            table.destroy()
+            common.drop(last)
+            before = out
+        table = spark.sparkContext.broadcast(Table(block, span, gram))
+        del block
+        out = common.arrow(out, one(table, not k), schema)
+    if table is None:
+        out = common.arrow(out, one(spark.sparkContext.broadcast(Table([], span, gram)), True), schema)
     hit = F.aggregate(F.zip_with(names[2], names[1], lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     out = out.withColumn(f"{prefix}n_hit", hit).withColumn(f"{prefix}n_items", F.size(names[3]).cast("long"))
     out = out.withColumn(f"{prefix}items_sha256", F.sha2(F.array_join(F.array_sort(F.transform(names[3], lambda x: x.cast("string"))), ","), 256))
     return out.withColumn(f"{prefix}contaminated", (F.col(f"{prefix}n_hit") > 0) & (F.col(f"{prefix}n_hit") * 20 >= F.col(names[0])))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, that are not contaminated."""
+    prefix = common.free_prefix(docs.columns, "_", COLUMNS)
+    return flag(docs, benchmark, prefix).where(~F.col(f"{prefix}contaminated")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     docs = common.with_key(spark.read.parquet(f"{sf_dir}/documents.parquet"))

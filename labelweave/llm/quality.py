@@ -1,17 +1,17 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a condition over counts of a text. On a bounded sample the cascade measures what a rule costs (time over
-the sample) and how much it rejects, and then asks the rules in descending order of rejection per cost: a CASE
-expression, whose later branches Spark evaluates only for rows that all earlier ones let pass. The order decides the cost and
+Each rule is a condition over counts of a text. On a bounded sample the cascade measures how much each rule rejects and what it costs, and then asks the
+rules in descending order of rejection per cost: a CASE expression inside one lambda over the words, which are split once; a later
+branch, and what it counts, is worked out only for rows that all earlier ones let pass. The cost is counted, not timed, so that it is the same in every
+run: characters, lines and words of the sample that a rule goes through, each at its weight (UNIT_COST). The order decides the cost and
 which rule is named first; whether a document is kept does not depend on it.
 
-Defined results: a null or empty text has no words and fails `few_words`; repeated rows are judged alike, each; an
-empty table gives an empty result; other columns pass through `judge`.
+Defined results: a null or empty text has no words and fails `few_words`; a very long text is judged whole; repeated rows are judged alike, each; an
+empty table gives an empty result; other columns pass through `judge` and `keep`, whatever their names.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +22,7 @@ from labelweave.llm import common
 #: Rows of the sample on which costs and selectivities are measured, and its share of the table.
 SAMPLE_ROWS, SAMPLE_SHARE = 200, 0.05
 BLANK = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def _text(text: str) -> Column:
@@ -42,13 +42,9 @@ def _let(value: Column, body) -> Column:
 def repeated_words(words: Column, width: int = 3) -> Column:
     """Words that lie in a window of `width` words which the list holds more than once (the first time counts too)."""
 
-    def of_windows(hashes: Column) -> Column:
-        n = F.size(hashes) - (width - 1)
-        keys = F.transform(
-            F.arrays_zip(*(F.slice(hashes, k + 1, n).alias(f"w{k}") for k in range(width))),
-            lambda x, i: F.struct(F.xxhash64(*(x[f"w{k}"] for k in range(width))).alias("h"), i.alias("i")),
-        )
-        return _let(F.sort_array(keys), covered)
+    def of_windows(windows: Column) -> Column:  # most texts repeat no window: nothing is sorted for them
+        keys = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(_let(F.sort_array(keys), covered))
 
     def covered(keys: Column) -> Column:
         n = F.size(keys)
@@ -65,61 +61,66 @@ def repeated_words(words: Column, width: int = 3) -> Column:
             lambda s: s["n"],
         )
 
-    return F.when(F.size(words) > width, _let(F.transform(words, lambda w: F.xxhash64(w)), of_windows)).otherwise(F.lit(0).cast("long"))
+    first = F.slice(words, 1, F.greatest(F.size(words) - (width - 1), F.lit(0)))
+    windows = F.transform(first, lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, width))))
+    return _let(windows, of_windows)
+
+
+def _counts(value: Column, words: Column) -> dict[str, Column]:
+    lines = F.filter(F.split(value, "\n", -1), lambda x: F.btrim(x, F.lit(BLANK)) != "")
+    return {
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(value, F.lit(SYMBOLS)).cast("long"),
+        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": repeated_words(words),
+    }
 
 
 def with_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (each after the prefix)."""
-    value, words = _text(text), f"{prefix}words"
-    lines = F.filter(F.split(value, "\n", -1), lambda x: F.btrim(x, F.lit(BLANK)) != "")
-    return (
-        docs.withColumn(words, word_list(text))
-        .withColumn(f"{prefix}n_words", F.size(words).cast("long"))
-        .withColumn(f"{prefix}word_chars", F.length(F.translate(value, BLANK, "")).cast("long"))
-        .withColumn(f"{prefix}n_symbols", (F.length(value) - F.length(F.translate(value, SYMBOLS, ""))).cast("long"))
-        .withColumn(f"{prefix}n_dup_lines", _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn(f"{prefix}n_repeat_words", repeated_words(F.col(words)))
-        .drop(words)
-    )
-
-
-def rules(prefix: str = "") -> dict[str, Column]:
-    """name: what rejects, over the counts. The first two are the base rules."""
-    n = F.col(f"{prefix}n_words")
+    words = f"{prefix}words"
+    counts = _counts(_text(text), F.col(words))
+    return docs.withColumn(words, word_list(text)).withColumns({f"{prefix}{k}": v for k, v in counts.items()}).drop(words)
+
+
+def rules(counts: Mapping[str, Column] | None = None) -> dict[str, Column]:
+    """name: what rejects, over the counts (columns of these names). The first two are the base rules."""
+    c = counts or {k: F.col(k) for k in COUNTS}
+    n = c["n_words"]
     return {
         "few_words": n < 50,
-        "repeated_words": F.col(f"{prefix}n_repeat_words") * 100 > n * 50,
-        "word_length": (F.col(f"{prefix}word_chars") < n * 2) | (F.col(f"{prefix}word_chars") > n * 15),
-        "symbols": F.col(f"{prefix}n_symbols") * 10 > n,
-        "duplicate_lines": F.col(f"{prefix}n_dup_lines") * 10 > n,
+        "repeated_words": c["n_repeat_words"] * 100 > n * 50,
+        "word_length": (c["word_chars"] < n * 2) | (c["word_chars"] > n * 15),
+        "symbols": c["n_symbols"] * 10 > n,
+        "duplicate_lines": c["n_dup_lines"] * 10 > n,
     }
 
 
-BASE = ("few_words", "repeated_words")
-#: What has to be counted for a rule; the cascade measures it.
-NEEDS = {
-    "few_words": ("n_words",),
-    "repeated_words": ("n_words", "n_repeat_words"),
-    "word_length": ("n_words", "word_chars"),
-    "symbols": ("n_words", "n_symbols"),
-    "duplicate_lines": ("n_words", "n_dup_lines"),
-}
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RULES = ("few_words", "repeated_words", "word_length", "symbols", "duplicate_lines")
+BASE = RULES[:2]
+#: Cost of a rule in nanoseconds for each (character, line, word, word times log2 of words) of a text, beside the split that all share.
+UNIT_COST = {"few_words": (0, 0, 0, 0), "repeated_words": (0, 0, 400, 20), "word_length": (0, 0, 100, 0), "symbols": (5, 0, 0, 0), "duplicate_lines": (5, 200, 0, 0)}
 
 
 def order_rules(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, share: float = SAMPLE_SHARE) -> list[str]:
-    """Rule names by rejection per cost, best first; ties, and an empty sample, in the order of NEEDS."""
-    spark = docs.sparkSession
-    few = docs.select(F.col(text).cast("string").alias("text"))
-    sample = few.sample(share, seed=7).limit(rows).collect() or few.limit(rows).collect()
-    if not sample:
-        return list(NEEDS)
-    held = spark.createDataFrame([(x["text"],) for x in sample], "text string").coalesce(1)
-    counted, gains = with_counts(held, prefix="_"), {}
-    for name, condition in rules("_").items():
-        began = time.perf_counter()
-        rejected = counted.select(F.coalesce(condition, F.lit(False)).cast("int").alias("x")).agg(F.sum("x")).first()[0] or 0
-        gains[name] = rejected / max(time.perf_counter() - began, 1e-6)
-    return sorted(NEEDS, key=lambda name: -gains[name])
+    """Rule names by rejection per cost, best first; ties, and an empty sample, in the order of RULES. Numbers of at most `rows` texts reach the
+    driver, no text does."""
+
+    def sampled(few: DataFrame) -> list:
+        counted = with_counts(few).select(
+            *(F.coalesce(condition, F.lit(False)).cast("int").alias(name) for name, condition in rules().items()),
+            F.length("text").alias("_chars"), F.regexp_count("text", F.lit("\n")).alias("_lines"), F.col("n_words").alias("_words"),
+            (F.col("n_words") * F.log2(F.col("n_words") + 1)).alias("_sort"),
+        )
+        return counted.limit(rows).collect()
+
+    few = docs.select(_text(text).alias("text"))
+    sample = sampled(few.sample(withReplacement=False, fraction=share, seed=7)) or sampled(few)
+    units = [sum(x[u] for x in sample) for u in ("_chars", "_lines", "_words", "_sort")]
+    cost = {name: 1 + sum(w * u for w, u in zip(UNIT_COST[name], units)) for name in RULES}
+    return sorted(RULES, key=lambda name: -sum(x[name] for x in sample) / cost[name])
 
 
 def cascade(order: list[str], conditions: Mapping[str, Column]) -> Column:
@@ -130,17 +131,28 @@ def cascade(order: list[str], conditions: Mapping[str, Column]) -> Column:
     return out
 
 
-def judge(docs: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
-    """All columns of docs, and `_rejected_by`: the first rule of the cascade that rejects the row, null for a row that is kept."""
-    order = order or order_rules(docs, text)
-    names = docs.columns
-    return with_counts(docs, text, "_quality_").select(*(F.col(f"`{c}`") for c in names), cascade(order, rules("_quality_")).alias("_rejected_by"))
+def rejected_by(order: list[str], text: str = "text") -> Column:
+    """cascade() over a text. The words are a variable of a lambda, so whatever Spark does with the expression they are split once, and it evaluates
+    the branches one by one."""
+    value = _text(text)
+    return _let(word_list(text), lambda words: cascade(order, rules(_counts(value, words))))
+
+
+def judge(docs: DataFrame, text: str = "text", order: list[str] | None = None, name: str = "_rejected_by") -> DataFrame:
+    """All columns of docs, and the first rule of the cascade that rejects the row, null for a row that is kept (a column of this name, after
+    common.free_prefix where docs has one)."""
+    name = common.free_prefix(docs.columns, "", [name]) + name
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns), rejected_by(order or order_rules(docs, text), text).alias(name))
+
+
+def keep(docs: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
+    """The rows of docs, all columns, that no rule rejects."""
+    return docs.where(rejected_by(order or order_rules(docs, text), text).isNull())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    order = order_rules(docs)
-    counted, asked = with_counts(common.with_key(docs)), rules()
+    order, counted, asked = order_rules(docs), with_counts(common.with_key(docs)), rules()
     base = F.lit(False)
     for name in BASE:
         base = base | asked[name]

@@ -269,6 +269,9 @@ def test_contamination(spark, docs, texts):
     own = docs.select("doc_id", "text")
     assert corpus.as_set(decontaminate.flag(own, bench).select(*columns).collect()) == want
     assert corpus.as_set(decontaminate.flag(own, bench, block_bytes=100).select(*columns).collect()) == want
+    odd = docs.withColumn("_contaminated", F.lit("z")).withColumn("__N_HIT", F.lit(5))
+    kept = decontaminate.clean(odd, bench)
+    assert kept.columns == odd.columns and Counter(r["_contaminated"] for r in kept.collect()) == {"z": sum(not r[-1] for r in brute.contaminated(texts, items))}
     clash = decontaminate.flag(docs, bench, prefix="_d_")
     assert clash.columns[: len(docs.columns)] == docs.columns and clash.count() == docs.count()
     assert not decontaminate.flag(own, bench.limit(0)).where("contaminated").count()
@@ -278,12 +281,18 @@ def test_quality(docs, texts):
     counted = quality.with_counts(docs.select("doc_id", "text")).withColumn("base", quality.rules()["few_words"] | quality.rules()["repeated_words"])
     got = counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base").collect()
     assert corpus.as_set(got) == corpus.as_set(brute.quality(texts))
-    names = list(quality.NEEDS)
+    names = list(quality.RULES)
     one, other = (quality.judge(docs, order=o) for o in (names, names[::-1]))
     assert one.columns == [*docs.columns, "_rejected_by"]
     kept = lambda x: corpus.as_set(x.where("_rejected_by IS NULL").select("doc_id", "text").collect())
     assert kept(one) == kept(other) and sorted(quality.order_rules(docs)) == sorted(names)
-    assert not [x for x in json.dumps(quality.judge(docs)._jdf.queryExecution().toString()).split() if "Python" in x]
+    plan = json.dumps(quality.keep(docs)._jdf.queryExecution().optimizedPlan().toString())
+    assert "Python" not in plan and plan.count("array_remove") == 1  # the words are split once
+    table = common.written(docs)  # whose rows come in one order
+    assert len({tuple(quality.order_rules(table)) for _ in range(4)}) == 1
+    clash = docs.withColumn("_rejected_by", F.lit("z")).withColumn("__Rejected_By", F.lit("y"))
+    assert quality.judge(clash).columns == [*clash.columns, "___rejected_by"]
+    assert quality.keep(clash).columns == clash.columns and corpus.as_set(quality.keep(clash).select("doc_id", "text").collect()) == kept(one)
 
 
 def test_licences(spark):
