@@ -15,7 +15,7 @@ from labelweave.llm import bpe, common, decontaminate, quality, repeats, simhash
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the cascade rejects."""
-    return quality.judge(docs).where(F.col("_rejected_by").isNull()).drop("_rejected_by")
+    return quality.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,7 @@ def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with benchmark items."""
     common.prepare(spark)
-    flagged = decontaminate.flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), prefix="_decontaminate_")
-    return flagged.where(~F.col("_decontaminate_contaminated")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = common.written(docs, name)
+            common.drop(before)  # the input, which nobody wrote here, stays
     return docs
