@@ -14,7 +14,7 @@ bits of a minimum hash of the shingles, and its candidates are checked on their
 
 Defined results: null and empty texts have the zero fingerprint, linked like any other, and empty shingle sets, which
 are copies of one another; rows without a doc_id take part (component_id null if no row of the component has one); repeated rows
-share fingerprint and component; an empty table gives an empty result; other columns are ignored, or pass through `keep_one`.
+share fingerprint and component; a very long text is hashed whole, shingle by shingle; an empty table gives an empty result; other columns are ignored, or pass through `keep_one`.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ CLOSE = 6
 #: Members from which on a bucket's leaders are chosen, not just taken in order.
 CROWD = 16
 PAIRS = 1 << 22
+#: Pairs of one node that meet its shingle set in one task, on average.
+MEET = 1000
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -319,9 +321,17 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
         ok = [i for i in range(len(u)) if jaccard(a[i], b[i]) >= similarity]
         return pa.RecordBatch.from_arrays([pa.array([u[i] for i in ok], pa.int64()), pa.array([v[i] for i in ok], pa.int64())], names=["u", "v"])
 
+    def with_sets(pairs, side, other, name):
+        """pairs with the set of one side. One that stands in many pairs (a leader) is sent to as many tasks as it takes for MEET pairs each."""
+        parts = pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > MEET).select(side, F.ceil(F.col("n") / MEET).cast("int").alias("parts"))
+        dealt = pairs.join(parts, side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        own = sets.select(F.col("node").alias(side), F.col("shingles").alias(name)).join(parts, side, "left")
+        own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        return dealt.join(own, [side, "part"]).drop("part")
+
     def verified(pairs):
-        pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-        return common.map_arrow(pairs.select("u", "v", "a", "b"), verify, "u long, v long")
+        met = with_sets(with_sets(pairs, "u", "v", "a"), "v", "u", "b")
+        return common.map_arrow(met.select("u", "v", "a", "b"), verify, "u long, v long")
 
     found = components(verified(candidates))
 
@@ -342,22 +352,26 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
     if more.limit(1).count():
         found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     by_digest = ring.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return signed.select("doc_id", "digest").join(by_digest, "digest")
+    judged = common.written(signed.select("doc_id", "digest").join(by_digest, "digest"), "judged")
+    common.drop(signed, ring, compared, sets, more)
+    return judged
 
 
 def keep_one(docs: DataFrame, width: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, all columns, of the document that stands for its component: the smallest doc_id (rows without one come last; of several texts with one
-    doc_id that of the smallest digest). Of a row that the table repeats whole, one is left."""
-    judged = common.written(near_duplicates(docs, width, similarity), "judged")
+    doc_id that of the smallest digest). Of rows with that doc_id and text, which may differ in other columns, any one is left."""
+    judged = near_duplicates(docs, width, similarity)
     rows = judged.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
     firsts = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("x"))
     rows = common.written(rows.join(firsts, "component").withColumn("first", F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("digest") == F.col("x.digest"))).drop("x"), "rows")
-    gone = rows.where(~F.col("first")).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
+    common.drop(judged)
     digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    kept = docs.join(gone.hint("shuffle_merge"), (digest == F.col("_gone_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")
-    if rows.where("first AND n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    named = lambda part: rows.where(part).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")).hint("shuffle_merge")
+    same = (digest == F.col("_gone_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id"))
+    if not rows.where("first AND n > 1").limit(1).count():
+        return docs.join(named("NOT first"), same, "left_anti")
+    kept = docs.join(named("NOT first OR n > 1"), same, "left_anti")
+    return kept.unionByName(docs.join(named("first AND n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
