@@ -38,6 +38,8 @@ CROWD = 16
 PAIRS = 1 << 22
 #: Pairs of one node that meet its shingle set in one task, on average.
 MEET = 1000
+#: Bins of the sketch that candidates of the second round must agree in.
+BINS = 512
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -194,6 +196,22 @@ def ring_signature(hashes: np.ndarray, segments: int = RING) -> np.ndarray:
     return (common.mix(out) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def sketch(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """One-permutation sketch: the smallest hash of each bin, as 1 to 255; 0 for an empty bin."""
+    out, x = np.zeros(bins, dtype=np.uint8), np.sort(common.mix(hashes ^ _SALTS[0]))
+    where = (x >> np.uint64(64 - (bins - 1).bit_length())).astype(np.int64)
+    first = np.flatnonzero(np.diff(where, prepend=-1))
+    out[where[first]] = (common.mix(x[first]) % np.uint64(255)).astype(np.uint8) + 1
+    return out
+
+
+def may_be_similar(one: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which sketches agree with one in as many bins as sets of that similarity do, less three standard deviations."""
+    used = ((others | one) != 0).sum(axis=1)
+    agree = ((others == one) & (others != 0)).sum(axis=1)
+    return agree >= similarity * used - 3 * np.sqrt(similarity * (1 - similarity) * used)
+
+
 def ring_pairs(nodes: np.ndarray, signatures: np.ndarray, budget: int = RING_BUDGET, close: int = CLOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First candidate links (member, leader) in a bucket. A leader is compared with all others; those not close to it are compared with the
     next one. In a crowd the leader is the member that agrees with most of the medians of all segments, its centre if it has one, so
@@ -231,8 +249,20 @@ def _runs(*segments: np.ndarray):
             yield run
 
 
-def ring_rest(nodes: np.ndarray, signatures: np.ndarray, labels: np.ndarray, budget: int = RING_BUDGET):
-    """All pairs of a bucket's members (the smaller first) that are within budget and have different labels, in pieces; a pair may come up to three times.
+def _earlier(differ: np.ndarray, segment: int, allowed: np.ndarray) -> np.ndarray:
+    """For pairs as differing segments from `segment` on: whether they keep to the budget from a segment before it, too, and so meet in its bucket."""
+    m = differ.shape[1]
+    sums = np.cumsum(np.concatenate([np.zeros((len(differ), 1), dtype=bool), differ, differ], axis=1), axis=1, dtype=np.int16)
+    out = np.zeros(len(differ), dtype=bool)
+    for j in range(segment):
+        r = (j - segment) % m
+        out |= (sums[:, r + 1 : r + 1 + m] - sums[:, r : r + 1] <= allowed).all(axis=1)
+    return out
+
+
+def ring_rest(nodes: np.ndarray, signatures: np.ndarray, labels: np.ndarray, budget: int = RING_BUDGET, segment: int = 0, sketches: np.ndarray | None = None, similarity: float = SIMILARITY):
+    """All pairs of a bucket's members (the smaller first) that are within budget, have different labels and sketches that may be of similar sets, in
+    pieces, but for those that meet in an earlier segment's bucket; a pair may come up to three times.
     Of the three segments after the bucket's two, a pair within budget has two equal, so a crowd is looked up by each two of them."""
     m = signatures.shape[1]
     allowed = np.arange(1, m + 1) * budget // m
@@ -245,7 +275,12 @@ def ring_rest(nodes: np.ndarray, signatures: np.ndarray, labels: np.ndarray, bud
         own, first = signatures[run], np.append(0, np.flatnonzero(np.diff(label)) + 1)
         for k, before in zip(range(len(run)), np.repeat(first, np.diff(np.append(first, len(run)))).tolist()):
             if before:
-                ok = np.flatnonzero((np.cumsum(own[:before] != own[k], axis=1, dtype=np.int16) <= allowed).all(axis=1))
+                differ = own[:before] != own[k]
+                ok = np.flatnonzero((np.cumsum(differ, axis=1, dtype=np.int16) <= allowed).all(axis=1))
+                if len(ok) and sketches is not None:
+                    ok = ok[may_be_similar(sketches[run[k]], sketches[run[ok]], similarity)]
+                if len(ok) and segment:
+                    ok = ok[~_earlier(differ[ok], segment, allowed)]
                 if len(ok):
                     u, v = nodes[run[ok]], nodes[run[k]]
                     held.append((np.minimum(u, v), np.maximum(u, v)))
@@ -277,11 +312,14 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
     docs = docs.withColumn("digest", F.unhex(F.md5("text")))
 
     def sign(batch):
-        out = [ring_signature(shingle_hashes(x.as_py(), width), segments).tobytes() for x in batch.column(2)]
+        out = []
+        for x in batch.column(2):
+            hashes = shingle_hashes(x.as_py(), width)
+            out.append(ring_signature(hashes, segments).tobytes() + sketch(hashes).tobytes())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "digest", "signature"])
 
     signed = common.written(common.map_arrow(docs.select("doc_id", "digest", "text"), sign, "doc_id long, digest binary, signature binary"), "signatures")
-    ring = common.written(signed.groupBy("digest").agg(F.any_value("signature").alias("signature")).select("digest", F.xxhash64("digest").alias("node"), "signature"), "distinct")
+    ring = common.written(signed.groupBy("digest").agg(F.any_value("signature").alias("both")).select("digest", F.xxhash64("digest").alias("node"), F.col("both").substr(1, 2 * segments).alias("signature"), F.col("both").substr(2 * segments + 1, BINS).alias("sketch")), "distinct")
 
     def keys(batch):
         s = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, segments).astype(np.int64)
@@ -291,7 +329,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
 
     members = common.map_arrow(ring.select("node", "signature"), keys, "key long, node long")
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = members.join(shared, "key").join(ring.drop("digest"), "node").select("key", "node", "signature")
+    members = members.join(shared, "key").join(ring.select("node", "signature"), "node").select("key", "node", "signature")
 
     def compare(batches):
         for key, nodes, signatures in _groups(batches):
@@ -338,13 +376,14 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
     # what the first links leave apart: every pair within budget that was not compared, unless one component holds it already
     labelled = rest.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     apart = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    labelled = labelled.join(apart, "key").join(ring.drop("digest"), "node").select("key", "node", F.concat(F.unhex(F.lpad(F.hex("label"), 16, "0")), "signature").alias("member"))
+    labelled = labelled.join(apart, "key").join(ring.drop("digest"), "node").select("key", "node", F.concat(F.unhex(F.lpad(F.hex("label"), 16, "0")), "signature", "sketch").alias("member"))
 
     def compare_rest(batches):
         for key, nodes, held in _groups(batches):
             x = np.frombuffer(b"".join(held.tolist()), dtype=np.uint8).reshape(len(nodes), -1)
-            labels, s = np.ascontiguousarray(x[:, :8]).view(">i8").ravel().astype(np.int64), np.ascontiguousarray(x[:, 8:]).view(np.uint16)
-            for u, v in ring_rest(nodes, np.roll(s, -int(key >> 32), axis=1), labels, budget):
+            labels, s = np.ascontiguousarray(x[:, :8]).view(">i8").ravel().astype(np.int64), np.ascontiguousarray(x[:, 8:-BINS]).view(np.uint16)
+            k = int(key >> 32)
+            for u, v in ring_rest(nodes, np.roll(s, -k, axis=1), labels, budget, k, x[:, -BINS:], similarity):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     more = common.arrow(labelled.repartition(n, "key").sortWithinPartitions("key"), compare_rest, "u long, v long").distinct()
