@@ -20,7 +20,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--frameworks", nargs="*", default=[], help="names of shipped frameworks, .toml files or folders, in order")
     p.add_argument("--data", nargs="*", default=[], help=".ttl files (frameworks in them are read too), .json environments or folders of Parquet tables")
     p.add_argument("--query", nargs="*", default=[], help="SQL files over the views assertions, containers, contains, ...; .rq files are SPARQL over the result's triples")
-    p.add_argument("--construct", nargs="*", default=[], help="SPARQL CONSTRUCT files, run on the result's triples until nothing changes")
+    p.add_argument("--construct", nargs="*", default=[], help="SPARQL CONSTRUCT files: facts that they make count in the rounds, and the result's triples are saturated with them")
     p.add_argument("--upsert", nargs="*", default=[], help="SPARQL INSERT and DELETE files, run after the constructs of each round")
     p.add_argument("--rules", nargs="*", default=[], help="rule texts, run over the triples of the result")
     p.add_argument("--export", help="folder for the result's triples")
@@ -35,10 +35,15 @@ def arguments() -> argparse.ArgumentParser:
     return p
 
 
-def environment(spark, args) -> Env:
+def load(args) -> frameworks.Modules:
     modules = frameworks.Modules()
     for f in args.frameworks:
         modules.load(f)
+    modules.constructs += [Path(p).read_text() for p in args.construct]
+    return modules
+
+
+def environment(spark, args, modules: frameworks.Modules) -> Env:
     envs = [modules.environment(spark)]
     for group, read in ((".ttl", lambda files: _graph(spark, files)), (".json", lambda files: inputs.merge(*(inputs.from_json(spark, f) for f in files)))):
         if files := [d for d in args.data if d.endswith(group)]:
@@ -63,15 +68,17 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.rm_cache and args.cache_dir:
         remove(spark, args.cache_dir)
-    env = environment(spark, args)
-    if args.cache_dir and not args.display:
+    modules = load(args)
+    env = environment(spark, args, modules)
+    extra = tuple(modules.in_rounds(env))
+    if args.cache_dir and not args.display and not extra:
         assertions, kept = infer_cached(env, args.cache_dir, max_rounds=args.max_rounds)
         assertions.createOrReplaceTempView("assertions")
         for name, df in env.tables.items():
             df.createOrReplaceTempView(name)
         print("kept result" if kept else "new result", file=sys.stderr)
     else:
-        result = engine.infer(env, max_rounds=args.max_rounds)
+        result = engine.infer(env, max_rounds=args.max_rounds, extra=extra)
         result.register_views()
         assertions = result.assertions
         if args.verbose:
@@ -81,12 +88,12 @@ def main(argv: list[str] | None = None) -> int:
     mode = args.display_mode if args.display_mode != "forest" else "table"
     sparql_files = [q for q in args.query if q.endswith(".rq")]
     triples = None
-    if args.export or args.rules or args.construct or args.upsert or sparql_files:
+    if args.export or args.rules or modules.constructs or args.upsert or sparql_files:
         triples = query.triples(assertions, env.contains, closure.symmetric(env.joinable), closure.available(env.availability, env.contains))
         if args.rules:
             triples = ruletext.run_rules([r for p in args.rules for r in ruletext.read_rules(p)], triples.selectExpr("s", "p", "o", "'iri' AS kind"))[0]
-        if args.construct or args.upsert:
-            triples = sparql.saturate([Path(p).read_text() for p in args.construct], triples, [Path(p).read_text() for p in args.upsert])[0]
+        if modules.constructs or args.upsert:
+            triples = sparql.saturate(modules.constructs, triples, [Path(p).read_text() for p in args.upsert])[0]
     for path in args.query:
         text = Path(path).read_text()
         print(sinks.render(sparql.query(text, triples) if path in sparql_files else spark.sql(text), mode, args.sort))

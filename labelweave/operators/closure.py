@@ -60,8 +60,16 @@ def framework_chain(frameworks: DataFrame) -> DataFrame:
     return grow(seed, lambda d: d.join(F.broadcast(edges), "ancestor").select("framework", F.col("_next").alias("ancestor")))  # a vocabulary: bounded
 
 
+def with_root(contains: DataFrame) -> DataFrame:
+    """(parent, child), and containers that nothing contains as children of the empty name."""
+    roots = contains.join(contains.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti").select(F.lit("").alias("parent"), F.col("parent").alias("child"))
+    return contains.select("parent", "child").unionByName(roots.distinct())
+
+
 def siblings(contains: DataFrame) -> DataFrame:
-    """(container, sibling) with a shared parent. Pairs: for lookups of few containers; propagation goes through the parent instead."""
+    """(container, sibling) with a shared parent; roots are siblings of one another. Pairs: for lookups of few containers; propagation and conditions go
+    through the parent instead."""
+    contains = with_root(contains)
     other = contains.select("parent", F.col("child").alias("sibling"))
     return contains.select("parent", F.col("child").alias("container")).join(other, "parent").where("container <> sibling").select("container", "sibling").distinct()
 

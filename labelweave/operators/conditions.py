@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.env import All, Any, Compare, Contains, Has, JoinableTo, Operand, Related, labels_in
+from labelweave.operators import closure as closure_of
 from labelweave.operators import rules as R
 
 
 def related(has: DataFrame, relation: str, contains: DataFrame, closure: DataFrame) -> DataFrame:
-    """(container, label, scope) for each label that a container in the relation has. Siblings need a shared parent."""
+    """(container, label, scope) for each label that a container in the relation has. Siblings share a parent, or are both roots."""
     pick = lambda edges, theirs, ours: has.withColumnRenamed("container", "other").join(edges.select(F.col(theirs).alias("other"), F.col(ours).alias("container")), "other")
     if relation == "Self":
         return has.select("container", "label", "scope")
@@ -24,6 +25,7 @@ def related(has: DataFrame, relation: str, contains: DataFrame, closure: DataFra
         found = pick(closure, "descendant", "ancestor")
     else:
         # per parent and label: who has it, or that several do; no pairs
+        contains = closure_of.with_root(contains)
         at = has.join(contains.withColumnRenamed("child", "container"), "container").groupBy("parent", "label", "scope").agg(F.min("container").alias("lo"), F.max("container").alias("hi"))
         found = at.join(contains.withColumnRenamed("child", "container"), "parent").where("lo <> hi OR lo <> container")
     return found.select("container", "label", "scope").distinct()

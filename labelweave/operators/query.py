@@ -80,3 +80,10 @@ def triples(assertions: DataFrame, contains: DataFrame, joinable: DataFrame, ava
     edge = lambda df, a, p, b: df.select(F.col(a).alias("s"), F.lit(p).alias("p"), F.col(b).alias("o"))
     out = facts.unionByName(edge(contains, "parent", "contains", "child")).unionByName(edge(joinable, "a", "joinableWith", "b"))
     return out.unionByName(edge(avail, "container", "availableInScope", "scope")).distinct()
+
+
+def facts_in(triples: DataFrame) -> DataFrame:
+    """(container, label, scope, framework) of each subject that has all four."""
+    parts = (("assertedOn", "container"), ("assertsLabel", "label"), ("assertedInScope", "scope"), ("assertedByFramework", "framework"))
+    found = triples.where(F.col("p").isin([p for p, _ in parts])).groupBy("s").agg(*(F.min(F.when(F.col("p") == p, F.col("o"))).alias(c) for p, c in parts))
+    return found.dropna().select(*(c for _, c in parts)).distinct()

@@ -86,6 +86,18 @@ def _pattern(triples: DataFrame, terms: tuple[str, str, str]) -> DataFrame:
     return out.select(*columns, F.lit(1).alias("!")).drop(*([] if not columns else ["!"])).distinct()
 
 
+def connected(patterns: list[tuple]) -> list[tuple]:
+    """Triple patterns in an order in which each shares a variable with those before it, if any order does."""
+    rest, out, seen = list(patterns), [], set()
+    while rest:
+        own = lambda p: {t for t in p if t.startswith("?")}
+        nearest = next((p for p in rest if own(p) & seen), rest[0])
+        rest.remove(nearest)
+        out.append(nearest)
+        seen |= own(nearest)
+    return out
+
+
 def body(rule: Rule, triples: DataFrame) -> DataFrame:
     """Solutions: a column for each variable."""
     out = None
@@ -93,14 +105,14 @@ def body(rule: Rule, triples: DataFrame) -> DataFrame:
     def value(term: str) -> Column:
         return F.col(f"`{term}`") if term.startswith("?") else F.lit(_constant(term))
 
-    for kind, args in (x for x in rule.body if x[0] == "triple"):
+    for args in connected([args for kind, args in rule.body if kind == "triple"]):
         found = _pattern(triples, args)
         if out is None:
             out = found
             continue
         shared = [c for c in found.columns if c in out.columns and not c.endswith("!kind")]
         found = found.drop(*(c for c in found.columns if c.endswith("!kind") and c in out.columns))
-        out = out.join(found, shared) if shared else out.crossJoin(F.broadcast(found))
+        out = out.join(found, shared) if shared else out.crossJoin(found)  # the patterns themselves are unconnected
     for kind, args in (x for x in rule.body if x[0] != "triple"):
         if kind == "noValue":
             found = _pattern(triples, args)

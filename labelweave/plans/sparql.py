@@ -624,3 +624,37 @@ def saturate(constructs: list[str], triples: DataFrame, updates: list[str] = [],
             return known, round_
         known = now
     raise RuntimeError(f"no fixed point within {max_rounds} rounds")
+
+
+def in_rounds(env, constructs=(), updates=(), rule_texts=()) -> list[Callable[[DataFrame, DataFrame], DataFrame]]:
+    """User texts as rules of the engine's rounds (its `extra`): each round they see the facts so far, the edges and availability as triples, and the new
+    subjects that they make with assertedOn, assertsLabel, assertedInScope and assertedByFramework are facts of the next round. A round only adds:
+    DELETE has no place in it."""
+    from labelweave.operators import closure
+    from labelweave.operators import query as Q
+    from labelweave.plans import ruletext
+
+    if bad := [t for t in updates if "DELETE" in t.upper().split()]:
+        raise ValueError(f"a fixed point only grows: {bad[0][:60]!r} deletes")
+    rules = [r for t in rule_texts for r in ruletext.parse_rules(t)]
+    held: list[DataFrame] = []
+
+    def edges() -> DataFrame:  # the same in every round
+        if not held:
+            none = env.spark.createDataFrame([], "container string, label string, scope string, framework string")
+            held.append(written(Q.triples(none, env.contains, closure.symmetric(env.joinable), closure.available(env.availability, env.contains)), "edges"))
+        return held[0]
+
+    def all_texts(facts: DataFrame, delta: DataFrame) -> DataFrame:
+        nothing = edges().limit(0)
+        known = Q.triples(facts, *(nothing.select(F.col("s").alias(a), F.col("o").alias(b)) for a, b in (("parent", "child"), ("a", "b"), ("container", "scope")))).unionByName(edges())
+        new = nothing
+        for text in constructs:
+            new = new.unionByName(query(text, known))
+        for text in updates:
+            new = new.unionByName(Query(text, known).update()[1].select("s", "p", "o"))
+        for rule in rules:
+            new = new.unionByName(ruletext.apply_rule(rule, known.withColumn("kind", F.lit("iri"))).select("s", "p", "o"))
+        return Q.facts_in(new)
+
+    return [all_texts] if constructs or updates or rules else []

@@ -361,7 +361,6 @@ over(
     lambda w: sparql.query("SELECT DISTINCT ?p WHERE { ?p <contains> ?c . FILTER NOT EXISTS { ?p <label> ?l } }", _sparql_triples(w)),
 )
 over("counts_by_label", "SELECT label, framework, count(*) AS n, count(DISTINCT container) AS containers FROM a0 GROUP BY 1, 2", lambda w: w.a0.groupBy("label", "framework").agg(F.count("*").alias("n"), F.count_distinct("container").alias("containers")))
-over("cross_of_values", "SELECT s, f FROM (VALUES ('ALL'), ('G1')) a(s), (VALUES ('base'), ('strict')) b(f)", lambda w: w.table([("ALL",), ("G1",)], "s string").crossJoin(w.table([("base",), ("strict",)], "f string")))
 over("topk_diff", f"SELECT {KEY} FROM a0 WHERE label = 'Risky' OR label = 'Debt' ORDER BY ALL LIMIT 20", lambda w: query.top_new(w.a0.select(*E.KEY), w.a0.where("label NOT IN ('Risky', 'Debt')").select(*E.KEY)))
 over("order_desc", "SELECT container, scope, n FROM sized ORDER BY n DESC, container, scope", lambda w: w.facts.where("label = 'Sized'").select("container", "scope", F.col("params")["size"].cast("long").alias("n")).orderBy(F.desc("n"), "container", "scope"))
 over(
@@ -436,10 +435,8 @@ register("builtin_compare", f"SELECT p_partkey, a > 25 AS gt, a < 25 AS lt, a <=
 register("builtin_regex", f"SELECT p_partkey, regexp_matches(p_type, '^[A-Z]+ .*E') AS x FROM {_P}", lambda w: part(w).select("p_partkey", B.FILTERS["regex"](F.col("p_type"), F.lit("^[A-Z]+ .*E")).alias("x")))
 register("builtin_concat", f"SELECT p_partkey, p_brand || '/' || p_type AS x FROM {_P}", lambda w: part(w).select("p_partkey", B.VALUES["strConcat"](F.col("p_brand"), F.lit("/"), F.col("p_type")).alias("x")))
 register("builtin_uri", f"SELECT p_partkey, 'urn:part:' || b AS x FROM {_P}", lambda w: part(w).select("p_partkey", B.VALUES["uriConcat"](F.lit("urn:part:"), F.col("b")).alias("x")))
-register("builtin_type", "SELECT page_id, true AS uri, false AS literal, true AS named FROM pages", lambda w: pages(w).select("page_id", *(B.KINDS[k](F.lit("iri")).alias(n) for k, n in (("isURI", "uri"), ("isLiteral", "literal"), ("notBNode", "named")))))
 register("builtin_math", f"SELECT p_partkey, (a + b)::VARCHAR AS s, (a - b)::VARCHAR AS d, (a * b)::VARCHAR AS p, (a * b / a)::BIGINT::VARCHAR AS q FROM {_P}", lambda w: part(w).select("p_partkey", *(B.VALUES[op](F.col("a"), F.col("b")).alias(n) for op, n in (("sum", "s"), ("difference", "d"), ("product", "p"))), B.VALUES["quotient"](B.VALUES["product"](F.col("a"), F.col("b")), F.col("a")).alias("q")))
 register("builtin_skolem", f"SELECT p_partkey, 'urn:skolem:' || url_encode(p_brand) || '_' || url_encode(p_type) AS x FROM {_P}", lambda w: part(w).select("p_partkey", B.VALUES["makeSkolem"](F.col("p_brand"), F.col("p_type")).alias("x")))
-register("builtin_list_contains", f"SELECT p_partkey, list_contains(string_split(p_type, ' '), split_part(p_type, ' ', 1)) AS x FROM {_P}", lambda w: part(w).select("p_partkey", B.FILTERS["listContains"](F.col("p_type"), F.substring_index("p_type", " ", 1)).alias("x")))
 over(
     "node_names", "SELECT container, label, scope, framework, 'urn:skolem:' || url_encode(container) || '_' || url_encode(label) || '_' || url_encode(framework) || '_' || url_encode(scope) || '_assertion' AS node, 'urn:containment:' || md5(concat_ws(':', container, label, scope, framework)) AS inside FROM a0 WHERE label = 'Risky'",
     lambda w: w.a0.where("label = 'Risky'").withColumn("node", text.node_iri(*map(F.col, ("container", "label", "framework", "scope")))).withColumn("inside", text.containment_iri(*map(F.col, E.KEY))),
@@ -459,6 +456,9 @@ def _rule_triples(w: World) -> DataFrame:
 over("rule_text_fixpoint", "SELECT container AS s, 'availableInScope' AS p, scope AS o FROM avail UNION ALL SELECT a, 'joinableWith', b FROM joinable UNION ALL SELECT parent, 'contains', child FROM contains", lambda w: ruletext.run_rules(ruletext.parse_rules(_RULE_TEXT), _rule_triples(w))[0].select("s", "p", "o"))
 
 
+from labelweave import queries_more  # noqa: E402, F401  (registers the rest)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

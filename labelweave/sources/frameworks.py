@@ -4,6 +4,10 @@ A file has name, type, extends, requires (frameworks that must be loaded before)
 that are part of this one) and lists of propagation, subclass, implication, equivalence and conditional rules. A rule's framework is the file's unless it
 names another. Conditions are lists: ["contains" | "has" | "joinable" | a relation, label], ["and" | "or", condition, ...] or
 ["compare", operand, operator, operand], an operand being [label, parameter(, default)] or a number.
+
+A folder is a module too. Its framework.toml may list further files, relative to it: `model` (Turtle), `rules` (rule texts), `constructs` and `updates`
+(SPARQL texts), which take part in the engine's rounds, and `depends_on` beside `requires`. A folder without one is read for what its files end in:
+.toml, .ttl, .rules, and .rq or .ru (a text with CONSTRUCT, or an update).
 """
 
 from __future__ import annotations
@@ -29,6 +33,10 @@ class Modules:
     labels: list[tuple] = field(default_factory=list)
     label_facets: list[tuple] = field(default_factory=list)
     rules: E.Rules = E.Rules()
+    models: list[str] = field(default_factory=list)
+    rule_texts: list[str] = field(default_factory=list)
+    constructs: list[str] = field(default_factory=list)
+    updates: list[str] = field(default_factory=list)
 
     def load(self, path: str | Path) -> Modules:
         """A file, a directory with framework.toml or other .toml files, or the name of a shipped framework."""
@@ -36,17 +44,36 @@ class Modules:
         if not path.exists() and (HERE / f"{path}.toml").exists():
             path = HERE / f"{path}.toml"
         if path.is_dir():
-            files = [path / "framework.toml"] if (path / "framework.toml").exists() else sorted(path.glob("**/*.toml"))
-            for f in files:
+            if (path / "framework.toml").exists():
+                return self.load(path / "framework.toml")
+            for f in sorted(path.glob("**/*.toml")):
                 self.load(f)
+            for f in sorted(path.glob("**/*")):
+                self._file(f)
             return self
-        return self._add(tomllib.loads(path.read_text()))
+        found = tomllib.loads(path.read_text())
+        if "name" in found:
+            self._add(found)
+        for kind in ("model", "rules", "constructs", "updates"):
+            for f in found.get(kind, ()):
+                self._file(path.parent / f, {"model": "models", "rules": "rule_texts"}.get(kind, kind))
+        return self
+
+    def _file(self, path: Path, kind: str | None = None) -> None:
+        end = path.suffix
+        if kind is None and end in (".rq", ".ru"):
+            kind = "constructs" if "CONSTRUCT" in path.read_text().upper() else "updates"
+        kind = kind or {".ttl": "models", ".rules": "rule_texts"}.get(end)
+        if kind == "models":
+            self.models.append(str(path))
+        elif kind:
+            getattr(self, kind).append(path.read_text())
 
     def _add(self, x: dict) -> Modules:
         name, known = x["name"], {f[0] for f in self.frameworks}
         if x.get("type", "privacy") not in TYPES:
             raise ValueError(f"{name}: type is one of {TYPES}")
-        if missing := set(x.get("requires", ())) - known:
+        if missing := {*x.get("requires", ()), *x.get("depends_on", ())} - known:
             raise ValueError(f"{name} needs {sorted(missing)} before it")
         self.frameworks.append((name, x.get("extends"), None, x.get("type", "privacy")))
         self.labels += [(label, name) for label in x.get("labels", ())]
@@ -73,8 +100,20 @@ class Modules:
         return sorted(self.frameworks, key=lambda f: TYPES.index(f[3]))
 
     def environment(self, spark: SparkSession, **rows) -> E.Env:
-        """With rows for the tables of data."""
-        return E.from_rows(spark, self.rules, frameworks=self.ordered(), labels=self.labels, label_facets=self.label_facets, **rows)
+        """With rows for the tables of data, and what the modules' Turtle files hold."""
+        env = E.from_rows(spark, self.rules, frameworks=self.ordered(), labels=self.labels, label_facets=self.label_facets, **rows)
+        if not self.models:
+            return env
+        from labelweave.sources import graph, inputs, turtle
+
+        triples = turtle.read(spark, *self.models)
+        return inputs.merge(env, graph.environment(triples, graph.rules_from_graph(triples)))
+
+    def in_rounds(self, env: E.Env) -> list:
+        """The modules' texts as rules of the engine's rounds over env: engine.infer(env, extra=tuple(modules.in_rounds(env)))."""
+        from labelweave.plans import sparql
+
+        return sparql.in_rounds(env, self.constructs, self.updates, self.rule_texts)
 
 
 def condition(x: list):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from labelweave.session import ship_package
 
-SCHEMA = "s string, p string, o string, kind string, datatype string"
+SCHEMA = "s string, p string, o string, kind string, datatype string, lang string"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 _TOKEN = re.compile(
@@ -58,7 +58,7 @@ class Parser:
         self.at += 1
         return token
 
-    def parse(self) -> list[tuple[str, str, str, str, str | None]]:
+    def parse(self) -> list[tuple[str, str, str, str, str | None, str | None]]:
         n = 0
         while self._peek()[0] != "end":
             kind, text = self._peek()
@@ -74,7 +74,7 @@ class Parser:
                 continue
             n += 1
             alone = text == "["
-            subject, _, _ = self._node(f"{n}")
+            subject, *_ = self._node(f"{n}")
             if not (alone and self._peek()[1] == "."):
                 self._predicates(subject, f"{n}")
             self._take(".")
@@ -87,8 +87,13 @@ class Parser:
     def _blank(self, path: str) -> str:
         return "_:" + hashlib.sha256(f"{self.source}|{path}".encode()).hexdigest()[:16]
 
-    def _node(self, path: str) -> tuple[str, str, str | None]:
-        """(term, kind, datatype)"""
+    def _node(self, path: str) -> tuple[str, str, str | None, str | None]:
+        """(term, kind, datatype, language tag)"""
+        found = self._term(path)
+        return (*found, *[None] * (4 - len(found)))
+
+    def _term(self, path: str) -> tuple:
+        """(term, kind, datatype), and the tag of a string that has one."""
         kind, text = self._take()
         if kind == "iri":
             return self._iri(text), "iri", None
@@ -100,7 +105,8 @@ class Parser:
                 self._take()
                 datatype = self._node(path)[0]
             elif self._peek()[0] == "lang":
-                datatype = self._take()[1]
+                datatype, lang = RDF + "langString", self._take()[1].lstrip("@").lower()
+                return value, "literal", datatype, lang
             return value, "literal", datatype
         if kind == "num":
             return text, "literal", XSD + ("double" if "e" in text.lower() else "decimal" if "." in text else "integer")
@@ -124,11 +130,11 @@ class Parser:
             while self._peek()[1] != ")":
                 items.append(self._node(f"{path}/{len(items)}"))
             self._take(")")
-            head: tuple[str, str, str | None] = (RDF + "nil", "iri", None)
+            head: tuple = (RDF + "nil", "iri", None, None)
             for i in reversed(range(len(items))):
                 name = self._blank(f"{path}/list{i}")
                 self.triples += [(name, RDF + "first", *items[i]), (name, RDF + "rest", *head)]
-                head = (name, "bnode", None)
+                head = (name, "bnode", None, None)
             return head
         raise ValueError(f"no term: {text!r}")
 
@@ -148,19 +154,19 @@ class Parser:
                 return
 
 
-def parse(text: str, base: str = "", source: str = "") -> list[tuple[str, str, str, str, str | None]]:
+def parse(text: str, base: str = "", source: str = "") -> list[tuple[str, str, str, str, str | None, str | None]]:
     return Parser(text, base, source).parse()
 
 
 def read(spark: SparkSession, *paths: str, base: str = "") -> DataFrame:
-    """(s, p, o, kind, datatype) of all files, as a set."""
+    """(s, p, o, kind, datatype, lang) of all files, as a set."""
     ship_package(spark)
 
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = parse(content.decode(), base, path.rsplit("/", 1)[-1])
-                columns = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["s", "p", "o", "kind", "datatype"])
+                columns = list(zip(*rows)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["s", "p", "o", "kind", "datatype", "lang"])
 
     return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(run, SCHEMA).distinct()
