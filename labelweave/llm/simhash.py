@@ -22,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ PAIRS = 1 << 22
 #: Pairs of one node that meet its shingle set in one task, on average.
 MEET = 1000
 #: Bins of the sketch that candidates of the second round must agree in.
-BINS = 512
+BINS = 2048
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -205,11 +206,34 @@ def sketch(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
+class Sketches:
+    """The sketches of a bucket's members, kept packed if there are many: indexed by members, they come as rows."""
+
+    MANY = 16384
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+        self.rows = np.stack([self._row(x) for x in packed]) if len(packed) <= self.MANY else None
+
+    @staticmethod
+    def _row(x: bytes) -> np.ndarray:
+        return np.frombuffer(zstandard.decompress(x), dtype=np.uint8)
+
+    def __getitem__(self, at):
+        if self.rows is not None:
+            return self.rows[at]
+        return self._row(self.packed[at]) if np.ndim(at) == 0 else np.stack([self._row(self.packed[i]) for i in at])
+
+
 def may_be_similar(one: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
-    """Which sketches agree with one in as many bins as sets of that similarity do, less three standard deviations."""
+    """Which sketches agree with one in as many bins as sets of that similarity do, less three standard deviations. The bins are a sample of the two
+    sets' union, drawn without putting back: of short texts, whose shingles have bins of their own, it is nearly all."""
     used = ((others | one) != 0).sum(axis=1)
     agree = ((others == one) & (others != 0)).sum(axis=1)
-    return agree >= similarity * used - 3 * np.sqrt(similarity * (1 - similarity) * used)
+    bins = others.shape[1]
+    union = -bins * np.log1p(-np.minimum(used, bins - 0.5) / bins)
+    unseen = 1 - used / np.maximum(union, used + 0.5)
+    return agree >= similarity * used - 3 * np.sqrt(similarity * (1 - similarity) * used * unseen) - 1.5
 
 
 def ring_pairs(nodes: np.ndarray, signatures: np.ndarray, budget: int = RING_BUDGET, close: int = CLOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,7 +284,7 @@ def _earlier(differ: np.ndarray, segment: int, allowed: np.ndarray) -> np.ndarra
     return out
 
 
-def ring_rest(nodes: np.ndarray, signatures: np.ndarray, labels: np.ndarray, budget: int = RING_BUDGET, segment: int = 0, sketches: np.ndarray | None = None, similarity: float = SIMILARITY):
+def ring_rest(nodes: np.ndarray, signatures: np.ndarray, labels: np.ndarray, budget: int = RING_BUDGET, segment: int = 0, sketches: Sketches | None = None, similarity: float = SIMILARITY):
     """All pairs of a bucket's members (the smaller first) that are within budget, have different labels and sketches that may be of similar sets, in
     pieces, but for those that meet in an earlier segment's bucket; a pair may come up to three times.
     Of the three segments after the bucket's two, a pair within budget has two equal, so a crowd is looked up by each two of them."""
@@ -277,10 +301,10 @@ def ring_rest(nodes: np.ndarray, signatures: np.ndarray, labels: np.ndarray, bud
             if before:
                 differ = own[:before] != own[k]
                 ok = np.flatnonzero((np.cumsum(differ, axis=1, dtype=np.int16) <= allowed).all(axis=1))
-                if len(ok) and sketches is not None:
-                    ok = ok[may_be_similar(sketches[run[k]], sketches[run[ok]], similarity)]
                 if len(ok) and segment:
                     ok = ok[~_earlier(differ[ok], segment, allowed)]
+                if len(ok) and sketches is not None:
+                    ok = ok[may_be_similar(sketches[run[k]], sketches[run[ok]], similarity)]
                 if len(ok):
                     u, v = nodes[run[ok]], nodes[run[k]]
                     held.append((np.minimum(u, v), np.maximum(u, v)))
@@ -315,11 +339,11 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
         out = []
         for x in batch.column(2):
             hashes = shingle_hashes(x.as_py(), width)
-            out.append(ring_signature(hashes, segments).tobytes() + sketch(hashes).tobytes())
+            out.append(ring_signature(hashes, segments).tobytes() + zstandard.compress(sketch(hashes).tobytes(), 1))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "digest", "signature"])
 
     signed = common.written(common.map_arrow(docs.select("doc_id", "digest", "text"), sign, "doc_id long, digest binary, signature binary"), "signatures")
-    ring = common.written(signed.groupBy("digest").agg(F.any_value("signature").alias("both")).select("digest", F.xxhash64("digest").alias("node"), F.col("both").substr(1, 2 * segments).alias("signature"), F.col("both").substr(2 * segments + 1, BINS).alias("sketch")), "distinct")
+    ring = common.written(signed.groupBy("digest").agg(F.any_value("signature").alias("both")).select("digest", F.xxhash64("digest").alias("node"), F.col("both").substr(1, 2 * segments).alias("signature"), F.col("both").substr(2 * segments + 1, BINS + 100).alias("sketch")), "distinct")
 
     def keys(batch):
         s = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, segments).astype(np.int64)
@@ -380,10 +404,12 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: float = SIM
 
     def compare_rest(batches):
         for key, nodes, held in _groups(batches):
-            x = np.frombuffer(b"".join(held.tolist()), dtype=np.uint8).reshape(len(nodes), -1)
-            labels, s = np.ascontiguousarray(x[:, :8]).view(">i8").ravel().astype(np.int64), np.ascontiguousarray(x[:, 8:-BINS]).view(np.uint16)
+            x, head = held.tolist(), 8 + 2 * segments
+            first = np.frombuffer(b"".join(m[:head] for m in x), dtype=np.uint8).reshape(len(x), head)
+            sketches = Sketches([m[head:] for m in x])
+            labels, s = np.ascontiguousarray(first[:, :8]).view(">i8").ravel().astype(np.int64), np.ascontiguousarray(first[:, 8:]).view(np.uint16)
             k = int(key >> 32)
-            for u, v in ring_rest(nodes, np.roll(s, -k, axis=1), labels, budget, k, x[:, -BINS:], similarity):
+            for u, v in ring_rest(nodes, np.roll(s, -k, axis=1), labels, budget, k, sketches, similarity):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     more = common.arrow(labelled.repartition(n, "key").sortWithinPartitions("key"), compare_rest, "u long, v long").distinct()

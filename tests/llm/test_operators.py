@@ -112,6 +112,25 @@ def test_near_duplicates_beside_a_crowd(spark):
     assert len(set(got.values())) == len(set(roots)) == len({(got[d], r) for (d, _), r in zip(rows, roots)})
 
 
+def test_sketches_by_force():
+    """Sets of a similarity of 0.8 or more, short and long, pass; sets well below do not."""
+    import numpy as np
+
+    rng = np.random.default_rng(13)
+    passed = Counter()
+    for n in (6, 40, 300, 2000, 20000):
+        for similar in (0.8, 0.9, 0.7):
+            for _ in range(60):
+                both = max(1, round(n * 2 * similar / (1 + similar)))
+                x = rng.integers(0, 1 << 63, 2 * n - both).astype(np.uint64)
+                a, b = x[:n], x[n - both :]
+                exact = both / len(x)
+                ok = simhash.may_be_similar(simhash.sketch(a), simhash.sketch(b)[None], 0.8)[0]
+                passed[exact >= 0.8, bool(ok)] += 1
+                assert exact > 0.75 or n < 100 or not ok
+    assert passed[True, False] <= 0.01 * passed[True, True]
+
+
 def test_ring_by_force():
     """After the first links, in which those of a leader are refused, each pair of a bucket within budget was compared or has one label."""
     import numpy as np
