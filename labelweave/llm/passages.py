@@ -191,3 +191,17 @@ def dedup_passages(docs: DataFrame, block: int = BLOCK, with_text: bool = True)
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     return dedup_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
+
+
+def oracle_sql() -> str:
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT r, doc_id, i, list_aggregate(w[i:i + {WINDOW - 1}], 'string_agg', ' ') AS s
+            FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+    first_in AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
+    hit AS (SELECT r, i FROM win JOIN first_in USING (s) WHERE least < doc_id OR (doc_id IS NULL AND least IS NOT NULL)),
+    gone AS (SELECT DISTINCT r, i + k AS p FROM hit, range({WINDOW}) t(k)),
+    word AS (SELECT r, w[p] AS word, p FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS s, count(*) AS n FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (r)"""

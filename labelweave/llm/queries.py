@@ -23,7 +23,9 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": urls.oracle_sql(),
+        "op4_substring_dedup": passages.oracle_sql(),
         "op5_benchmark_decontamination": decontaminate.oracle_sql(),
         "op6_warc": warc.oracle_sql(),
+        "op7_suffix_array_dedup": repeats.oracle_sql(),
         "op8_quality_rules": quality.oracle_sql(),
     }

@@ -467,3 +467,22 @@ def strip(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int =
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     return dedup_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
+
+
+def oracle_sql() -> str:
+    """Bytes as pairs of hexadecimal digits; every window is a row."""
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    win AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, {2 * WINDOW}) AS s
+            FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - {WINDOW - 1})) AS i FROM d WHERE length(h) >= {2 * WINDOW})),
+    first_in AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
+    hit AS (SELECT r, i FROM win JOIN first_in USING (s) WHERE least < doc_id OR (doc_id IS NULL AND least IS NOT NULL)),
+    begun AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + {WINDOW}, true) AS begins FROM hit),
+    runs AS (SELECT r, i, sum(begins::INT) OVER (PARTITION BY r ORDER BY i) AS g FROM begun),
+    spans AS (SELECT r, g, min(i) AS a, max(i) + {WINDOW} AS b FROM runs GROUP BY r, g),
+    cut AS (SELECT r, g, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY g), 0) AS last FROM spans),
+    kept AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS b,
+                    string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY g) AS s FROM cut JOIN d USING (r) GROUP BY r)
+    SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+           sha256(unhex(coalesce(s, '') || substr(h, 2 * coalesce(b, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN kept USING (r)"""
