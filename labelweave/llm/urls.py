@@ -1,15 +1,19 @@
 """URL filters: host and path rules first, then a weighted vocabulary counted by an Aho-Corasick automaton.
 
 A term counts where no letter or digit of a-z0-9 stands directly before or after it in the lower-cased URL. One
-strict term rejects, and so do distinct soft terms whose weights reach `threshold` together.
+strict term (a weight of `threshold` or more) rejects, and so do distinct soft terms whose weights reach `threshold` together.
+The vocabulary is url_terms.txt beside this module (lines of weight and term), another such file, or a mapping; one walk over
+the URL finds all terms, however many there are.
 
-Defined results: a null URL or one without "://" has an empty host and path and is allowed; an empty table gives an
-empty result; repeated rows are judged alike, each; other columns of the table are ignored.
+Defined results: a null URL has an empty host and path and is allowed; one without "://" has them empty too, and its terms count; a very long
+URL is walked whole; a null key is kept; an empty table gives an empty result; repeated rows are judged alike, each; other columns of the table are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 import ahocorasick
 import pyarrow as pa
@@ -26,12 +30,9 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: term: weight; a weight of `threshold` or more is strict.
-STRICT = ("porn", "xxx", "hentai", "camgirl", "casino", "viagra", "warez", "escort", "gore", "beheading")
-SOFT = ("adult", "sex", "nude", "poker", "betting", "bet", "pills", "dating", "crack", "torrent", "loan", "replica", "weed")
-VOCABULARY = {**{t: 2.0 for t in STRICT}, **{t: 1.0 for t in SOFT}}
+TERM_FILE = Path(__file__).with_name("url_terms.txt")
 THRESHOLD = 2.0
-SCHEMA = "host string, path string, rule string, verdict string, n_strict long, n_soft long"
+SCHEMA = "host string, path string, rule string, verdict string, n_strict long, n_soft long, score double"
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -50,7 +51,13 @@ def lower(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def automaton(vocabulary: dict[str, float]) -> ahocorasick.Automaton:
+def read_vocabulary(path: str | Path = TERM_FILE) -> dict[str, float]:
+    """term: weight, from lines of weight and term; the last of a term's lines counts."""
+    lines = Path(path).read_text(encoding="utf-8").splitlines()
+    return {term.strip(): float(weight) for weight, _, term in (x.strip().partition(" ") for x in lines if x.strip() and x[0] != "#")}
+
+
+def automaton(vocabulary: Mapping[str, float]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for term, weight in vocabulary.items():
         found.add_word(lower(term), (lower(term), weight))
@@ -76,12 +83,12 @@ def judge_urls(
     key: str = "page_id",
     url: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
-    vocabulary: dict[str, float] | None = None,
+    vocabulary: Mapping[str, float] | str | Path = TERM_FILE,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One row per row of df: its key, host, path, the rule that fits (longest wins, then the first named), the
-    verdict (the rule's, else the vocabulary's) and the numbers of distinct strict and soft terms."""
-    vocabulary = VOCABULARY if vocabulary is None else vocabulary
+    verdict (the rule's, else the vocabulary's), the numbers of distinct strict and soft terms and the sum of their weights."""
+    vocabulary = dict(vocabulary) if isinstance(vocabulary, Mapping) else read_vocabulary(vocabulary)
     by_host: dict[str, list[tuple[str, str]]] = {}
     for verdict, host, path in rules:
         by_host.setdefault(host, []).append((path, verdict))
@@ -104,12 +111,14 @@ def judge_urls(
                 rule, verdict = rule_of(host, path)
                 found = hits(terms, lower(x or ""))
                 strict = sum(w >= threshold for w in found.values())
+                score = math.fsum(found.values())
                 if verdict is None:
-                    verdict = "block" if strict or sum(found.values()) >= threshold else "allow"
-                rows.append((host, path, rule, verdict, strict, len(found) - strict))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            kinds = [pa.string()] * 4 + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[key, "host", "path", "rule", "verdict", "n_strict", "n_soft"])
+                    verdict = "block" if strict or score >= threshold else "allow"
+                rows.append((host, path, rule, verdict, strict, len(found) - strict, score))
+            columns = list(zip(*rows)) if rows else [[]] * 7
+            kinds = [pa.string()] * 4 + [pa.int64()] * 2 + [pa.float64()]
+            names = [key, "host", "path", "rule", "verdict", "n_strict", "n_soft", "score"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
     return common.arrow(df.select(F.col(key).cast("long"), F.col(url).cast("string")), run, f"{key} long, {SCHEMA}")
 
@@ -119,12 +128,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def _count(terms: Sequence[str]) -> str:
-    return " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS BIGINT)" for t in terms)
+def _sum(weights: Mapping[str, float], value: str) -> str:
+    """SQL that sums a value ({w}: the weight) over the terms found; the terms hold no special characters of patterns."""
+    found = (f"CASE WHEN regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN {value.format(w=w)} ELSE 0 END" for t, w in weights.items())
+    return " + ".join(found)
 
 
 def oracle_sql() -> str:
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    weights = read_vocabulary()
+    strict, soft = ({t: w for t, w in weights.items() if (w >= THRESHOLD) == x} for x in (True, False))
     return f"""
     WITH r(v, h, p) AS (VALUES {rules}),
     a AS (SELECT page_id, url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u,
@@ -133,9 +146,10 @@ def oracle_sql() -> str:
     b AS (SELECT page_id, u, ok, CASE WHEN ok THEN regexp_extract(rest, '^[^/?#]*') ELSE '' END AS raw, rest FROM a),
     c AS (SELECT page_id, u, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                  CASE WHEN ok THEN regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') ELSE '' END AS path,
-                 {_count(STRICT)} AS n_strict, {_count(SOFT)} AS n_soft FROM b),
+                 ({_sum(strict, "1")})::BIGINT AS n_strict, ({_sum(soft, "1")})::BIGINT AS n_soft,
+                 ({_sum(weights, "{w}::DOUBLE")})::DOUBLE AS score FROM b),
     d AS (SELECT c.*, (SELECT max_by(struct_pack(rule := r.h || r.p, v := r.v), length(r.h || r.p)) FROM r
                        WHERE (c.host = r.h OR ends_with(c.host, '.' || r.h)) AND starts_with(c.path, r.p)) AS best FROM c)
     SELECT page_id, host, path, best.rule AS rule,
-           coalesce(best.v, CASE WHEN n_strict > 0 OR n_soft >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
-           n_strict, n_soft FROM d"""
+           coalesce(best.v, CASE WHEN n_strict > 0 OR score >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
+           n_strict, n_soft, score FROM d"""

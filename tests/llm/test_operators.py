@@ -416,6 +416,26 @@ def test_urls(spark):
     assert got == {i: r[1:] for i, r in enumerate(rows)}
 
 
+def test_url_vocabulary(spark, tmp_path):
+    (tmp_path / "terms").write_text("# graded\n2 strict\n1.5 Heavy one\n0.5 light\n0.25 lighter\n")
+    long = "http://x.org/" + "a/" * 100_000
+    rows = [
+        (0, "http://x.org/strict", "block", 1, 0, 2.0), (0, "http://x.org/strict", "block", 1, 0, 2.0), (None, "http://x.org/heavy one", "allow", 0, 1, 1.5),
+        (1, "http://x.org/HEAVY ONE/light", "block", 0, 2, 2.0), (2, "light light light light", "allow", 0, 1, 0.5), (3, "http://x.org/heavy one-lighter", "allow", 0, 2, 1.75),
+        (4, long + "strict", "block", 1, 0, 2.0), (5, long + "instrict", "allow", 0, 0, 0.0), (None, None, "allow", 0, 0, 0.0), (None, None, "allow", 0, 0, 0.0),
+    ]
+    frame = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    names = ["page_id", "verdict", "n_strict", "n_soft", "score"]
+    want = sorted((r[0], *r[2:]) for r in rows if r[0] is not None)
+    got = [tuple(r) for r in urls.judge_urls(frame, vocabulary=tmp_path / "terms").select(*names).collect()]
+    assert sorted(r for r in got if r[0] is not None) == want and len(got) == len(rows)
+    assert all(r[1] == "allow" for r in got if r[0] is None)
+    many = {f"term{i}": 1.0 for i in range(20_000)}
+    frame = spark.createDataFrame([(1, "http://x.org/term7/term19999"), (2, "http://x.org/term7/term7"), (3, "http://x.org/term70000")], "page_id long, url string")
+    assert {r["page_id"]: (r["verdict"], r["n_soft"]) for r in urls.judge_urls(frame, vocabulary=many).collect()} == {1: ("block", 2), 2: ("allow", 1), 3: ("allow", 0)}
+    assert urls.judge_urls(frame, vocabulary={}).where("verdict = 'allow'").count() == 3
+
+
 def test_bpe_like_the_library(docs, texts):
     import base64
 
