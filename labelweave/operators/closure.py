@@ -17,12 +17,14 @@ def grow(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str
     keys = keys or seed.columns
     delta = written(seed.dropDuplicates(keys))
     known = delta
-    for _ in range(max_rounds):
+    for k in range(1, max_rounds + 1):
         new = step(delta).select(*seed.columns).dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
         delta = written(new)
         if delta.isEmpty():
             return known
         known = known.unionByName(delta)
+        if k % 8 == 0:  # deep: one table again
+            known = written(known)
     raise RuntimeError(f"no fixed point within {max_rounds} rounds")
 
 

@@ -120,6 +120,11 @@ class Batch:
             self.depth[self.of[c]] = depth
         return self.of[c]
 
+    @property
+    def over_closure(self) -> bool:
+        """Some condition looks at ancestors or descendants."""
+        return any(isinstance(c, (Contains, JoinableTo)) or isinstance(c, Related) and c.relation in ("Ancestor", "Descendant") for c in self.nodes.values())
+
     def labels(self) -> set[str]:
         return {x for c in self.nodes.values() if not isinstance(c, (All, Any)) for x in labels_in(c)}
 

@@ -11,7 +11,9 @@ provenance; later rounds change nothing. Each round is written to the shared fol
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +34,17 @@ class Result:
     env: E.Env
     assertions: DataFrame
     available: DataFrame
-    ancestors: DataFrame
+    ancestors_of: Callable[[], DataFrame]
     joinable: DataFrame
     k: DataFrame
     rounds: int
     metrics: list[tuple] = field(default_factory=list)
 
+    @cached_property
+    def ancestors(self) -> DataFrame:
+        """Worked out when asked for: most rule sets never read it."""
+        return self.ancestors_of()
+
     def containment(self, labels: list[str] | None = None) -> DataFrame:
         needed = None if labels is None else self.env.spark.createDataFrame([(x,) for x in labels], "label string")
         return R.containment(self.assertions, self.ancestors, self.available, needed)
@@ -72,14 +79,15 @@ class Engine:
     def run(self) -> Result:
         env = self.env
         self.contains = written(env.contains.distinct(), "edges")
-        ancestors = written(closure.ancestors(self.contains), "edges")
-        available = written(closure.available(env.availability, self.contains), "edges")
+        available = closure.available(env.availability, self.contains)
         joinable = written(closure.symmetric(env.joinable), "edges")
-        self.contains, self.closure, self.avail, self.joinable = map(self._sent, (self.contains, ancestors, available, joinable))
-        self.edges = self._sent(self._edges())
+        self.contains, self.avail, self.joinable = map(self._sent, (self.contains, available, joinable))
+        self.edges = self._edges()
         self.chain = closure.framework_chain(env.frameworks) if self.visibility == "chain" else None
         facts = self._fixpoint("S2", None, self._ground())
-        k = written(kanon.k_anonymity(kanon.signatures(env.fields, self._quasi(facts))))
+        k = kanon.k_anonymity(kanon.signatures(env.fields, self._quasi(facts)))
+        if self.with_k:
+            k = written(k)
         if self.with_k and not k.isEmpty():
             before = self._quasi(facts)
             facts = self._fixpoint("S4", facts, self._shape(kanon.as_assertions(k, self.analysis, self.quasi[1]), "KAnonymity"))
@@ -90,7 +98,15 @@ class Engine:
                 import warnings
 
                 warnings.warn(message, stacklevel=2)
-        return Result(env, facts, available, ancestors, joinable, k, self.rounds, self.metrics)
+        return Result(env, facts, available, lambda: self.ancestors, joinable, k, self.rounds, self.metrics)
+
+    @cached_property
+    def ancestors(self) -> DataFrame:
+        return closure.ancestors(self.contains)
+
+    @cached_property
+    def closure(self) -> DataFrame:
+        return self._sent(self.ancestors)
 
     @staticmethod
     def _sent(df: DataFrame) -> DataFrame:
@@ -106,7 +122,7 @@ class Engine:
         for d, df in found.items():
             if d in used:
                 out = out.unionByName(df)
-        return written(out, "edges")
+        return self._sent(out)
 
     def _quasi(self, facts: DataFrame) -> DataFrame:
         return facts.where((F.col("label") == self.quasi[0]) & (F.col("framework") == self.quasi[1])).select("container", "scope").distinct()
@@ -158,7 +174,7 @@ class Engine:
             self.metrics += [(stratum, round_, via, n, seconds) for via, n in sorted(by_rule.items())]
             touched = touched or bool({x["label"] for x in news} & self.rules.looked_at)
             if not news and not touched:
-                return written(facts, "facts")
+                return facts
             if not news:
                 delta = None
             if len(tables) >= 8:
@@ -216,7 +232,7 @@ class Engine:
         holds = None
         if rules.conditions.nodes:
             # several rule families read it: worked out once
-            holds = written(rules.conditions.evaluate(facts.select("container", "label", "scope", "params"), self.avail, self.contains, self.closure, self.joinable), "holds")
+            holds = written(rules.conditions.evaluate(facts.select("container", "label", "scope", "params"), self.avail, self.contains, self.closure if rules.conditions.over_closure else None, self.joinable), "holds")
         if rules.conditional:
             table = R.rule_table(spark, rules.conditional, "framework string, rule string, source string, target string, condition int")
             found = self._seen(facts, table).join(holds, ["condition", "container", "scope"], "left_semi")
