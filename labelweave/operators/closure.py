@@ -68,12 +68,15 @@ def with_root(contains: DataFrame) -> DataFrame:
     return contains.select("parent", "child").unionByName(roots.distinct())
 
 
-def siblings(contains: DataFrame) -> DataFrame:
-    """(container, sibling) with a shared parent; roots are siblings of one another. Pairs: for lookups of few containers; propagation and conditions go
-    through the parent instead."""
+def siblings(contains: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(container, sibling) with a shared parent, of the containers asked for (of: container), or of all; roots are siblings of one another. Pairs: for
+    lookups of few containers; propagation and conditions go through the parent instead."""
     contains = with_root(contains)
+    own = contains.select("parent", F.col("child").alias("container"))
+    if of is not None:
+        own = own.join(of.select("container").distinct(), "container", "left_semi")
     other = contains.select("parent", F.col("child").alias("sibling"))
-    return contains.select("parent", F.col("child").alias("container")).join(other, "parent").where("container <> sibling").select("container", "sibling").distinct()
+    return own.join(other, "parent").where("container <> sibling").select("container", "sibling").distinct()
 
 
 def forest(contains: DataFrame, containers: DataFrame, depth: int = 10) -> DataFrame:

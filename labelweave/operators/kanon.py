@@ -8,24 +8,20 @@ from pyspark.sql import functions as F
 QUASI_IDENTIFIER, ANALYSIS, FRAMEWORK, PARAM = "IndirectIdentifier", "KAnonymityAnalysis", "BaseFramework", "minimumCohortSize"
 
 
-def _escaped(c: str):
-    return F.regexp_replace(c, r"([\\;=])", r"\\$1")
-
-
-def signatures(fields: DataFrame, quasi: DataFrame) -> DataFrame:
-    """(table, scope, record, signature): name=value of a record's quasi-identifiers, in order of name, joined by semicolons. In names and values a
-    backslash, a semicolon and an equals sign stand after a backslash, so that different records have different signatures.
+def signatures(fields: DataFrame, quasi: DataFrame, as_text: bool = True) -> DataFrame:
+    """(table, scope, record, signature): name=value of a record's quasi-identifiers, in order of name, joined by semicolons. The text escapes nothing, so
+    different records can share it; with as_text=False the signature is the array of (name, value) itself, by which k is counted.
 
     fields: (field, record, table, name, value); quasi: (container, scope) of fields that are quasi-identifiers. Records without any have no row.
     A record's fields are few, so the list is bounded by the table's width."""
     own = fields.join(quasi.select(F.col("container").alias("field"), "scope").distinct(), "field").where("name IS NOT NULL AND value IS NOT NULL")
-    pair = F.struct("name", F.concat(_escaped("name"), F.lit("="), _escaped("value")).alias("pair"))
-    found = own.groupBy("table", "scope", "record").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-    return found.select("table", "scope", "record", F.array_join("pairs.pair", ";").alias("signature"))
+    found = own.groupBy("table", "scope", "record").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("signature"))
+    text = F.array_join(F.transform("signature", lambda x: F.concat(x["name"], F.lit("="), x["value"])), ";")
+    return found.withColumn("signature", text) if as_text else found
 
 
 def k_anonymity(signed: DataFrame) -> DataFrame:
-    """(table, scope, k): distinct records per signature, and the least of these. Both groupings pre-aggregate."""
+    """(table, scope, k): distinct records per signature, of either form, and the least of these. Both groupings pre-aggregate."""
     sizes = signed.groupBy("table", "scope", "signature").agg(F.count_distinct("record").alias("n"))
     return sizes.groupBy("table", "scope").agg(F.min("n").alias("k"))
 

@@ -85,7 +85,7 @@ class Engine:
         self.edges = self._edges()
         self.chain = closure.framework_chain(env.frameworks) if self.visibility == "chain" else None
         facts = self._fixpoint("S2", None, self._ground())
-        k = kanon.k_anonymity(kanon.signatures(env.fields, self._quasi(facts)))
+        k = kanon.k_anonymity(kanon.signatures(env.fields, self._quasi(facts), as_text=False))
         if self.with_k:
             k = written(k)
         if self.with_k and not k.isEmpty():

@@ -2,7 +2,8 @@
 
 Triples: (s, p, o, kind), kind of the object: iri, literal or bnode. A pattern is a filter and a projection; patterns join on the variables
 they share; built-ins become filters and columns, noValue an anti-join, in the order given. `run_rules` takes a rule set to its fixed
-point. makeTemp gives a fresh node per row and may not stand in a rule that is run to a fixed point.
+point, semi-naively: after the first round a rule is joined once for each pattern that the last round's triples can match, with that pattern over them alone.
+makeTemp gives a fresh node per row and may not stand in a rule that is run to a fixed point.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ class Rule:
     body: tuple  # ("triple", (s, p, o)) or (builtin, (arg, ...))
     head: tuple[tuple[str, str, str], ...]
 
+    @property
+    def patterns(self) -> list[tuple]:
+        return [args for kind, args in self.body if kind == "triple"]
+
     @property
     def variables(self) -> set[str]:
         return {t for kind, args in self.body for t in args if t.startswith("?")}
@@ -83,30 +88,30 @@ def _pattern(triples: DataFrame, terms: tuple[str, str, str]) -> DataFrame:
     columns = [F.col(c).alias(v) for v, c in seen.items()]
     if seen.get(terms[2]) == "o" and terms[2].startswith("?"):
         columns.append(F.col("kind").alias(f"{terms[2]}!kind"))
-    return out.select(*columns, F.lit(1).alias("!")).drop(*([] if not columns else ["!"])).distinct()
+    return out.select(*columns, F.lit(1).alias("!")).drop(*([] if not columns else ["!"]))
 
 
-def connected(patterns: list[tuple]) -> list[tuple]:
-    """Triple patterns in an order in which each shares a variable with those before it, if any order does."""
-    rest, out, seen = list(patterns), [], set()
+def connected(patterns: list[tuple], first: int = 0) -> list[tuple[int, tuple]]:
+    """Numbered triple patterns, beginning with a given one, in an order in which each shares a variable with those before it, if any order does."""
+    own = lambda x: {t for t in x[1] if t.startswith("?")}
+    rest, out, seen = list(enumerate(patterns)), [], set()
     while rest:
-        own = lambda p: {t for t in p if t.startswith("?")}
-        nearest = next((p for p in rest if own(p) & seen), rest[0])
+        nearest = next((x for x in rest if own(x) & seen), rest[0]) if out else rest[first]
         rest.remove(nearest)
         out.append(nearest)
         seen |= own(nearest)
     return out
 
 
-def body(rule: Rule, triples: DataFrame) -> DataFrame:
-    """Solutions: a column for each variable."""
+def body(rule: Rule, triples: DataFrame, new: DataFrame | None = None, at: int = 0) -> DataFrame:
+    """Solutions: a column for each variable. With new, only those in which the triple pattern numbered `at` is one of the new triples."""
     out = None
 
     def value(term: str) -> Column:
         return F.col(f"`{term}`") if term.startswith("?") else F.lit(_constant(term))
 
-    for args in connected([args for kind, args in rule.body if kind == "triple"]):
-        found = _pattern(triples, args)
+    for i, args in connected(rule.patterns, at):
+        found = _pattern(triples if new is None or i != at else new, args)
         if out is None:
             out = found
             continue
@@ -129,16 +134,30 @@ def body(rule: Rule, triples: DataFrame) -> DataFrame:
     return out
 
 
-def apply_rule(rule: Rule, triples: DataFrame) -> DataFrame:
-    """The triples that one application gives (those known too)."""
-    solutions, out = body(rule, triples), None
+def apply_rule(rule: Rule, triples: DataFrame, new: DataFrame | None = None, at: int = 0) -> DataFrame:
+    """The triples that one application gives (those known too); `new` and `at` as in body. All heads come from one pass over the solutions."""
+    solutions, heads = body(rule, triples, new, at), []
     for terms in rule.head:
         columns = [F.col(f"`{t}`") if t.startswith("?") else F.lit(_constant(t)) for t in terms]
         t = terms[2]
         kind = F.col(f"`{t}!kind`") if f"{t}!kind" in solutions.columns else F.lit("literal" if t.startswith('"') else "iri")
-        one = solutions.select(*(c.cast("string").alias(n) for c, n in zip(columns, "spo")), kind.alias("kind"))
-        out = one if out is None else out.unionByName(one)
-    return out.where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").distinct()
+        heads.append(F.struct(*(c.cast("string").alias(n) for c, n in zip(columns, "spo")), kind.alias("kind")))
+    return solutions.select(F.inline(F.array(*heads))).where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").distinct()
+
+
+def _round(rules: list[Rule], known: DataFrame, new: DataFrame | None, changed: set[str]) -> DataFrame | None:
+    """What the rules give in a round; new triples have the predicates `changed` ("" stands for those that no pattern names). None: no rule can fire."""
+    parts = []
+    for r in rules:
+        if new is None:
+            parts.append(apply_rule(r, known))
+            continue
+        # facts only grow, so a solution without new triples has been found before, and noValue has only become rarer
+        parts += [apply_rule(r, known, new, i) for i, (_, p, _) in enumerate(r.patterns) if p.startswith("?") or _constant(p) in changed]
+    out = parts[0] if parts else None
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def run_rules(rules: list[Rule], triples: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, int]:
@@ -146,13 +165,16 @@ def run_rules(rules: list[Rule], triples: DataFrame, max_rounds: int = 100) -> t
     if bad := [r.name for r in rules if any(kind in ("makeTemp", "now") for kind, _ in r.body)]:
         raise ValueError(f"{bad} make a new value each round; there would be no fixed point")
     known = written(triples.select("s", "p", "o", "kind").distinct())
+    asked = sorted({_constant(p) for r in rules for _, p, _ in r.patterns if not p.startswith("?")})
+    new, changed = None, set()
     for round_ in range(1, max_rounds + 1):
-        new = None
-        for r in rules:
-            found = apply_rule(r, known)
-            new = found if new is None else new.unionByName(found)
-        new = written(new.dropDuplicates(["s", "p", "o"]).join(known.select("s", "p", "o"), ["s", "p", "o"], "left_anti")) if new is not None else known.limit(0)
-        if new.isEmpty():
+        found = _round(rules, known, new, changed)
+        if found is None:
+            return known, round_
+        new = written(found.dropDuplicates(["s", "p", "o"]).join(known.select("s", "p", "o"), ["s", "p", "o"], "left_anti"))
+        # at most as many rows as the rules name predicates, and one
+        changed = {x[0] for x in new.select(F.when(F.col("p").isin(asked), F.col("p")).otherwise("").alias("p")).distinct().collect()}
+        if not changed:
             return known, round_
         known = known.unionByName(new)
         if round_ % 8 == 0:

@@ -307,7 +307,7 @@ over("label_scope_index", "SELECT container, label, scope FROM has", lambda w: w
 _SIG = ", sig(tbl, scope, record, signature) AS (SELECT tbl, scope, record, string_agg(name || '=' || value, ';' ORDER BY name) FROM cells JOIN avail ON container = tbl GROUP BY 1, 2, 3)"
 _K = ", k(tbl, scope, k) AS (SELECT tbl, scope, min(n) FROM (SELECT tbl, scope, signature, count(DISTINCT record) AS n FROM sig GROUP BY 1, 2, 3) GROUP BY 1, 2)"
 over("qi_signatures", 'SELECT tbl AS "table", scope, record, signature FROM sig', lambda w: kanon.signatures(w.env.fields, w.quasi), _SIG)
-over("k_anonymity", 'SELECT tbl AS "table", scope, k FROM k', lambda w: kanon.k_anonymity(kanon.signatures(w.env.fields, w.quasi)), _SIG + _K)
+over("k_anonymity", 'SELECT tbl AS "table", scope, k FROM k', lambda w: kanon.k_anonymity(kanon.signatures(w.env.fields, w.quasi, as_text=False)), _SIG + _K)
 
 
 def k_risk(w: World) -> DataFrame:
@@ -315,7 +315,7 @@ def k_risk(w: World) -> DataFrame:
     out = None
     for name, columns in (("segment", ("segment",)), ("both", W.QUASI)):
         fields = w.env.fields.where(F.col("name").isin(*columns))
-        k = kanon.k_anonymity(kanon.signatures(fields, w.quasi)).withColumn("quasi", F.lit(name))
+        k = kanon.k_anonymity(kanon.signatures(fields, w.quasi, as_text=False)).withColumn("quasi", F.lit(name))
         out = k if out is None else out.unionByName(k)
     verdict = lambda least: F.when(F.col("k") >= least, "YES").otherwise("NO")
     return out.select("quasi", "table", "scope", "k", verdict(3).alias("lenient"), verdict(12).alias("strict"), F.when(F.col("k") < 3, "high").when(F.col("k") < 12, "medium").otherwise("low").alias("risk"))

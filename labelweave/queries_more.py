@@ -159,11 +159,11 @@ register(
 )
 register("cross_of_values", "SELECT s, f FROM (VALUES ('ALL'), ('G1')) a(s), (VALUES ('base'), ('strict')) b(f)", lambda w: sparql.query("SELECT ?s ?f WHERE { VALUES ?s { 'ALL' 'G1' } VALUES ?f { 'base' 'strict' } }", _sparql_triples(w)))
 register(
-    "signature_escapes", "SELECT 'p' AS \"table\", 'g' AS scope, 1::BIGINT AS k",
+    "k_counts_pairs", "SELECT 'p' AS \"table\", 'g' AS scope, 1::BIGINT AS k",
     # a=1;b=2 as one value, and as two: different records
-    lambda w: kanon.k_anonymity(kanon.signatures(w.table([("f1", "r1", "p", "a", "1;b=2"), ("f2", "r2", "p", "a", "1"), ("f3", "r2", "p", "b", "2")], "field string, record string, table string, name string, value string"), w.table([("f1", "g"), ("f2", "g"), ("f3", "g")], "container string, scope string"))),
+    lambda w: kanon.k_anonymity(kanon.signatures(w.table([("f1", "r1", "p", "a", "1;b=2"), ("f2", "r2", "p", "a", "1"), ("f3", "r2", "p", "b", "2")], "field string, record string, table string, name string, value string"), w.table([("f1", "g"), ("f2", "g"), ("f3", "g")], "container string, scope string"), as_text=False)),
 )
 over(
     "siblings", "SELECT DISTINCT container, sibling FROM (SELECT x.child AS container, y.child AS sibling FROM contains x JOIN contains y ON x.parent = y.parent WHERE x.parent IN (SELECT child FROM contains WHERE parent = 'R1') OR starts_with(x.parent, 'R') UNION ALL SELECT a, b FROM (SELECT DISTINCT parent AS a FROM contains WHERE parent NOT IN (SELECT child FROM contains)) CROSS JOIN (SELECT DISTINCT parent AS b FROM contains WHERE parent NOT IN (SELECT child FROM contains))) WHERE container <> sibling AND (starts_with(container, 'R') OR starts_with(container, 'N'))",
-    lambda w: closure.siblings(w.contains.where("parent LIKE 'R%'")),
+    lambda w: closure.siblings(w.contains, w.env.containers.where("kind IN ('database', 'table')")),  # of all regions and nations
 )

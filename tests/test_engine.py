@@ -154,3 +154,10 @@ def test_compiled_rules_are_distinct(spark):
     env = medical.environment(spark, rows=1)
     c = compile_rules(env)
     assert len(set(c.label_steps)) == len(c.label_steps) and all(p[2] in E.DIRECTIONS for p in c.propagations)
+
+
+def test_k_counts_pairs_and_no_texts(spark):
+    fields = spark.createDataFrame([("f1", "r1", "t", "a", "x;b=y", "s"), ("f2", "r2", "t", "a", "x", "s"), ("f3", "r2", "t", "b", "y", "s")], E.SCHEMAS["fields"])
+    quasi = spark.createDataFrame([(f"f{i}", "g") for i in (1, 2, 3)], "container string, scope string")
+    assert {r["signature"] for r in kanon.signatures(fields, quasi).collect()} == {"a=x;b=y"}
+    assert kanon.k_anonymity(kanon.signatures(fields, quasi, as_text=False)).collect()[0]["k"] == 1
