@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelweave import env as E
+from labelweave.storage import written
 
 JSON = """containers array<struct<id:string,name:string,type:string,parentId:string>>, scopes array<struct<id:string,visibleContainerIds:array<string>>>,
 joinable array<struct<container1Id:string,container2Id:string>>, groundAssertions array<struct<containerId:string,labelId:string,scopeId:string,frameworkId:string,parameters:map<string,string>>>"""
@@ -79,6 +80,14 @@ def scale_records(fields: DataFrame, target: int, seed: int = 42) -> DataFrame:
     return fields.unionByName(new.select(F.concat("record", F.lit("/"), "name").alias("field"), "record", "table", "name", "value", "datatype"))
 
 
+def scaled(env: E.Env, target: int, seed: int = 42) -> E.Env:
+    """env with at least `target` records in each table that has any; the new records and their fields are contained like the old ones."""
+    fields = written(scale_records(env.fields, target, seed), "fields")
+    new = fields.join(env.fields.select("field").distinct(), "field", "left_anti")
+    edges = new.select(F.col("table").alias("parent"), F.col("record").alias("child")).unionByName(new.select(F.col("record").alias("parent"), F.col("field").alias("child")))
+    return env.with_tables(fields=fields, contains=env.contains.unionByName(edges).distinct())
+
+
 def merge(*envs: E.Env) -> E.Env:
     """The union of several environments' tables and rules."""
     tables = {n: reduce(DataFrame.unionByName, (e.tables[n] for e in envs)) for n in E.SCHEMAS}

@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
+from labelweave import env as E
 from labelweave.operators import query
 from labelweave.plans.engine import infer
-from labelweave.sources import graph, turtle
+from labelweave.sources import graph, inputs, turtle
 
 TTL = '''
 @prefix : <http://x.org/v#> .
@@ -66,3 +68,12 @@ def test_folder_module(spark, tmp_path):
         assert got == {(c, label, "S") for c in ("T", "DB") for label in ("Seen", "Known")}
     with pytest.raises(ValueError):
         frameworks.Modules()._add({"name": "x", "depends_on": ["absent"]})
+
+
+def test_scaled_environment(spark):
+    env = E.from_rows(spark, fields=[("r/a", "r", "t", "a", "1", "string"), ("r/b", "r", "t", "b", "2", "string"), ("q/a", "q", "u", "a", "3", "string")], contains=[("t", "r"), ("r", "r/a"), ("r", "r/b"), ("u", "q"), ("q", "q/a")])
+    big = inputs.scaled(env, 4)
+    assert {r["table"]: r["n"] for r in big.fields.groupBy("table").agg(F.count_distinct("record").alias("n")).collect()} == {"t": 4, "u": 4}
+    edges = {tuple(r) for r in big.contains.collect()}
+    assert {(r["table"], r["record"]) for r in big.fields.collect()} | {(r["record"], r["field"]) for r in big.fields.collect()} == edges
+    assert {r["value"] for r in big.fields.where("name = 'b'").collect()} == {"2"}
