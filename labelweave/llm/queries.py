@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelweave.llm import bpe, decontaminate, licences, passages, quality, repeats, sharding, simhash, urls, warc
+from labelweave.llm import audit, bpe, decontaminate, licences, passages, quality, repeats, sharding, simhash, urls, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_rules": quality.query,
         "op9_byte_bpe": bpe.query,
         "op10_sharding": sharding.query,
+        "op11_filter_audit": audit.query,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.oracle_sql(),
         "op7_suffix_array_dedup": repeats.oracle_sql(),
         "op8_quality_rules": quality.oracle_sql(),
+        "op11_filter_audit": audit.oracle_sql(),
     }
