@@ -5,8 +5,9 @@ capitals and symbols come from the row itself, the flag of copies from the small
 all to the document, whose five flags make a number from 0 to 31 (its mask). One aggregation by part with 32 conditional counts (and as many for good
 and for toxic documents) then answers every order of the filters: a filter removes the masks that have its bit and none of the earlier filters' bits.
 
-Plans: a document is named by (doc_id, hash of its text), so no text travels beside its words; the words are pre-aggregated before the shuffle, which
-goes by (document, word) and so splits long documents. The copy that stays is found by an equi-join on the document, not on the digest: thousands of copies of
+Plans: a document is named by (doc_id, hash of its text). Texts are dealt by document before they are exploded: that shuffles the input once, and both
+counts, by (document, word) and by document, find their rows where they are. The task that read a row is part of its key, so a row that is repeated without
+end (one without a doc_id, say) is dealt to as many tasks as read it; its counts meet afterwards, a row a task. The copy that stays is found by an equi-join on the document, not on the digest: thousands of copies of
 a text share no key. Part counts are pre-aggregated, so a hot part costs one row a task.
 
 Defined results: a null text is an empty one, without words; a null source is the part of the empty name; a row without a doc_id is never
@@ -40,12 +41,14 @@ def _documents(docs: DataFrame, part: str, text: str) -> DataFrame:
 
 def word_counts(documents: DataFrame) -> DataFrame:
     """(d, h, n_words, n_distinct). A null stands beside each text's words, so that it is counted how often the row is there."""
+    dealt = documents.select("d", "h", F.spark_partition_id().alias("task"), "text").repartition("d", "h", "task")
     found = F.array_append(F.split("text", r"[\x20\x09-\x0D]+"), F.lit(None).cast("string"))
-    exploded = documents.select("d", "h", F.explode(found).alias("word")).where("word IS NULL OR word <> ''")
-    by_word = exploded.groupBy("d", "h", "word").agg(F.count("*").alias("n"))
-    rows = F.sum(F.when(F.col("word").isNull(), F.col("n")))
-    total = F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0))
-    return by_word.groupBy("d", "h").agg((total / rows).cast("long").alias("n_words"), F.count("word").alias("n_distinct"))
+    exploded = dealt.select("d", "h", "task", F.explode(found).alias("word")).where("word IS NULL OR word <> ''")
+    by_word = exploded.groupBy("d", "h", "task", "word").agg(F.count("*").alias("n"))
+    rows = F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("rows")
+    total = F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("total")
+    by_task = by_word.groupBy("d", "h", "task").agg(rows, total, F.count("word").alias("n_distinct"))
+    return by_task.groupBy("d", "h").agg((F.sum("total") / F.sum("rows")).cast("long").alias("n_words"), F.max("n_distinct").alias("n_distinct"))
 
 
 def flags(docs: DataFrame, labels: DataFrame, part: str = "source", text: str = "text") -> DataFrame:
