@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelweave.llm import audit, bpe, decontaminate, licences, passages, quality, repeats, sharding, simhash, urls, warc
+from labelweave.llm import audit, bpe, chat, decontaminate, licences, passages, quality, repeats, sharding, simhash, urls, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_byte_bpe": bpe.query,
         "op10_sharding": sharding.query,
         "op11_filter_audit": audit.query,
+        "op12_embedding_whitening": whitening.query,
+        "op13_chat_formatting": chat.query,
     }
 
 
@@ -30,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_suffix_array_dedup": repeats.oracle_sql(),
         "op8_quality_rules": quality.oracle_sql(),
         "op11_filter_audit": audit.oracle_sql(),
+        "op13_chat_formatting": chat.oracle_sql(),
     }

@@ -13,7 +13,7 @@ from labelweave.llm import common, queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(name, spark, sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got, want = queries.queries()[name](spark, sf_dir).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     columns = sorted(want.columns)
@@ -30,7 +30,7 @@ def test_plain(name, plain, spark, sf_dir):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.queries()}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in queries.queries()}
     assert set(queries.queries()) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
