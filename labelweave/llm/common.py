@@ -21,7 +21,7 @@ from labelweave.storage import drop, shared_dir, written  # noqa: F401
 
 #: Bytes of text that are turned into numpy arrays at once (a longer document makes a slice of its own).
 SLICE_BYTES = 1 << 18
-#: Stands for a missing doc_id in comparisons: greater than any id, so such a row is never the first of its group.
+#: Stands in the place of a missing doc_id, beside a flag (flows.ids_of).
 NO_ID = (1 << 63) - 1
 
 _BASE = 0x9E3779B97F4A7C15 | 1

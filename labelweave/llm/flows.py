@@ -2,8 +2,8 @@
 
 Hashes and positions travel in blobs: one row per (map task's share, bucket), holding compressed numpy arrays, instead of
 one row per hash. Documents travel in packs, one per (map task's share, destination), so that verdicts can be brought to the texts
-they are about. A document is named by its doc_id and 64 bits of its text's hash (rows without a doc_id, or several texts of one, are told apart by
-the latter: m such texts share a name with a probability of m * m / 2**65); a blob lists its documents once.
+they are about. A document is named by its doc_id and 64 bits: 63 of its text's hash (rows without a doc_id, or several texts of one, are told apart by
+them: m such texts share a name with a probability of m * m / 2**64), and one that says that it has no doc_id. A blob lists its documents once.
 
 `at_documents` is the join of verdicts and texts: both are dealt by document, verdicts sort before texts, and a task streams the packs
 of a destination past the verdicts on it.
@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -66,8 +67,31 @@ def unsteps(x: np.ndarray) -> np.ndarray:
     return np.cumsum(((x >> np.uint64(1)).astype(np.int64)) ^ -((x & np.uint64(1)).astype(np.int64)))
 
 
-def doc_hash(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text)
+def ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The doc_ids of a column, and which are missing; in their place stands the greatest id."""
+    return pc.fill_null(column, common.NO_ID).to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
+
+
+def doc_hashes(texts: list[bytes], missing: np.ndarray) -> np.ndarray:
+    """The second half of documents' names: the last bit says that there is no doc_id."""
+    found = np.array([xxhash.xxh64_intdigest(x) for x in texts], dtype=np.uint64)
+    return (found & ~np.uint64(1)) | missing.astype(np.uint64)
+
+
+def ids_back(ids: np.ndarray, hashes: np.ndarray) -> pa.Array:
+    """doc_ids as they came, the missing ones null."""
+    return pa.array(ids, pa.int64(), mask=(hashes & np.uint64(1)).astype(bool))
+
+
+def ranked(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the doc_ids, with missing ones after all others."""
+    last = ids == common.NO_ID
+    if not last.any():
+        return ids
+    missing = (hashes & np.uint64(1)).astype(bool)
+    if missing[last].all():  # the greatest id stands for missing ones alone
+        return ids
+    return 2 * np.unique(ids, return_inverse=True)[1].astype(np.int64) + missing
 
 
 class Docs:
@@ -149,9 +173,9 @@ def rows(out: Iterator[tuple[int, int, bytes]], most: int = 64) -> Iterator[pa.R
 
 
 def texts(docs: DataFrame, others: bool = False) -> DataFrame:
-    """(doc_id, text binary): a null text is empty; a missing doc_id is NO_ID. others: then all other columns, doc_id too, as they are but for
+    """(doc_id, text binary): a null text is empty. others: then all other columns, doc_id too, as they are but for
     their names, which are positions."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)).alias("_doc")
+    doc = F.col("doc_id").cast("long").alias("_doc")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("_text")
     return docs.select(doc, text, *(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns) if others and c != "text"))
 
@@ -163,8 +187,8 @@ def packed(docs: DataFrame, n: int, kind: int = 9) -> DataFrame:
         def flush(held):
             table = pa.Table.from_batches(held).combine_chunks()
             raw = table.column(1).to_pylist()
-            ids = table.column(0).to_numpy()
-            hashes = np.array([doc_hash(x) for x in raw], dtype=np.uint64)
+            ids, missing = ids_of(table.column(0))
+            hashes = doc_hashes(raw, missing)
             where = destination(ids, hashes, n)
             order = np.argsort(where, kind="stable")
             cuts = np.append(np.flatnonzero(np.diff(where[order], prepend=-1)), len(order))
@@ -259,6 +283,12 @@ class ByDocument:
         return found and [c[found[0] : found[1]] for c in self.columns]
 
 
+def largest(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """As smallest()."""
+    first = np.flatnonzero(groups)
+    return np.repeat(np.maximum.reduceat(values, first), np.diff(np.append(first, len(values)))) if len(values) else values
+
+
 def smallest(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
     """For records sorted by group (new[i]: a group begins): the smallest value of each one's group."""
     first = np.flatnonzero(groups)

@@ -42,7 +42,7 @@ def probes(batches, n: int, block: int):
 
     size = 0
     for batch in batches:
-        ids = batch.column(0).to_numpy()
+        ids, missing = flows.ids_of(batch.column(0))
         data, offsets = common.flat(batch.column(1))
         for first, end, part, begin in common.slices(data, offsets):
             w = common.WordHashes(part, begin)
@@ -50,7 +50,7 @@ def probes(batches, n: int, block: int):
                 continue
             at = np.flatnonzero(np.arange(w.n) + block <= w.end)
             row, raw = w.row[at], part.tobytes()
-            own = np.array([flows.doc_hash(raw[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], dtype=np.uint64)
+            own = flows.doc_hashes([raw[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], missing[first:end])
             keys = common.mix(w.prefix.ranges(at, at + block))
             held.append((keys, ids[first:end][row], own[row], at - w.begin[row]))
             size += len(at)
@@ -79,8 +79,8 @@ def hits(blobs: list[bytes], n: int, block: int):
     order = hit[np.argsort(keys[hit], kind="stable")]
     new = np.ones(len(order), dtype=bool)
     new[1:] = keys[order][1:] != keys[order][:-1]
-    least, most = flows.smallest(new, ids[order]), -flows.smallest(new, -ids[order])
-    order = order[least != most]
+    rank = flows.ranked(ids[order], hashes[order])
+    order = order[flows.smallest(new, rank) != flows.largest(new, rank)]
     yield from flows.verdicts(ids[order], hashes[order], at[order], at[order] + 1, n, kind=1)
 
 
@@ -90,11 +90,12 @@ def extend(stream, n: int, block: int, window: int):
 
     def flush():
         keys, checks, ids, hashes, at = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((ids, checks, keys))
+        order = np.lexsort((checks, keys))
         keys, checks, ids, hashes, at = (x[order] for x in (keys, checks, ids, hashes, at))
         new = np.ones(len(keys), dtype=bool)
         new[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
-        later = ids > flows.smallest(new, ids)
+        rank = flows.ranked(ids, hashes)
+        later = rank > flows.smallest(new, rank)
         yield from flows.verdicts(ids[later], hashes[later], at[later], at[later] + window, n)
         rest = np.flatnonzero(~later)
         rest = rest[np.lexsort((at[rest], hashes[rest], ids[rest]))]
@@ -142,7 +143,8 @@ def decide(blobs: list[bytes], n: int, window: int):
     order = np.lexsort((checks, keys))
     new = np.ones(len(order), dtype=bool)
     new[1:] = (keys[order][1:] != keys[order][:-1]) | (checks[order][1:] != checks[order][:-1])
-    later = order[ids[order] > flows.smallest(new, ids[order])]
+    rank = flows.ranked(ids[order], hashes[order])
+    later = order[rank > flows.smallest(new, rank)]
     yield from flows.verdicts(ids[later], hashes[later], at[later], at[later] + window, n)
 
 
@@ -180,11 +182,10 @@ def dedup_passages(docs: DataFrame, block: int = BLOCK, with_text: bool = True)
                 text = b" ".join(words)
                 sums.append(hashlib.sha256(text).hexdigest())
                 kept.append(text)
-            columns = [pa.array(ids), pa.array(total, pa.int64()), pa.array(cut, pa.int64()), pa.array(sums), *([pa.array(kept, pa.binary())] if with_text else [])]
+            columns = [flows.ids_back(ids, hashes), pa.array(total, pa.int64()), pa.array(cut, pa.int64()), pa.array(sums), *([pa.array(kept, pa.binary())] if with_text else [])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
 
     out = flows.at_documents(found, packs, n, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * with_text)
-    out = out.withColumn("doc_id", F.when(F.col("doc_id") != common.NO_ID, F.col("doc_id")))
     return out.withColumn("kept", F.col("kept").cast("string")) if with_text else out
 
 

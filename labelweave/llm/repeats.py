@@ -98,12 +98,12 @@ def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (high.astype(np.uint64) << np.uint64(32)) | low
 
 
-def _shared(anchor: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _shared(anchor: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The records, by anchor, of anchors that several documents hold."""
     order = np.argsort(anchor, kind="stable")
     new = np.ones(len(order), dtype=bool)
     new[1:] = anchor[order][1:] != anchor[order][:-1]
-    return order[flows.smallest(new, ids[order]) != -flows.smallest(new, -ids[order])]
+    return order[flows.smallest(new, rank[order]) != flows.largest(new, rank[order])]
 
 
 def contexts(batches, n: int, window: int, gram: int):
@@ -114,10 +114,11 @@ def contexts(batches, n: int, window: int, gram: int):
         anchor, ids, hashes, start, stop, offset, at = (np.concatenate([x[k] for x in held]) for k in range(7))
         text = np.concatenate([x[7] for x in held])
         stay = np.ones(len(anchor), dtype=bool)
-        few = _shared(anchor, ids)
+        rank = flows.ranked(ids, hashes)
+        few = _shared(anchor, rank)
         if len(few):
             lengths = (stop - start)[few] + window
-            later = few[later_contexts(text, at[few], lengths, anchor[few], offset[few], ids[few])]
+            later = few[later_contexts(text, at[few], lengths, anchor[few], offset[few], rank[few])]
             stay[later] = False
             yield from flows.verdicts(ids[later], hashes[later], start[later], stop[later] + window, n)
         rest = np.flatnonzero(stay)
@@ -128,14 +129,14 @@ def contexts(batches, n: int, window: int, gram: int):
 
     size = base_text = 0
     for batch in batches:
-        ids = batch.column(0).to_numpy()
+        ids, missing = flows.ids_of(batch.column(0))
         data, offsets = common.flat(batch.column(1))
         own: dict[int, np.ndarray] = {}
         for first, end, part, begin, base in _pieces(data, offsets, window):
             if first not in own:
                 raw = data[offsets[first] : offsets[end]].tobytes()
                 cut = (offsets[first : end + 1] - offsets[first]).tolist()
-                own = {first: np.array([flows.doc_hash(raw[a:b]) for a, b in zip(cut[:-1], cut[1:])], dtype=np.uint64)}
+                own = {first: flows.doc_hashes([raw[a:b] for a, b in zip(cut[:-1], cut[1:])], missing[first:end])}
             anchor, place, start, stop = anchors(common.Prefix(part), begin, window, gram)
             if not len(anchor):
                 continue
@@ -163,7 +164,7 @@ def shared_contexts(blobs: list[bytes], n: int, window: int, crowd: int):
         for held, x in zip(columns, (_whole(low, high), docs.ids, docs.hashes, flows.unsteps(step), length, offset)):
             held.append(x)
     anchor, ids, hashes, start, length, offset = map(np.concatenate, columns)
-    asked = _shared(anchor, ids)
+    asked = _shared(anchor, flows.ranked(ids, hashes))
     if not len(asked):
         return
     new = np.append(True, anchor[asked][1:] != anchor[asked][:-1])
@@ -355,6 +356,7 @@ def sort_suffixes(blobs: list[bytes], n: int, window: int):
             held.append(x)
     ids, hashes, anchor, start, offset, lengths, data = map(np.concatenate, columns)
     begin, many = np.cumsum(lengths) - lengths, lengths - window + 1
+    rank = flows.ranked(ids, hashes)
     rows = np.argsort(anchor, kind="stable")
 
     # whole contexts. What is equal in a piece leaves one; then pieces of what is left, until every anchor is in one piece (or nothing more goes)
@@ -362,7 +364,7 @@ def sort_suffixes(blobs: list[bytes], n: int, window: int):
         parts = [own for own in np.array_split(rows, len(rows) // SORTED + 1)]
         left = []
         for own in parts:
-            gone = own[later_contexts(data, begin[own], lengths[own], anchor[own], offset[own], ids[own])]
+            gone = own[later_contexts(data, begin[own], lengths[own], anchor[own], offset[own], rank[own])]
             yield from flows.verdicts(ids[gone], hashes[gone], start[gone], start[gone] + lengths[gone], n)
             left.append(own[~np.isin(own, gone)])
         apart = any(anchor[a[-1]] == anchor[b[0]] for a, b in zip(parts[:-1], parts[1:]))
@@ -370,7 +372,7 @@ def sort_suffixes(blobs: list[bytes], n: int, window: int):
         if not apart:
             break
         if len(rows) > 0.9 * before:  # one piece after all
-            gone = rows[later_contexts(data, begin[rows], lengths[rows], anchor[rows], offset[rows], ids[rows])]
+            gone = rows[later_contexts(data, begin[rows], lengths[rows], anchor[rows], offset[rows], rank[rows])]
             yield from flows.verdicts(ids[gone], hashes[gone], start[gone], start[gone] + lengths[gone], n)
             rows = rows[~np.isin(rows, gone)]
             break
@@ -387,7 +389,7 @@ def sort_suffixes(blobs: list[bytes], n: int, window: int):
         which = np.repeat(own, many[own])
         within = np.arange(len(which)) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
         place = offset[which] - within  # of the anchor in the window
-        order = np.lexsort((ids[which], place, anchor[which]))
+        order = np.lexsort((rank[which], place, anchor[which]))
         which, within, place = which[order], within[order], place[order]
         same = (anchor[which][1:] == anchor[which][:-1]) & (place[1:] == place[:-1])
         moved = np.zeros(len(lengths), dtype=np.int64)
@@ -401,7 +403,7 @@ def sort_suffixes(blobs: list[bytes], n: int, window: int):
         order = sorter.sort(suffix, groups, limit)
         which, within, suffix = which[order], within[order], suffix[order]
         new = sorter.classes(suffix, groups, limit)
-        later = ids[which] > flows.smallest(new, ids[which])
+        later = rank[which] > flows.smallest(new, rank[which])
         which, first = which[later], (start[which] + within)[later]
         yield from flows.verdicts(ids[which], hashes[which], first, first + window, n)
 
@@ -432,7 +434,7 @@ def _kept(stream):
                 text = b"".join(text[p:q] for p, q in zip([0, *stops.tolist()], [*starts.tolist(), b - a]))
             kept.append(text)
             spans.append(n_spans)
-        yield ids, np.diff(offsets), kept, spans, others
+        yield flows.ids_back(ids, hashes), np.diff(offsets), kept, spans, others
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD, with_text: bool = True) -> DataFrame:
@@ -442,12 +444,11 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd:
 
     def finish(stream):
         for ids, sizes, kept, spans, _ in _kept(stream):
-            columns = [pa.array(ids), pa.array(sizes, pa.int64()), pa.array(sizes - np.array([len(x) for x in kept], dtype=np.int64), pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
+            columns = [ids, pa.array(sizes, pa.int64()), pa.array(sizes - np.array([len(x) for x in kept], dtype=np.int64), pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.binary())] if with_text else [])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    out = flows.at_documents(found, flows.packed(rows, n), n, finish, schema)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != common.NO_ID, F.col("doc_id")))
+    return flows.at_documents(found, flows.packed(rows, n), n, finish, schema)
 
 
 def strip(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:

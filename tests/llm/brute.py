@@ -8,7 +8,7 @@ import xxhash
 LOWER = {i: i + 32 for i in range(65, 91)}
 SPACE_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LAST = (1 << 63) - 1
+LAST = 1 << 63
 
 
 def components(n, links):

@@ -170,6 +170,47 @@ def test_repeats(docs, texts, monkeypatch):
     assert corpus.as_set(repeats.dedup_bytes(docs, crowd=1, with_text=False).collect()) == want
 
 
+@pytest.mark.parametrize("ends", [[-(1 << 63), 5], [-(1 << 63), (1 << 63) - 1], [(1 << 63) - 1, None], [None, (1 << 63) - 1, None, -1, 0], [None, None, -(1 << 63)], [(1 << 63) - 1] * 2 + [None] * 2])
+def test_ids_at_the_ends(spark, ends):
+    """Repeats go from the documents of greater ids, whatever the ids; missing ones come last."""
+    common.prepare(spark)
+    shared = corpus.sentence(random.Random(1), 80)
+    rows = [(d, shared if k % 2 else f"only{k} {shared} tail{k}") for k, d in enumerate(ends)] + [(77, corpus.sentence(random.Random(2), 70))]
+    df = corpus.frame(spark, rows)
+    got = passages.dedup_passages(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert corpus.as_set(got) == corpus.as_set(brute.passages(rows))
+    got = repeats.dedup_bytes(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert corpus.as_set(got) == corpus.as_set(brute.repeats(rows))
+
+
+def test_keep_one_beside_clashing_names(spark):
+    common.prepare(spark)
+    text = corpus.sentence(random.Random(5), 60)
+    rows = [(k, text if k < 3 else corpus.sentence(random.Random(k), 40), "a", "b", k) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone_digest string, _Gone_Id string, __gone_id long")
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 3, 4, 5]
+
+
+def test_recall_by_similarity(spark):
+    """Pairs on both sides of 0.8: at or above, at least 99 in 100 are linked; below, none is."""
+    common.prepare(spark)
+    rng, rows, want = random.Random(8), [], {}
+    for pair in range(400):
+        words = corpus.sentence(rng, rng.randrange(60, 400)).split()
+        other = list(words)
+        for at in rng.sample(range(len(words)), rng.randrange(1, 12)):
+            other[at] = f"edit{pair}x{at}"
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, other)]
+        want[pair] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+    component = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(corpus.frame(spark, rows)).collect()}
+    linked = {p: component[2 * p] == component[2 * p + 1] for p in want}
+    above = [linked[p] for p, s in want.items() if s >= 0.8]
+    assert len(above) > 150 and sum(above) >= 0.99 * len(above)
+    assert not any(linked[p] for p, s in want.items() if s < 0.8)
+
+
 def test_long_documents_in_pieces(monkeypatch):
     import numpy as np
     import pyarrow as pa
