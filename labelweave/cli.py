@@ -21,7 +21,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--data", nargs="*", default=[], help=".ttl files (frameworks in them are read too), .json environments or folders of Parquet tables")
     p.add_argument("--query", nargs="*", default=[], help="SQL files over the views assertions, containers, contains, ...; .rq files are SPARQL over the result's triples")
     p.add_argument("--construct", nargs="*", default=[], help="SPARQL CONSTRUCT files: facts that they make count in the rounds, and the result's triples are saturated with them")
-    p.add_argument("--upsert", nargs="*", default=[], help="SPARQL INSERT and DELETE files, run after the constructs of each round")
+    p.add_argument("--upsert", nargs="*", default=[], help="SPARQL INSERT and DELETE files: what they insert counts in the rounds, what they delete is taken back with all that rests on it")
     p.add_argument("--rules", nargs="*", default=[], help="rule texts, run over the triples of the result")
     p.add_argument("--export", help="folder for the result's triples")
     p.add_argument("--max-rounds", type=int, default=1000)
@@ -40,6 +40,7 @@ def load(args) -> frameworks.Modules:
     for f in args.frameworks:
         modules.load(f)
     modules.constructs += [Path(p).read_text() for p in args.construct]
+    modules.updates += [Path(p).read_text() for p in args.upsert]
     return modules
 
 
@@ -70,15 +71,15 @@ def main(argv: list[str] | None = None) -> int:
         remove(spark, args.cache_dir)
     modules = load(args)
     env = environment(spark, args, modules)
-    extra = tuple(modules.in_rounds(env))
-    if args.cache_dir and not args.display and not extra:
+    extra, retracts = tuple(modules.in_rounds(env)), tuple(modules.retracts(env))
+    if args.cache_dir and not args.display and not extra and not retracts:
         assertions, kept = infer_cached(env, args.cache_dir, max_rounds=args.max_rounds)
         assertions.createOrReplaceTempView("assertions")
         for name, df in env.tables.items():
             df.createOrReplaceTempView(name)
         print("kept result" if kept else "new result", file=sys.stderr)
     else:
-        result = engine.infer(env, max_rounds=args.max_rounds, extra=extra)
+        result = engine.infer(env, max_rounds=args.max_rounds, extra=extra, retracts=retracts)
         result.register_views()
         assertions = result.assertions
         if args.verbose:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,17 @@ def compare(left: Column, op: str, right: Column, upper: Column | None = None) -
     return F.coalesce(both & order, F.lit(False))
 
 
+class Edges:
+    """What conditions look along; the closure is worked out when one looks along it."""
+
+    def __init__(self, avail: DataFrame, contains: DataFrame, joinable: DataFrame, closure: Callable[[], DataFrame]):
+        self.avail, self.contains, self.joinable, self._closure = avail, contains, joinable, closure
+
+    @property
+    def closure(self) -> DataFrame:
+        return self._closure()
+
+
 class Evaluator:
     """Where conditions hold, given facts (container, label, scope[, params])."""
 
@@ -128,50 +141,110 @@ class Batch:
     def labels(self) -> set[str]:
         return {x for c in self.nodes.values() if not isinstance(c, (All, Any)) for x in labels_in(c)}
 
-    def evaluate(self, facts: DataFrame, avail: DataFrame, contains: DataFrame, closure: DataFrame, joinable: DataFrame) -> DataFrame:
-        """(condition, container, scope) of every node."""
-        spark = facts.sparkSession
+    def comparing(self) -> list[Compare]:
+        return [c for c in self.nodes.values() if isinstance(c, Compare)]
+
+    def below(self, numbers) -> set[int]:
+        """The nodes of these trees."""
+        out: set[int] = set()
+        for i in numbers:
+            out |= {i} | self.below(self.of[p] for p in self.nodes[i].parts) if isinstance(self.nodes[i], (All, Any)) else {i}
+        return out
+
+    def parts(self, depth: int, nodes: set[int] | None = None) -> list[tuple[int, int, int]]:
+        """(parent, condition, how many parts it takes) of the composites of a depth."""
+        return [
+            (i, self.of[p], len(set(c.parts)) if isinstance(c, All) else 1)
+            for i, c in self.nodes.items() if self.depth[i] == depth and depth and (nodes is None or i in nodes) for p in dict.fromkeys(c.parts)
+        ]
+
+    @property
+    def deepest(self) -> int:
+        return max(self.depth.values(), default=0)
+
+    def leaves(self, facts: DataFrame, edges: Edges, nodes: set[int] | None = None, marks: DataFrame | None = None) -> DataFrame | None:
+        """(condition, container, scope) of leaves but comparisons, of all or of these nodes, so far as these facts go; a union of facts gives the union of the
+        rows. marks (condition, container, scope) says where they are asked for: looks up (at the container itself, its parent, ancestors, siblings, what it joins) start
+        from the marks and meet the facts there; looks down start from the labelled facts, for what is inside a container is many, and end at the marks."""
         has = facts.select("container", "label", "scope").distinct()
-        leaves: dict[str, list[tuple[int, str]]] = {}
+        kinds: dict[str, list[tuple[int, str]]] = {}
         for i, c in self.nodes.items():
-            if isinstance(c, Has):
-                leaves.setdefault("Self", []).append((i, c.label))
-            elif isinstance(c, Related):
-                leaves.setdefault(c.relation, []).append((i, c.label))
-            elif isinstance(c, (Contains, JoinableTo)):
-                leaves.setdefault(type(c).__name__, []).append((i, c.label))
+            if (nodes is None or i in nodes) and not isinstance(c, (All, Any, Compare)):
+                kind = "Self" if isinstance(c, Has) else c.relation if isinstance(c, Related) else type(c).__name__
+                kinds.setdefault(kind, []).append((i, c.label))
         out = None
-
-        def add(df: DataFrame) -> None:
-            nonlocal out
-            df = df.select("condition", "container", "scope")
-            out = df if out is None else out.unionByName(df)
-
-        for kind, rows in leaves.items():
-            asked = R.rule_table(spark, rows, "condition int, label string")
+        for kind, rows in kinds.items():
+            asked = R.rule_table(has.sparkSession, rows, "condition int, label string")
             own = has.join(F.broadcast(asked.select("label").distinct()), "label", "left_semi")
-            if kind in ("Contains", "JoinableTo"):
-                up = own.join(closure.select(F.col("descendant").alias("container"), "ancestor"), "container").select(F.col("ancestor").alias("container"), "label", "scope")
-                own = own.unionByName(up).distinct().join(avail, ["container", "scope"], "left_semi")
-                if kind == "JoinableTo":
-                    own = own.withColumnRenamed("container", "b").join(joinable, "b").select(F.col("a").alias("container"), "label", "scope")
+            if marks is None:
+                found = self._looked(own, kind, edges).join(asked, "label")
             else:
-                own = related(own, kind, contains, closure)
-            add(own.join(asked, "label"))
-        one = Evaluator(facts, avail, contains, closure, joinable)
+                found = self._looked_from(marks.join(asked, "condition"), own, kind, edges)
+            found = found.select("condition", "container", "scope")
+            out = found if out is None else out.unionByName(found)
+        return out if out is None else out.distinct()
+
+    @staticmethod
+    def _inside(own: DataFrame, edges: Edges) -> DataFrame:
+        up = own.join(edges.closure.select(F.col("descendant").alias("container"), "ancestor"), "container").select(F.col("ancestor").alias("container"), "label", "scope")
+        return own.select("container", "label", "scope").unionByName(up).distinct().join(edges.avail, ["container", "scope"], "left_semi")
+
+    def _looked(self, own: DataFrame, kind: str, edges: Edges) -> DataFrame:
+        """(container, label, scope) where the look finds one of the labelled facts."""
+        if kind == "Contains":
+            return self._inside(own, edges)
+        if kind == "JoinableTo":
+            return self._inside(own, edges).withColumnRenamed("container", "b").join(edges.joinable, "b").select(F.col("a").alias("container"), "label", "scope")
+        return related(own, kind, edges.contains, edges.closure if kind in ("Ancestor", "Descendant") else None)
+
+    def _looked_from(self, marks: DataFrame, own: DataFrame, kind: str, edges: Edges) -> DataFrame:
+        """The marks (condition, container, scope, label) from which the look finds one of the labelled facts."""
+        there = lambda df: df.withColumnRenamed("container", "other")
+        if kind == "Self":
+            return marks.join(own, ["container", "label", "scope"], "left_semi")
+        if kind == "Parent":
+            up = edges.contains.select(F.col("child").alias("container"), F.col("parent").alias("other"))
+        elif kind == "Ancestor":
+            up = edges.closure.select(F.col("descendant").alias("container"), F.col("ancestor").alias("other"))
+        elif kind == "JoinableTo":
+            up, own = edges.joinable.select(F.col("a").alias("container"), F.col("b").alias("other")), self._inside(own, edges)
+        elif kind == "Sibling":
+            rooted = closure_of.with_root(edges.contains).select("parent", F.col("child").alias("container"))
+            asked = marks.join(rooted, "container")
+            at = own.join(rooted, "container").join(asked.select("parent").distinct(), "parent", "left_semi")
+            at = at.groupBy("parent", "label", "scope").agg(F.min("container").alias("lo"), F.max("container").alias("hi"))
+            return asked.join(at, ["parent", "label", "scope"]).where("lo <> hi OR lo <> container")
+        else:
+            return marks.join(self._looked(own, kind, edges), ["container", "label", "scope"], "left_semi")
+        return marks.join(up, "container").join(there(own), ["other", "label", "scope"], "left_semi")
+
+    def comparisons(self, facts: DataFrame, edges: Edges, where: DataFrame, nodes: set[int] | None = None, marked: bool = False) -> DataFrame | None:
+        """As leaves(), of comparisons, at these places (container, scope); marked: at each node's own places (condition, container, scope)."""
+        out = None
         for i, c in self.nodes.items():
-            if isinstance(c, Compare):
-                add(one(c).withColumn("condition", F.lit(i)))
-        if out is None:
-            return spark.createDataFrame([], "condition int, container string, scope string")
-        out = out.distinct()
-        for depth in range(1, max(self.depth.values(), default=0) + 1):
-            rows = [(i, self.of[p], len(set(c.parts)) if isinstance(c, All) else 1) for i, c in self.nodes.items() if self.depth[i] == depth for p in dict.fromkeys(c.parts)]
-            parts = R.rule_table(spark, rows, "parent int, condition int, n int")
-            met = out.join(parts, "condition").groupBy("parent", "n", "container", "scope").agg(F.count_distinct("condition").alias("k")).where("k >= n")
-            out = out.unionByName(met.select(F.col("parent").alias("condition"), "container", "scope"))
+            if isinstance(c, Compare) and (nodes is None or i in nodes):
+                places = where.where(F.col("condition") == i).drop("condition") if marked else where
+                one = Evaluator(facts, edges.avail.join(places.distinct(), ["container", "scope"], "left_semi"), edges.contains, None, edges.joinable)
+                found = one(c).select(F.lit(i).alias("condition"), "container", "scope")
+                out = found if out is None else out.unionByName(found)
         return out
 
+    def composed(self, found: DataFrame) -> DataFrame:
+        """Rows of leaves, and of the composites that they make."""
+        for depth in range(1, self.deepest + 1):
+            parts = R.rule_table(found.sparkSession, self.parts(depth), "parent int, condition int, n int")
+            met = found.join(parts, "condition").groupBy("parent", "n", "container", "scope").agg(F.count_distinct("condition").alias("k")).where("k >= n")
+            found = found.unionByName(met.select(F.col("parent").alias("condition"), "container", "scope"))
+        return found
+
+    def evaluate(self, facts: DataFrame, avail: DataFrame, contains: DataFrame, closure: DataFrame | None, joinable: DataFrame) -> DataFrame:
+        """(condition, container, scope) of every node, wherever it holds."""
+        edges = Edges(avail, contains, joinable, lambda: closure)
+        found = [x for x in (self.leaves(facts, edges), self.comparisons(facts, edges, avail)) if x is not None]
+        if not found:
+            return facts.sparkSession.createDataFrame([], "condition int, container string, scope string")
+        return self.composed(Evaluator._union(found).distinct())
+
 
 def demanded(has: DataFrame, rules: DataFrame) -> DataFrame:
     """Marks: (condition, container, scope) where a rule's condition matters: its source label is there, its target is not."""

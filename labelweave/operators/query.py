@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -73,10 +73,18 @@ def top_new(now: DataFrame, before: DataFrame, n: int = 20) -> DataFrame:
     return now.exceptAll(before).orderBy(*now.columns).limit(n)
 
 
+#: The triples that make a fact, and the column of each.
+PARTS = (("assertedOn", "container"), ("assertsLabel", "label"), ("assertedInScope", "scope"), ("assertedByFramework", "framework"))
+
+
+def node_of_fact() -> Column:
+    """A fact's subject in triples()."""
+    return F.concat_ws("|", "container", "label", "scope", "framework")
+
+
 def triples(assertions: DataFrame, contains: DataFrame, joinable: DataFrame, avail: DataFrame) -> DataFrame:
     """Everything as (s, p, o)."""
-    node = F.concat_ws("|", "container", "label", "scope", "framework")
-    facts = assertions.select(node.alias("s"), F.explode(F.create_map(F.lit("assertedOn"), F.col("container"), F.lit("assertsLabel"), F.col("label"), F.lit("assertedInScope"), F.col("scope"), F.lit("assertedByFramework"), F.col("framework"))).alias("p", "o"))
+    facts = assertions.select(node_of_fact().alias("s"), F.explode(F.create_map(F.lit("assertedOn"), F.col("container"), F.lit("assertsLabel"), F.col("label"), F.lit("assertedInScope"), F.col("scope"), F.lit("assertedByFramework"), F.col("framework"))).alias("p", "o"))
     edge = lambda df, a, p, b: df.select(F.col(a).alias("s"), F.lit(p).alias("p"), F.col(b).alias("o"))
     out = facts.unionByName(edge(contains, "parent", "contains", "child")).unionByName(edge(joinable, "a", "joinableWith", "b"))
     return out.unionByName(edge(avail, "container", "availableInScope", "scope")).distinct()
@@ -84,6 +92,5 @@ def triples(assertions: DataFrame, contains: DataFrame, joinable: DataFrame, ava
 
 def facts_in(triples: DataFrame) -> DataFrame:
     """(container, label, scope, framework) of each subject that has all four."""
-    parts = (("assertedOn", "container"), ("assertsLabel", "label"), ("assertedInScope", "scope"), ("assertedByFramework", "framework"))
-    found = triples.where(F.col("p").isin([p for p, _ in parts])).groupBy("s").agg(*(F.min(F.when(F.col("p") == p, F.col("o"))).alias(c) for p, c in parts))
-    return found.dropna().select(*(c for _, c in parts)).distinct()
+    found = triples.where(F.col("p").isin([p for p, _ in PARTS])).groupBy("s").agg(*(F.min(F.when(F.col("p") == p, F.col("o"))).alias(c) for p, c in PARTS))
+    return found.dropna().select(*(c for _, c in PARTS)).distinct()

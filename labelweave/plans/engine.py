@@ -1,11 +1,12 @@
 """The fixed point of all rules over an environment: strata, and in each a semi-naive loop.
 
-S0 closures; S1 ground facts; S2 all rules; S3 k-anonymity from the quasi-identifiers found; S4 all rules again. Rules that take
-one fact to one fact (subclass, unconditional implication, propagation) join only the last round's new facts, until nothing follows. Only then,
-and only if labels came that they look at, rules with conditions or several sources are worked out. All candidates of a round meet one anti-join.
+S0 closures; S1 ground facts; S2 all rules; S3 k-anonymity from the quasi-identifiers found; S4 all rules again; S5 what users take back (plans/retract.py).
+Rules that take one fact to one fact (subclass, unconditional implication, propagation) join only the last round's new facts, until nothing follows. Only then,
+and only if labels came that they look at, rules with conditions or several sources are asked, about what changed (plans/conditional.py). All candidates of
+a round meet one anti-join.
 
 Facts are a set by (container, label, scope, framework). Of several derivations in a round the first by (rule, source) gives parameters and
-provenance; later rounds change nothing. Each round is written to the shared folder.
+provenance; later rounds change nothing. Each round is written to the shared folder, in one job that counts as it writes; what no result reads goes again.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 from labelweave import env as E
 from labelweave.operators import closure, kanon
 from labelweave.operators import rules as R
+from labelweave.operators.conditions import Edges
+from labelweave.plans import retract
 from labelweave.plans.compile import Compiled, compile_rules
-from labelweave.storage import written
+from labelweave.plans.conditional import Conditional
+from labelweave.storage import drop, observed, written
 
 #: Rows up to which an edge table goes to all executors; of pairs of names, some megabytes.
 BROADCAST_ROWS = 50_000
@@ -38,7 +42,12 @@ class Result:
     joinable: DataFrame
     k: DataFrame
     rounds: int
-    metrics: list[tuple] = field(default_factory=list)
+    metrics: list[tuple] = field(default_factory=list)  # stratum, round, number of the round in the run, seconds
+    #: facts, and the number of the round that each came in
+    by_round: DataFrame | None = None
+    #: rows that conditions were asked at, and that were found to hold
+    marks: int = 0
+    holds: int = 0
 
     @cached_property
     def ancestors(self) -> DataFrame:
@@ -50,7 +59,13 @@ class Result:
         return R.containment(self.assertions, self.ancestors, self.available, needed)
 
     def metrics_table(self) -> DataFrame:
-        return self.env.spark.createDataFrame(self.metrics, "stratum string, round int, derived_via string, facts long, seconds double")
+        """(stratum, round, derived_via, facts, seconds) of the facts that are left. The rules of a round share a job: each has the part of its seconds that
+        its facts are of the round's; a round that gave none has a row without a rule. The seconds sum to the run's."""
+        rounds = self.env.spark.createDataFrame(self.metrics, "stratum string, round int, number int, took double")
+        counted = self.by_round.groupBy(F.col("round").alias("number"), "derived_via").agg(F.count("*").alias("facts"))
+        total = counted.groupBy("number").agg(F.sum("facts").alias("total"))
+        out = F.broadcast(rounds).join(counted, "number", "left").join(total, "number", "left")
+        return out.select("stratum", "round", "derived_via", F.coalesce("facts", F.lit(0)).alias("facts"), (F.col("took") * F.coalesce(F.col("facts") / F.col("total"), F.lit(1.0))).alias("seconds"))
 
     def register_views(self) -> None:
         """assertions, containers, ... as temporary views for spark.sql."""
@@ -61,15 +76,16 @@ class Result:
 class Engine:
     def __init__(self, env: E.Env, *, check_target: bool = True, inherit: tuple[str, ...] = ("propagations", "subclasses"), override: bool = True, close_labels: bool = True,
                  with_k: bool = True, on_drift: str = "raise", max_rounds: int = 1000, extra: tuple = (), visibility: str = "any",
-                 quasi: tuple[str, str] = (kanon.QUASI_IDENTIFIER, kanon.FRAMEWORK), analysis: str = kanon.ANALYSIS):
+                 retracts: tuple = (), quasi: tuple[str, str] = (kanon.QUASI_IDENTIFIER, kanon.FRAMEWORK), analysis: str = kanon.ANALYSIS):
         """check_target: propagation ends only where the target is available. extra: callables (facts, new facts) -> DataFrame of
         (container, label, scope, framework), run each round: user rules. visibility: 'any' framework's label triggers a rule, or only
-        those of the rule's own 'chain' of extended frameworks. on_drift: what a change of quasi-identifiers after k was computed does ('raise' or
+        those of the rule's own 'chain' of extended frameworks. retracts: callables facts -> (facts to take back, facts to add), each (container, label, scope,
+        framework), asked once nothing more follows, again and again until they take back and add nothing (see plans/retract.py). on_drift: what a change of quasi-identifiers after k was computed does ('raise' or
         'warn'). quasi: label and framework of quasi-identifiers; analysis: the label of the k-anonymity facts."""
         if visibility not in ("any", "chain"):
             raise ValueError("visibility: 'any' or 'chain'")
         self.env, self.check_target, self.with_k, self.on_drift, self.max_rounds, self.extra, self.visibility = env, check_target, with_k, on_drift, max_rounds, extra, visibility
-        self.quasi, self.analysis = quasi, analysis
+        self.quasi, self.analysis, self.retracts, self.barred = quasi, analysis, retracts, None
         self.rules: Compiled = compile_rules(env, inherit, override, close_labels and visibility == "any")
         self.metrics: list[tuple] = []
         self.rounds = 0
@@ -84,13 +100,18 @@ class Engine:
         self.contains, self.avail, self.joinable = map(self._sent, (self.contains, available, joinable))
         self.edges = self._edges()
         self.chain = closure.framework_chain(env.frameworks) if self.visibility == "chain" else None
+        edges = Edges(self.avail, self.contains, self.joinable, lambda: self.closure)
+        self.state = Conditional(env.spark, self.rules, edges, self._seen, self.chain is not None)
         facts = self._fixpoint("S2", None, self._ground())
         k = kanon.k_anonymity(kanon.signatures(env.fields, self._quasi(facts), as_text=False))
         if self.with_k:
             k = written(k)
         if self.with_k and not k.isEmpty():
-            before = self._quasi(facts)
+            before = written(self._quasi(facts), "quasi")
             facts = self._fixpoint("S4", facts, self._shape(kanon.as_assertions(k, self.analysis, self.quasi[1]), "KAnonymity"))
+        if self.retracts:
+            facts = retract.run(self, facts)
+        if self.with_k and not k.isEmpty():
             if not self._quasi(facts).join(before, ["container", "scope"], "left_anti").isEmpty():
                 message = "quasi-identifiers changed after k-anonymity was computed"
                 if self.on_drift == "raise":
@@ -98,7 +119,9 @@ class Engine:
                 import warnings
 
                 warnings.warn(message, stacklevel=2)
-        return Result(env, facts, available, lambda: self.ancestors, joinable, k, self.rounds, self.metrics)
+        marks, holds = self.state.marks.rows, self.state.holds.rows
+        self.state.drop()
+        return Result(env, facts.select(*NAMES), available, lambda: self.ancestors, joinable, k, self.rounds, self.metrics, facts, marks, holds)
 
     @cached_property
     def ancestors(self) -> DataFrame:
@@ -149,49 +172,53 @@ class Engine:
 
     # --- the loop
 
-    def _fixpoint(self, stratum: str, facts: DataFrame | None, seed: DataFrame) -> DataFrame:
-        delta = self._new(seed, facts)
-        touched, tables = True, [] if facts is None else [facts]
-        for round_ in range(1, self.max_rounds + 1):
+    def _fixpoint(self, stratum: str, facts: DataFrame | None, seed: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+        """The facts and all that follows from the seed. changed: facts among them that conditions are to be asked about as if they were new."""
+        tables, pending = [] if facts is None else [facts], [] if changed is None else [changed]
+        delta, touched, round_ = None, True, 0
+        found = seed
+        while True:
             began = time.perf_counter()
-            if delta is not None:
+            delta, seen = self._new(found, facts)
+            self.metrics.append((stratum, round_, self.rounds, time.perf_counter() - began))
+            self.rounds += round_ > 0
+            touched = touched or bool(seen["looked_at"])
+            if seen["n"]:
                 tables.append(delta)
-            facts = tables[0]
-            for t in tables[1:]:
-                facts = facts.unionByName(t)
+                pending.append(delta)
+                facts = reduce(DataFrame.unionByName, tables)
+            elif facts is None:
+                return delta
+            else:
+                drop(delta)
+                delta = None
+                if not touched:
+                    return facts
+            if round_ >= self.max_rounds:
+                raise RuntimeError(f"no fixed point within {self.max_rounds} rounds")
+            round_ += 1
+            if len(tables) >= 8:
+                tables = [written(facts, "facts")]
+                facts = tables[0]
             if delta is not None:  # what follows from the last round's facts alone
                 found = self._linear(delta)
                 for rule in self.extra:
-                    found = found.unionByName(self._shape(rule(facts, delta), "extra"))
+                    found = found.unionByName(self._shape(rule(facts.select(*NAMES), delta.select(*NAMES)), "extra"))
             else:  # nothing more does: conditions, if they may have changed
-                found, touched = self._conditional(facts), False
-            news, delta = self._news(found, facts)
-            self.rounds += 1
-            seconds = time.perf_counter() - began
-            by_rule: dict[str, int] = {}
-            for x in news:
-                by_rule[x["derived_via"]] = by_rule.get(x["derived_via"], 0) + x["n"]
-            self.metrics += [(stratum, round_, via, n, seconds) for via, n in sorted(by_rule.items())]
-            touched = touched or bool({x["label"] for x in news} & self.rules.looked_at)
-            if not news and not touched:
-                return facts
-            if not news:
-                delta = None
-            if len(tables) >= 8:
-                tables = [written(facts, "facts")]
-        raise RuntimeError(f"no fixed point within {self.max_rounds} rounds")
-
-    def _news(self, found: DataFrame, facts: DataFrame) -> tuple[list, DataFrame]:
-        delta = self._new(found, facts)
-        return delta.groupBy("label", "derived_via").agg(F.count("*").alias("n")).collect(), delta  # by rule and label: bounded by the vocabulary
-
-    def _new(self, found: DataFrame, facts: DataFrame | None) -> DataFrame:
-        """Candidates made distinct (partial aggregation first), without known facts."""
+                touched = False
+                if self.state.idle or not pending:
+                    return facts
+                found = self._shape(self.state.round(facts, reduce(DataFrame.unionByName, pending)), "rule")
+                pending = []
+
+    def _new(self, found: DataFrame, facts: DataFrame | None) -> tuple[DataFrame, dict]:
+        """Candidates made distinct (partial aggregation first), without known facts and those that were taken back; how many, and how many that conditions look at."""
         first = F.min_by(F.struct(*NAMES[4:]), F.struct(F.coalesce("derived_via", F.lit("")), F.coalesce("derived_from", F.lit(""))))
         one = found.groupBy(*E.KEY).agg(first.alias("x")).select(*E.KEY, "x.*")
-        if facts is not None:
-            one = one.join(facts.select(*E.KEY), E.KEY, "left_anti")
-        return written(one, "facts")
+        for known in (facts, self.barred):
+            if known is not None:
+                one = one.join(known.select(*E.KEY), E.KEY, "left_anti")
+        return observed(one.withColumn("round", F.lit(self.rounds)), "facts", looked_at=F.count_if(F.col("label").isin(sorted(self.rules.looked_at))))
 
     def _seen(self, facts: DataFrame, rules: DataFrame) -> DataFrame:
         """Facts joined with rules (framework, source, ...) that they trigger."""
@@ -224,42 +251,6 @@ class Engine:
             out = out.unionByName(self._shape(gone.join(self.avail, ["container", "scope"], "left_semi"), "direction"))
         return out.unionByName(self._shape(R.parent_framework(delta, self.env.frameworks), "ParentFramework"))
 
-    def _conditional(self, facts: DataFrame) -> DataFrame:
-        spark, rules = self.env.spark, self.rules
-        out = self._shape(facts.select(*E.KEY).limit(0), "none")
-        if not (rules.conditional or rules.every or rules.bare):
-            return out
-        holds = None
-        if rules.conditions.nodes:
-            # several rule families read it: worked out once
-            holds = written(rules.conditions.evaluate(facts.select("container", "label", "scope", "params"), self.avail, self.contains, self.closure if rules.conditions.over_closure else None, self.joinable), "holds")
-        if rules.conditional:
-            table = R.rule_table(spark, rules.conditional, "framework string, rule string, source string, target string, condition int")
-            found = self._seen(facts, table).join(holds, ["condition", "container", "scope"], "left_semi")
-            out = out.unionByName(self._shape(found.select("container", F.col("target").alias("label"), "scope", "framework", "rule"), "rule"))
-        if rules.every:
-            schema = "framework string, rule string, sources array<string>, target string, condition int"
-            for conditioned in (False, True):
-                rows = [x for x in rules.every if (x[4] >= 0) == conditioned]
-                if not rows:
-                    continue
-                if self.chain is None:
-                    found = R.implication_all(R.labelled(facts), spark.createDataFrame(rows, schema), holds if conditioned else None)
-                else:
-                    table = spark.createDataFrame(rows, schema)
-                    parts = self._seen(facts, F.broadcast(table.select("framework", "rule", F.explode("sources").alias("source"))))
-                    full = parts.groupBy("rule", "framework", "container", "scope").agg(F.count_distinct("source").alias("k"))
-                    found = full.join(F.broadcast(table), ["rule", "framework"]).where(F.col("k") == F.size("sources"))
-                    if conditioned:
-                        found = found.join(holds, ["condition", "container", "scope"], "left_semi")
-                    found = found.select("container", F.col("target").alias("label"), "scope", "framework", "rule")
-                out = out.unionByName(self._shape(found, "rule"))
-        if rules.bare:
-            table = R.rule_table(spark, rules.bare, "framework string, rule string, target string, condition int")
-            found = holds.join(self.avail, ["container", "scope"], "left_semi").join(table, "condition")
-            out = out.unionByName(self._shape(found.select("container", F.col("target").alias("label"), "scope", "framework", "rule"), "rule"))
-        return out
-
 
 def infer(env: E.Env, **options) -> Result:
     """The fixed point of env's rules."""

@@ -177,6 +177,15 @@ class Query:
         found = self.group()
         return self.instances(gone, found), self.instances(new, found)
 
+    def deleted_predicates(self) -> set[str]:
+        """Of an update that is only read: the predicates of its DELETE template."""
+        self.prologue()
+        out: set[str] = set()
+        while self.peek().upper() in ("DELETE", "INSERT"):
+            deletes = self.take().upper() == "DELETE"
+            out |= {p[1] for _, p, _ in self.template() if deletes and p[0] == "term"}
+        return out
+
     def template(self) -> list:
         self.take("{")
         out: list = []
@@ -626,29 +635,46 @@ def saturate(constructs: list[str], triples: DataFrame, updates: list[str] = [],
     raise RuntimeError(f"no fixed point within {max_rounds} rounds")
 
 
+def _deletes(text: str) -> bool:
+    return any(m.lastgroup == "word" and m.group().upper() == "DELETE" for m in _TOKEN.finditer(text))
+
+
+class _Known:
+    """The triples that user texts see: facts so far, edges, availability."""
+
+    def __init__(self, env):
+        self.env, self.held = env, None
+
+    def edges(self) -> DataFrame:  # the same in every round
+        from labelweave.operators import closure
+        from labelweave.operators import query as Q
+
+        if self.held is None:
+            none = self.env.spark.createDataFrame([], "container string, label string, scope string, framework string")
+            self.held = written(Q.triples(none, self.env.contains, closure.symmetric(self.env.joinable), closure.available(self.env.availability, self.env.contains)), "edges")
+        return self.held
+
+    def __call__(self, facts: DataFrame) -> DataFrame:
+        from labelweave.operators import query as Q
+
+        nothing = self.edges().limit(0)
+        return Q.triples(facts, *(nothing.select(F.col("s").alias(a), F.col("o").alias(b)) for a, b in (("parent", "child"), ("a", "b"), ("container", "scope")))).unionByName(self.edges())
+
+
 def in_rounds(env, constructs=(), updates=(), rule_texts=()) -> list[Callable[[DataFrame, DataFrame], DataFrame]]:
     """User texts as rules of the engine's rounds (its `extra`): each round they see the facts so far, the edges and availability as triples, and the new
     subjects that they make with assertedOn, assertsLabel, assertedInScope and assertedByFramework are facts of the next round. A round only adds:
-    DELETE has no place in it."""
-    from labelweave.operators import closure
+    updates that DELETE are left to `retracts`."""
     from labelweave.operators import query as Q
     from labelweave.plans import ruletext
 
-    if bad := [t for t in updates if "DELETE" in t.upper().split()]:
-        raise ValueError(f"a fixed point only grows: {bad[0][:60]!r} deletes")
+    updates = [t for t in updates if not _deletes(t)]
     rules = [r for t in rule_texts for r in ruletext.parse_rules(t)]
-    held: list[DataFrame] = []
-
-    def edges() -> DataFrame:  # the same in every round
-        if not held:
-            none = env.spark.createDataFrame([], "container string, label string, scope string, framework string")
-            held.append(written(Q.triples(none, env.contains, closure.symmetric(env.joinable), closure.available(env.availability, env.contains)), "edges"))
-        return held[0]
+    triples = _Known(env)
 
     def all_texts(facts: DataFrame, delta: DataFrame) -> DataFrame:
-        nothing = edges().limit(0)
-        known = Q.triples(facts, *(nothing.select(F.col("s").alias(a), F.col("o").alias(b)) for a, b in (("parent", "child"), ("a", "b"), ("container", "scope")))).unionByName(edges())
-        new = nothing
+        known = triples(facts)
+        new = known.limit(0)
         for text in constructs:
             new = new.unionByName(query(text, known))
         for text in updates:
@@ -658,3 +684,29 @@ def in_rounds(env, constructs=(), updates=(), rule_texts=()) -> list[Callable[[D
         return Q.facts_in(new)
 
     return [all_texts] if constructs or updates or rules else []
+
+
+def retracts(env, updates=()) -> list[Callable[[DataFrame], tuple[DataFrame, DataFrame]]]:
+    """Updates that DELETE, for the engine's `retracts`: (facts that go, facts that come). A fact goes if one of the four triples that make it does; other
+    triples (edges, availability) are data, and are refused as the text is read."""
+    from labelweave.operators import query as Q
+
+    triples = _Known(env)
+
+    def rule(text: str) -> Callable:
+        def ask(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+            known = triples(facts)
+            gone, new = Query(text, known).update()
+            subjects = gone.join(known, ["s", "p", "o"], "left_semi").where(F.col("p").isin([p for p, _ in Q.PARTS])).select("s").distinct()
+            named = facts.select("container", "label", "scope", "framework").withColumn("s", Q.node_of_fact())
+            return named.join(subjects, "s", "left_semi").drop("s"), Q.facts_in(new)
+
+        return ask
+
+    for text in updates:
+        if _deletes(text):
+            parsed = Query(text, triples.env.spark.createDataFrame([], "s string, p string, o string"))
+            for p in parsed.deleted_predicates():
+                if p in ("contains", "joinableWith", "availableInScope"):
+                    raise ValueError(f"{text[:60]!r} deletes {p}: only facts can be taken back")
+    return [rule(t) for t in updates if _deletes(t)]

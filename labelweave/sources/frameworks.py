@@ -5,8 +5,9 @@ that are part of this one) and lists of propagation, subclass, implication, equi
 names another. Conditions are lists: ["contains" | "has" | "joinable" | a relation, label], ["and" | "or", condition, ...] or
 ["compare", operand, operator, operand], an operand being [label, parameter(, default)] or a number.
 
-A folder is a module too. Its framework.toml may list further files, relative to it: `model` (Turtle), `rules` (rule texts), `constructs` and `updates`
-(SPARQL texts), which take part in the engine's rounds, and `depends_on` beside `requires`. A folder without one is read for what its files end in:
+A folder is a module too. Its framework.toml may list further files, relative to it, at the top or in a table [files]: `model` (Turtle), `rules` (rule texts),
+`constructs` and `updates` (SPARQL texts), which take part in the engine's rounds, as lists or as tables [files.model] with a list `files`; and `depends_on` beside
+`requires`. Other keys and files that are not there are errors. A folder without one is read for what its files end in:
 .toml, .ttl, .rules, and .rq or .ru (a text with CONSTRUCT, or an update).
 """
 
@@ -22,6 +23,9 @@ from labelweave import env as E
 
 HERE = Path(__file__).resolve().parent.parent / "frameworks"
 SHIPPED = ("base", "hipaa", "gdpr", "ema", "italy")
+#: Kinds of files that a manifest lists, and where their contents go.
+FILES = {"model": "models", "rules": "rule_texts", "constructs": "constructs", "updates": "updates"}
+KEYS = {"name", "version", "description", "type", "extends", "requires", "depends_on", "labels", "part", "facets", "propagation", "subclass", "implication", "equivalence", "conditional", "files", *FILES}
 TYPES = ("internal", "core", "privacy", "custom")
 
 
@@ -52,11 +56,17 @@ class Modules:
                 self._file(f)
             return self
         found = tomllib.loads(path.read_text())
+        if unknown := set(found) - KEYS:
+            raise ValueError(f"{path}: unknown keys {sorted(unknown)}")
+        listed = found.get("files", {})
+        if unknown := set(listed) - set(FILES):
+            raise ValueError(f"{path}: unknown kinds of files {sorted(unknown)}: one of {sorted(FILES)}")
         if "name" in found:
             self._add(found)
-        for kind in ("model", "rules", "constructs", "updates"):
-            for f in found.get(kind, ()):
-                self._file(path.parent / f, {"model": "models", "rules": "rule_texts"}.get(kind, kind))
+        for kind, where in FILES.items():
+            under = listed.get(kind, [])
+            for f in [*found.get(kind, []), *(under.get("files", []) if isinstance(under, dict) else under)]:
+                self._file(path.parent / f, where)
         return self
 
     def _file(self, path: Path, kind: str | None = None) -> None:
@@ -65,6 +75,8 @@ class Modules:
             kind = "constructs" if "CONSTRUCT" in path.read_text().upper() else "updates"
         kind = kind or {".ttl": "models", ".rules": "rule_texts"}.get(end)
         if kind == "models":
+            if not path.exists():
+                raise FileNotFoundError(path)
             self.models.append(str(path))
         elif kind:
             getattr(self, kind).append(path.read_text())
@@ -115,6 +127,12 @@ class Modules:
 
         return sparql.in_rounds(env, self.constructs, self.updates, self.rule_texts)
 
+    def retracts(self, env: E.Env) -> list:
+        """The modules' updates that DELETE: engine.infer(env, ..., retracts=tuple(modules.retracts(env)))."""
+        from labelweave.plans import sparql
+
+        return sparql.retracts(env, self.updates)
+
 
 def condition(x: list):
     kind, *rest = x

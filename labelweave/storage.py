@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +30,54 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     return out
 
 
+def observed(df: DataFrame, what: str, **counts) -> tuple[DataFrame, dict]:
+    """written(), and how many rows it has (n) with further aggregates, taken from the write itself: no second job."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in counts.items())), what)
+    return out, dict(seen.get)
+
+
+class Kept:
+    """A table that grows by parts, each written where it came from; they become one from time to time."""
+
+    PARTS = 8
+
+    def __init__(self, what: str):
+        self.what, self.parts = what, []
+        self.rows = 0
+
+    @property
+    def table(self) -> DataFrame | None:
+        out = None
+        for p in self.parts:
+            out = p if out is None else out.unionByName(p)
+        return out
+
+    def add(self, df: DataFrame) -> DataFrame | None:
+        """The part, written; none if it has no rows."""
+        part, seen = observed(df, self.what)
+        self.rows += seen["n"]
+        if not seen["n"]:
+            if self.parts:
+                drop(part)
+                return None
+        self.parts.append(part)
+        if len(self.parts) > self.PARTS:
+            self.replace(self.table, but=part)
+        return part
+
+    def replace(self, df: DataFrame, but: DataFrame | None = None) -> None:
+        """The table is this one now; of the parts before, `but` stays for a while."""
+        before = self.parts
+        part, seen = observed(df, self.what)
+        self.parts, self.rows = [part], seen["n"]
+        drop(*(p for p in before if p is not but))
+
+    def drop(self) -> None:
+        drop(*self.parts)
+        self.parts = []
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Deletes tables that written() made, once nothing reads them any more."""
     for df in tables:
