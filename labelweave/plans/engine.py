@@ -45,9 +45,9 @@ class Result:
     metrics: list[tuple] = field(default_factory=list)  # stratum, round, number of the round in the run, seconds
     #: facts, and the number of the round that each came in
     by_round: DataFrame | None = None
-    #: rows that conditions were asked at, and that were found to hold
-    marks: int = 0
-    holds: int = 0
+    #: with keep_conditions: (condition, container, scope) that conditions were asked at, and that were found to hold
+    marks: DataFrame | None = None
+    holds: DataFrame | None = None
 
     @cached_property
     def ancestors(self) -> DataFrame:
@@ -76,7 +76,7 @@ class Result:
 class Engine:
     def __init__(self, env: E.Env, *, check_target: bool = True, inherit: tuple[str, ...] = ("propagations", "subclasses"), override: bool = True, close_labels: bool = True,
                  with_k: bool = True, on_drift: str = "raise", max_rounds: int = 1000, extra: tuple = (), visibility: str = "any",
-                 retracts: tuple = (), quasi: tuple[str, str] = (kanon.QUASI_IDENTIFIER, kanon.FRAMEWORK), analysis: str = kanon.ANALYSIS):
+                 retracts: tuple = (), keep_conditions: bool = False, quasi: tuple[str, str] = (kanon.QUASI_IDENTIFIER, kanon.FRAMEWORK), analysis: str = kanon.ANALYSIS):
         """check_target: propagation ends only where the target is available. extra: callables (facts, new facts) -> DataFrame of
         (container, label, scope, framework), run each round: user rules. visibility: 'any' framework's label triggers a rule, or only
         those of the rule's own 'chain' of extended frameworks. retracts: callables facts -> (facts to take back, facts to add), each (container, label, scope,
@@ -85,7 +85,7 @@ class Engine:
         if visibility not in ("any", "chain"):
             raise ValueError("visibility: 'any' or 'chain'")
         self.env, self.check_target, self.with_k, self.on_drift, self.max_rounds, self.extra, self.visibility = env, check_target, with_k, on_drift, max_rounds, extra, visibility
-        self.quasi, self.analysis, self.retracts, self.barred = quasi, analysis, retracts, None
+        self.quasi, self.analysis, self.retracts, self.keep_conditions, self.barred = quasi, analysis, retracts, keep_conditions, None
         self.rules: Compiled = compile_rules(env, inherit, override, close_labels and visibility == "any")
         self.metrics: list[tuple] = []
         self.rounds = 0
@@ -119,8 +119,9 @@ class Engine:
                 import warnings
 
                 warnings.warn(message, stacklevel=2)
-        marks, holds = self.state.marks.rows, self.state.holds.rows
-        self.state.drop()
+        marks, holds = (self.state.marks.table, self.state.holds.table) if self.keep_conditions else (None, None)
+        if not self.keep_conditions:
+            self.state.drop()
         return Result(env, facts.select(*NAMES), available, lambda: self.ancestors, joinable, k, self.rounds, self.metrics, facts, marks, holds)
 
     @cached_property
@@ -180,7 +181,7 @@ class Engine:
         while True:
             began = time.perf_counter()
             delta, seen = self._new(found, facts)
-            self.metrics.append((stratum, round_, self.rounds, time.perf_counter() - began))
+            self.metrics.append((stratum, round_, len(self.metrics), time.perf_counter() - began))
             self.rounds += round_ > 0
             touched = touched or bool(seen["looked_at"])
             if seen["n"]:
@@ -218,7 +219,7 @@ class Engine:
         for known in (facts, self.barred):
             if known is not None:
                 one = one.join(known.select(*E.KEY), E.KEY, "left_anti")
-        return observed(one.withColumn("round", F.lit(self.rounds)), "facts", looked_at=F.count_if(F.col("label").isin(sorted(self.rules.looked_at))))
+        return observed(one.withColumn("round", F.lit(len(self.metrics))), "facts", looked_at=F.count_if(F.col("label").isin(sorted(self.rules.looked_at))))
 
     def _seen(self, facts: DataFrame, rules: DataFrame) -> DataFrame:
         """Facts joined with rules (framework, source, ...) that they trigger."""

@@ -71,7 +71,7 @@ def withdraw(engine, facts: DataFrame, gone: DataFrame) -> tuple[DataFrame, Data
         removed.append(frontier)
     away = written(union(removed).select(*E.KEY), "away")
     left = written(facts.join(away, E.KEY, "left_anti"), "facts")
-    lost = less(away, engine.barred, E.KEY)
+    lost = written(less(away, engine.barred, E.KEY), "lost")
     touched = union(touched)
     engine.state.forget(written(touched.distinct(), "touched") if touched is not None else None)
 
@@ -90,5 +90,5 @@ def withdraw(engine, facts: DataFrame, gone: DataFrame) -> tuple[DataFrame, Data
     back = written(back, "back")
     # of rules with conditions or several sources: as if what stands beside the lost ones had just come
     changed = written(left.join(lost.select("container", "scope").distinct(), ["container", "scope"], "left_semi"), "changed")
-    drop(*removed)
+    drop(*removed[1:], away, lost)  # those that a user took back stay, to be barred
     return left, back, changed

@@ -50,6 +50,10 @@ def _math(op: str, a: Column, b: Column) -> Column:
     return number({"+": x + y, "-": x - y, "*": x * y, "/": F.try_divide(x, y)}[op])
 
 
+def _untyped(name: str) -> Column:
+    raise ValueError(f"{name}: the triples hold terms as text, without types and tags")
+
+
 _FUNCTIONS: dict[str, Callable[..., Column]] = {
     "STR": _text, "IRI": _text, "URI": _text, "BOUND": lambda x: x.isNotNull(), "COALESCE": lambda *x: F.coalesce(*map(_text, x)), "IF": lambda c, a, b: F.when(_truth(c), _text(a)).otherwise(_text(b)),
     "CONCAT": lambda *x: F.concat(*map(_text, x)), "ENCODE_FOR_URI": lambda x: T.encode_uri(_text(x)), "MD5": lambda x: F.md5(_text(x)), "SHA256": lambda x: F.sha2(_text(x), 256), "LCASE": lambda x: F.lower(_text(x)), "UCASE": lambda x: F.upper(_text(x)),
@@ -57,7 +61,7 @@ _FUNCTIONS: dict[str, Callable[..., Column]] = {
     "STRAFTER": lambda a, b: _after(a, b), "STRBEFORE": lambda a, b: _before(a, b),
     "REGEX": lambda a, b, *f: F.regexp_like(_text(a), F.concat(F.lit("(?i)"), _text(b)) if f else _text(b)), "REPLACE": lambda a, b, c: F.regexp_replace(_text(a), _text(b), _text(c)), "ABS": lambda x: number(F.abs(_text(x).try_cast("double"))),
     "NOW": lambda: F.current_timestamp().cast("string"), "ISIRI": lambda x: T.literal_kind(_text(x)) == "iri", "ISURI": lambda x: T.literal_kind(_text(x)) == "iri", "ISLITERAL": lambda x: T.literal_kind(_text(x)) != "iri",
-    "SUBSTR": lambda a, i, *n: F.substr(_text(a), _text(i).cast("int"), *(_text(k).cast("int") for k in n)), "DATATYPE": _text, "LANG": lambda x: F.lit(""), "SAMETERM": lambda a, b: _text(a) == _text(b),
+    "SUBSTR": lambda a, i, *n: F.substr(_text(a), _text(i).cast("int"), *(_text(k).cast("int") for k in n)), "DATATYPE": lambda *x: _untyped("DATATYPE"), "LANG": lambda *x: _untyped("LANG"), "SAMETERM": lambda a, b: _text(a) == _text(b),
 }
 
 

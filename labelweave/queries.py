@@ -12,7 +12,6 @@ from labelweave.functions import builtins, text
 from labelweave.operators import closure, conditions, kanon, query
 from labelweave.operators import rules as R
 from labelweave.plans import engine, ruletext, sparql
-from labelweave.plans.compile import expand_equivalence
 from labelweave.sources import warehouse as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,32 +138,45 @@ over(
     lambda w: R.field_declarations(w.env.field_decls, w.env.fields, w.env.labels, w.avail),
 )
 over(
-    "field_tags", "SELECT DISTINCT tbl AS container, 'Trade' AS label, scope, f AS framework, record || '.' || name AS on_field FROM cells JOIN avail ON container = tbl, (VALUES ('base'), ('strict')) x(f) WHERE name = 'band' AND value = '0'",
-    lambda w: R.field_tags(w.env.fields.where("name = 'band' AND value = '0'").select(F.col("field").alias("container"), F.lit("Trade").alias("label")), w.env.fields, w.env.labels, w.avail),
+    "field_tags", "SELECT DISTINCT tbl AS container, 'Trade' AS label, scope, f AS framework, record || '.' || name AS on_field FROM cells JOIN avail ON container = tbl, (VALUES ('base'), ('strict')) x(f) ",
+    lambda w: R.field_tags(w.env.fields.select(F.col("field").alias("container"), F.lit("Trade").alias("label")), w.env.fields, w.env.labels, w.avail),
 )
-register(
-    "framework_chain", f"WITH RECURSIVE f(framework, extends, s, t) AS (VALUES {values(W.FRAMEWORKS)}), c(framework, ancestor) AS (SELECT framework, framework FROM f UNION SELECT c.framework, f.extends FROM c JOIN f ON f.framework = c.ancestor WHERE f.extends IS NOT NULL) SELECT framework, ancestor FROM c",
-    lambda w: closure.framework_chain(w.env.frameworks),
+# --- rule tables, each at work on the facts
+
+_CHAIN = f""", f(framework, extends, s, t) AS (VALUES {values(W.FRAMEWORKS)}),
+c(framework, ancestor, depth) AS (SELECT framework, framework, 0 FROM f UNION SELECT c.framework, f.extends, depth + 1 FROM c JOIN f ON f.framework = c.ancestor WHERE f.extends IS NOT NULL)"""
+over(
+    "framework_chain", "SELECT DISTINCT a.container, a.label, a.scope, c.framework FROM a0 a JOIN c ON c.ancestor = a.framework",
+    lambda w: w.a0.withColumnRenamed("framework", "ancestor").join(F.broadcast(closure.framework_chain(w.env.frameworks)), "ancestor").select(*E.KEY).distinct(), _CHAIN,
+)
+_RULES = [("base", "Trade", "Inward"), ("base", "Seg_BUILDING", "Inward"), ("strict", "Debt", "Outward"), ("stat", "Risky", "Inward"), ("strict", "Trade", "Inward")]
+over(
+    "inherit_propagation_rules",
+    f"""SELECT DISTINCT e.child AS container, r.label, h.scope, c.framework FROM c JOIN (VALUES {values(_RULES)}) r(framework, label, direction) ON r.framework = c.ancestor
+    JOIN has h ON h.label = r.label JOIN contains e ON e.parent = h.container JOIN avail v ON v.container = e.child AND v.scope = h.scope WHERE r.direction = 'Inward'""",
+    lambda w: _inherited_inward(w), _CHAIN,
 )
 
-# --- rule tables
 
-_CHAIN = f"WITH RECURSIVE f(framework, extends, s, t) AS (VALUES {values(W.FRAMEWORKS)}), c(framework, ancestor, depth) AS (SELECT framework, framework, 0 FROM f UNION SELECT c.framework, f.extends, depth + 1 FROM c JOIN f ON f.framework = c.ancestor WHERE f.extends IS NOT NULL)"
-_RULES = [("base", "Trade", "Inward"), ("base", "Risky", "Peer"), ("strict", "Debt", "Outward"), ("stat", "Risky", "Joinable"), ("strict", "Trade", "Inward")]
-register(
-    "inherit_propagation_rules", f"{_CHAIN}, r(framework, label, direction) AS (VALUES {values(_RULES)}) SELECT DISTINCT c.framework, r.label, r.direction FROM c JOIN r ON r.framework = c.ancestor",
-    lambda w: R.inherit(w.table(_RULES, "framework string, label string, direction string"), closure.framework_chain(w.env.frameworks)),
-)
-_DECLS = [("base", "d1", "A", "B"), ("base", "d2", "B", "C"), ("strict", "d3", "A", "C"), ("stat", "d4", "X", "Y")]
+def _inherited_inward(w: World) -> DataFrame:
+    """Labels, whatever their framework, go down under every framework that has a rule for it, its own or inherited."""
+    rules = R.inherit(w.table(_RULES, "framework string, label string, direction string"), closure.framework_chain(w.env.frameworks))
+    facts = w.has.join(F.broadcast(rules.select("framework", "label").distinct()), "label")
+    return R.propagate_inward(facts, rules, w.contains, w.avail).select(*E.KEY).distinct()
+
+
+_DECLS = [("base", "d1", "Trade", "Open"), ("base", "d2", "Debt", "Owing"), ("strict", "d3", "Trade", "Owing"), ("stat", "d4", "Risky", "Watch")]
 _OVER = [("strict", "d1"), ("deep", "d2")]
-register(
+over(
     "inherit_subclass_overrides",
-    f"""{_CHAIN}, r(framework, decl, source, target) AS (VALUES {values(_DECLS)}), o(framework, decl) AS (VALUES {values(_OVER)})
-    SELECT DISTINCT c.framework, r.decl, r.source, r.target FROM c JOIN r ON r.framework = c.ancestor WHERE NOT EXISTS (
-      SELECT 1 FROM c d JOIN o ON o.framework = d.ancestor JOIN c e ON e.framework = o.framework AND e.ancestor = r.framework AND e.depth > 0 WHERE d.framework = c.framework AND o.decl = r.decl)""",
-    lambda w: R.inherit(w.table(_DECLS, "framework string, decl string, source string, target string"), closure.framework_chain(w.env.frameworks), w.table(_OVER, "framework string, decl string"), "decl"),
-)
-_KEYED = [("base", "A", "B", "r1"), ("strict", "Z", "B", "r2"), ("base", "A", "C", "r3"), ("deep", "Q", "C", "r4")]
+    f"""SELECT DISTINCT h.container, r.target AS label, h.scope, c.framework, r.decl FROM c JOIN (VALUES {values(_DECLS)}) r(framework, decl, source, target) ON r.framework = c.ancestor
+    JOIN has h ON h.label = r.source WHERE NOT EXISTS (
+      SELECT 1 FROM c d JOIN (VALUES {values(_OVER)}) o(framework, decl) ON o.framework = d.ancestor JOIN c e ON e.framework = o.framework AND e.ancestor = r.framework AND e.depth > 0
+      WHERE d.framework = c.framework AND o.decl = r.decl)""",
+    lambda w: R.subclass(w.has, R.inherit(w.table(_DECLS, "framework string, rule string, source string, target string"), closure.framework_chain(w.env.frameworks), w.table(_OVER, "framework string, rule string"), "rule"))
+    .withColumnRenamed("rule", "decl").distinct(), _CHAIN,
+)
+_KEYED = [("base", "Trade", "Kept", "r1"), ("strict", "Risky", "Kept", "r2"), ("base", "Debt", "Shown", "r3"), ("deep", "Seg_BUILDING", "Shown", "r4")]
 
 
 def _depth(w: World) -> DataFrame:
@@ -174,29 +186,59 @@ def _depth(w: World) -> DataFrame:
     return w.table(rows, "framework string, ancestor string, depth int")
 
 
-register(
+over(
     "effective_rules",
-    f"""{_CHAIN}, r(framework, source, target, rule) AS (VALUES {values(_KEYED)}), x AS (SELECT c.framework, r.source, r.target, r.rule, depth, min(depth) OVER (PARTITION BY c.framework, target) AS m FROM c JOIN r ON r.framework = c.ancestor)
-    SELECT framework, source, target, rule FROM x WHERE depth = m""",
-    lambda w: R.effective(w.table(_KEYED, "framework string, source string, target string, rule string"), _depth(w), ["target"]),
-)
-over("facet_rule_expansion", "SELECT framework, label, direction FROM prules", lambda w: w.propagations)
-_LISTS = [("i1", ["A", "B"], ["X"]), ("i2", ["C"], ["Y", "Z"]), ("i3", ["A", "C", "D"], ["X", "Y"])]
-_LIST_SQL = "VALUES " + ", ".join(f"('{n}', {s}, {t})" for n, s, t in _LISTS)
-register(
-    "implication_expand_any", f"SELECT rule || '-from-' || url_encode(source) AS rule, source, targets[1] AS target FROM (SELECT rule, unnest(sources) AS source, targets FROM ({_LIST_SQL}) x(rule, sources, targets))",
-    lambda w: w.table(_LISTS, "rule string, sources array<string>, targets array<string>").select("rule", F.explode("sources").alias("source"), F.col("targets")[0].alias("target")).withColumn("rule", F.concat("rule", F.lit("-from-"), text.encode_uri(F.col("source")))),
+    f"""SELECT DISTINCT h.container, x.target AS label, h.scope, x.framework, x.rule FROM (
+      SELECT c.framework, r.source, r.target, r.rule, depth, min(depth) OVER (PARTITION BY c.framework, target) AS m FROM c JOIN (VALUES {values(_KEYED)}) r(framework, source, target, rule) ON r.framework = c.ancestor) x
+    JOIN has h ON h.label = x.source WHERE depth = m""",
+    lambda w: R.subclass(w.has, R.effective(w.table(_KEYED, "framework string, source string, target string, rule string"), _depth(w), ["target"])).distinct(), _CHAIN,
 )
-register(
-    "implication_expand_to", f"SELECT rule || '-to-' || url_encode(target) AS rule, target FROM (SELECT rule, unnest(targets) AS target FROM ({_LIST_SQL}) x(rule, sources, targets))",
-    lambda w: w.table(_LISTS, "rule string, sources array<string>, targets array<string>").select("rule", F.explode("targets").alias("target")).withColumn("rule", F.concat("rule", F.lit("-to-"), text.encode_uri(F.col("target")))),
+over(
+    "facet_rule_expansion", f"SELECT {KEY}, direction FROM a0 JOIN prules USING (framework, label)",
+    lambda w: w.a0.join(F.broadcast(w.propagations), ["framework", "label"]).select(*E.KEY, "direction"),
 )
-_EQUIV = [E.Equivalence("base", ("A", "B"), "W", (), "e1"), E.Equivalence("strict", ("C",), "V", (), "e2")]
-register(
+#: Rules by lists: any of the sources gives each of the targets.
+_LISTS = [E.Implication("base", ("Debt", "Risky"), ("Watched",), name="i1"), E.Implication("strict", ("Trade",), ("Open", "Routed"), name="i2"), E.Implication("base", ("Debt", "Trade", "Status_F"), ("Watched", "Closed"), name="i3")]
+_LIST_SQL = "VALUES " + ", ".join(f"('{i.framework}', '{i.name}', {list(i.sources)}, {list(i.targets)})" for i in _LISTS)
+
+
+def _listed(w: World, rules: tuple, any_of: bool = False) -> DataFrame:
+    """What the compiled forms of rules give of the ground facts in one step."""
+    from labelweave.plans.compile import compile_rules
+
+    compiled = compile_rules(w.env.with_rules(rules), inherit=(), close_labels=False)
+    steps = w.table([(f, rule, s, t) for s, t, f, rule in compiled.label_steps], "framework string, rule string, source string, target string")
+    out = R.implication(w.has, steps)
+    if compiled.every:
+        out = out.unionByName(R.implication_all(w.has, w.spark.createDataFrame([x[:4] for x in compiled.every], "framework string, rule string, sources array<string>, target string")))
+    return out
+
+
+over(
+    "implication_expand_any",
+    f"SELECT DISTINCT h.container, h.label AS source, h.scope, x.framework, x.rule || '-from-' || url_encode(x.source) AS rule FROM (SELECT framework, rule, unnest(sources) AS source FROM ({_LIST_SQL}) x(framework, rule, sources, targets)) x JOIN has h ON h.label = x.source",
+    lambda w: _from_each(w),
+)
+
+
+def _from_each(w: World) -> DataFrame:
+    """The facts that each source of a rule starts from, under the name that the expanded rule has."""
+    rows = w.table([(i.framework, i.name, list(i.sources)) for i in _LISTS], "framework string, rule string, sources array<string>").select("framework", "rule", F.explode("sources").alias("source"))
+    return w.has.withColumnRenamed("label", "source").join(rows, "source").select("container", "source", "scope", "framework", F.concat("rule", F.lit("-from-"), text.encode_uri(F.col("source"))).alias("rule"))
+
+
+over(
+    "implication_expand_to",
+    f"SELECT DISTINCT h.container, x.target AS label, h.scope, x.framework, x.rule FROM (SELECT framework, rule, sources, unnest(targets) AS target FROM ({_LIST_SQL}) x(framework, rule, sources, targets)) x JOIN has h ON list_contains(x.sources, h.label)",
+    lambda w: _listed(w, E.Rules(implications=tuple(_LISTS))).distinct(),
+)
+_EQUIV = (E.Equivalence("base", ("Debt", "Seg_BUILDING"), "DebtBuilder", (), "e1"), E.Equivalence("strict", ("Trade",), "Open", (), "e2"), E.Equivalence("stat", ("Watched", "Closed"), "Risky", (), "e3"))
+over(
     "equivalence_expand",
-    "WITH e(framework, name, parts, whole) AS (VALUES ('base', 'e1', ['A', 'B'], 'W'), ('strict', 'e2', ['C'], 'V')) SELECT framework, name || '-forward' AS rule, array_to_string(parts, '+') AS sources, whole AS target, len(parts) > 1 AS every FROM e UNION ALL SELECT framework, name || '-reverse', whole, unnest(parts), false FROM e",
-    lambda w: w.table([(i.framework, i.name, "+".join(i.sources), t, i.every) for e in _EQUIV for i in expand_equivalence(e) for t in i.targets], "framework string, rule string, sources string, target string, every boolean").select("*"),
-)
+    """SELECT container, 'DebtBuilder' AS label, scope, 'base' AS framework FROM has WHERE label IN ('Debt', 'Seg_BUILDING') GROUP BY container, scope HAVING count(DISTINCT label) = 2
+    UNION ALL SELECT container, 'Open', scope, 'strict' FROM has WHERE label = 'Trade' UNION ALL SELECT container, unnest(['Watched', 'Closed']), scope, 'stat' FROM has WHERE label = 'Risky'""",
+    lambda w: _listed(w, E.Rules(equivalences=_EQUIV)).select(*E.KEY).distinct(),
+)
 
 # --- propagation
 
@@ -438,8 +480,8 @@ register("builtin_uri", f"SELECT p_partkey, 'urn:part:' || b AS x FROM {_P}", la
 register("builtin_math", f"SELECT p_partkey, (a + b)::VARCHAR AS s, (a - b)::VARCHAR AS d, (a * b)::VARCHAR AS p, (a * b / a)::BIGINT::VARCHAR AS q FROM {_P}", lambda w: part(w).select("p_partkey", *(B.VALUES[op](F.col("a"), F.col("b")).alias(n) for op, n in (("sum", "s"), ("difference", "d"), ("product", "p"))), B.VALUES["quotient"](B.VALUES["product"](F.col("a"), F.col("b")), F.col("a")).alias("q")))
 register("builtin_skolem", f"SELECT p_partkey, 'urn:skolem:' || url_encode(p_brand) || '_' || url_encode(p_type) AS x FROM {_P}", lambda w: part(w).select("p_partkey", B.VALUES["makeSkolem"](F.col("p_brand"), F.col("p_type")).alias("x")))
 over(
-    "node_names", "SELECT container, label, scope, framework, 'urn:skolem:' || url_encode(container) || '_' || url_encode(label) || '_' || url_encode(framework) || '_' || url_encode(scope) || '_assertion' AS node, 'urn:containment:' || md5(concat_ws(':', container, label, scope, framework)) AS inside FROM a0 WHERE label = 'Risky'",
-    lambda w: w.a0.where("label = 'Risky'").withColumn("node", text.node_iri(*map(F.col, ("container", "label", "framework", "scope")))).withColumn("inside", text.containment_iri(*map(F.col, E.KEY))),
+    "node_names", "SELECT container, label, scope, framework, 'urn:skolem:' || url_encode(container) || '_' || url_encode(label) || '_' || url_encode(framework) || '_' || url_encode(scope) || '_assertion' AS node, 'urn:containment:' || md5(concat_ws(':', container, label, scope, framework)) AS inside FROM a0",
+    lambda w: w.a0.withColumn("node", text.node_iri(*map(F.col, ("container", "label", "framework", "scope")))).withColumn("inside", text.containment_iri(*map(F.col, E.KEY))),
 )
 _RULE_TEXT = """
 # availability goes down; symmetric joins; grandchildren

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from labelweave import env as E
 from labelweave.functions import builtins as B
-from labelweave.operators import closure, kanon, query
+from labelweave.operators import closure, conditions, kanon, query
 from labelweave.plans import engine, ruletext, sparql
-from labelweave.queries import _sparql_triples, over, part, pages, register
+from labelweave.queries import _UPS, KEY, _sparql_triples, over, part, pages, register
 from labelweave.sources import inputs, turtle
 from labelweave.sources import warehouse as W
 
@@ -68,9 +68,9 @@ over(
     lambda w: sparql.update("DELETE { ?c <label> 'Debt' } INSERT { ?c <owes> 'yes' } WHERE { ?c <label> 'Debt' }", _sparql_triples(w)),
 )
 over(
-    "sparql_saturate", f"SELECT s, p, o FROM {TRIPLES} UNION SELECT ancestor, 'holds', descendant FROM anc WHERE starts_with(ancestor, 'R') OR starts_with(ancestor, 'N')",
+    "sparql_saturate", f"SELECT s, p, o FROM {TRIPLES} UNION SELECT ancestor, 'holds', descendant FROM anc",
     lambda w: sparql.saturate(
-        ["CONSTRUCT { ?a <holds> ?b } WHERE { ?a <contains> ?b . FILTER(STRSTARTS(?a, 'R') || STRSTARTS(?a, 'N')) }", "CONSTRUCT { ?a <holds> ?c } WHERE { ?a <holds> ?b . ?b <contains> ?c }"], _sparql_triples(w),
+        ["CONSTRUCT { ?a <holds> ?b } WHERE { ?a <contains> ?b }", "CONSTRUCT { ?a <holds> ?c } WHERE { ?a <holds> ?b . ?b <contains> ?c }"], _sparql_triples(w),
     )[0],
 )
 over(
@@ -89,9 +89,15 @@ def _linear_env(w) -> E.Env:
 
 
 over(
-    "provenance", "SELECT DISTINCT ON (container, scope) container, scope, via, source FROM (SELECT container, scope, 'Ground' AS via, NULL AS source, 0 AS o FROM a0 WHERE label = 'Debt' AND framework = 'strict' UNION ALL SELECT e.parent, v.scope, 'Outward', min(a.container), 1 FROM a0 a JOIN contains e ON e.child = a.container JOIN avail v ON v.container = e.parent AND v.scope = a.scope WHERE label = 'Debt' AND framework = 'strict' GROUP BY 1, 2"
-    " UNION ALL SELECT e2.parent, v.scope, 'Outward', min(e.parent), 2 FROM a0 a JOIN contains e ON e.child = a.container JOIN avail u ON u.container = e.parent AND u.scope = a.scope JOIN contains e2 ON e2.child = e.parent JOIN avail v ON v.container = e2.parent AND v.scope = a.scope WHERE label = 'Debt' AND framework = 'strict' GROUP BY 1, 2) ORDER BY container, scope, o",
+    "provenance",
+    """SELECT container, scope, via, source FROM ground UNION ALL SELECT * FROM first
+    UNION ALL SELECT s.* FROM second s ANTI JOIN (SELECT container, scope FROM ground UNION SELECT container, scope FROM first) k USING (container, scope)""",
     lambda w: engine.infer(_linear_env(w), with_k=False).assertions.where("label = 'Debt' AND framework = 'strict'").select("container", "scope", F.when(F.col("is_ground"), "Ground").otherwise(F.col("derived_via")).alias("via"), F.col("derived_from").alias("source")),
+    # debts, then their parents, then those parents' parents: each a table of its own
+    """, seen AS MATERIALIZED (SELECT DISTINCT container, scope FROM avail), up AS MATERIALIZED (SELECT DISTINCT parent, child FROM contains WHERE parent[1] IN ('R', 'N')),
+    ground AS MATERIALIZED (SELECT DISTINCT container, scope, 'Ground' AS via, NULL::VARCHAR AS source FROM a0 WHERE label = 'Debt' AND framework = 'strict'),
+    first AS MATERIALIZED (SELECT up.parent AS container, g.scope, 'Outward' AS via, min(g.container) AS source FROM ground g JOIN up ON up.child = g.container JOIN seen v ON v.container = up.parent AND v.scope = g.scope GROUP BY 1, 2),
+    second AS MATERIALIZED (SELECT up.parent AS container, f.scope, 'Outward' AS via, min(f.container) AS source FROM first f JOIN up ON up.child = f.container JOIN seen v ON v.container = up.parent AND v.scope = f.scope GROUP BY 1, 2)""",
 )
 over(
     "facts_by_rule", "SELECT derived_via, facts FROM (SELECT 'Tag' AS derived_via, count(*) AS facts FROM (SELECT DISTINCT container, label, scope, framework FROM a0) UNION ALL SELECT 'Availability', count(*) FROM avail UNION ALL SELECT 'FieldDeclaration', count(*) FROM (SELECT DISTINCT record || '.' || name, scope FROM cells JOIN avail ON container = tbl))",
@@ -115,6 +121,44 @@ def _watched(w) -> DataFrame:
     return found.where("label = 'Watched'").select("container", "scope")
 
 
+#: A user takes debts of the building segment back; nations and regions keep a debt only for others inside them.
+TAKEN_BACK = """DELETE { ?n <assertsLabel> 'Debt' } WHERE { ?n <assertsLabel> 'Debt' . ?n <assertedOn> ?c . ?m <assertedOn> ?c . ?m <assertsLabel> 'Seg_BUILDING' }"""
+over(
+    "delete_in_rounds", "SELECT DISTINCT container, scope, framework FROM x WHERE label = 'Debt'",
+    lambda w: _taken_back(w).select("container", "scope", "framework"),
+    f"""{_UPS}, kept({KEY}) AS (SELECT * FROM a0 WHERE NOT (label = 'Debt' AND container IN (SELECT container FROM a0 WHERE label = 'Seg_BUILDING'))),
+    all_kept({KEY}) AS (SELECT * FROM kept UNION SELECT container, label, scope, up FROM kept JOIN ups USING (framework)),
+    x({KEY}) AS (SELECT * FROM all_kept UNION SELECT e.parent, x.label, x.scope, x.framework FROM x JOIN contains e ON e.child = x.container JOIN avail v ON v.container = e.parent AND v.scope = x.scope
+      WHERE x.label = 'Debt' AND x.framework = 'strict')""",
+)
+
+
+def _taken_back(w) -> DataFrame:
+    env = _linear_env(w)
+    return engine.infer(env, with_k=False, retracts=tuple(sparql.retracts(env, [TAKEN_BACK]))).assertions.where("label = 'Debt'")
+
+
+_LOOKS = (E.Related("Debt", "Child"), E.Related("Trade", "Parent"))
+_ASKING = E.Rules(implications=(E.Implication("base", ("Trade",), ("TradeDebt",), _LOOKS[:1], False, "down"), E.Implication("strict", ("Debt",), ("DebtTrade",), _LOOKS[1:], False, "up")))
+over(
+    "condition_demand",
+    """SELECT * FROM (SELECT 'everywhere' AS what, 0 AS condition, parent AS container, scope FROM has JOIN contains ON child = container WHERE label = 'Debt'
+    UNION SELECT 'everywhere', 1, child, scope FROM has JOIN contains ON parent = container WHERE label = 'Trade'
+    UNION SELECT 'asked', CASE label WHEN 'Trade' THEN 0 ELSE 1 END, container, scope FROM has WHERE label IN ('Trade', 'Debt')
+    UNION SELECT 'holds', 0, t.container, t.scope FROM has t JOIN contains e ON e.parent = t.container JOIN has d ON d.container = e.child AND d.scope = t.scope AND d.label = 'Debt' WHERE t.label = 'Trade'
+    UNION SELECT 'holds', 1, d.container, d.scope FROM has d JOIN contains e ON e.child = d.container JOIN has t ON t.container = e.parent AND t.scope = d.scope AND t.label = 'Trade' WHERE d.label = 'Debt')""",
+    lambda w: _demand(w),
+)
+
+
+def _demand(w) -> DataFrame:
+    """Where conditions were asked at and found to hold by the engine, beside where they hold at all."""
+    found = engine.infer(E.Env(w.spark, w.env.tables, _ASKING), with_k=False, inherit=(), keep_conditions=True)
+    everywhere = conditions.Batch(list(_LOOKS)).evaluate(found.assertions, found.available, w.contains, None, w.joinable)
+    one = lambda what, df: df.select(F.lit(what).alias("what"), "condition", "container", "scope")
+    return one("everywhere", everywhere).unionByName(one("asked", found.marks)).unionByName(one("holds", found.holds))
+
+
 # --- inputs
 
 _PART = "(SELECT 'part/' || p_partkey AS record, unnest(['p_name', 'p_brand', 'p_size']) AS name, unnest([p_name, p_brand, p_size::VARCHAR]) AS value FROM part)"
@@ -145,10 +189,21 @@ def _scaled(w) -> DataFrame:
 
 
 register(
-    "turtle_terms", "SELECT * FROM (VALUES ('http://x/a', 'http://x/p', '1', 'literal', 'http://www.w3.org/2001/XMLSchema#integer', NULL), ('http://x/a', 'http://x/p', 'oui', 'literal', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#langString', 'fr'), ('http://x/a', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://x/C', 'iri', NULL, NULL), ('http://x/b', 'http://x/p', 'true', 'literal', 'http://www.w3.org/2001/XMLSchema#boolean', NULL)) v(s, p, o, kind, datatype, lang)",
-    lambda w: w.spark.createDataFrame(turtle.parse('@prefix x: <http://x/> . x:a x:p 1, "oui"@fr ; a x:C . x:b x:p true .'), turtle.SCHEMA),
+    "turtle_terms",
+    """SELECT s, p, o, kind, datatype, lang FROM (SELECT 'http://x/p' || p_partkey AS s, unnest([
+      {'p': 'http://x/size', 'o': p_size::VARCHAR, 'kind': 'literal', 'datatype': 'http://www.w3.org/2001/XMLSchema#integer', 'lang': NULL},
+      {'p': 'http://x/name', 'o': p_name, 'kind': 'literal', 'datatype': 'http://www.w3.org/1999/02/22-rdf-syntax-ns#langString', 'lang': 'en'},
+      {'p': 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'o': 'http://x/Part', 'kind': 'iri', 'datatype': NULL, 'lang': NULL}], recursive := true) FROM part)""",
+    lambda w: _part_turtle(w),
 )
 
+
+def _part_turtle(w) -> DataFrame:
+    """A Turtle text for each part, read back as terms."""
+    text = F.format_string('@prefix x: <http://x/> . x:p%s x:size %s ; x:name "%s"@en ; a x:Part .', F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.col("p_name"))
+    return turtle.read_texts(W.read(w.spark, w.dir, "part").select(text.alias("text")))
+
+
 # --- built-ins whose answers vary
 
 register("builtin_list_contains", "SELECT p_partkey, list_contains(string_split(p_type, ' '), 'BRASS') AS brass, list_contains(string_split(p_type, ' '), 'BRAS') AS none FROM part", lambda w: part(w).select("p_partkey", B.FILTERS["listContains"](F.col("p_type"), F.lit("BRASS")).alias("brass"), B.FILTERS["listContains"](F.col("p_type"), F.lit("BRAS")).alias("none")))
@@ -157,12 +212,24 @@ register(
     "builtin_type", f"SELECT page_id, k = 'iri' AS uri, k = 'literal' AS literal, k = 'bnode' AS bnode, k <> 'bnode' AS named FROM (SELECT page_id, {_KIND} AS k FROM pages)",
     lambda w: pages(w).withColumn("k", F.expr(_KIND)).select("page_id", *(B.KINDS[k](F.col("k")).alias(n) for k, n in (("isURI", "uri"), ("isLiteral", "literal"), ("isBNode", "bnode"), ("notBNode", "named")))),
 )
-register("cross_of_values", "SELECT s, f FROM (VALUES ('ALL'), ('G1')) a(s), (VALUES ('base'), ('strict')) b(f)", lambda w: sparql.query("SELECT ?s ?f WHERE { VALUES ?s { 'ALL' 'G1' } VALUES ?f { 'base' 'strict' } }", _sparql_triples(w)))
+ask(
+    "cross_of_values", "SELECT container AS c, label AS l, f FROM tags, (VALUES ('base'), ('strict')) b(f) WHERE label IN ('Debt', 'Trade')",
+    "SELECT ?c ?l ?f WHERE { VALUES ?l { 'Debt' 'Trade' } VALUES ?f { 'base' 'strict' } ?c <label> ?l }",
+)
 register(
-    "k_counts_pairs", "SELECT 'p' AS \"table\", 'g' AS scope, 1::BIGINT AS k",
-    # a=1;b=2 as one value, and as two: different records
-    lambda w: kanon.k_anonymity(kanon.signatures(w.table([("f1", "r1", "p", "a", "1;b=2"), ("f2", "r2", "p", "a", "1"), ("f3", "r2", "p", "b", "2")], "field string, record string, table string, name string, value string"), w.table([("f1", "g"), ("f2", "g"), ("f3", "g")], "container string, scope string"), as_text=False)),
+    "k_counts_pairs", "SELECT p_brand AS \"table\", 'g' AS scope, min(n) AS k FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2) GROUP BY 1",
+    # each part twice: brand and type as two values, and as one value that reads like both; these are different records
+    lambda w: _pairs(w),
 )
+
+
+def _pairs(w) -> DataFrame:
+    one = lambda k, name, value: F.struct(F.concat(F.lit(f"{k}/"), "p_partkey").alias("record"), F.lit(name).alias("name"), value.alias("value"))
+    cells = F.array(one("a", "brand", F.col("p_brand")), one("a", "type", F.col("p_type")), one("b", "brand", F.concat("p_brand", F.lit(";type="), "p_type")))
+    fields = W.read(w.spark, w.dir, "part").select(F.col("p_brand").alias("table"), F.explode(cells).alias("x")).select(F.concat("x.record", F.lit("."), "x.name").alias("field"), "table", "x.*")
+    return kanon.k_anonymity(kanon.signatures(fields, fields.select(F.col("field").alias("container"), F.lit("g").alias("scope")), as_text=False))
+
+
 over(
     "siblings", "SELECT DISTINCT container, sibling FROM (SELECT x.child AS container, y.child AS sibling FROM contains x JOIN contains y ON x.parent = y.parent WHERE x.parent IN (SELECT child FROM contains WHERE parent = 'R1') OR starts_with(x.parent, 'R') UNION ALL SELECT a, b FROM (SELECT DISTINCT parent AS a FROM contains WHERE parent NOT IN (SELECT child FROM contains)) CROSS JOIN (SELECT DISTINCT parent AS b FROM contains WHERE parent NOT IN (SELECT child FROM contains))) WHERE container <> sibling AND (starts_with(container, 'R') OR starts_with(container, 'N'))",
     lambda w: closure.siblings(w.contains, w.env.containers.where("kind IN ('database', 'table')")),  # of all regions and nations

@@ -158,6 +158,22 @@ def parse(text: str, base: str = "", source: str = "") -> list[tuple[str, str, s
     return Parser(text, base, source).parse()
 
 
+def _terms(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["s", "p", "o", "kind", "datatype", "lang"])
+
+
+def read_texts(texts: DataFrame, base: str = "") -> DataFrame:
+    """(s, p, o, kind, datatype, lang) of the Turtle texts in the first column, as a set; a null is an empty text. Blank nodes are named by a text's own hash."""
+    ship_package(texts.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            yield _terms([t for x in batch.column(0).to_pylist() if x for t in parse(x, base, hashlib.md5(x.encode()).hexdigest())])
+
+    return texts.select(texts.columns[0]).mapInArrow(run, SCHEMA).distinct()
+
+
 def read(spark: SparkSession, *paths: str, base: str = "") -> DataFrame:
     """(s, p, o, kind, datatype, lang) of all files, as a set."""
     ship_package(spark)
@@ -165,8 +181,6 @@ def read(spark: SparkSession, *paths: str, base: str = "") -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = parse(content.decode(), base, path.rsplit("/", 1)[-1])
-                columns = list(zip(*rows)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["s", "p", "o", "kind", "datatype", "lang"])
+                yield _terms(parse(content.decode(), base, path.rsplit("/", 1)[-1]))
 
     return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(run, SCHEMA).distinct()

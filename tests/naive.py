@@ -6,7 +6,8 @@ from labelweave import env as E
 from labelweave.plans.compile import expand_equivalence
 
 
-def evaluate(rules: E.Rules, rows: dict, rounds: int = 100):
+def evaluate(rules: E.Rules, rows: dict, rounds: int = 100, barred: frozenset = frozenset()):
+    """barred: facts that stay out, whatever would give them."""
     contains = set(rows.get("contains", []))
     avail = set(rows.get("availability", []))
     while True:
@@ -27,6 +28,7 @@ def evaluate(rules: E.Rules, rows: dict, rounds: int = 100):
     facts = {(c, l, g, f) for c, l, g, f, _ in rows.get("ground", [])}
     facts |= {(c, "Available", g, "ExternalFramework") for c, g in avail}
     facts |= {(c, l, g, f) for c, l in rows.get("tags", []) for m, f in rows.get("labels", []) if m == l for x, g in avail if x == c}
+    facts -= barred
 
     def holds(cond, c, g, has):
         if isinstance(cond, E.All):
@@ -71,7 +73,7 @@ def evaluate(rules: E.Rules, rows: dict, rounds: int = 100):
                 new |= {(d, label, g, r.framework) for c, l, g, f in facts if l == label and f == r.framework for x, d in edges if x == c and (d, g) in avail}
         up = {(c, l, g, parents[f]) for c, l, g, f in facts - from_parent if f in parents}
         from_parent |= up - facts - new
-        new = (new | up) - facts
+        new = (new | up) - facts - barred
         if not new:
             return facts
         facts |= new
