@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.functions import builtins
+from labelweave.operators import lists
 from labelweave.operators.closure import grow  # noqa: F401  (linear rule sets may use it)
 from labelweave.storage import written
 
@@ -125,6 +126,8 @@ def body(rule: Rule, triples: DataFrame, new: DataFrame | None = None, at: int =
             out = out.join(found.select(*(f"`{c}`" for c in shared)), shared, "left_anti") if shared else out.where(F.lit(found.isEmpty()))
         elif kind == "makeTemp":
             out = out.withColumn(args[0], F.concat(F.lit("_:"), F.uuid()))
+        elif kind == "listContains" and args[0].startswith("?"):
+            out = _members(out, triples, args[0], value(args[1]))
         elif kind in builtins.FILTERS:
             out = out.where(builtins.FILTERS[kind](*map(value, args)))
         elif kind in builtins.KINDS:
@@ -134,6 +137,17 @@ def body(rule: Rule, triples: DataFrame, new: DataFrame | None = None, at: int =
     return out
 
 
+def _members(solutions: DataFrame, triples: DataFrame, held: str, wanted: Column) -> DataFrame:
+    """Solutions whose variable is the head of a collection that has the wanted item, or a text that has it between blanks."""
+    name = F.col(f"`{held}`")
+    found = solutions.withColumn("!item", wanted.cast("string"))
+    asked = found.select(name.alias("list")).distinct().join(lists.cells(triples).select(F.col("cell").alias("list")), "list", "left_semi")
+    if asked.isEmpty():
+        return found.where(builtins.FILTERS["listContains"](name, F.col("!item"))).drop("!item")
+    items = lists.items(triples, asked).select(F.col("list").alias(held), F.col("item").alias("!item"), F.lit(True).alias("!in")).distinct()
+    return found.join(items, [held, "!item"], "left").where(F.col("`!in`") | builtins.FILTERS["listContains"](name, F.col("`!item`"))).drop("!item", "!in")
+
+
 def apply_rule(rule: Rule, triples: DataFrame, new: DataFrame | None = None, at: int = 0) -> DataFrame:
     """The triples that one application gives (those known too); `new` and `at` as in body. All heads come from one pass over the solutions."""
     solutions, heads = body(rule, triples, new, at), []

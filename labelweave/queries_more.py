@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from labelweave import env as E
 from labelweave.functions import builtins as B
-from labelweave.operators import closure, conditions, kanon, query
+from labelweave.operators import closure, conditions, kanon, lists, query
 from labelweave.plans import engine, ruletext, sparql
 from labelweave.queries import _UPS, KEY, _sparql_triples, over, part, pages, register
 from labelweave.sources import inputs, turtle
@@ -159,6 +160,36 @@ def _demand(w) -> DataFrame:
     return one("everywhere", everywhere).unionByName(one("asked", found.marks)).unionByName(one("holds", found.holds))
 
 
+# --- collections: the orders of each customer, and the customers of each nation, in order of their keys
+
+
+def _chained(w) -> DataFrame:
+    """rest- and first-triples; a cell is named by its list and the item."""
+    held = W.read(w.spark, w.dir, "customer").select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("list"), F.col("c_custkey").alias("k"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("item"))
+    held = held.unionByName(W.read(w.spark, w.dir, "orders").select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("list"), F.col("o_orderkey").alias("k"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("item")))
+    after = F.lead("item").over(Window.partitionBy("list").orderBy("k"))
+    cell = lambda x: F.concat("list", F.lit("/"), x)
+    rows = held.select("list", "item", "k", after.alias("next"), F.row_number().over(Window.partitionBy("list").orderBy("k")).alias("n"))
+    triple = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    rest = triple(cell(F.col("item")), "rest", F.coalesce(cell(F.col("next")), F.lit("nil")))
+    head = F.when(F.col("n") == 1, triple(F.col("list"), "members", cell(F.col("item"))))
+    return rows.select(F.inline(F.filter(F.array(rest, triple(cell(F.col("item")), "first", F.col("item")), head), lambda x: x.isNotNull())))
+
+
+_HELD = "(SELECT 'N' || c_nationkey AS list, c_custkey AS k, 'C' || c_custkey AS item FROM customer UNION ALL SELECT 'C' || o_custkey, o_orderkey, 'O' || o_orderkey FROM orders)"
+register(
+    "rdf_lists", f"SELECT first_value(list || '/' || item) OVER w AS list, row_number() OVER w - 1 AS position, item FROM {_HELD} WINDOW w AS (PARTITION BY list ORDER BY k)",
+    lambda w: lists.items(_chained(w)),
+)
+over(
+    "rule_text_lists", "SELECT DISTINCT parent AS s, 'hasDebtor' AS p, container AS o FROM contains JOIN tags ON container = child WHERE label = 'Debt'",
+    lambda w: ruletext.apply_rule(
+        ruletext.parse_rules("[r: (?c label \"Debt\") (?n contains ?c) (?n members ?l) listContains(?l, ?c) -> (?n hasDebtor ?c)]")[0],
+        _sparql_triples(w).unionByName(_chained(w)).withColumn("kind", F.lit("iri")),
+    ).select("s", "p", "o"),
+)
+
+
 # --- inputs
 
 _PART = "(SELECT 'part/' || p_partkey AS record, unnest(['p_name', 'p_brand', 'p_size']) AS name, unnest([p_name, p_brand, p_size::VARCHAR]) AS value FROM part)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelweave import env as E
 from labelweave.functions.text import fragment
-from labelweave.operators.closure import grow
+from labelweave.operators import lists
 
 
 def _named(triples: DataFrame) -> DataFrame:
@@ -51,11 +51,8 @@ def environment(triples: DataFrame, rules: E.Rules = E.Rules(), short: bool = Tr
 
 
 def list_items(triples: DataFrame) -> DataFrame:
-    """(list, item) of RDF collections."""
-    t = _named(triples)
-    rest = t.where("p = 'rest'").select(F.col("s").alias("cell"), F.col("o").alias("next"))
-    cells = grow(rest.select(F.col("cell").alias("list"), "cell"), lambda d: d.join(rest, "cell").select("list", F.col("next").alias("cell")))
-    return cells.join(t.where("p = 'first'").select(F.col("s").alias("cell"), F.col("o").alias("item")), "cell").select("list", "item")
+    """(list, position, item) of RDF collections, by their heads."""
+    return lists.items(_named(triples))
 
 
 def rules_from_graph(triples: DataFrame, short: bool = True) -> E.Rules:
