@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.storage import written
+from labelweave.storage import drop, observed, written
 
 MAX_ROUNDS = 1000
 
@@ -15,16 +16,19 @@ MAX_ROUNDS = 1000
 def grow(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str] | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """The least set that holds seed and step(x) for each x of it; step must be linear. Cycles end, for known rows do not come back."""
     keys = keys or seed.columns
-    delta = written(seed.dropDuplicates(keys))
-    known = delta
-    for k in range(1, max_rounds + 1):
-        new = step(delta).select(*seed.columns).dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
-        delta = written(new)
-        if delta.isEmpty():
+    delta, seen = observed(seed.dropDuplicates(keys), "grown")
+    parts, rows = [delta], seen["n"]
+    for _ in range(max_rounds):
+        known = reduce(DataFrame.unionByName, parts)
+        delta, seen = observed(step(delta).select(*seed.columns).dropDuplicates(keys).join(known.select(*keys), keys, "left_anti"), "grown")
+        if not seen["n"]:
+            drop(delta)
+            known._rows = rows  # for callers that ask whether it is small
             return known
-        known = known.unionByName(delta)
-        if k % 8 == 0:  # deep: one table again
-            known = written(known)
+        parts, rows = [*parts, delta], rows + seen["n"]
+        if len(parts) > 8:  # deep: one table again
+            before, parts = parts, [written(known.unionByName(delta))]
+            drop(*before[:-1])
     raise RuntimeError(f"no fixed point within {max_rounds} rounds")
 
 

@@ -94,11 +94,11 @@ class Engine:
 
     def run(self) -> Result:
         env = self.env
-        self.contains = written(env.contains.distinct(), "edges")
+        self.contains, below = observed(env.contains.distinct(), "edges")
         available = closure.available(env.availability, self.contains)
-        joinable = written(closure.symmetric(env.joinable), "edges")
-        self.contains, self.avail, self.joinable = map(self._sent, (self.contains, available, joinable))
-        self.edges = self._edges()
+        joinable, beside = observed(closure.symmetric(env.joinable), "edges")
+        self.edges = self._edges(joinable, below["n"], beside["n"])
+        self.contains, self.avail, self.joinable = self._sent(self.contains, below["n"]), self._sent(available), self._sent(joinable, beside["n"])
         self.chain = closure.framework_chain(env.frameworks) if self.visibility == "chain" else None
         edges = Edges(self.avail, self.contains, self.joinable, lambda: self.closure)
         self.state = Conditional(env.spark, self.rules, edges, self._seen, self.chain is not None)
@@ -133,20 +133,21 @@ class Engine:
         return self._sent(self.ancestors)
 
     @staticmethod
-    def _sent(df: DataFrame) -> DataFrame:
-        """A written table, broadcast in joins if it has at most BROADCAST_ROWS rows; else Spark joins it by shuffle."""
-        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    def _sent(df: DataFrame, rows: int | None = None) -> DataFrame:
+        """A written table, broadcast in joins if it has at most BROADCAST_ROWS rows; else Spark joins it by shuffle. It is counted unless that is known."""
+        rows = getattr(df, "_rows", None) if rows is None else rows
+        return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
-    def _edges(self) -> DataFrame:
-        """(direction, source, container) of the directions that rules use, but for peers."""
+    def _edges(self, joinable: DataFrame, below: int, beside: int) -> DataFrame:
+        """(direction, source, container) of the directions that rules use, but for peers. below, beside: rows of containment and of joinable edges."""
         one = lambda df, d, a, b: df.select(F.lit(d).alias("direction"), F.col(a).alias("source"), F.col(b).alias("container"))
-        found = {"Inward": one(self.contains, "Inward", "parent", "child"), "Outward": one(self.contains, "Outward", "child", "parent"), "Joinable": one(self.joinable, "Joinable", "a", "b")}
+        found = {"Inward": one(self.contains, "Inward", "parent", "child"), "Outward": one(self.contains, "Outward", "child", "parent"), "Joinable": one(joinable, "Joinable", "a", "b")}
         used = {d for _, _, d in self.rules.propagations}
-        out = one(self.joinable.limit(0), "none", "a", "b")
+        out, rows = one(joinable.limit(0), "none", "a", "b"), 0
         for d, df in found.items():
             if d in used:
-                out = out.unionByName(df)
-        return self._sent(out)
+                out, rows = out.unionByName(df), rows + (beside if d == "Joinable" else below)
+        return self._sent(out, rows)
 
     def _quasi(self, facts: DataFrame) -> DataFrame:
         return facts.where((F.col("label") == self.quasi[0]) & (F.col("framework") == self.quasi[1])).select("container", "scope").distinct()
