@@ -23,7 +23,7 @@ from labelweave import env as E
 from labelweave.operators import closure, kanon
 from labelweave.operators import rules as R
 from labelweave.operators.conditions import Edges
-from labelweave.plans import retract
+from labelweave.plans import proofs, retract
 from labelweave.plans.compile import Compiled, compile_rules
 from labelweave.plans.conditional import Conditional
 from labelweave.storage import drop, observed, written
@@ -48,6 +48,7 @@ class Result:
     #: with keep_conditions: (condition, container, scope) that conditions were asked at, and that were found to hold
     marks: DataFrame | None = None
     holds: DataFrame | None = None
+    engine: Engine | None = None
 
     @cached_property
     def ancestors(self) -> DataFrame:
@@ -58,6 +59,10 @@ class Result:
         needed = None if labels is None else self.env.spark.createDataFrame([(x,) for x in labels], "label string")
         return R.containment(self.assertions, self.ancestors, self.available, needed)
 
+    def proofs(self, asked: DataFrame) -> DataFrame:
+        """The steps that lead to asked facts (container, label, scope, framework) from given ones (plans/proofs.py)."""
+        return proofs.Prover(self.engine, self.by_round)(asked)
+
     def metrics_table(self) -> DataFrame:
         """(stratum, round, derived_via, facts, seconds) of the facts that are left. The rules of a round share a job: each has the part of its seconds that
         its facts are of the round's; a round that gave none has a row without a rule. The seconds sum to the run's."""
@@ -122,7 +127,7 @@ class Engine:
         marks, holds = (self.state.marks.table, self.state.holds.table) if self.keep_conditions else (None, None)
         if not self.keep_conditions:
             self.state.drop()
-        return Result(env, facts.select(*NAMES), available, lambda: self.ancestors, joinable, k, self.rounds, self.metrics, facts, marks, holds)
+        return Result(env, facts.select(*NAMES), available, lambda: self.ancestors, joinable, k, self.rounds, self.metrics, facts, marks, holds, self)
 
     @cached_property
     def ancestors(self) -> DataFrame:
