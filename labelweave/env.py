@@ -154,6 +154,14 @@ class Conditional:
     name: str = ""
 
 
+@dataclass(frozen=True)
+class Override:
+    """The framework, and those that extend it, do not inherit the rules of this name."""
+
+    framework: str
+    name: str
+
+
 @dataclass(frozen=True)
 class Rules:
     propagations: tuple[Propagation, ...] = ()
@@ -161,6 +169,7 @@ class Rules:
     implications: tuple[Implication, ...] = ()
     equivalences: tuple[Equivalence, ...] = ()
     conditionals: tuple[Conditional, ...] = ()
+    overrides: tuple[Override, ...] = ()
 
     def __add__(self, other: Rules) -> Rules:
         return Rules(*(getattr(self, k) + getattr(other, k) for k in self.__dataclass_fields__))

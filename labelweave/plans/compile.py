@@ -68,8 +68,8 @@ def topological(frameworks: list[tuple[str, str | None]]) -> list[str]:
     return [f for f in out if f in chain]
 
 
-def inherited(rules: Rules, chain: dict[str, list[str]], families: tuple[str, ...], override: bool = True) -> Rules:
-    """Rules of each family also under the frameworks that extend theirs; with override, a nearer rule of the same key replaces a farther one.
+def inherited(rules: Rules, chain: dict[str, list[str]], families: tuple[str, ...], override: bool = True, blocked: frozenset = frozenset()) -> Rules:
+    """Rules of each family also under the frameworks that extend theirs; with override, a nearer rule of the same key replaces a farther one. blocked: see overridden().
 
     Keys: subclass and equivalence by target, implication by sources and targets, propagation by label and direction."""
     keys = {
@@ -87,7 +87,7 @@ def inherited(rules: Rules, chain: dict[str, list[str]], families: tuple[str, ..
             for f, ups in chain.items():
                 seen = {key(r) for r in own if r.framework == f}
                 for up in ups[1:]:
-                    new = [r for r in own if r.framework == up and not (override and key(r) in seen)]
+                    new = [r for r in own if r.framework == up and not (override and key(r) in seen) and (f, up, r.name) not in blocked]
                     found += [replace(r, framework=f) for r in new]
                     seen |= {key(r) for r in new}
             own = tuple(dict.fromkeys(found))
@@ -95,6 +95,23 @@ def inherited(rules: Rules, chain: dict[str, list[str]], families: tuple[str, ..
     return Rules(**out)
 
 
+def overridden(rules: Rules, frameworks: list[tuple[str, str | None]]) -> frozenset:
+    """(heir, framework, rule's name) where each way down from the rule's framework to the heir meets one that overrides the name."""
+    by: dict[str, set[str]] = {}
+    for o in rules.overrides:
+        by.setdefault(o.name, set()).add(o.framework)
+    out = set()
+    for framework, name in {(r.framework, r.name) for k in Rules.__dataclass_fields__ if k != "overrides" for r in getattr(rules, k) if r.name in by}:
+        reached, frontier = {framework}, [framework]
+        while frontier:
+            at = frontier.pop()
+            below = {f for f, up in frameworks if up == at} - by[name] - reached
+            reached |= below
+            frontier += below
+        out |= {(f, framework, name) for f, ups in chains(frameworks).items() if framework in ups and f not in reached}
+    return frozenset(out)
+
+
 def label_closure(steps: list[tuple]) -> list[tuple]:
     """Steps (source, target, framework, rule) closed: where any framework's label triggers a rule, chains act on labels alone, so
     one join with the closure does all of them. The rule named is the last of the first chain found."""
@@ -120,7 +137,7 @@ def compile_rules(env: Env, inherit: tuple[str, ...] = ("propagations", "subclas
     if any(r.facet for r in env.rules.propagations):
         for label, facet in env.label_facets.distinct().collect():
             facets.setdefault(facet, []).append(label)
-    rules = inherited(env.rules, chains(frameworks), inherit, override)
+    rules = inherited(env.rules, chains(frameworks), inherit, override, overridden(env.rules, frameworks))
     batch = Batch([c for r in [*rules.implications, *rules.equivalences] for c in r.conditions] + [r.condition for r in rules.conditionals])
     number = batch.of.__getitem__
     propagations = {(r.framework, label, r.direction) for r in rules.propagations for label in ([r.label] if r.label else facets.get(r.facet, []))}

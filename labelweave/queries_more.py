@@ -10,7 +10,7 @@ from labelweave import env as E
 from labelweave.functions import builtins as B
 from labelweave.operators import closure, conditions, kanon, lists, query
 from labelweave.plans import engine, ruletext, sparql
-from labelweave.queries import _UPS, KEY, _sparql_triples, over, part, pages, register
+from labelweave.queries import _CHAIN, _UPS, KEY, _sparql_triples, over, part, pages, register, values
 from labelweave.sources import inputs, turtle
 from labelweave.sources import warehouse as W
 
@@ -100,6 +100,83 @@ over(
     first AS MATERIALIZED (SELECT up.parent AS container, g.scope, 'Outward' AS via, min(g.container) AS source FROM ground g JOIN up ON up.child = g.container JOIN seen v ON v.container = up.parent AND v.scope = g.scope GROUP BY 1, 2),
     second AS MATERIALIZED (SELECT up.parent AS container, f.scope, 'Outward' AS via, min(f.container) AS source FROM first f JOIN up ON up.child = f.container JOIN seen v ON v.container = up.parent AND v.scope = f.scope GROUP BY 1, 2)""",
 )
+_STEPS = """, seen AS MATERIALIZED (SELECT DISTINCT container, scope FROM avail), up AS MATERIALIZED (SELECT DISTINCT parent, child FROM contains WHERE parent[1] IN ('R', 'N')),
+    ground AS MATERIALIZED (SELECT DISTINCT container, scope FROM a0 WHERE label = 'Debt' AND framework = 'strict'),
+    first AS MATERIALIZED (SELECT up.parent AS container, g.scope, min(g.container) AS source FROM ground g JOIN up ON up.child = g.container JOIN seen v ON v.container = up.parent AND v.scope = g.scope GROUP BY 1, 2),
+    second AS MATERIALIZED (SELECT up.parent AS container, f.scope, min(f.container) AS source FROM first f JOIN up ON up.child = f.container JOIN seen v ON v.container = up.parent AND v.scope = f.scope GROUP BY 1, 2),
+    used AS MATERIALIZED (SELECT DISTINCT f.* FROM first f JOIN second s ON s.source = f.container AND s.scope = f.scope)"""
+over(
+    "proof_steps",
+    """SELECT container, scope, 'Outward' AS rule, 2::INTEGER AS round, source AS of_container, 1::INTEGER AS of_round FROM second
+    UNION ALL SELECT container, scope, 'Outward', 1, source, 0 FROM used UNION ALL SELECT DISTINCT source, scope, 'Tag', 0, NULL::VARCHAR, -1 FROM used""",
+    lambda w: _proof_of_debts(w), _STEPS,
+)
+over(
+    "proof_of_conditions",
+    """SELECT container, 'TradeDebt' AS label, scope, 'base' AS framework, 'cond' AS rule, 0::INTEGER AS part, child AS of_container, 'Debt' AS of_label, 'stat_sub' AS of_framework FROM held
+    UNION ALL SELECT container, 'TradeDebt', scope, 'base', 'cond', 1, container, 'Trade', 'base' FROM held
+    UNION ALL SELECT DISTINCT child, 'Debt', scope, 'stat_sub', 'Tag', -1, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM held
+    UNION ALL SELECT container, 'Trade', scope, 'base', 'Tag', -1, NULL, NULL, NULL FROM held""",
+    lambda w: _proof_of_conditions(w),
+    """, owed AS MATERIALIZED (SELECT container, scope FROM a0 WHERE label = 'Debt' AND framework = 'stat_sub'),
+    held AS MATERIALIZED (SELECT h.container, h.scope, min(e.child) AS child FROM a0 h JOIN contains e ON e.parent = h.container JOIN owed d ON d.container = e.child AND d.scope = h.scope
+      WHERE h.label = 'Trade' AND h.framework = 'base' GROUP BY 1, 2)""",
+)
+
+
+def _proof_of_debts(w) -> DataFrame:
+    """How the regions' debts follow from those of customers."""
+    result = engine.infer(_linear_env(w), with_k=False)
+    asked = result.assertions.where("label = 'Debt' AND framework = 'strict'").join(w.env.containers.where("kind = 'database'").select("container"), "container", "left_semi")
+    return result.proofs(asked).select("container", "scope", "rule", "round", "of_container", F.coalesce("of_round", F.lit(-1)).alias("of_round"))
+
+
+def _proof_of_conditions(w) -> DataFrame:
+    """What each nation's indebted trade rests on: its trade, and a customer in debt."""
+    rules = E.Rules(propagations=(E.Propagation("base", "Inward", "Trade"),), implications=(E.Implication("base", ("Trade",), ("TradeDebt",), (E.Related("Debt", "Child"),), False, "cond"),))
+    single = w.env.frameworks.withColumn("sub_framework_of", F.lit(None).cast("string"))
+    result = engine.infer(w.env.with_rules(rules).with_tables(frameworks=single), with_k=False, inherit=())
+    return result.proofs(result.assertions.where("label = 'TradeDebt'")).select(*E.KEY, "rule", F.coalesce("part", F.lit(-1)).alias("part"), "of_container", "of_label", "of_framework")
+
+
+# --- frameworks that see and inherit, and the lowest level
+
+_SEEN = [("base", "Seg_BUILDING", "Segmented"), ("strict", "Segmented", "Sensitive"), ("base", "Sensitive", "Reviewed"), ("deep", "Sensitive", "Filed"), ("stat", "Debt", "Watch"), ("strict", "Debt", "Financial"), ("base", "Debt", "Owing")]
+over(
+    "visibility_chain", f"SELECT {KEY} FROM x", lambda w: _by_chain(w),
+    f"""{_CHAIN}, own(framework, ancestor) AS MATERIALIZED (SELECT DISTINCT framework, ancestor FROM c), r(framework, source, target) AS (VALUES {values(_SEEN)}),
+    x({KEY}) AS (SELECT * FROM a0 UNION SELECT x.container, r.target, x.scope, r.framework FROM x JOIN r ON r.source = x.label JOIN own ON own.framework = r.framework AND own.ancestor = x.framework)""",
+)
+over(
+    "inherited_overrides",
+    f"""SELECT DISTINCT h.container, r.target AS label, h.scope, r.framework FROM has h JOIN (VALUES
+      ('base', 'Trade', 'Open'), ('deep', 'Risky', 'Watch'), ('base', 'Risky', 'Watch'), ('strict', 'Risky', 'Watch'), ('base', 'Debt', 'Owing'), ('strict', 'Debt', 'Owing')) r(framework, source, target) ON r.source = h.label
+    UNION ALL SELECT {KEY} FROM a0""",
+    lambda w: _overridden(w),
+)
+over(
+    "returned_lines", "SELECT container, 'Returned' AS label, scope, 'strict' AS framework FROM (SELECT container, scope FROM line UNION SELECT container, scope FROM x)",
+    lambda w: engine.infer(W.environment(w.spark, w.dir, lines=True).with_rules(E.Rules(propagations=(E.Propagation("strict", "Outward", "Returned"),))), with_k=False).assertions.where("label = 'Returned'").select(*E.KEY),
+    """, line(container, scope, held_in) AS MATERIALIZED (SELECT DISTINCT 'L' || l_orderkey || '-' || l_linenumber, v.scope, v.container FROM lineitem JOIN avail v ON v.container = 'O' || l_orderkey WHERE l_returnflag = 'R'),
+    x(container, scope) AS (SELECT held_in, scope FROM line UNION SELECT e.parent, x.scope FROM x JOIN contains e ON e.child = x.container JOIN avail v ON v.container = e.parent AND v.scope = x.scope)""",
+)
+
+
+def _by_chain(w) -> DataFrame:
+    """Rules that see the labels of their own framework and of those that it extends."""
+    env = w.env.with_rules(E.Rules(subclasses=tuple(E.Subclass(f, (s,), t) for f, s, t in _SEEN)))
+    env = env.with_tables(frameworks=env.frameworks.withColumn("sub_framework_of", F.lit(None).cast("string")))
+    return engine.infer(env, with_k=False, inherit=(), visibility="chain").assertions.where("label NOT IN ('Available', 'Quasi')").select(*E.KEY)
+
+
+def _overridden(w) -> DataFrame:
+    """deep extends strict, strict extends base: strict does without d1 (and so does deep), deep without d2."""
+    decls = (E.Subclass("base", ("Trade",), "Open", "d1"), E.Subclass("base", ("Debt",), "Owing", "d2"), E.Subclass("base", ("Risky",), "Watch", "d3"))
+    env = w.env.with_rules(E.Rules(subclasses=decls, overrides=(E.Override("strict", "d1"), E.Override("deep", "d2"))))
+    env = env.with_tables(frameworks=env.frameworks.withColumn("sub_framework_of", F.lit(None).cast("string")))
+    return engine.infer(env, with_k=False).assertions.where("label NOT IN ('Available', 'Quasi')").select(*E.KEY)
+
+
 over(
     "facts_by_rule", "SELECT derived_via, facts FROM (SELECT 'Tag' AS derived_via, count(*) AS facts FROM (SELECT DISTINCT container, label, scope, framework FROM a0) UNION ALL SELECT 'Availability', count(*) FROM avail UNION ALL SELECT 'FieldDeclaration', count(*) FROM (SELECT DISTINCT record || '.' || name, scope FROM cells JOIN avail ON container = tbl))",
     lambda w: engine.infer(E.Env(w.spark, w.env.tables, E.Rules()), with_k=False).assertions.where("derived_via IN ('Tag', 'Availability', 'FieldDeclaration')").groupBy("derived_via").agg(F.count("*").alias("facts")),

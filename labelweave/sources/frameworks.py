@@ -2,7 +2,7 @@
 
 A file has name, type, extends, requires (frameworks that must be loaded before), labels, facets (facet: its labels), parts (frameworks
 that are part of this one) and lists of propagation, subclass, implication, equivalence and conditional rules. A rule's framework is the file's unless it
-names another. Conditions are lists: ["contains" | "has" | "joinable" | a relation, label], ["and" | "or", condition, ...] or
+names another. `overrides` lists names of rules that the framework, and what extends it, does not inherit. Conditions are lists: ["contains" | "has" | "joinable" | a relation, label], ["and" | "or", condition, ...] or
 ["compare", operand, operator, operand], an operand being [label, parameter(, default)] or a number.
 
 A folder is a module too. Its framework.toml may list further files, relative to it, at the top or in a table [files]: `model` (Turtle), `rules` (rule texts),
@@ -25,7 +25,7 @@ HERE = Path(__file__).resolve().parent.parent / "frameworks"
 SHIPPED = ("base", "hipaa", "gdpr", "ema", "italy")
 #: Kinds of files that a manifest lists, and where their contents go.
 FILES = {"model": "models", "rules": "rule_texts", "constructs": "constructs", "updates": "updates"}
-KEYS = {"name", "version", "description", "type", "extends", "requires", "depends_on", "labels", "part", "facets", "propagation", "subclass", "implication", "equivalence", "conditional", "files", *FILES}
+KEYS = {"name", "version", "description", "type", "extends", "requires", "depends_on", "labels", "part", "facets", "propagation", "subclass", "implication", "equivalence", "conditional", "overrides", "files", *FILES}
 TYPES = ("internal", "core", "privacy", "custom")
 
 
@@ -99,11 +99,12 @@ class Modules:
         own = lambda r: r.get("framework", name)
         when = lambda r: (condition(r["when"]),) if "when" in r else ()
         self.rules += E.Rules(
-            tuple(E.Propagation(own(r), r["direction"], r.get("label"), r.get("facet")) for r in x.get("propagation", ())),
-            tuple(E.Subclass(own(r), tuple(r["any"]), r["to"]) for r in x.get("subclass", ())),
+            tuple(E.Propagation(own(r), r["direction"], r.get("label"), r.get("facet"), r.get("name", "")) for r in x.get("propagation", ())),
+            tuple(E.Subclass(own(r), tuple(r["any"]), r["to"], r.get("name", "")) for r in x.get("subclass", ())),
             tuple(E.Implication(own(r), tuple(r.get("any") or r["all"]), tuple(r["to"]), when(r), "all" in r, r.get("name", "")) for r in x.get("implication", ())),
-            tuple(E.Equivalence(own(r), tuple(r["parts"]), r["whole"], when(r)) for r in x.get("equivalence", ())),
-            tuple(E.Conditional(own(r), condition(r["when"]), r["to"]) for r in x.get("conditional", ())),
+            tuple(E.Equivalence(own(r), tuple(r["parts"]), r["whole"], when(r), r.get("name", "")) for r in x.get("equivalence", ())),
+            tuple(E.Conditional(own(r), condition(r["when"]), r["to"], r.get("name", "")) for r in x.get("conditional", ())),
+            tuple(E.Override(name, r) for r in x.get("overrides", ())),
         )
         return self
 

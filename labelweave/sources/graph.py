@@ -60,7 +60,7 @@ def rules_from_graph(triples: DataFrame, short: bool = True) -> E.Rules:
     words = (
         "type", "first", "rest", "hasPropagationRule", "propagatesFacet", "propagatesLabel", "propagationBehavior", "declaresSubclassOf", "isSubclassOf", "declaresImplication", "declaresEquivalent", "declaresConditional",
         "fromLabel", "fromAnyLabel", "fromAllLabels", "toLabel", "toAnyLabel", "toAllLabels", "hasCondition", "logicalOperator", "requiresContains", "requiresLabel", "requiresJoinableContains", "onRelation",
-        "leftSource", "rightSource", "comparisonOperator", "sourceLabel", "sourceParameter", "literalValue", "defaultValue",
+        "overrides", "leftSource", "rightSource", "comparisonOperator", "sourceLabel", "sourceParameter", "literalValue", "defaultValue",
     )
     t = _named(triples).where(F.col("p").isin(*words))
     if t.limit(1_000_001).count() > 1_000_000:
@@ -134,6 +134,7 @@ class _Rules:
                     out += E.Rules(propagations=(*(E.Propagation(f, d, label=x) for x in self.labels(r, "propagatesLabel")), *(E.Propagation(f, d, facet=x) for x in self.labels(r, "propagatesFacet"))))
             for r in self.get(framework, "declaresSubclassOf"):
                 out += E.Rules(subclasses=tuple(E.Subclass(f, self.labels(r, "fromLabel", "fromAnyLabel"), x, r) for x in self.labels(r, "isSubclassOf")))
+            out += E.Rules(overrides=tuple(E.Override(f, r) for r in self.get(framework, "overrides")))
             for r in self.get(framework, "declaresImplication"):
                 every = self.labels(r, "fromAllLabels")
                 out += E.Rules(implications=(E.Implication(f, every or self.labels(r, "fromLabel", "fromAnyLabel"), self.labels(r, "toLabel", "toAnyLabel", "toAllLabels"), self.conditions(r), bool(every), r),))

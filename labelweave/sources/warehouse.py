@@ -77,5 +77,15 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def environment(spark: SparkSession, sf_dir: str) -> E.Env:
-    return E.Env(spark, tables(spark, sf_dir), E.Rules(propagations=PROPAGATIONS, subclasses=SUBCLASSES))
+def environment(spark: SparkSession, sf_dir: str, lines: bool = False) -> E.Env:
+    """lines: orders hold their line items, and those that came back are tagged."""
+    found = tables(spark, sf_dir)
+    if lines:
+        line = read(spark, sf_dir, "lineitem").select(
+            _id("O", "l_orderkey").alias("parent"), F.concat(_id("L", "l_orderkey"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("child"), "l_returnflag"
+        )
+        found["contains"] = found["contains"].unionByName(line.select("parent", "child"))
+        found["containers"] = found["containers"].unionByName(line.select(F.col("child").alias("container"), F.lit("cell").alias("kind"), F.col("child").alias("name")))
+        found["tags"] = found["tags"].unionByName(line.where("l_returnflag = 'R'").select(F.col("child").alias("container"), F.lit("Returned").alias("label")))
+        found["labels"] = found["labels"].unionByName(spark.createDataFrame([("Returned", "strict")], E.SCHEMAS["labels"]))
+    return E.Env(spark, found, E.Rules(propagations=PROPAGATIONS, subclasses=SUBCLASSES))

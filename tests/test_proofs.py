@@ -5,7 +5,10 @@ import pytest
 from test_engine import interpreted, random_world  # noqa: F401
 
 from labelweave import env as E
+from labelweave.plans.compile import overridden
 from labelweave.plans.engine import infer
+from labelweave.sources import frameworks
+from labelweave.sources.graph import rules_from_graph
 
 GIVEN = {"Ground", "Availability", "Tag", "FieldDeclaration"}
 
@@ -68,3 +71,27 @@ def test_only_what_is_asked(spark):
     got = ask(("c", "l", "s", "f"), ("c", "l", "s", "f"), ("a", "none", "s", "f"), (None, "l", "s", "f"))
     assert sorted((r["container"], r["rule"], r["of_container"]) for r in got.collect()) == [("a", "Ground", None), ("b", "Outward", "a"), ("c", "Outward", "b")]
     assert ask(("a", "none", "s", "f")).count() == 0
+
+
+def test_overrides_of_modules(spark, tmp_path):
+    """mid does without r1, and low with it; side, another way from top to low, brings r1 to low where it is there."""
+    for name, text in {
+        "top": 'name = "top"\nlabels = ["x", "y", "z"]\n[[subclass]]\nname = "r1"\nany = ["x"]\nto = "y"\n[[subclass]]\nname = "r2"\nany = ["x"]\nto = "z"\n', "mid": 'name = "mid"\nextends = "top"\noverrides = ["r1"]\n',
+        "low": 'name = "low"\nextends = "mid"\n',
+    }.items():
+        (tmp_path / f"{name}.toml").write_text(text)
+    modules = frameworks.Modules()
+    for name in ("top", "mid", "low"):
+        modules.load(tmp_path / f"{name}.toml")
+    edges = [("top", None), ("mid", "top"), ("low", "mid")]
+    assert overridden(modules.rules, edges) == {("mid", "top", "r1"), ("low", "top", "r1")}
+    assert overridden(modules.rules, [*edges, ("side", "top"), ("low", "side")]) == {("mid", "top", "r1")}
+    got = infer(modules.environment(spark, ground=[("c", "x", "s", "top", None)], availability=[("c", "s")]), with_k=False).assertions.where("label IN ('y', 'z')")
+    assert {(r["label"], r["framework"]) for r in got.collect()} == {("y", "top"), ("z", "top"), ("z", "mid"), ("z", "low")}
+
+
+def test_overrides_of_a_graph(spark):
+    v = "http://x.org/v#"
+    triples = [("top", "declaresSubclassOf", "d"), ("d", "fromLabel", "x"), ("d", "isSubclassOf", "y"), ("mid", "overrides", "d")]
+    rules = rules_from_graph(spark.createDataFrame([(v + s, v + p, v + o) for s, p, o in triples], "s string, p string, o string"))
+    assert rules.overrides == (E.Override("mid", f"{v}d"),) and overridden(rules, [("top", None), ("mid", "top")]) == {("mid", "top", f"{v}d")}
