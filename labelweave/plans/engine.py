@@ -81,16 +81,18 @@ class Result:
 class Engine:
     def __init__(self, env: E.Env, *, check_target: bool = True, inherit: tuple[str, ...] = ("propagations", "subclasses"), override: bool = True, close_labels: bool = True,
                  with_k: bool = True, on_drift: str = "raise", max_rounds: int = 1000, extra: tuple = (), visibility: str = "any",
-                 retracts: tuple = (), keep_conditions: bool = False, quasi: tuple[str, str] = (kanon.QUASI_IDENTIFIER, kanon.FRAMEWORK), analysis: str = kanon.ANALYSIS):
+                 retracts: tuple = (), keep_conditions: bool = False, quasi: tuple[str, str] = (kanon.QUASI_IDENTIFIER, kanon.FRAMEWORK), analysis: str = kanon.ANALYSIS,
+                 watch: Callable[[str, int, DataFrame, int], None] | None = None):
         """check_target: propagation ends only where the target is available. extra: callables (facts, new facts) -> DataFrame of
         (container, label, scope, framework), run each round: user rules. visibility: 'any' framework's label triggers a rule, or only
         those of the rule's own 'chain' of extended frameworks. retracts: callables facts -> (facts to take back, facts to add), each (container, label, scope,
         framework), asked once nothing more follows, again and again until they take back and add nothing (see plans/retract.py). on_drift: what a change of quasi-identifiers after k was computed does ('raise' or
-        'warn'). quasi: label and framework of quasi-identifiers; analysis: the label of the k-anonymity facts."""
+        'warn'). quasi: label and framework of quasi-identifiers; analysis: the label of the k-anonymity facts. watch: called after each round with its stratum,
+        number in the stratum, new facts and how many they are."""
         if visibility not in ("any", "chain"):
             raise ValueError("visibility: 'any' or 'chain'")
         self.env, self.check_target, self.with_k, self.on_drift, self.max_rounds, self.extra, self.visibility = env, check_target, with_k, on_drift, max_rounds, extra, visibility
-        self.quasi, self.analysis, self.retracts, self.keep_conditions, self.barred = quasi, analysis, retracts, keep_conditions, None
+        self.quasi, self.analysis, self.retracts, self.keep_conditions, self.barred, self.watch = quasi, analysis, retracts, keep_conditions, None, watch
         self.rules: Compiled = compile_rules(env, inherit, override, close_labels and visibility == "any")
         self.metrics: list[tuple] = []
         self.rounds = 0
@@ -189,6 +191,8 @@ class Engine:
             delta, seen = self._new(found, facts)
             self.metrics.append((stratum, round_, len(self.metrics), time.perf_counter() - began))
             self.rounds += round_ > 0
+            if self.watch:
+                self.watch(stratum, round_, delta, seen["n"])
             touched = touched or bool(seen["looked_at"])
             if seen["n"]:
                 tables.append(delta)

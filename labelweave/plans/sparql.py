@@ -160,7 +160,8 @@ class Query:
 
     def run(self) -> DataFrame:
         self.prologue()
-        out = self.select() if self.peek().upper() == "SELECT" else self.construct()
+        kind = self.peek().upper()
+        out = {"SELECT": self.select, "ASK": self.ask, "DESCRIBE": self.describe}.get(kind, self.construct)()
         if self.kind() != "end":
             raise ValueError(f"after the end: {self.peek()!r}")
         return out
@@ -171,6 +172,28 @@ class Query:
         self.word("WHERE")
         return self.instances(pattern, self.group())
 
+    def ask(self) -> DataFrame:
+        """One row: whether the pattern has a match."""
+        self.take("ASK")
+        self.word("WHERE")
+        return self.group().limit(1).agg((F.count(F.lit(1)) > 0).alias("result"))
+
+    def describe(self) -> DataFrame:
+        """The triples whose subjects are the named terms, or what the named variables (*: all) are in the matches of the pattern."""
+        self.take("DESCRIBE")
+        every, named = self.word("*"), []
+        while not every and self.kind() != "end" and self.peek() != "{" and self.peek().upper() != "WHERE":
+            named.append(self.term())
+        self.word("WHERE")
+        found = self.group() if self.peek() == "{" else None
+        if any(k == "var" for k, _ in named) and found is None or not (every or named):
+            raise ValueError("DESCRIBE takes terms, or variables of a pattern")
+        columns = [c for c in found.columns if not c.startswith("_")] if every else [v for k, v in named if k == "var" and v in found.columns]
+        subjects = self.triples.sparkSession.createDataFrame([(v,) for k, v in named if k == "term"], "s string")
+        for c in columns:
+            subjects = subjects.unionByName(found.select(F.col(f"`{c}`").alias("s")))
+        return self.triples.select("s", "p", "o").join(subjects.distinct(), "s", "left_semi").select("s", "p", "o").distinct()
+
     def update(self) -> tuple[DataFrame, DataFrame]:
         """(deleted, inserted)."""
         self.prologue()
@@ -613,7 +636,7 @@ class Query:
 
 
 def query(text: str, triples: DataFrame) -> DataFrame:
-    """Rows of a SELECT, or the triples (s, p, o) of a CONSTRUCT."""
+    """Rows of a SELECT, the triples (s, p, o) of a CONSTRUCT or DESCRIBE, or the one row (result) of an ASK."""
     return Query(text, triples).run()
 
 

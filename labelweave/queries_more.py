@@ -27,6 +27,14 @@ ask(
     "sparql_construct", "SELECT DISTINCT child AS s, 'owedIn' AS p, parent AS o FROM contains JOIN tags ON container = child WHERE label = 'Debt'",
     "CONSTRUCT { ?c <owedIn> ?p } WHERE { ?p <contains> ?c . ?c <label> 'Debt' }",
 )
+ask(
+    "sparql_ask", "SELECT EXISTS (SELECT 1 FROM contains JOIN tags ON container = child WHERE label = 'Debt' AND starts_with(parent, 'N')) AS result",
+    "ASK { ?p <contains> ?c . ?c <label> 'Debt' FILTER(STRSTARTS(?p, 'N')) }",
+)
+ask(
+    "sparql_describe", f"SELECT DISTINCT s, p, o FROM {TRIPLES} WHERE s = 'R0' OR s IN (SELECT child FROM contains JOIN tags ON container = child WHERE label = 'Debt')",
+    "DESCRIBE <R0> ?c WHERE { ?p <contains> ?c . ?c <label> 'Debt' }",
+)
 ask(
     "sparql_bind", "SELECT child AS c, parent || '/' || lower(child) AS x, length(child)::VARCHAR AS n FROM contains",
     "SELECT ?c ?x ?n WHERE { ?p <contains> ?c . BIND(CONCAT(STR(?p), '/', LCASE(?c)) AS ?x) BIND(STRLEN(?c) AS ?n) }",

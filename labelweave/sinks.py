@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelweave.env import KEY
 from labelweave.operators import closure
 from labelweave.operators.rules import AVAILABLE
 
@@ -87,6 +88,15 @@ def render(df: DataFrame, mode: str = "table", sort: bool = False, limit: int |
     return "\n".join([lines[0], "-+-".join("-" * w for w in widths), *lines[1:], *rest])
 
 
+def diff(stratum: str, round_: int, facts: DataFrame, n: int, shown: int = 20) -> None:
+    """For the engine's `watch`: a round's first new facts, and how many more there are."""
+    print(f"{stratum} round {round_}: {n} new facts")
+    for r in facts.orderBy(*KEY).limit(shown).collect() if n else ():
+        print(f"  + {r['container']} {r['label']} {r['scope']} {r['framework']} ({r['derived_via']})")
+    if n > shown:
+        print(f"  ... and {n - shown} more")
+
+
 def forest_rows(result, depth: int = 10) -> DataFrame:
     """(scope, path, depth, container, assertions): available containers in order of their path, with `label [framework] (params)`."""
     tree = closure.forest(result.env.contains, result.env.containers, depth)

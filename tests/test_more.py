@@ -100,6 +100,13 @@ def test_command_line(spark, small, tmp_path, capsys):
     assert cli.main([*base, "--display", "--display-mode", "forest"]) == 0
     assert "Name [BaseFramework]" in capsys.readouterr().out
     assert cli.main(["--compile", str(tmp_path / "r.rules")]) == 0
+    assert "== Physical Plan ==" in capsys.readouterr().out
+    assert cli.main(["--compile", str(tmp_path / "r.rules"), "--output", str(tmp_path / "plans"), "--separate"]) == 0
+    assert [f.read_text().startswith("# r\n") for f in sorted((tmp_path / "plans").iterdir())] == [True] and capsys.readouterr().out == ""
+    scope = small.availability.first()["scope"]
+    assert cli.main([*base, "--debug-diff", "--prove", "t1", "DirectIdentifier", scope, "BaseFramework"]) == 0
+    shown = capsys.readouterr().out
+    assert "S2 round 0: " in shown and "  + " in shown and "of_container" in shown
 
 
 def test_siblings_and_children(spark):

@@ -60,3 +60,12 @@ def test_errors(triples):
     for bad in ("SELECT ?x WHERE { ?x y:z ?w }", "SELECT ?x { ?x :p ", "SELECT ?x WHERE { ?x :a/?v ?w }"):
         with pytest.raises(ValueError):
             sparql.query(P + bad, triples)
+
+
+def test_ask_and_describe(triples):
+    assert run("ASK { ?a :label :PHI }", triples) == [(True,)] and run("ASK WHERE { ?a :label :none }", triples) == [(False,)]
+    assert run("DESCRIBE :t1", triples) and {r[0] for r in run("DESCRIBE :db ?c WHERE { ?a :on ?c ; :label :PHI }", triples)} == {"db", "t1"}
+    assert {r[0] for r in run("DESCRIBE * WHERE { ?a :on :t2 }", triples)} == {"a2"} and run("DESCRIBE :nobody", triples) == []
+    for text in ("DESCRIBE ?a", "DESCRIBE", "ASK { ?a :on ?c } LIMIT 1"):
+        with pytest.raises(ValueError):
+            run(text, triples)
