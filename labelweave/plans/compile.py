@@ -132,10 +132,15 @@ def label_closure(steps: list[tuple]) -> list[tuple]:
 
 
 def compile_rules(env: Env, inherit: tuple[str, ...] = ("propagations", "subclasses"), override: bool = True, close_labels: bool = True) -> Compiled:
-    frameworks = [tuple(r) for r in env.frameworks.select("framework", "extends").distinct().collect()]
+    frameworks = [tuple(r) for r in env.frameworks.select("framework", "extends").distinct().limit(MAX_RULES + 1).collect()]
+    if len(frameworks) > MAX_RULES or sum(map(len, chains(frameworks).values())) > MAX_RULES:
+        raise ValueError(f"over {MAX_RULES} frameworks, or pairs of one and what it extends: they are broadcast")
     facets: dict[str, list[str]] = {}
     if any(r.facet for r in env.rules.propagations):
-        for label, facet in env.label_facets.distinct().collect():
+        members = env.label_facets.distinct().limit(MAX_RULES + 1).collect()
+        if len(members) > MAX_RULES:
+            raise ValueError(f"over {MAX_RULES} labels of facets")
+        for label, facet in members:
             facets.setdefault(facet, []).append(label)
     rules = inherited(env.rules, chains(frameworks), inherit, override, overridden(env.rules, frameworks))
     batch = Batch([c for r in [*rules.implications, *rules.equivalences] for c in r.conditions] + [r.condition for r in rules.conditionals])

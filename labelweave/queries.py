@@ -13,6 +13,7 @@ from labelweave.operators import closure, conditions, kanon, query
 from labelweave.operators import rules as R
 from labelweave.plans import engine, ruletext, sparql
 from labelweave.sources import warehouse as W
+from labelweave.storage import drop
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +86,12 @@ def world(spark: SparkSession, sf_dir: str) -> World:
     return held[sf_dir]
 
 
+def forget(spark: SparkSession) -> None:
+    """What the session's worlds have worked out: the next query starts from the tables."""
+    for w in spark.__dict__.pop("_labelweave_worlds", {}).values():
+        drop(w._avail, w._ancestors)
+
+
 def values(rows) -> str:
     one = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
     return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)

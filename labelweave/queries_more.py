@@ -187,7 +187,7 @@ def _overridden(w) -> DataFrame:
 
 over(
     "facts_by_rule", "SELECT derived_via, facts FROM (SELECT 'Tag' AS derived_via, count(*) AS facts FROM (SELECT DISTINCT container, label, scope, framework FROM a0) UNION ALL SELECT 'Availability', count(*) FROM avail UNION ALL SELECT 'FieldDeclaration', count(*) FROM (SELECT DISTINCT record || '.' || name, scope FROM cells JOIN avail ON container = tbl))",
-    lambda w: engine.infer(E.Env(w.spark, w.env.tables, E.Rules()), with_k=False).assertions.where("derived_via IN ('Tag', 'Availability', 'FieldDeclaration')").groupBy("derived_via").agg(F.count("*").alias("facts")),
+    lambda w: engine.infer(E.Env(w.spark, w.env.tables, E.Rules()), with_k=False).metrics_table().where("derived_via IN ('Tag', 'Availability', 'FieldDeclaration')").groupBy("derived_via").agg(F.sum("facts").alias("facts")),
 )
 
 over(
