@@ -11,7 +11,8 @@ table goes before the next one is collected.
 
 Defined results: null or empty texts have no words and are never contaminated; items without words or item_id are
 ignored; a repeated item_id counts once; repeated documents are judged alike, each; an empty table on either side
-gives no hits; a very long text is a slice of its own, an item longer than a block a block of its own; other columns pass through `flag` (its own begin with `prefix`).
+gives no hits; a very long text is a slice of its own; items are dealt to blocks by hash, so one longer
+than a block makes its block as large as it is, and the table with it; other columns pass through `flag` (its own begin with `prefix`).
 """
 
 from __future__ import annotations
