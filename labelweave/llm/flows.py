@@ -29,6 +29,11 @@ PACK_BYTES, SHARE = 8 << 20, 1 << 18
 BLOBS = "dest int, kind int, payload binary"
 
 
+def large(least: int, n: int) -> int:
+    """Bytes that a map task gathers before it deals them to n buckets: about 128 KB a bucket, within bounded memory; smaller blobs compress worse."""
+    return max(least, min(4 * least, n << 17))
+
+
 def share(n: int) -> int:
     """Records that a map task gathers before it deals them to n buckets: eight a blob on average, within bounded memory."""
     return max(SHARE, min(8 * SHARE, 8 * n))
@@ -72,12 +77,25 @@ def ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pc.fill_null(column, common.NO_ID).to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
 
 
-def doc_hashes(texts: list[bytes], missing: np.ndarray) -> np.ndarray:
+def named_by_id(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own; then it is the document's name, and hashes, which would travel with every record, are 0."""
+    n, ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.sum("n"), F.count("doc_id")).first()
+    return n == ids
+
+
+def doc_hashes(texts: list[bytes], missing: np.ndarray, by_id: bool = False) -> np.ndarray:
     """The second half of documents' names: the last bit says that there is no doc_id."""
+    if by_id:
+        return np.zeros(len(texts), dtype=np.uint64)
     found = np.array([xxhash.xxh64_intdigest(x) for x in texts], dtype=np.uint64)
     return (found & ~np.uint64(1)) | missing.astype(np.uint64)
 
 
+def doc_hash(text: bytes) -> int:
+    """doc_hashes() of one text that has a doc_id."""
+    return xxhash.xxh64_intdigest(text) & ~1
+
+
 def ids_back(ids: np.ndarray, hashes: np.ndarray) -> pa.Array:
     """doc_ids as they came, the missing ones null."""
     return pa.array(ids, pa.int64(), mask=(hashes & np.uint64(1)).astype(bool))
@@ -180,7 +198,7 @@ def texts(docs: DataFrame, others: bool = False) -> DataFrame:
     return docs.select(doc, text, *(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns) if others and c != "text"))
 
 
-def packed(docs: DataFrame, n: int, kind: int = 9) -> DataFrame:
+def packed(docs: DataFrame, n: int, kind: int = 9, by_id: bool = False) -> DataFrame:
     """Documents (texts()) in packs by destination. Other columns go along as Arrow's own bytes."""
 
     def run(batches):
@@ -188,7 +206,7 @@ def packed(docs: DataFrame, n: int, kind: int = 9) -> DataFrame:
             table = pa.Table.from_batches(held).combine_chunks()
             raw = table.column(1).to_pylist()
             ids, missing = ids_of(table.column(0))
-            hashes = doc_hashes(raw, missing)
+            hashes = doc_hashes(raw, missing, by_id)
             where = destination(ids, hashes, n)
             order = np.argsort(where, kind="stable")
             cuts = np.append(np.flatnonzero(np.diff(where[order], prepend=-1)), len(order))
@@ -209,7 +227,7 @@ def packed(docs: DataFrame, n: int, kind: int = 9) -> DataFrame:
             for batch in batches:
                 held.append(batch)
                 size += batch.column(1).nbytes
-                if size > PACK_BYTES:
+                if size > large(PACK_BYTES, n):
                     yield from flush(held)
                     held, size = [], 0
             if held:

@@ -2,8 +2,11 @@
 
 1. Candidates. Each window of WINDOW bytes has an anchor: the first of its smallest GRAM-byte hashes. Equal windows have equal anchors at equal
    places, so suffixes only need sorting within an anchor. The stretch of all windows with one anchor occurrence is its context.
-   Anchors travel as hashes with their contexts' places, no text. An anchor that one document holds goes no further.
-2. The texts of the other anchors' contexts are fetched.
+   Anchors travel as hashes with their contexts' places, no text, and with two more hashes: of the anchor with the bytes just before it, and with
+   those just after. A window reaches over half of what it holds beside its anchor to one side or the other, so of equal windows one of the two is
+   equal. A context goes further where another document has one of its two hashes, and only with the windows on that side: the phrases of
+   GRAM bytes that documents share by chance grow faster than the table, longer ones hardly.
+2. The texts of these contexts are fetched.
 3. Suffix sort. Suffixes of an anchor are sorted by merging; two of them are compared by the length of their common extension, found by binary
    search over prefix polynomial hashes, and by the byte after it. Neighbours that extend far enough, verified byte by byte, form a class.
    First the suffixes at which contexts begin are sorted: those equal for the whole context form a class, and one is left of each. Then all window
@@ -106,13 +109,29 @@ def _shared(anchor: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return order[flows.smallest(new, rank[order]) != flows.largest(new, rank[order])]
 
 
-def contexts(batches, n: int, window: int, gram: int):
-    """Blobs of (anchor, document, place) by anchor, without contexts that an earlier document of the share has too: these are verdicts."""
+def sides(prefix: common.Prefix, place: np.ndarray, start: np.ndarray, stop: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts: 16 bits of the hash of the anchor with half of a window's other bytes before it, and after it; 0 where no window of the context
+    reaches that far."""
+    half, out = (window - gram) // 2, []
+    for ok, a, b in ((place - start >= half, place - half, place + gram), (place - stop < half, place, place + gram + half)):
+        x = np.zeros(len(place), dtype=np.uint16)
+        x[ok] = common.mix(prefix.ranges(a[ok], b[ok])) % np.uint64(0xFFFF) + np.uint64(1)
+        out.append(x)
+    return out[0], out[1]
+
+
+def spread(grams: np.ndarray) -> np.ndarray:
+    """48 bits of an anchor's hash. Smallest hashes are small: they are spread before they are dealt."""
+    return common.mix(grams ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64((1 << 48) - 1)
+
+
+def contexts(batches, n: int, window: int, gram: int, by_id: bool = False):
+    """Blobs of (anchor, document, place, sides) by anchor, without contexts that an earlier document of the share has too: these are verdicts."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush():
-        anchor, ids, hashes, start, stop, offset, at = (np.concatenate([x[k] for x in held]) for k in range(7))
-        text = np.concatenate([x[7] for x in held])
+        anchor, ids, hashes, start, stop, offset, at, before, after = (np.concatenate([x[k] for x in held]) for k in range(9))
+        text = np.concatenate([x[9] for x in held])
         stay = np.ones(len(anchor), dtype=bool)
         rank = flows.ranked(ids, hashes)
         few = _shared(anchor, rank)
@@ -124,7 +143,7 @@ def contexts(batches, n: int, window: int, gram: int):
         rest = np.flatnonzero(stay)
         yield from flows.dealt(
             flows.bucket_of(anchor[rest] << np.uint64(16), n), 1,
-            lambda x: (*flows.Docs(ids[rest[x]], hashes[rest[x]]).table(), *_halves(anchor[rest[x]]), flows.steps(start[rest[x]]), _small8(stop[rest[x]] - start[rest[x]], window), _small8(offset[rest[x]], window)),
+            lambda x: (*flows.Docs(ids[rest[x]], hashes[rest[x]]).table(), *_halves(anchor[rest[x]]), flows.steps(start[rest[x]]), _small8(stop[rest[x]] - start[rest[x]], window), _small8(offset[rest[x]], window), before[rest[x]], after[rest[x]]),
         )
 
     size = base_text = 0
@@ -136,14 +155,14 @@ def contexts(batches, n: int, window: int, gram: int):
             if first not in own:
                 raw = data[offsets[first] : offsets[end]].tobytes()
                 cut = (offsets[first : end + 1] - offsets[first]).tolist()
-                own = {first: flows.doc_hashes([raw[a:b] for a, b in zip(cut[:-1], cut[1:])], missing[first:end])}
-            anchor, place, start, stop = anchors(common.Prefix(part), begin, window, gram)
+                own = {first: flows.doc_hashes([raw[a:b] for a, b in zip(cut[:-1], cut[1:])], missing[first:end], by_id)}
+            prefix = common.Prefix(part)
+            anchor, place, start, stop = anchors(prefix, begin, window, gram)
             if not len(anchor):
                 continue
+            both = sides(prefix, place, start, stop, window, gram)
             row = np.searchsorted(begin, start, side="right") - 1
-            # smallest hashes are small: spread them before they are dealt
-            anchor = common.mix(anchor ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64((1 << 48) - 1)
-            held.append((anchor, ids[first:end][row], own[first][row], start - begin[row] + base, stop - begin[row] + base, place - start, start + base_text, part))
+            held.append((spread(anchor), ids[first:end][row], own[first][row], start - begin[row] + base, stop - begin[row] + base, place - start, start + base_text, *both, part))
             size += len(anchor)
             base_text += len(part)
             if size > flows.share(n):
@@ -154,17 +173,31 @@ def contexts(batches, n: int, window: int, gram: int):
         yield from flush()
 
 
-def shared_contexts(blobs: list[bytes], n: int, window: int, crowd: int):
-    """Kind 3: the contexts of anchors that several documents hold, by document, as (document, anchor, first window and how many follow,
-    anchor's place, crowded)."""
-    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+def shared_contexts(blobs: list[bytes], n: int, window: int, crowd: int, gram: int = GRAM):
+    """Kind 3: the contexts of anchors that several documents hold with the bytes on one side, by document, as (document, first window and how many follow,
+    anchor's place, crowded); of a context of which only one side is shared, the windows that reach to that side."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(8)]
     for blob in blobs:
-        *table, low, high, step, length, offset = flows.unpack(blob)
+        *table, low, high, step, length, offset, before, after = flows.unpack(blob)
         docs = flows.Docs.read(*table)
-        for held, x in zip(columns, (_whole(low, high), docs.ids, docs.hashes, flows.unsteps(step), length, offset)):
+        for held, x in zip(columns, (_whole(low, high), docs.ids, docs.hashes, flows.unsteps(step), length.astype(np.int64), offset.astype(np.int64), before, after)):
             held.append(x)
-    anchor, ids, hashes, start, length, offset = map(np.concatenate, columns)
-    asked = _shared(anchor, flows.ranked(ids, hashes))
+    anchor, ids, hashes, start, length, offset, before, after = map(np.concatenate, columns)
+    rank = flows.ranked(ids, hashes)
+    few = _shared(anchor, rank)
+    anchor, ids, hashes, start, length, offset, before, after, rank = (x[few] for x in (anchor, ids, hashes, start, length, offset, before, after, rank))
+    shared = []
+    for side in (before, after):
+        own = np.flatnonzero(side)
+        own = own[_shared((anchor[own] << np.uint64(16)) | side[own], rank[own])]
+        shared.append(np.zeros(len(anchor), dtype=bool))
+        shared[-1][own] = True
+    left, right = shared
+    half = (window - gram) // 2
+    length = np.where(left & ~right, np.minimum(length, offset - half), length)
+    skip = np.where(right & ~left, np.maximum(offset - half + 1, 0), 0)
+    start, length, offset = start + skip, _small8(length - skip, window), _small8(offset - skip, window)
+    asked = np.flatnonzero(left | right)
     if not len(asked):
         return
     new = np.append(True, anchor[asked][1:] != anchor[asked][:-1])
@@ -175,53 +208,56 @@ def shared_contexts(blobs: list[bytes], n: int, window: int, crowd: int):
     asked, crowded = asked[order], crowded[order]
     yield from flows.dealt(
         flows.destination(ids[asked], hashes[asked], n), 3,
-        lambda x: (*flows.Docs(ids[asked[x]], hashes[asked[x]]).table(), *_halves(anchor[asked[x]]), flows.steps(start[asked[x]]), length[asked[x]], offset[asked[x]], crowded[x]),
+        lambda x: (*flows.Docs(ids[asked[x]], hashes[asked[x]]).table(), flows.steps(start[asked[x]]), length[asked[x]], offset[asked[x]], crowded[x]),
     )
 
 
-def fetch(stream, n: int, window: int):
-    """The texts of the contexts asked for, dealt by anchor (a crowded anchor's windows one by one, by their hash)."""
+def fetch(stream, n: int, window: int, gram: int = GRAM):
+    """The texts of the contexts asked for, dealt by anchor (a crowded anchor's windows one by one, by their hash). Neither what is asked nor what is
+    fetched names the anchor: it is read from the text."""
     held: list[tuple] = []
     seen, asked, size = None, None, 0
 
     def flush():
-        ids, hashes, anchor, start, offset, lengths, where = (np.concatenate([x[k] for x in held]) for k in range(7))
-        data = np.concatenate([x[7] for x in held])
+        ids, hashes, start, offset, lengths, where = (np.concatenate([x[k] for x in held]) for k in range(6))
+        data = np.concatenate([x[6] for x in held])
         begin = np.cumsum(lengths) - lengths
 
         def columns(x):
-            return (*flows.Docs(ids[x], hashes[x]).table(), *_halves(anchor[x]), flows.steps(start[x]), _small8(offset[x], window), flows.small(lengths[x]), data[gather(begin[x], lengths[x])])
+            return (*flows.Docs(ids[x], hashes[x]).table(), flows.steps(start[x]), _small8(offset[x], window), flows.small(lengths[x]), data[gather(begin[x], lengths[x])])
 
         yield from flows.dealt(where, 4, columns, level=3)
 
     for replies, ids, hashes, data, offsets, _ in stream:
         if replies is not seen:
-            seen, columns = replies, [[] for _ in range(7)]
+            seen, columns = replies, [[] for _ in range(6)]
             for blob in replies.get(3, []):
-                *table, low, high, step, length, offset, crowded = flows.unpack(blob)
+                *table, step, length, offset, crowded = flows.unpack(blob)
                 docs = flows.Docs.read(*table)
-                for own, x in zip(columns, (docs.ids, docs.hashes, _whole(low, high), flows.unsteps(step), length.astype(np.int64), offset.astype(np.int64), crowded)):
+                for own, x in zip(columns, (docs.ids, docs.hashes, flows.unsteps(step), length.astype(np.int64), offset.astype(np.int64), crowded)):
                     own.append(x)
             asked = flows.ByDocument(*map(np.concatenate, columns)) if columns[0] else None
         for k in range(len(ids)) if asked else ():
             found = asked.get(int(ids[k]), int(hashes[k]))
             if not found:
                 continue
-            anchor, start, length, offset, crowded = found
+            start, length, offset, crowded = found
             many = np.where(crowded, length + 1, 1)
             which = np.repeat(np.arange(len(start)), many)
             within = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
             first = start[which] + within
             sizes = np.where(crowded[which], window, length[which] + window)
             own = data[offsets[k] : offsets[k + 1]]
+            prefix = common.Prefix(own)
+            anchor = spread(common.mix(prefix.ranges(start + offset, start + offset + gram)))
             where = flows.bucket_of(anchor[which] << np.uint64(16), n)
             if crowded.any():
                 hot = crowded[which]
-                where[hot] = flows.bucket_of(common.mix(common.Prefix(own).ranges(first[hot], first[hot] + window)), n)
+                where[hot] = flows.bucket_of(common.mix(prefix.ranges(first[hot], first[hot] + window)), n)
             text = own[gather(first, sizes)]
-            held.append((np.full(len(which), ids[k]), np.full(len(which), hashes[k]), anchor[which], first, offset[which] - within, sizes, where, text))
+            held.append((np.full(len(which), ids[k]), np.full(len(which), hashes[k]), first, offset[which] - within, sizes, where, text))
             size += len(text)
-            if size > FETCHED:
+            if size > flows.large(FETCHED, n):
                 yield from flush()
                 held.clear()
                 size = 0
@@ -347,12 +383,14 @@ def _shares(anchor: np.ndarray, weight: np.ndarray, most: int):
     return np.split(np.arange(len(anchor)), np.flatnonzero(np.diff(share)) + 1)
 
 
-def sort_suffixes(blobs: list[bytes], n: int, window: int):
+def sort_suffixes(blobs: list[bytes], n: int, window: int, gram: int = GRAM):
     columns: list[list[np.ndarray]] = [[] for _ in range(7)]
     for blob in blobs:
-        *table, low, high, step, offset, lengths, data = flows.unpack(blob)
+        *table, step, offset, lengths, data = flows.unpack(blob)
         docs = flows.Docs.read(*table)
-        for held, x in zip(columns, (docs.ids, docs.hashes, _whole(low, high), flows.unsteps(step), offset.astype(np.int64), lengths.astype(np.int64), data)):
+        offset, lengths = offset.astype(np.int64), lengths.astype(np.int64)
+        at = np.cumsum(lengths) - lengths + offset
+        for held, x in zip(columns, (docs.ids, docs.hashes, spread(common.mix(common.Prefix(data).ranges(at, at + gram))), flows.unsteps(step), offset, lengths, data)):
             held.append(x)
     ids, hashes, anchor, start, offset, lengths, data = map(np.concatenate, columns)
     begin, many = np.cumsum(lengths) - lengths, lengths - window + 1
@@ -408,15 +446,15 @@ def sort_suffixes(blobs: list[bytes], n: int, window: int):
         yield from flows.verdicts(ids[which], hashes[which], first, first + window, n)
 
 
-def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, int]:
-    """Blobs (kind 0) of the byte ranges to remove, by document; and the number of destinations."""
-    n = common.buckets(docs.sparkSession)
+def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, int, bool]:
+    """Blobs (kind 0) of the byte ranges to remove, by document; the number of destinations; and whether documents are named by their ids alone."""
+    n, by_id = common.buckets(docs.sparkSession), flows.named_by_id(docs)
     rows = flows.texts(docs)
-    first = common.arrow(rows, lambda b: flows.rows(contexts(b, n, window, gram)), flows.BLOBS)
-    asked = common.settled(flows.in_buckets(first, n, lambda x: shared_contexts(x, n, window, crowd), done=0), "asked")
-    fetched = flows.at_documents(asked.where("kind = 3"), flows.packed(rows, n), n, lambda s: flows.rows(fetch(s, n, window)), flows.BLOBS)
-    sorted_ = common.settled(flows.in_buckets(fetched, n, lambda x: sort_suffixes(x, n, window)), "sorted")
-    return asked.where("kind = 0").unionByName(sorted_), n
+    first = common.arrow(rows, lambda b: flows.rows(contexts(b, n, window, gram, by_id)), flows.BLOBS)
+    asked = common.settled(flows.in_buckets(first, n, lambda x: shared_contexts(x, n, window, crowd, gram), done=0), "asked")
+    fetched = flows.at_documents(asked.where("kind = 3"), flows.packed(rows, n, by_id=by_id), n, lambda s: flows.rows(fetch(s, n, window, gram)), flows.BLOBS)
+    sorted_ = common.settled(flows.in_buckets(fetched, n, lambda x: sort_suffixes(x, n, window, gram)), "sorted")
+    return asked.where("kind = 0").unionByName(sorted_), n, by_id
 
 
 def _kept(stream):
@@ -440,7 +478,7 @@ def _kept(stream):
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD, with_text: bool = True) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and the remaining bytes (kept), if asked for."""
     rows = flows.texts(docs)
-    found, n = removed(docs, window, gram, crowd)
+    found, n, by_id = removed(docs, window, gram, crowd)
 
     def finish(stream):
         for ids, sizes, kept, spans, _ in _kept(stream):
@@ -448,13 +486,13 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd:
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.binary())] if with_text else [])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return flows.at_documents(found, flows.packed(rows, n), n, finish, schema)
+    return flows.at_documents(found, flows.packed(rows, n, by_id=by_id), n, finish, schema)
 
 
 def strip(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """docs, all columns, with the remaining text; a character of which only some bytes remain goes as a whole."""
     rows, names, schema = flows.texts(docs, others=True), docs.columns, docs.schema
-    found, n = removed(docs, window, gram, crowd)
+    found, n, by_id = removed(docs, window, gram, crowd)
 
     def finish(stream):
         for _, _, kept, _, others in _kept(stream):
@@ -462,7 +500,7 @@ def strip(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int =
             for batch in pa.table([text if c == "text" else others.column(f"_{k}") for k, c in enumerate(names)], names=names).combine_chunks().to_batches():
                 yield batch
 
-    return flows.at_documents(found, flows.packed(rows, n), n, finish, schema)
+    return flows.at_documents(found, flows.packed(rows, n, by_id=by_id), n, finish, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

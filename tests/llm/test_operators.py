@@ -606,3 +606,49 @@ def test_empty_archive(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert not warc.read_archive(spark, path).count()
+
+
+def _contexts_asked(texts):
+    """Window starts that are fetched, by document, of ids 0, 1, ... and these texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], names=["a", "b"])
+    blobs = [b for _, kind, b in repeats.contexts([batch], 1, 50, 20) if kind == 1]
+    out = {}
+    for _, kind, blob in repeats.shared_contexts(blobs, 1, 50, 4096):
+        *table, step, length, _, _ = repeats.flows.unpack(blob)
+        starts = repeats.flows.unsteps(step)
+        for i, a, b in zip(repeats.flows.Docs.read(*table).ids.tolist(), starts.tolist(), (starts + length.astype(np.int64)).tolist()):
+            assert kind == 3 and a <= b
+            out.setdefault(i, set()).update(range(a, b + 1))
+    return out
+
+
+def test_phrases_shared_by_chance_are_not_fetched():
+    """A phrase of 30 bytes in many documents is no reason to fetch what stands around it; a passage of 50 bytes and more goes wherever it stands."""
+    import numpy as np
+
+    rng = np.random.default_rng(17)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    asked = [_contexts_asked([letters(300) + phrase + letters(300) for _ in range(40)]) for phrase in (letters(30) for _ in range(20))]
+    assert sum(map(len, asked)) <= 8  # of 800; hashes of 16 bits may clash
+    for n in (50, 51, 64, 65, 66, 80, 200):
+        phrase, at = letters(n), [int(x) for x in rng.integers(0, 300, 4)]
+        at[0] = 0
+        texts = [letters(a) + phrase + letters(b) for a, b in zip(at, [100, 0, 3, 40])]
+        gone = removed_by_steps([([i], [np.frombuffer(x, dtype=np.uint8)]) for i, x in enumerate(texts)], 4096)
+        assert 0 not in gone and all(set(range(a, a + n)) <= gone[i] and len(gone[i]) < n + 6 for i, a in enumerate(at) if i)
+
+
+def test_names_of_documents_without_hashes(spark):
+    """Where every row has a doc_id of its own, no hashes travel, and the results are those of rows named by both."""
+    common.prepare(spark)
+    rng = random.Random(23)
+    shared = [corpus.sentence(rng, 40) for _ in range(5)]
+    rows = [(i * 7 - 60, " ".join([corpus.sentence(rng, 20), shared[i % 5], corpus.sentence(rng, 20)])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert repeats.flows.named_by_id(df) and repeats.removed(df)[2]
+    more = df.unionByName(spark.createDataFrame([(None, "x"), (None, "y")], "doc_id long, text string"))
+    assert not repeats.flows.named_by_id(more) and not repeats.flows.named_by_id(df.unionByName(df.limit(1)))
+    assert corpus.as_set(repeats.dedup_bytes(df).collect()) == corpus.as_set(repeats.dedup_bytes(more).where("doc_id IS NOT NULL").collect())
