@@ -652,3 +652,25 @@ def test_names_of_documents_without_hashes(spark):
     more = df.unionByName(spark.createDataFrame([(None, "x"), (None, "y")], "doc_id long, text string"))
     assert not repeats.flows.named_by_id(more) and not repeats.flows.named_by_id(df.unionByName(df.limit(1)))
     assert corpus.as_set(repeats.dedup_bytes(df).collect()) == corpus.as_set(repeats.dedup_bytes(more).where("doc_id IS NOT NULL").collect())
+
+
+def test_links_of_a_crowd_are_a_forest():
+    """Of members that are alike in pairs by the hundred, fewer links come than there are members; the components are those of all similar pairs, and sets that
+    are not similar are not linked."""
+    import numpy as np
+
+    rng = np.random.default_rng(29)
+    for m, changed in ((80, 16), (80, 30)):
+        base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+        sets = []
+        for _ in range(m):
+            x = base.copy()
+            x[rng.choice(300, changed, replace=False)] = rng.integers(0, 1 << 62, changed)
+            sets.append(np.unique((x & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes())
+        nodes, s = rng.permutation(m) - m // 2, np.zeros((m, 32), dtype=np.uint16)  # all within budget
+        links = [p for u, v in simhash.ring_rest(nodes, s, np.arange(m), sets=sets) for p in zip(u.tolist(), v.tolist())]
+        place = {int(x): i for i, x in enumerate(nodes)}
+        similar = [(i, j) for i in range(m) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.8]
+        assert len(links) < m and len(similar) in (0, m * (m - 1) // 2) or len(links) < len(similar)
+        one = lambda pairs: simhash.labels_of(m, *(np.array([p[k] for p in pairs], dtype=np.int64) for k in (0, 1))).tolist()
+        assert one([(place[u], place[v]) for u, v in links]) == one(similar)
