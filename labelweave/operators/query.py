@@ -69,8 +69,13 @@ def children(contains: DataFrame) -> DataFrame:
 
 
 def top_new(now: DataFrame, before: DataFrame, n: int = 20) -> DataFrame:
-    """The first n of the rows that are new, in order of all columns."""
-    return now.exceptAll(before).orderBy(*now.columns).limit(n)
+    """The first n of the rows that are new, in order of all columns; rows that stand several times count as often as there are more of them than before. They
+    are counted by one pre-aggregated grouping, and a partition keeps no more than its first n rows; only these are repeated."""
+    names = now.columns
+    both = now.select("*", F.lit(1).alias("_n")).unionByName(before.select(*names, F.lit(-1).alias("_n")))
+    more = both.groupBy(*names).agg(F.sum("_n").alias("_n")).where("_n > 0").orderBy(*names).limit(n)
+    often = F.sequence(F.lit(1), F.least("_n", F.lit(n)).cast("int"))
+    return more.select(*names, F.explode(often).alias("_k")).orderBy(*names).limit(n).drop("_k")
 
 
 #: The triples that make a fact, and the column of each.

@@ -126,3 +126,14 @@ def test_stream_of_cohorts(spark, sf_dir, tmp_path):
     running.awaitTermination(120)
     got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/k").select("window_start", "k").collect()}
     assert got and got <= {tuple(r) for r in want.collect()}
+
+
+def test_top_new_counts_rows(spark):
+    """Rows that stand several times, before and now, and missing values: as EXCEPT ALL, in order, without its unfolding of all rows before the first are taken."""
+    rows = lambda x: spark.createDataFrame([(a, b) for a, b in x], "a string, b int")
+    now, before = rows([("x", 1)] * 5 + [("a", None)] * 3 + [(None, 2)] * 2 + [("b", 7), ("c", 1)]), rows([("x", 1)] * 2 + [("a", None), ("b", 7), ("z", 1)])
+    for n in (1, 3, 5, 20):
+        got = query.top_new(now, before, n)
+        assert got.columns == ["a", "b"] and got.collect() == now.exceptAll(before).orderBy("a", "b").limit(n).collect()
+    plan = query.top_new(now, before, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.find("GlobalLimit", plan.index("Generate")) < plan.index("Aggregate")  # few rows are repeated
