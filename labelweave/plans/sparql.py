@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cached_property
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -79,7 +80,7 @@ def _before(a: Column, b: Column) -> Column:
 class Query:
     """Parses and plans in one pass: each construct gives a DataFrame of its solutions, a column per variable."""
 
-    def __init__(self, text: str, triples: DataFrame):
+    def __init__(self, text: str, triples: DataFrame | View):
         self.tokens, at = [], 0
         while at < len(text):
             m = _TOKEN.match(text, at)
@@ -89,9 +90,17 @@ class Query:
                 self.tokens.append((m.lastgroup, m[0]))
             at = m.end()
         self.at, self.prefixes, self.fresh = 0, {}, count()
-        self.spark, self.triples = triples.sparkSession, triples.select("s", "p", "o")
+        self.view = triples if isinstance(triples, View) else None
+        self.spark = self.view.known.env.spark if self.view else triples.sparkSession
+        if not self.view:
+            self.triples = triples.select("s", "p", "o")
         self.held: list[tuple[str, Column]] = []
 
+    @cached_property
+    def triples(self) -> DataFrame:
+        """All of them, of a view: worked out when a pattern needs more than facts or edges of one kind."""
+        return self.view.triples()
+
     # --- tokens
 
     def peek(self, ahead: int = 0) -> str:
@@ -223,7 +232,7 @@ class Query:
         return out
 
     def instances(self, pattern: list, found: DataFrame) -> DataFrame:
-        out = self.triples.limit(0)
+        out = self.spark.createDataFrame([], "s string, p string, o string")
         column = lambda t: F.col(f"`{t[1]}`") if t[0] == "var" and t[1] in found.columns else F.lit(None) if t[0] == "var" else F.lit(t[1])
         for terms in pattern:
             out = out.unionByName(found.select(*(_text(column(t)).alias(n) for t, n in zip(terms, "spo"))))
@@ -352,8 +361,8 @@ class Query:
             else:
                 block: list = []
                 self.triples_block(block)
-                for p in block:
-                    found = self.join(found, self.pattern(*p))
+                for one in self.matches(block):
+                    found = self.join(found, one)
         return self.unit(found), filters
 
     def unit(self, found: DataFrame | None) -> DataFrame:
@@ -504,10 +513,41 @@ class Query:
             return path
         if path[0] == "var":
             raise ValueError("a path holds no variables")
-        return self.triples.where(F.col("p") == path[1]).select("s", "o").distinct()
+        own = self.view.edges(path[1]) if self.view else None
+        return (self.triples if own is None else own).where(F.col("p") == path[1]).select("s", "o").distinct()
+
+    def matches(self, block: list) -> list[DataFrame]:
+        """The matches of each triple pattern. Of a view, patterns on the parts of one fact (a variable as subject, a predicate of facts) are a filter of the facts."""
+        own: dict[str, list] = {}
+        if self.view:
+            for s, p, o in block:
+                if s[0] == "var" and not isinstance(p, DataFrame) and p[0] == "term" and p[1] in self.view.columns:
+                    own.setdefault(s[1], []).append((p[1], o))
+        out, done = [], set()
+        for s, p, o in block:
+            if s[0] == "var" and s[1] in own and not isinstance(p, DataFrame) and (p[1], o) in own[s[1]]:
+                if s[1] not in done:
+                    done.add(s[1])
+                    out.append(self.fact(s[1], own[s[1]]))
+            else:
+                out.append(self.pattern(s, p, o))
+        return out
+
+    def fact(self, name: str, parts: list) -> DataFrame:
+        found, seen = self.view.nodes(), {name: "_node"}
+        for p, (kind, value) in parts:
+            column = self.view.columns[p]
+            if kind == "term":
+                found = found.where(F.col(column) == value)
+            elif value in seen:
+                found = found.where(F.col(column) == F.col(seen[value]))
+            else:
+                seen[value] = column
+        return found.select(*(F.col(c).alias(v) for v, c in seen.items())).distinct()
 
     def pattern(self, s: tuple, p, o: tuple) -> DataFrame:
-        found, parts = (p, (("s", s), ("o", o))) if isinstance(p, DataFrame) else (self.triples, (("s", s), ("p", p), ("o", o)))
+        own = self.view.edges(p[1]) if self.view and not isinstance(p, DataFrame) and p[0] == "term" else None
+        found, parts = (p, (("s", s), ("o", o))) if isinstance(p, DataFrame) else (self.triples if own is None else own, (("s", s), ("p", p), ("o", o)))
         seen: dict[str, str] = {}
         for column, (kind, value) in parts:
             if kind == "term":
@@ -670,22 +710,50 @@ class _Known:
     """The triples that user texts see: facts so far, edges, availability."""
 
     def __init__(self, env):
-        self.env, self.held = env, None
+        self.env, self.held = env, {}
 
-    def edges(self) -> DataFrame:  # the same in every round
+    def edges(self, kind: str) -> DataFrame:
+        """(s, p, o) of a kind of edges, distinct: the same in every round."""
         from labelweave.operators import closure
+
+        if kind not in self.held:
+            if kind == "contains":
+                found = self.env.contains.select(F.col("parent").alias("s"), F.col("child").alias("o")).distinct()
+            elif kind == "joinableWith":
+                found = closure.symmetric(self.env.joinable).select(F.col("a").alias("s"), F.col("b").alias("o"))
+            else:
+                found = closure.available(self.env.availability, self.env.contains).select(F.col("container").alias("s"), F.col("scope").alias("o"))
+            self.held[kind] = written(found, "edges").select("s", F.lit(kind).alias("p"), "o")
+        return self.held[kind]
+
+
+class View:
+    """What a text sees, by parts: triples of edges and of facts are put together only where a pattern may look at both."""
+
+    EDGES = ("contains", "joinableWith", "availableInScope")
+
+    def __init__(self, known: _Known, facts: DataFrame):
         from labelweave.operators import query as Q
 
-        if self.held is None:
-            none = self.env.spark.createDataFrame([], "container string, label string, scope string, framework string")
-            self.held = written(Q.triples(none, self.env.contains, closure.symmetric(self.env.joinable), closure.available(self.env.availability, self.env.contains)), "edges")
-        return self.held
+        self.known, self.facts, self.columns = known, facts, dict(Q.PARTS)
 
-    def __call__(self, facts: DataFrame) -> DataFrame:
+    def nodes(self) -> DataFrame:
+        """The facts, each with its node."""
         from labelweave.operators import query as Q
 
-        nothing = self.edges().limit(0)
-        return Q.triples(facts, *(nothing.select(F.col("s").alias(a), F.col("o").alias(b)) for a, b in (("parent", "child"), ("a", "b"), ("container", "scope")))).unionByName(self.edges())
+        return self.facts.select("container", "label", "scope", "framework", Q.node_of_fact().alias("_node"))
+
+    def edges(self, predicate: str) -> DataFrame | None:
+        return self.known.edges(predicate) if predicate in self.EDGES else None
+
+    def triples(self) -> DataFrame:
+        from labelweave.operators import query as Q
+
+        none = self.known.env.spark.createDataFrame([], "s string, o string")
+        out = Q.triples(self.facts, *(none.select(F.col("s").alias(a), F.col("o").alias(b)) for a, b in (("parent", "child"), ("a", "b"), ("container", "scope"))))
+        for kind in self.EDGES:
+            out = out.unionByName(self.known.edges(kind))
+        return out
 
 
 def in_rounds(env, constructs=(), updates=(), rule_texts=()) -> list[Callable[[DataFrame, DataFrame], DataFrame]]:
@@ -700,14 +768,14 @@ def in_rounds(env, constructs=(), updates=(), rule_texts=()) -> list[Callable[[D
     triples = _Known(env)
 
     def all_texts(facts: DataFrame, delta: DataFrame) -> DataFrame:
-        known = triples(facts)
-        new = known.limit(0)
+        known = View(triples, facts)
+        new = env.spark.createDataFrame([], "s string, p string, o string")
         for text in constructs:
-            new = new.unionByName(query(text, known))
+            new = new.unionByName(Query(text, known).run())
         for text in updates:
             new = new.unionByName(Query(text, known).update()[1].select("s", "p", "o"))
         for rule in rules:
-            new = new.unionByName(ruletext.apply_rule(rule, known.withColumn("kind", F.lit("iri"))).select("s", "p", "o"))
+            new = new.unionByName(ruletext.apply_rule(rule, known.triples().withColumn("kind", F.lit("iri"))).select("s", "p", "o"))
         return Q.facts_in(new)
 
     return [all_texts] if constructs or updates or rules else []
@@ -722,11 +790,19 @@ def retracts(env, updates=()) -> list[Callable[[DataFrame], tuple[DataFrame, Dat
 
     def rule(text: str) -> Callable:
         def ask(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-            known = triples(facts)
+            known = View(triples, facts)
             gone, new = Query(text, known).update()
-            subjects = gone.join(known, ["s", "p", "o"], "left_semi").where(F.col("p").isin([p for p, _ in Q.PARTS])).select("s").distinct()
-            named = facts.select("container", "label", "scope", "framework").withColumn("s", Q.node_of_fact())
-            return named.join(subjects, "s", "left_semi").drop("s"), Q.facts_in(new)
+            gone = written(gone.where(F.col("p").isin([*known.columns])), "gone")
+            # a fact has the triple if the column of its predicate has the object; facts with another label or framework need not be looked through
+            nodes = known.nodes()
+            for part in ("assertsLabel", "assertedByFramework"):
+                named = gone.select(F.when(F.col("p") == part, F.col("o")).alias("o")).distinct().limit(1001).collect()
+                if len(named) <= 1000 and None not in [x[0] for x in named]:
+                    nodes = nodes.where(F.col(known.columns[part]).isin([x[0] for x in named]))
+            own = F.coalesce(*(F.when(F.col("p") == p, F.col(c)) for p, c in known.columns.items()))
+            asked = gone.select(F.col("s").alias("_node"), "p", "o")
+            named = nodes.join(asked, "_node").where(own == F.col("o")).select("container", "label", "scope", "framework").distinct()
+            return named, Q.facts_in(new)
 
         return ask
 
