@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -32,6 +33,77 @@ def grow(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str
     raise RuntimeError(f"no fixed point within {max_rounds} rounds")
 
 
+#: Rows up to which what a round starts from goes to all executors, so that the edges stay where they are.
+SENT_ROWS = 50_000
+
+
+@dataclass
+class Down:
+    """Distinct edges (parent, child, again, more), written. again: ways may meet at the child, for it has several parents or is a start itself; more: it has children."""
+
+    edges: DataFrame
+    rows: int
+    meeting: int
+
+    def drop(self) -> None:
+        drop(self.edges)
+
+
+def down(contains: DataFrame, starts: DataFrame | None = None) -> Down:
+    """starts: (container) that a closure begins at, as if they were inside something."""
+    one = contains.groupBy("child").agg(F.min("parent").alias("parent"), F.max("parent").alias("_last"), F.count("parent").alias("_named"), F.count(F.lit(1)).alias("_all"))
+    several = (F.col("parent") != F.col("_last")) | ((F.col("_named") > 0) & (F.col("_named") < F.col("_all")))
+    inner = contains.select(F.col("parent").alias("child")).distinct().withColumn("more", F.lit(True))
+    one = one.select("parent", "child", F.coalesce(several, F.lit(False)).alias("several")).join(inner, "child", "left")
+    begun = F.lit(False)
+    if starts is not None:
+        one, begun = one.join(starts.select(F.col("container").alias("child")).distinct().withColumn("_begun", F.lit(True)), "child", "left"), F.coalesce("_begun", F.lit(False))
+    one = one.select("parent", "child", "several", (F.col("several") | begun).alias("again"), F.coalesce("more", F.lit(False)).alias("more"))
+    edges, seen = observed(one, "edges", several=F.count_if("several"), again=F.count_if("again"))
+    if seen["several"]:  # each of their edges has a row
+        first, own = edges, contains.join(edges.where("several").select("child", "again", "more"), "child").select("parent", "child", "again", "more").distinct()
+        edges, seen = observed(first.where("NOT several").select("parent", "child", "again", "more").unionByName(own), "edges", again=F.count_if("again"))
+        drop(first)
+    return Down(edges, seen["n"], seen["again"])
+
+
+def descend(seed: DataFrame, at: str, below: Down, turns: str | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """The least set that holds seed (distinct, with a column `more`) and, of each row, those with a child of `at` in its place. A round meets the edges only from
+    rows that have children, and known rows only where ways may meet: elsewhere a row comes once, from the one parent's row, which comes once.
+    turns: a column; a row that has the same name in it as in `at` is not followed, for it has come back to where it began."""
+    keys = [c for c in seed.columns if c != "more"]
+    others = [c for c in keys if c != at]
+    small = lambda df, n: F.broadcast(df) if n <= SENT_ROWS else df
+    steps = below.edges.select(F.col("parent").alias(at), F.col("child").alias("_next"), "again", "more")
+    meet = small(steps.where("again"), below.meeting)
+    onward = F.col("more") if turns is None else F.col("more") & F.coalesce(F.col(turns) != F.col(at), F.lit(True))
+    delta, seen = observed(seed.select(*keys, "more"), "grown", more=F.count_if("more"))
+    parts, rows = [delta], seen["n"]
+    for _ in range(max_rounds):
+        known = reduce(DataFrame.unionByName, parts).select(*keys)
+        if not seen["more"]:
+            break
+        new = small(delta.where("more").select(*keys), seen["more"])
+        move = lambda edges: new.join(edges, at).select(*others, F.col("_next").alias(at), "more").select(*keys, onward.alias("more"))  # noqa: B023, E731
+        found = move(steps.where("NOT again"))
+        if below.meeting:
+            there = known.join(meet.select(F.col("_next").alias(at)).distinct(), at, "left_semi")
+            found = found.unionByName(move(meet).dropDuplicates(keys).join(there, keys, "left_anti"))
+        delta, seen = observed(found, "grown", more=F.count_if("more"))
+        if not seen["n"]:
+            drop(delta)
+            break
+        parts, rows = [*parts, delta], rows + seen["n"]
+        if len(parts) > 8:  # deep: one table again
+            before, parts = parts, [written(reduce(DataFrame.unionByName, parts))]
+            drop(*before[:-1])
+    else:
+        raise RuntimeError(f"no fixed point within {max_rounds} rounds")
+    known._rows = rows  # for callers that ask whether it is small
+    known._inner = reduce(DataFrame.unionByName, parts).where("more").select(*keys)  # and for those that look at containers with children alone
+    return known
+
+
 def symmetric(joinable: DataFrame) -> DataFrame:
     """Both directions of (a, b)."""
     return joinable.select("a", "b").unionByName(joinable.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -48,15 +120,23 @@ def contains_edges(*edges: DataFrame) -> DataFrame:
 
 def ancestors(contains: DataFrame) -> DataFrame:
     """(ancestor, descendant): the transitive closure of (parent, child)."""
-    edges = contains.select(F.col("parent").alias("descendant"), F.col("child").alias("_next"))
-    seed = contains.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"))
-    return grow(seed, lambda d: d.join(edges, "descendant").select("ancestor", F.col("_next").alias("descendant")))
-
-
-def available(availability: DataFrame, contains: DataFrame) -> DataFrame:
-    """(container, scope): what is inside an available container is available."""
-    edges = contains.select(F.col("parent").alias("container"), "child")
-    return grow(availability.select("container", "scope"), lambda d: d.join(edges, "container").select(F.col("child").alias("container"), "scope"))
+    below = down(contains)
+    # what is below a container that is inside itself is below it already
+    seed = below.edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), (F.col("more") & F.coalesce(F.col("parent") != F.col("child"), F.lit(True))).alias("more"))
+    found = descend(seed, "descendant", below, turns="ancestor")
+    below.drop()
+    return found
+
+
+def available(availability: DataFrame, contains: DataFrame | Down) -> DataFrame:
+    """(container, scope): what is inside an available container is available. contains: edges, or those of down() with availability's containers as starts."""
+    below = contains if isinstance(contains, Down) else down(contains, availability)
+    inner = below.edges.select(F.col("parent").alias("container")).distinct().withColumn("more", F.lit(True))
+    seed = availability.select("container", "scope").distinct().join(inner, "container", "left").select("container", "scope", F.coalesce("more", F.lit(False)).alias("more"))
+    found = descend(seed, "container", below)
+    if below is not contains:
+        below.drop()
+    return found
 
 
 def framework_chain(frameworks: DataFrame) -> DataFrame:

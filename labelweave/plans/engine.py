@@ -94,22 +94,39 @@ class Engine:
         self.env, self.check_target, self.with_k, self.on_drift, self.max_rounds, self.extra, self.visibility = env, check_target, with_k, on_drift, max_rounds, extra, visibility
         self.quasi, self.analysis, self.retracts, self.keep_conditions, self.barred, self.watch = quasi, analysis, retracts, keep_conditions, None, watch
         self.rules: Compiled = compile_rules(env, inherit, override, close_labels and visibility == "any")
+        self.above = self._above()
+        #: labels that a rule, or k-anonymity, can give; user texts can give any
+        self.given = {t for _, t, _, _ in self.rules.label_steps} | {x for _, x, _ in self.rules.propagations} | {x[3] for x in [*self.rules.conditional, *self.rules.every]} | {x[2] for x in self.rules.bare} | {analysis}
         self.metrics: list[tuple] = []
         self.rounds = 0
 
+    def _above(self) -> dict[str, set[str]]:
+        """Each framework with those that its facts hold in, too."""
+        rows = self.env.frameworks.where("sub_framework_of IS NOT NULL").select("framework", "sub_framework_of").distinct().limit(R.MAX_RULES + 1).collect()
+        if len(rows) > R.MAX_RULES:
+            raise ValueError(f"over {R.MAX_RULES} frameworks that are part of others")
+        out: dict[str, set[str]] = {}
+        for f, up in rows:
+            out.setdefault(f, set()).add(up)
+        return out
+
     # --- strata
 
     def run(self) -> Result:
         env = self.env
-        self.contains, below = observed(env.contains.distinct(), "edges")
-        available = closure.available(env.availability, self.contains)
+        below = closure.down(env.contains, env.availability)
+        self.contains = below.edges.select("parent", "child")
+        available = closure.available(env.availability, below)
         joinable, beside = observed(closure.symmetric(env.joinable), "edges")
-        self.edges = self._edges(joinable, below["n"], beside["n"])
-        self.contains, self.avail, self.joinable = self._sent(self.contains, below["n"]), self._sent(available), self._sent(joinable, beside["n"])
+        self.edges = self._edges(joinable, below.rows, beside["n"])
+        self.contains, self.avail, self.joinable = self._sent(self.contains, below.rows), self._sent(available), self._sent(joinable, beside["n"])
+        # what moves outward alone lands on containers with children
+        self.landing = self._sent(available._inner, available._rows) if {d for _, _, d in self.rules.propagations} == {"Outward"} else self.avail
         self.chain = closure.framework_chain(env.frameworks) if self.visibility == "chain" else None
         edges = Edges(self.avail, self.contains, self.joinable, lambda: self.closure)
         self.state = Conditional(env.spark, self.rules, edges, self._seen, self.chain is not None)
-        facts = self._fixpoint("S2", None, self._ground())
+        base = self._visible(available)
+        facts = self._fixpoint("S2", base, self._ground(base is None), base, base=base, rows=available._rows)
         k = kanon.k_anonymity(kanon.signatures(env.fields, self._quasi(facts), as_text=False))
         if self.with_k:
             k = written(k)
@@ -166,11 +183,20 @@ class Engine:
             (F.col(via) if via in columns else F.lit(via)).alias("derived_via"), F.col("source").alias("derived_from") if "source" in columns else F.lit(None).cast("string").alias("derived_from"),
         )
 
-    def _ground(self) -> DataFrame:
+    def _visible(self, available: DataFrame) -> DataFrame | None:
+        """The facts of availability as they stand in its table, neither made distinct nor written again: they are a set already. None if another ground fact may be
+        one of them, or if a rule starts from one."""
+        rules, own = self.rules, lambda df, f: df.where((F.col("label") == R.AVAILABLE) & (F.col(f) == R.EXTERNAL))
+        used = rules.looked_at | {s for s, *_ in rules.label_steps} | {x for _, x, _ in rules.propagations} | {x[2] for x in rules.conditional} | self.given
+        if R.AVAILABLE in used or R.EXTERNAL in self.above or not own(self.env.labels, "introduced_by").isEmpty() or not own(self.env.ground, "framework").isEmpty():
+            return None
+        return self._shape(R.visibility(available), "Availability").withColumn("round", F.lit(0))
+
+    def _ground(self, visible: bool = True) -> DataFrame:
         env = self.env
         parts = [
             self._shape(env.ground, "Ground", True),
-            self._shape(R.visibility(self.avail), "Availability"),
+            *([self._shape(R.visibility(self.avail), "Availability")] if visible else []),
             self._shape(R.tags(env.tags, env.labels, self.avail), "Tag", True),
             self._shape(R.field_declarations(env.field_decls, env.fields, env.labels, self.avail), "FieldDeclaration", True),
         ]
@@ -181,21 +207,31 @@ class Engine:
 
     # --- the loop
 
-    def _fixpoint(self, stratum: str, facts: DataFrame | None, seed: DataFrame, changed: DataFrame | None = None) -> DataFrame:
-        """The facts and all that follows from the seed. changed: facts among them that conditions are to be asked about as if they were new."""
+    def _fixpoint(self, stratum: str, facts: DataFrame | None, seed: DataFrame | None, changed: DataFrame | None = None, told: bool = False, base: DataFrame | None = None, rows: int = 0) -> DataFrame:
+        """The facts and all that follows from the seed. changed: facts among them that conditions are to be asked about as if they were new. told: the seed may
+        have labels that no rule gives. base: those of the facts that came with the seed; they are rows."""
         tables, pending = [] if facts is None else [facts], [] if changed is None else [changed]
         delta, touched, round_ = None, True, 0
         found = seed
         while True:
             began = time.perf_counter()
-            delta, seen = self._new(found, facts)
+            if found is None:  # no fact that a rule could start from
+                delta, seen = facts.limit(0), {"n": 0, "looked_at": 0}
+            else:
+                delta, seen = self._new(found, facts, told or bool(self.extra))
+            told = False
             self.metrics.append((stratum, round_, len(self.metrics), time.perf_counter() - began))
             self.rounds += round_ > 0
             if self.watch:
-                self.watch(stratum, round_, delta, seen["n"])
+                self.watch(stratum, round_, *((delta, seen["n"]) if base is None or round_ else (delta.unionByName(base), seen["n"] + rows)))
+            if base is not None and not round_ and not seen["n"]:  # the rounds begin from these alone
+                drop(delta)
+                delta, seen = base, {**seen, "n": rows}
+                facts, base = base, None
+            elif seen["n"]:
+                tables.append(delta)
             touched = touched or bool(seen["looked_at"])
             if seen["n"]:
-                tables.append(delta)
                 pending.append(delta)
                 facts = reduce(DataFrame.unionByName, tables)
             elif facts is None:
@@ -212,9 +248,11 @@ class Engine:
                 tables = [written(facts, "facts")]
                 facts = tables[0]
             if delta is not None:  # what follows from the last round's facts alone
-                found = self._linear(delta)
+                found = self._linear(delta, seen)
                 for rule in self.extra:
-                    found = found.unionByName(self._shape(rule(facts.select(*NAMES), delta.select(*NAMES)), "extra"))
+                    new = delta if base is None or round_ > 1 else delta.unionByName(base)
+                    more = self._shape(rule(facts.select(*NAMES), new.select(*NAMES)), "extra")
+                    found = more if found is None else found.unionByName(more)
             else:  # nothing more does: conditions, if they may have changed
                 touched = False
                 if self.state.idle or not pending:
@@ -222,45 +260,72 @@ class Engine:
                 found = self._shape(self.state.round(facts, reduce(DataFrame.unionByName, pending)), "rule")
                 pending = []
 
-    def _new(self, found: DataFrame, facts: DataFrame | None) -> tuple[DataFrame, dict]:
-        """Candidates made distinct (partial aggregation first), without known facts and those that were taken back; how many, and how many that conditions look at."""
+    def _new(self, found: DataFrame, facts: DataFrame | None, told: bool = False) -> tuple[DataFrame, dict]:
+        """Candidates made distinct (partial aggregation first), without known facts and those that were taken back; how many, how many that conditions look at, and how
+        many that rules of a kind start from. Unless user texts told them, candidates have labels that rules give, so they meet only such facts."""
         first = F.min_by(F.struct(*NAMES[4:]), F.struct(F.coalesce("derived_via", F.lit("")), F.coalesce("derived_from", F.lit(""))))
         one = found.groupBy(*E.KEY).agg(first.alias("x")).select(*E.KEY, "x.*")
+        if facts is not None and not told:
+            facts = facts.where(F.col("label").isin(sorted(self.given)) | F.col("framework").isin(sorted(set().union(*self.above.values()))))
         for known in (facts, self.barred):
             if known is not None:
                 one = one.join(known.select(*E.KEY), E.KEY, "left_anti")
-        return observed(one.withColumn("round", F.lit(len(self.metrics))), "facts", looked_at=F.count_if(F.col("label").isin(sorted(self.rules.looked_at))))
+        return observed(one.withColumn("round", F.lit(len(self.metrics))), "facts", **self._starting())
+
+    def _starting(self) -> dict:
+        """Counts of facts: those that conditions look at, and those that label rules, propagations and the rule of parent frameworks start from."""
+        looked_at = F.col("label").isin(sorted(self.rules.looked_at))
+        return {k: F.count_if(c) for k, c in {"looked_at": looked_at, **self._kinds()}.items()}
+
+    def _kinds(self) -> dict:
+        up = F.col("framework").isin(sorted(self.above)) & ~F.coalesce(F.col("derived_via") == "ParentFramework", F.lit(False))
+        label = lambda names: F.col("label").isin(sorted(names))
+        return {"stepping": label({s for s, *_ in self.rules.label_steps}), "moving": label({x for _, x, _ in self.rules.propagations}), "rising": up}
+
+    def _starts(self):
+        """Whether a rule of one source may start from a fact."""
+        return reduce(lambda a, b: a | b, self._kinds().values())
 
     def _seen(self, facts: DataFrame, rules: DataFrame) -> DataFrame:
-        """Facts joined with rules (framework, source, ...) that they trigger."""
+        """Facts joined with rules (framework, source, ...) that they trigger; once for each framework that asserts them."""
         if self.chain is None:
-            return R.labelled(facts).withColumnRenamed("label", "source").join(rules, "source")
+            return facts.select("container", F.col("label").alias("source"), "scope").join(rules, "source")
         up = rules.join(F.broadcast(self.chain), "framework")
         own = facts.select("container", F.col("label").alias("source"), "scope", F.col("framework").alias("ancestor")).distinct()
         return own.join(F.broadcast(up), ["source", "ancestor"]).drop("ancestor").distinct()
 
-    def _linear(self, delta: DataFrame) -> DataFrame:
+    def _linear(self, delta: DataFrame, counts: dict | None = None) -> DataFrame | None:
+        """What rules of one source give of these facts; counts: of _starting(). None: nothing starts from them."""
         spark, rules = self.env.spark, self.rules
-        delta = delta.select(*NAMES)
-        steps = R.rule_table(spark, rules.label_steps, "source string, target string, framework string, rule string")
-        moved = self._seen(delta, steps).select("container", F.col("target").alias("label"), "scope", "framework", "rule")
-        out = self._shape(moved, "rule")
-        moves = R.rule_table(spark, rules.propagations, "framework string, label string, direction string")
-        if rules.propagations:
+        if counts is None:
+            counts = dict.fromkeys(("stepping", "moving", "rising"), BROADCAST_ROWS + 1)
+        delta, out = delta.select(*NAMES), []
+        if rules.label_steps and counts["stepping"]:
+            steps = R.rule_table(spark, rules.label_steps, "source string, target string, framework string, rule string")
+            moved = self._seen(delta, steps).select("container", F.col("target").alias("label"), "scope", "framework", "rule")
+            out.append(self._shape(moved, "rule"))
+        if rules.propagations and counts["moving"]:
+            moves = R.rule_table(spark, rules.propagations, "framework string, label string, direction string")
             moved = delta.join(moves, ["framework", "label"]).withColumnRenamed("container", "source")
+            if counts["moving"] <= BROADCAST_ROWS:  # a fact moves in five directions at most
+                moved = F.broadcast(moved)
             gone = moved.join(self.edges, ["direction", "source"])
-            # peers: labels are made distinct at the parent, whose children get them
-            up = moved.where("direction = 'Peer'").join(self.contains.select(F.col("child").alias("source"), "parent"), "source")
-            up = up.groupBy("parent", "label", "scope", "framework").agg(F.min("source").alias("source"), F.min_by("params", "source").alias("params"))
-            down = up.join(self.contains.select("parent", F.col("child").alias("container")), "parent").withColumn("direction", F.lit("Peer"))
             columns = [*E.KEY, "params", "source", "direction"]
-            gone = gone.select(*columns).unionByName(down.select(*columns))
+            gone = gone.select(*columns)
+            if any(d == "Peer" for _, _, d in rules.propagations):
+                # peers: labels are made distinct at the parent, whose children get them
+                up = moved.where("direction = 'Peer'").join(self.contains.select(F.col("child").alias("source"), "parent"), "source")
+                up = up.groupBy("parent", "label", "scope", "framework").agg(F.min("source").alias("source"), F.min_by("params", "source").alias("params"))
+                down = up.join(self.contains.select("parent", F.col("child").alias("container")), "parent").withColumn("direction", F.lit("Peer"))
+                gone = gone.unionByName(down.select(*columns))
             if not self.check_target:  # joinable targets are checked always
                 free = gone.where("direction <> 'Joinable'")
-                out = out.unionByName(self._shape(free, "direction"))
+                out.append(self._shape(free, "direction"))
                 gone = gone.where("direction = 'Joinable'")
-            out = out.unionByName(self._shape(gone.join(self.avail, ["container", "scope"], "left_semi"), "direction"))
-        return out.unionByName(self._shape(R.parent_framework(delta, self.env.frameworks), "ParentFramework"))
+            out.append(self._shape(gone.join(self.landing, ["container", "scope"], "left_semi"), "direction"))
+        if self.above and counts["rising"]:
+            out.append(self._shape(R.parent_framework(delta, self.env.frameworks), "ParentFramework"))
+        return reduce(DataFrame.unionByName, out) if out else None
 
 
 def infer(env: E.Env, **options) -> Result:
