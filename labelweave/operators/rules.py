@@ -70,14 +70,20 @@ def effective(rules: DataFrame, chain_depth: DataFrame, key: list[str]) -> DataF
     return found.join(nearest, ["framework", *key, "depth"]).select(*rules.columns).distinct()
 
 
+def _named(has: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of has, the labels in the one column of `labels`: a semi-join, which Spark moves below what makes `has` distinct, so other labels are neither grouped nor shuffled."""
+    return has.join(F.broadcast(labels.toDF("label").distinct()), "label", "left_semi")
+
+
 def subclass(has: DataFrame, rules: DataFrame) -> DataFrame:
     """has: (container, label, scope); rules: (framework, source, target, rule)."""
+    has = _named(has, rules.select("source"))
     return has.join(rules, has["label"] == rules["source"]).select("container", F.col("target").alias("label"), "scope", "framework", "rule")
 
 
 def implication(has: DataFrame, rules: DataFrame, holds: DataFrame | None = None) -> DataFrame:
     """rules: (framework, rule, source, target[, condition]); holds: (condition, container, scope)."""
-    found = has.withColumnRenamed("label", "source").join(rules, "source")
+    found = _named(has, rules.select("source")).withColumnRenamed("label", "source").join(rules, "source")
     if holds is not None:
         found = found.join(holds, ["condition", "container", "scope"], "left_semi")
     return found.select("container", F.col("target").alias("label"), "scope", "framework", "rule")
@@ -87,7 +93,8 @@ def implication_all(has: DataFrame, rules: DataFrame, holds: DataFrame | None =
     """rules: (framework, rule, sources array, target[, condition]): all sources on one container in one scope (relational division)."""
     need = rules.withColumn("sources", F.array_distinct("sources"))
     parts = need.select("rule", F.size("sources").alias("n"), F.explode("sources").alias("label")).distinct()
-    full = has.select("container", "label", "scope").distinct().join(F.broadcast(parts), "label").groupBy("rule", "n", "container", "scope").agg(F.count_distinct("label").alias("k")).where("k = n")
+    own = _named(has.select("container", "label", "scope").distinct(), parts.select("label"))
+    full = own.join(F.broadcast(parts), "label").groupBy("rule", "n", "container", "scope").agg(F.count_distinct("label").alias("k")).where("k = n")
     found = full.select("rule", "container", "scope").join(F.broadcast(need.drop("sources")), "rule")
     if holds is not None:
         found = found.join(holds, ["condition", "container", "scope"], "left_semi")
