@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +31,26 @@ def ranked(rest: DataFrame) -> DataFrame:
     first = heads.select("cell", F.col("cell").alias("at"), F.lit(0).cast("long").alias("far"), F.lit(True).alias("home"))
     marked = heads.select(F.col("cell").alias("at"), F.lit(True).alias("home"))
     steps = back.join(marked, "at", "left").select("cell", "at", F.lit(1).cast("long").alias("far"), F.coalesce("home", F.lit(False)).alias("home"))
+    # what reached its head stays where it was written; a round joins those that did not with what they point at
     known, state = observed(first.unionByName(steps), "jumps", open=F.count_if(~F.col("home")))
+    done, n, asked = [known.where("home")], state["n"], [known]
     for _ in range(seen["n"].bit_length() + 1):
         if not state["open"]:
             break
         away = known.where("NOT home").select("cell", F.col("at").alias("by"), F.col("far").alias("gone"))
-        moved = away.join(known.select(F.col("cell").alias("by"), "at", "far", "home"), "by").select("cell", "at", (F.col("gone") + F.col("far")).alias("far"), "home")
-        before = known
-        known, state = observed(known.where("home").unionByName(moved), "jumps", open=F.count_if(~F.col("home")))
-        drop(before)
-    if state["open"] or (seen["n"] and not state["n"]):
+        there = asked[0] if len(asked) == 1 else asked[0].unionByName(asked[1])
+        moved = away.join(there.select(F.col("cell").alias("by"), "at", "far", "home"), "by").select("cell", "at", (F.col("gone") + F.col("far")).alias("far"), "home")
+        # a cell that nothing away points at now is not asked again: what is twice as far from it goes through a cell that would
+        kept = written(there.where("home").join(away.select(F.col("by").alias("cell")).distinct(), "cell", "left_semi"), "asked")
+        known, state = observed(moved, "jumps", open=F.count_if(~F.col("home")))
+        done.append(known.where("home"))
+        drop(*asked[1:])
+        asked = [known, kept]
+    drop(*asked[1:])
+    if state["open"] or (seen["n"] and not n):
         raise ValueError("a list that runs in a circle")
     drop(rest, heads)
-    return known.select(F.col("at").alias("list"), "cell", F.col("far").alias("position"))
+    return reduce(DataFrame.unionByName, done).select(F.col("at").alias("list"), "cell", F.col("far").alias("position"))
 
 
 def items(triples: DataFrame, lists: DataFrame | None = None) -> DataFrame:

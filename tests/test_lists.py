@@ -38,3 +38,19 @@ def test_list_contains(spark):
     known = triples(spark, [*LIST, ("k", "text", "2 3")]).withColumn("kind", F.lit("iri"))
     ask = lambda p, item: {r["s"] for r in ruletext.apply_rule(ruletext.parse_rules(f'[r: (?x {p} ?l) listContains(?l, "{item}") -> (?x has "it")]')[0], known).collect()}
     assert ask("members", "2") == {"h"} and ask("members", "9") == set() and ask("text", "3") == {"k"} and ask("text", "4") == set()
+
+
+def test_rounds_write_only_cells_that_have_not_reached_their_head(spark, monkeypatch):
+    rest = [(f"s{i}a", f"s{i}b") for i in range(200)] + [(f"s{i}b", "nil") for i in range(200)] + [(f"l{i:02}", f"l{i + 1:02}" if i < 63 else "nil") for i in range(64)] + [("m", "l10")]
+    wrote, observed = [], lists.observed
+
+    def counting(df, what, **more):
+        out, seen = observed(df, what, **more)
+        wrote.append((what, seen["n"]))
+        return out, seen
+
+    monkeypatch.setattr(lists, "observed", counting)
+    got = sorted(map(tuple, lists.ranked(spark.createDataFrame(rest, "cell string, next string")).collect()))
+    want = [x for i in range(200) for x in ((f"s{i}a", f"s{i}a", 0), (f"s{i}a", f"s{i}b", 1))] + [("l00", f"l{i:02}", i) for i in range(64)] + [("m", "m", 0)] + [("m", f"l{i:02}", i - 9) for i in range(10, 64)]
+    assert got == sorted(want)
+    assert sum(n for what, n in wrote if what == "jumps") < 2 * len(want)
