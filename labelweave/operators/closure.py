@@ -139,6 +139,20 @@ def available(availability: DataFrame, contains: DataFrame | Down) -> DataFrame:
     return found
 
 
+def inside(held: DataFrame, contains: DataFrame) -> DataFrame:
+    """What is strictly inside the container of a row of held (distinct: container, ...), with the row's other columns, distinct. Goes down from these containers alone."""
+    keys = held.columns
+    below = down(contains, held)
+    inner = below.edges.select(F.col("parent").alias("container")).distinct().withColumn("more", F.lit(True))
+    seed, seen = observed(held.join(inner, "container", "left").select(*keys, F.coalesce("more", F.lit(False)).alias("more")), "held")
+    found = descend(seed, "container", below)
+    few = lambda df: F.broadcast(df) if seen["n"] <= SENT_ROWS else df
+    # rows of held are among those found; they are inside another only if a parent of theirs is found with the same columns
+    up = few(seed.select(*keys)).join(below.edges.select(F.col("child").alias("container"), "parent"), "container").withColumnsRenamed({"container": "_own", "parent": "container"})
+    again = few(up).join(found, keys).select(*(F.col("_own").alias(c) if c == "container" else F.col(c) for c in keys)).distinct()
+    return found.join(few(seed.select(*keys)), keys, "left_anti").unionByName(again)
+
+
 def framework_chain(frameworks: DataFrame) -> DataFrame:
     """(framework, ancestor): each framework, itself first, and those that it extends."""
     edges = frameworks.where("extends IS NOT NULL").select(F.col("framework").alias("ancestor"), F.col("extends").alias("_next")).distinct()
@@ -148,8 +162,8 @@ def framework_chain(frameworks: DataFrame) -> DataFrame:
 
 def with_root(contains: DataFrame) -> DataFrame:
     """(parent, child), and containers that nothing contains as children of the empty name."""
-    roots = contains.join(contains.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti").select(F.lit("").alias("parent"), F.col("parent").alias("child"))
-    return contains.select("parent", "child").unionByName(roots.distinct())
+    roots = contains.select("parent").distinct().join(contains.select(F.col("child").alias("parent")), "parent", "left_anti").select(F.lit("").alias("parent"), F.col("parent").alias("child"))
+    return contains.select("parent", "child").unionByName(roots)
 
 
 def siblings(contains: DataFrame, of: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,8 @@ from labelweave.operators import rules as R
 
 
 def related(has: DataFrame, relation: str, contains: DataFrame, closure: DataFrame) -> DataFrame:
-    """(container, label, scope) for each label that a container in the relation has. Siblings share a parent, or are both roots."""
+    """(container, label, scope) for each label that a container in the relation has. Siblings share a parent, or are both roots. Without a closure, ancestors
+    are looked at by going down from the labelled containers alone."""
     pick = lambda edges, theirs, ours: has.withColumnRenamed("container", "other").join(edges.select(F.col(theirs).alias("other"), F.col(ours).alias("container")), "other")
     if relation == "Self":
         return has.select("container", "label", "scope")
@@ -22,6 +23,8 @@ def related(has: DataFrame, relation: str, contains: DataFrame, closure: DataFra
     elif relation == "Child":
         found = pick(contains, "child", "parent")
     elif relation == "Ancestor":
+        if closure is None:
+            return closure_of.inside(has.select("container", "label", "scope").distinct(), contains)
         found = pick(closure, "ancestor", "descendant")
     elif relation == "Descendant":
         found = pick(closure, "descendant", "ancestor")
@@ -59,13 +62,17 @@ class Edges:
 
 
 class Evaluator:
-    """Where conditions hold, given facts (container, label, scope[, params])."""
+    """Where conditions hold, given facts (container, label, scope[, params]). closure: all of it, or what works it out once a condition needs all of it."""
 
-    def __init__(self, facts: DataFrame, avail: DataFrame, contains: DataFrame, closure: DataFrame, joinable: DataFrame):
+    def __init__(self, facts: DataFrame, avail: DataFrame, contains: DataFrame, closure: DataFrame | Callable[[], DataFrame] | None, joinable: DataFrame):
         self.facts, self.has = facts, facts.select("container", "label", "scope").distinct()
-        self.avail, self.contains, self.closure, self.joinable = avail, contains, closure, joinable
+        self.avail, self.contains, self._closure, self.joinable = avail, contains, closure, joinable
         self._known: dict = {}
 
+    @property
+    def closure(self) -> DataFrame:
+        return self._closure() if callable(self._closure) else self._closure
+
     def __call__(self, condition) -> DataFrame:
         if condition not in self._known:
             self._known[condition] = self._evaluate(condition).select("container", "scope").distinct()
@@ -75,7 +82,8 @@ class Evaluator:
         if isinstance(c, Has):
             return self.has.where(F.col("label") == c.label)
         if isinstance(c, Related):
-            return related(self.has.where(F.col("label") == c.label), c.relation, self.contains, self.closure)
+            needed = c.relation == "Descendant" or c.relation == "Ancestor" and not callable(self._closure)
+            return related(self.has.where(F.col("label") == c.label), c.relation, self.contains, self.closure if needed else None)
         if isinstance(c, Contains):
             return self._contains(c.label)
         if isinstance(c, JoinableTo):

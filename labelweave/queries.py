@@ -62,7 +62,7 @@ class World:
         return E.facet_expanded(self.env)
 
     def holds(self, condition) -> DataFrame:
-        return conditions.Evaluator(self.facts, self.avail, self.contains, self.ancestors, self.joinable)(condition)
+        return conditions.Evaluator(self.facts, self.avail, self.contains, lambda: self.ancestors, self.joinable)(condition)
 
     @property
     def facts(self) -> DataFrame:
@@ -451,7 +451,7 @@ over(
 
 def _typed_implication(w: World) -> DataFrame:
     has = _chain_has(w).where("framework = 'strict'").select("container", "label", "scope")
-    holds = conditions.Evaluator(has, w.avail, w.contains, w.ancestors, w.joinable)(E.Related("Debt", "Child")).withColumn("condition", F.lit(0))
+    holds = conditions.Evaluator(has, w.avail, w.contains, lambda: w.ancestors, w.joinable)(E.Related("Debt", "Child")).withColumn("condition", F.lit(0))
     return R.implication(has, w.table([("strict", "c1", "Trade", "TradeDebt", 0)], "framework string, rule string, source string, target string, condition int"), holds).select(*E.KEY).distinct()
 
 

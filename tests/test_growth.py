@@ -54,3 +54,30 @@ def test_rounds_write_only_what_rules_start_from(spark, monkeypatch):
     none = engine.infer(world(spark, E.Rules(propagations=(E.Propagation("F", "Outward", label="nowhere"),))), with_k=False)
     assert [what for what, _ in wrote].count("facts") == 1 and none.rounds == 1  # no round is run that nothing can follow in
     assert none.assertions.where("label = 'Available'").count() == 4
+
+
+@pytest.mark.parametrize("kind", ["tree", "ring", "any"])
+def test_inside_labelled_containers_without_a_closure(spark, monkeypatch, kind):
+    rng = random.Random(7)
+    edges = {(f"c{rng.randrange(i)}", f"c{i}") for i in range(1, 14)}
+    if kind == "ring":
+        edges = {(f"c{i}", f"c{(i + 1) % 5}") for i in range(5)} | {("c6", "c6")}
+    if kind == "any":
+        edges |= {(f"c{rng.randrange(14)}", f"c{rng.randrange(14)}") for _ in range(7)}
+    held = [("c1", "x", "s"), ("c3", "x", "s"), ("c3", "x", "t"), ("c0", "y", "s"), ("c6", "y", "s")]
+    got = closure.inside(spark.createDataFrame(held, "container string, label string, scope string"), spark.createDataFrame([*edges], "parent string, child string"))
+    assert sorted(map(tuple, got.collect())) == sorted({(d, label, s) for c, label, s in held for d, _ in brute({(x, c) for p, x in edges if p == c}, edges)})
+
+
+def test_conditions_work_out_no_closure_that_they_do_not_need(spark):
+    from labelweave.operators import conditions
+
+    def closed():
+        raise AssertionError("a closure is worked out")
+
+    rows = lambda x, schema: spark.createDataFrame(x, schema)
+    facts, avail = rows([("t1", "x", "s", {"n": "3"}), ("d", "y", "s", None)], "container string, label string, scope string, params map<string,string>"), rows([("t1", "s"), ("t2", "s")], "container string, scope string")
+    holds = conditions.Evaluator(facts, avail, rows([("d", "t1"), ("d", "t2"), ("t2", "r")], "parent string, child string"), closed, rows([], "a string, b string"))
+    assert [r[0] for r in holds(E.Related("x", "Sibling")).collect()] == ["t2"]
+    assert [r[0] for r in holds(E.Compare(E.Operand("x", "n"), "<=", E.Operand(literal=3))).collect()] == ["t1"]
+    assert sorted(r[0] for r in holds(E.Related("y", "Ancestor")).collect()) == ["r", "t1", "t2"]
