@@ -30,6 +30,12 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """df dealt by keys into as many partitions as Spark's shuffles begin with. Spark does not put these together to fewer, as it would after looking at compressed
+    sizes: a task that groups or sorts rows holds many times that."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def observed(df: DataFrame, what: str, **counts) -> tuple[DataFrame, dict]:
     """written(), and how many rows it has (n) with further aggregates, taken from the write itself: no second job."""
     seen = Observation()

@@ -81,3 +81,13 @@ def test_conditions_work_out_no_closure_that_they_do_not_need(spark):
     assert [r[0] for r in holds(E.Related("x", "Sibling")).collect()] == ["t2"]
     assert [r[0] for r in holds(E.Compare(E.Operand("x", "n"), "<=", E.Operand(literal=3))).collect()] == ["t1"]
     assert sorted(r[0] for r in holds(E.Related("y", "Ancestor")).collect()) == ["r", "t1", "t2"]
+
+
+def test_a_task_holds_a_part_of_the_rows_of_a_small_file(spark, tmp_path):
+    """Texts and records are dealt into as many parts as shuffles have, whatever the files' sizes."""
+    from labelweave.sources import turtle
+
+    spark.range(400).selectExpr("concat('@prefix x: <http://x/> . x:p', id % 300, ' x:q ', id % 300, ' .') AS text").coalesce(1).write.parquet(str(tmp_path / "texts"))
+    parsed = turtle.read_texts(spark.read.parquet(str(tmp_path / "texts")))
+    dealt = ", REPARTITION_BY_NUM"
+    assert dealt in parsed._jdf.queryExecution().executedPlan().toString() and parsed.count() == 300
