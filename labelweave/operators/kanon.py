@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelweave.storage import spread
+
 QUASI_IDENTIFIER, ANALYSIS, FRAMEWORK, PARAM = "IndirectIdentifier", "KAnonymityAnalysis", "BaseFramework", "minimumCohortSize"
 
 
@@ -14,8 +16,9 @@ def signatures(fields: DataFrame, quasi: DataFrame, as_text: bool = True) -> Dat
 
     fields: (field, record, table, name, value); quasi: (container, scope) of fields that are quasi-identifiers. Records without any have no row.
     A record's fields are few, so the list is bounded by the table's width."""
-    own = fields.join(quasi.select(F.col("container").alias("field"), "scope").distinct(), "field").where("name IS NOT NULL AND value IS NOT NULL")
-    found = own.groupBy("table", "scope", "record").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("signature"))
+    named = spread(quasi.select(F.col("container").alias("field"), "scope"), "field").distinct()
+    own = spread(fields, "field").join(named, "field").where("name IS NOT NULL AND value IS NOT NULL")
+    found = spread(own, "table", "scope", "record").groupBy("table", "scope", "record").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("signature"))
     text = F.array_join(F.transform("signature", lambda x: F.concat(x["name"], F.lit("="), x["value"])), ";")
     return found.withColumn("signature", text) if as_text else found
 

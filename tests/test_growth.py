@@ -85,9 +85,13 @@ def test_conditions_work_out_no_closure_that_they_do_not_need(spark):
 
 def test_a_task_holds_a_part_of_the_rows_of_a_small_file(spark, tmp_path):
     """Texts and records are dealt into as many parts as shuffles have, whatever the files' sizes."""
+    from labelweave.operators import kanon
     from labelweave.sources import turtle
 
     spark.range(400).selectExpr("concat('@prefix x: <http://x/> . x:p', id % 300, ' x:q ', id % 300, ' .') AS text").coalesce(1).write.parquet(str(tmp_path / "texts"))
     parsed = turtle.read_texts(spark.read.parquet(str(tmp_path / "texts")))
     dealt = ", REPARTITION_BY_NUM"
     assert dealt in parsed._jdf.queryExecution().executedPlan().toString() and parsed.count() == 300
+    fields = spark.createDataFrame([(f"r{i}.a", f"r{i}", "t", "a", str(i % 3)) for i in range(9)], "field string, record string, table string, name string, value string")
+    signed = kanon.signatures(fields, fields.selectExpr("field AS container", "'g' AS scope"), as_text=False)
+    assert signed._jdf.queryExecution().executedPlan().toString().count(dealt) == 3 and kanon.k_anonymity(signed).collect()[0]["k"] == 3
