@@ -27,15 +27,21 @@ def visibility(avail: DataFrame) -> DataFrame:
     return avail.select("container", F.lit(AVAILABLE).alias("label"), "scope", F.lit(EXTERNAL).alias("framework"))
 
 
+def _introduced(labels: DataFrame) -> DataFrame:
+    """(label, framework). A vocabulary goes to the tags, however many they are of a label: dealt by label, few tasks would get them all."""
+    intro = labels.select("label", F.col("introduced_by").alias("framework"))
+    return F.broadcast(intro) if labels.limit(MAX_RULES + 1).count() <= MAX_RULES else intro
+
+
 def tags(tag_table: DataFrame, labels: DataFrame, avail: DataFrame) -> DataFrame:
     """Tagged and available containers have the tag under the framework that introduces it."""
-    intro = labels.select("label", F.col("introduced_by").alias("framework"))
+    intro = _introduced(labels)
     return tag_table.join(intro, "label").join(avail, "container").select("container", "label", "scope", "framework").distinct()
 
 
 def field_declarations(decls: DataFrame, fields: DataFrame, labels: DataFrame, avail: DataFrame) -> DataFrame:
     """Fields carry the labels that their table declares for their name, wherever the table is available."""
-    intro = labels.select("label", F.col("introduced_by").alias("framework"))
+    intro = _introduced(labels)
     where = avail.select(F.col("container").alias("table"), "scope")
     found = fields.select(F.col("field").alias("container"), "table", "name").join(decls.select("table", "name", "label").distinct(), ["table", "name"])
     return found.join(intro, "label").join(where, "table").select("container", "label", "scope", "framework").distinct()
@@ -43,7 +49,7 @@ def field_declarations(decls: DataFrame, fields: DataFrame, labels: DataFrame, a
 
 def field_tags(tag_table: DataFrame, fields: DataFrame, labels: DataFrame, avail: DataFrame) -> DataFrame:
     """A table carries the tags of its fields (extension)."""
-    intro = labels.select("label", F.col("introduced_by").alias("framework"))
+    intro = _introduced(labels)
     own = tag_table.withColumnRenamed("container", "field").join(fields.select("field", "table"), "field")
     return own.select(F.col("table").alias("container"), "label", F.col("field").alias("on_field")).join(intro, "label").join(avail, "container").select("container", "label", "scope", "framework", "on_field").distinct()
 
