@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from labelweave.functions import text as T
 from labelweave.functions.builtins import number
 from labelweave.operators.closure import grow
-from labelweave.storage import written
+from labelweave.storage import Kept, spread, written
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 _TOKEN = re.compile(
@@ -236,7 +236,10 @@ class Query:
         column = lambda t: F.col(f"`{t[1]}`") if t[0] == "var" and t[1] in found.columns else F.lit(None) if t[0] == "var" else F.lit(t[1])
         for terms in pattern:
             out = out.unionByName(found.select(*(_text(column(t)).alias(n) for t, n in zip(terms, "spo"))))
-        return out.where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").distinct()
+        return self.once(out.where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL"))
+
+    def once(self, found: DataFrame) -> DataFrame:
+        return found.distinct()
 
     def select(self) -> DataFrame:
         self.take("SELECT")
@@ -557,7 +560,7 @@ class Query:
             else:
                 seen[value] = column
         columns = [F.col(c).alias(v) for v, c in seen.items()] or [F.lit(1).alias(f"_here{next(self.fresh)}")]
-        return found.select(*columns).distinct()
+        return self.once(found.select(*columns))
 
     # --- expressions. found: what variables are bound in (None: while skipping)
 
@@ -686,22 +689,83 @@ def update(text: str, triples: DataFrame) -> DataFrame:
     return triples.select("s", "p", "o").join(gone, ["s", "p", "o"], "left_anti").unionByName(new).distinct()
 
 
+class _Other(ValueError):
+    """A text that _Positive does not take."""
+
+
+class _Positive(Query):
+    """A CONSTRUCT of triple patterns, filters, BINDs and VALUES: what it gives grows with the triples, and of new ones only what they match follows anew. The triples
+    are a set, so its patterns' matches are one; what it gives is not made distinct. part: the number of the pattern that reads the new triples alone."""
+
+    APART = {"OPTIONAL", "MINUS", "UNION", "NOT", "EXISTS", "SELECT"}
+
+    def __init__(self, text: str, triples: DataFrame, new: DataFrame | None = None, part: int = -1):
+        super().__init__(text, triples)
+        self.known, self.newer, self.part, self.read, self.made = self.triples, new, part, [], []
+        if any(kind == "word" and token.upper() in self.APART for kind, token in self.tokens):
+            raise _Other(text)
+
+    def once(self, found: DataFrame) -> DataFrame:
+        return found
+
+    def edges(self, path) -> DataFrame:
+        raise _Other("a path")
+
+    def template(self) -> list:
+        self.made = super().template()
+        return self.made
+
+    def pattern(self, s: tuple, p, o: tuple) -> DataFrame:
+        self.triples = self.newer if len(self.read) == self.part else self.known
+        self.read.append(p)
+        return super().pattern(s, p, o)
+
+
 def saturate(constructs: list[str], triples: DataFrame, updates: list[str] = [], max_rounds: int = 100) -> tuple[DataFrame, int]:  # noqa: B006
-    """(triples, rounds): CONSTRUCTs, then updates, round after round until nothing changes."""
-    known = written(triples.select("s", "p", "o").distinct())
+    """(triples, rounds): CONSTRUCTs, then updates, round after round until nothing changes. CONSTRUCTs of patterns alone are asked, from the second round on,
+    about the last round's triples only."""
+    known = written(spread(triples.select("s", "p", "o"), "s", "p", "o").distinct())
+    if not updates:
+        try:
+            first = [_Positive(text, known) for text in constructs]
+            return _semi_naive(constructs, first, [q.run() for q in first], known, max_rounds)
+        except _Other:
+            pass
     for round_ in range(1, max_rounds + 1):
         now = known
         for text in constructs:
             now = now.unionByName(query(text, now))
         for text in updates:
             now = update(text, now)
-        now = written(now.distinct())
+        now = written(spread(now, "s", "p", "o").distinct())
         if now.count() == known.count() and now.join(known, ["s", "p", "o"], "left_anti").isEmpty():
             return known, round_
         known = now
     raise RuntimeError(f"no fixed point within {max_rounds} rounds")
 
 
+def _semi_naive(constructs: list[str], first: list[_Positive], found: list[DataFrame], known: DataFrame, max_rounds: int) -> tuple[DataFrame, int]:
+    """found: what the texts give of all that is known. Candidates meet only triples whose predicates the templates give."""
+    made = [p for q in first for _, p, _ in q.made]
+    given = None if any(kind == "var" for kind, _ in made) else sorted({name for _, name in made})
+    kept = Kept("triples")
+    kept.parts, kept.rows = [known], known.count()
+    for round_ in range(1, max_rounds + 1):
+        rest = kept.table if given is None else kept.table.where(F.col("p").isin(given))
+        delta = None
+        if found:
+            new = spread(reduce(DataFrame.unionByName, found), "s", "p", "o", rows=kept.rows).distinct()
+            delta = kept.add(new.join(rest, ["s", "p", "o"], "left_anti"))
+        if delta is None:
+            return kept.table, round_
+        found = []
+        for text, q in zip(constructs, first):
+            for part, p in enumerate(q.read):
+                if given is None or p[0] == "var" or p[1] in given:  # others meet nothing new
+                    found.append(_Positive(text, kept.table, delta, part).run())
+    raise RuntimeError(f"no fixed point within {max_rounds} rounds")
+
+
 def _deletes(text: str) -> bool:
     return any(m.lastgroup == "word" and m.group().upper() == "DELETE" for m in _TOKEN.finditer(text))
 

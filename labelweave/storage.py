@@ -30,10 +30,14 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     return out
 
 
-def spread(df: DataFrame, *keys) -> DataFrame:
-    """df dealt by keys into as many partitions as Spark's shuffles begin with. Spark does not put these together to fewer, as it would after looking at compressed
-    sizes: a task that groups or sorts rows holds many times that."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+#: Rows of a part, where spread() is told how many there are.
+PART_ROWS = 1 << 20
+
+
+def spread(df: DataFrame, *keys, rows: int = 0) -> DataFrame:
+    """df dealt by keys into as many partitions as Spark's shuffles begin with, or more for many rows. Spark does not put these together to fewer, as it would after
+    looking at compressed sizes: a task that groups or sorts rows holds many times that."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // PART_ROWS), *keys)
 
 
 def observed(df: DataFrame, what: str, **counts) -> tuple[DataFrame, dict]:

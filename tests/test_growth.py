@@ -95,3 +95,25 @@ def test_a_task_holds_a_part_of_the_rows_of_a_small_file(spark, tmp_path):
     fields = spark.createDataFrame([(f"r{i}.a", f"r{i}", "t", "a", str(i % 3)) for i in range(9)], "field string, record string, table string, name string, value string")
     signed = kanon.signatures(fields, fields.selectExpr("field AS container", "'g' AS scope"), as_text=False)
     assert signed._jdf.queryExecution().executedPlan().toString().count(dealt) == 3 and kanon.k_anonymity(signed).collect()[0]["k"] == 3
+
+
+def test_saturation_asks_patterns_about_new_triples_alone(spark, monkeypatch):
+    from labelweave.plans import sparql
+    from labelweave.storage import spread
+
+    rng = random.Random(11)
+    edges = {(f"c{rng.randrange(i)}", f"c{i}") for i in range(1, 12)} | {("c9", "c2"), ("c5", "c5")}
+    triples = spark.createDataFrame([(a, "in", b) for a, b in edges] + [("c1", "k", "2")], "s string, p string, o string")
+    texts = ["CONSTRUCT { ?a <up> ?b } WHERE { ?a <in> ?b }", "CONSTRUCT { ?a <up> ?c } WHERE { ?a <up> ?b . ?b <up> ?c }", "CONSTRUCT { ?a <far> ?c } WHERE { ?a <up> ?c . ?c <k> ?n FILTER(?n > 1) }"]
+    plain = {tuple(r) for r in sparql.saturate(texts, triples, ["INSERT { ?a <in> ?b } WHERE { ?a <in> ?b }"])[0].collect()}
+    asked = []
+    monkeypatch.setattr(sparql, "query", lambda text, known: asked.append(text))
+    got = sparql.saturate(texts, triples)[0].collect()
+    closed = {(a, d) for a in {p for p, _ in edges} for d, _ in brute({(c, a) for p, c in edges if p == a}, edges)}
+    assert not asked and len(got) == len(set(got)) and set(map(tuple, got)) == plain and {(r[0], r[2]) for r in got if r[1] == "up"} == closed
+    assert {(r[0], r[2]) for r in got if r[1] == "far"} == {(a, d) for a, d in closed if d == "c1"}
+    for some in ("{ ?x <on> ?y } WHERE { ?x ?p ?y }", "{ ?x ?p <y> } WHERE { ?x ?p ?y }"):  # any predicate
+        monkeypatch.undo()
+        text = [f"CONSTRUCT {some}"]
+        assert {tuple(r) for r in sparql.saturate(text, triples)[0].collect()} == {tuple(r) for r in sparql.saturate(text, triples, ["INSERT { ?a <in> ?b } WHERE { ?a <in> ?b }"])[0].collect()}
+    assert spread(triples, "s", rows=5 << 20).rdd.getNumPartitions() == 5
