@@ -59,8 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = common.written(docs, name)
-            common.drop(before)  # the input, which nobody wrote here, stays
-    return docs
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        before, docs = docs, common.settled(stage(spark, docs, sf_dir), name)  # a stage's shuffle files go before the next begins
+        common.drop(before)  # the input, which nobody wrote here, stays

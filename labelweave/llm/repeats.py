@@ -14,7 +14,8 @@
 
 A removal is only ever decided where both texts are at hand and their bytes are equal; hashes choose what is compared.
 
-An anchor with over CROWD contexts is not sorted in one task: its windows are dealt one by one by their hash, and sorted there, in bounded pieces.
+An anchor with over CROWD contexts, and over a CROWD_PART-th of its bucket's, is not sorted in one task: its windows are dealt one by one by their hash, and
+sorted there, in bounded pieces. As windows a context takes some ten times its bytes, and the anchors with over a fixed number of contexts are more in larger tables.
 Copies within a map task's share are sorted out there, in the same way, so a hot passage costs one record per share and anchor.
 
 Defined results: a null or empty text has no bytes; matches never cross documents; a very long text is read in overlapping pieces of PIECE bytes; rows
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from labelweave.llm import common, flows
 
-WINDOW, GRAM, CROWD = 50, 20, 4096
+WINDOW, GRAM, CROWD, CROWD_PART = 50, 20, 4096, 32
 #: A longer document is read in pieces of this many bytes, overlapping by a window less one byte.
 PIECE = 4 << 20
 #: Bytes of fetched contexts in a share.
@@ -183,7 +184,7 @@ def shared_contexts(blobs: list[bytes], n: int, window: int, crowd: int, gram: i
         for held, x in zip(columns, (_whole(low, high), docs.ids, docs.hashes, flows.unsteps(step), length.astype(np.int64), offset.astype(np.int64), before, after)):
             held.append(x)
     anchor, ids, hashes, start, length, offset, before, after = map(np.concatenate, columns)
-    rank = flows.ranked(ids, hashes)
+    rank, crowd = flows.ranked(ids, hashes), max(crowd, len(anchor) // CROWD_PART)
     few = _shared(anchor, rank)
     anchor, ids, hashes, start, length, offset, before, after, rank = (x[few] for x in (anchor, ids, hashes, start, length, offset, before, after, rank))
     shared = []

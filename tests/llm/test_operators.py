@@ -281,6 +281,24 @@ def test_hot_anchor_with_many_contexts(crowd):
     assert {i: len(x) for i, x in gone.items()} == {1_000_000: 80, 1_000_001: 80, int(ids[2]): 80}
 
 
+def test_a_crowd_is_a_part_of_its_bucket():
+    """40 texts share 50 bytes around one phrase. Beside many other texts that is no crowd, whatever its size, and its contexts go whole; alone it is one."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    text = hot_phrase(40, rng)
+    text[:, 15:65] = text[0, 15:65]
+    crowded = {}
+    for others in (0, 400):
+        raw = [x.tobytes() for x in text] + [rng.integers(97, 123, 400).astype(np.uint8).tobytes() for _ in range(others)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(raw)), pa.int64()), pa.array(raw)], names=["a", "b"])
+        blobs = [b for _, kind, b in repeats.contexts([batch], 1, 50, 20) if kind == 1]
+        asked = [repeats.flows.unpack(b) for _, _, b in repeats.shared_contexts(blobs, 1, 50, 8)]
+        crowded[others] = [bool(x) for *_, c in asked for x in c]
+    assert len(crowded[0]) >= 40 and sum(crowded[0]) >= 40 and len(crowded[400]) >= 40 and not any(crowded[400])
+
+
 def test_no_removal_on_equal_hashes(monkeypatch):
     """With hashes of four bits nearly everything collides, and still nothing goes that has no equal bytes before it."""
     import numpy as np

@@ -61,3 +61,11 @@ def test_pipeline(spark, sf_dir):
         else:
             assert set(left) == {d for d, _ in rows} and all(len(r["ids"]) == r["n_tokens"] for r in left.values())
         docs = out
+
+
+def test_shuffle_files_of_a_stage_go_before_the_next(spark, sf_dir, monkeypatch):
+    went = []
+    settled = corpus_pipeline.common.settled
+    monkeypatch.setattr(corpus_pipeline.common, "settled", lambda df, what: went.append(what) or settled(df, what))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(x, lambda spark, docs, sf_dir: docs.repartition(3, "doc_id")) for x in "abc"])
+    assert corpus_pipeline.run(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and went == ["a", "b"]
