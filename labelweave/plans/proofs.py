@@ -61,6 +61,10 @@ class Prover:
                 elif not isinstance(c, (E.All, E.Any)):
                     kind = "Self" if isinstance(c, E.Has) else c.relation if isinstance(c, E.Related) else type(c).__name__
                     self.looks.setdefault(kind, []).append((alt, node, c.label))
+        labels = {x for w in self.ways for x in w[4]} | {x for rows in self.looks.values() for *_, x in rows} | {x for _, x, _ in r.propagations}
+        #: Facts that may be premises of rules, looks, propagations and parts of frameworks.
+        self.premises = facts.where(F.col("label").isin(sorted(labels)) | F.col("framework").isin(sorted(engine.above)))
+        self.follows = F.col("derived_via").isin(sorted({w[1] for w in self.ways} | {*E.DIRECTIONS, "ParentFramework"}))
 
     def __call__(self, asked: DataFrame) -> DataFrame:
         """asked: (container, label, scope, framework), all kinds of rows; what is no fact has no proof. Gives (container, label, scope, framework, round, rule, part,
@@ -68,9 +72,13 @@ class Prover:
         front = self.facts.join(asked.select(*E.KEY).distinct(), E.KEY, "left_semi").select(*FACT)
         known, steps = [], []
         while True:
-            level, seen = observed(front, "level")
+            level, seen = observed(front, "level", follows=F.count_if(self.follows))
             if not seen["n"] and steps:
                 return _union(steps)
+            if not seen["follows"]:  # leaves alone: no facts are read
+                none = {"part": "int", "of_container": "string", "of_label": "string", "of_framework": "string", "of_round": level.schema["round"].dataType}
+                leaves = level.select(*E.KEY, "round", F.col("derived_via").alias("rule"), *(F.lit(None).cast(kind).alias(x) for x, kind in none.items()))
+                return _union([*steps, leaves])
             found = written(self._steps(self.sent(level, seen["n"])), "proof")
             steps.append(found.select(*E.KEY, "round", F.col("derived_via").alias("rule"), "part", *(F.col(f"premise.{x}").alias(f"of_{x}") for x in ("container", "label", "framework", "round"))))
             known.append(level.select(*E.KEY))
@@ -130,7 +138,7 @@ class Prover:
 
     def _filled(self, asks: DataFrame) -> DataFrame:
         """Of each slot the premise of lowest rank, below the fact's."""
-        there = self.facts.select(*(F.col(x).alias(f"of_{x}") for x in PREMISE), F.col("scope").alias("of_scope"))
+        there = self.premises.select(*(F.col(x).alias(f"of_{x}") for x in PREMISE), F.col("scope").alias("of_scope"))
         same = (asks["of_container"] == there["of_container"]) & (asks["of_label"] == there["of_label"]) & (asks["scope"] == there["of_scope"]) & (there["of_round"] < asks["round"])
         same &= asks["of_framework"].isNull() | (asks["of_framework"] == there["of_framework"])
         premise = F.struct(*(there[f"of_{x}"].alias(x) for x in PREMISE))

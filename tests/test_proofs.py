@@ -95,3 +95,21 @@ def test_overrides_of_a_graph(spark):
     triples = [("top", "declaresSubclassOf", "d"), ("d", "fromLabel", "x"), ("d", "isSubclassOf", "y"), ("mid", "overrides", "d")]
     rules = rules_from_graph(spark.createDataFrame([(v + s, v + p, v + o) for s, p, o in triples], "s string, p string, o string"))
     assert rules.overrides == (E.Override("mid", f"{v}d"),) and overridden(rules, [("top", None), ("mid", "top")]) == {("mid", "top", f"{v}d")}
+
+
+def test_given_facts_are_not_looked_for(spark, monkeypatch):
+    """Premises are looked for among facts of labels that some way may take, and a level of given facts alone looks for none."""
+    from labelweave.plans import proofs
+
+    rows = {"contains": [("d", "t"), ("t", "r")], "availability": [("d", "s")], "frameworks": [("f", None, None, "core")], "labels": [("x", "f"), ("other", "f")], "tags": [("r", "x"), ("t", "other")]}
+    rules = E.Rules(propagations=(E.Propagation("f", "Outward", "x"),))
+    result = infer(E.from_rows(spark, rules, **rows), with_k=False)
+    assert {r[0] for r in proofs.Prover(result.engine, result.by_round).premises.select("label").collect()} == {"x"}
+    levels, steps = [], proofs.Prover._steps
+    monkeypatch.setattr(proofs.Prover, "_steps", lambda self, level: levels.append(level) or steps(self, level))
+    found = sorted(tuple(r) for r in result.proofs(result.assertions.where("container = 'd' AND label = 'x'")).select("container", "rule", "part", "of_container", "of_round").collect())
+    assert found == [("d", "Outward", 0, "t", 1), ("r", "Tag", None, None, None), ("t", "Outward", 0, "r", 0)] and len(levels) == 2
+    levels.clear()
+    given = result.proofs(result.assertions.where("label = 'other'")).collect()
+    assert [(r["container"], r["rule"], r["part"], r["of_label"]) for r in given] == [("t", "Tag", None, None)] and not levels
+    assert result.proofs(result.assertions.where("label = 'nowhere'")).count() == 0
